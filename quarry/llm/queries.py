@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from quarry.llm import oracles
 from quarry.llm.common import table
-from quarry.llm.quality_rules import quality_rules
+from quarry.llm.decontamination import decontaminate, keep_clean
+from quarry.llm.quality_rules import keep_good, quality_rules
 from quarry.llm.sentencepiece_bpe import encode, encode_digests
+from quarry.llm.simhash import near_duplicates, representatives
 
 
 def model_path() -> str:
@@ -20,13 +22,38 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), model_path())
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids", "spans")
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("fp")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("line_coverage", "ngram_coverage")
 
 
+def keep_quality(docs: DataFrame) -> DataFrame:
+    return keep_good(docs)
+
+
+def keep_representatives(docs: DataFrame) -> DataFrame:
+    return representatives(docs)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    return keep_clean(docs, benchmark)
+
+
 def encoded(docs: DataFrame) -> DataFrame:
     return encode(docs, model_path())
 
 
-QUERIES = {"op3_sentencepiece": op3_sentencepiece, "op10_quality_rules": op10_quality_rules}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op3_sentencepiece": op3_sentencepiece,
+    "op4_decontamination": op4_decontamination,
+    "op9_simhash": op9_simhash,
+    "op10_quality_rules": op10_quality_rules,
+}
+ORACLE_SQL = oracles.ORACLE_SQL

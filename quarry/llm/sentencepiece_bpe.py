@@ -23,11 +23,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import raw_texts
+from quarry.llm.common import raw_texts, slices
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -55,7 +56,7 @@ class PieceCodec:
     def __init__(self, model_path: str):
         lib = sentencepiece.SentencePieceProcessor(model_file=model_path)
         n = lib.get_piece_size()
-        self.bos, self.eos, self.unk = lib.bos_id(), lib.eos_id(), lib.unk_id()
+        self.begin, self.end, self.unk = lib.bos_id().to_bytes(4, "little"), lib.eos_id().to_bytes(4, "little"), lib.unk_id()
         special = [lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i) or lib.is_unused(i) for i in range(n)]
         self.pieces = [lib.id_to_piece(i) for i in range(n)]
         self.bytes_of = {int(self.pieces[i][3:5], 16): i for i in range(n) if lib.is_byte(i)}
@@ -194,26 +195,21 @@ class PieceCodec:
     def chunks(self, text: str) -> list[str]:
         return _CHUNK.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def encode(self, text: str) -> list[int]:
+    def packed(self, text: str) -> tuple[bytes, bytes]:
+        """All ids as little-endian uint32, and the UTF-8 of what they decode to."""
         memo = self.memo
-        body = array("I")
-        body.frombytes(b"".join([memo[c][0] for c in self.chunks(text)]))
-        return [self.bos, *body, self.eos]
+        found = [memo[c] for c in self.chunks(text)]
+        raw = b"".join([x[1] for x in found])
+        return b"".join([self.begin, *[x[0] for x in found], self.end]), raw[1:] if raw.startswith(b" ") else raw
+
+    def encode(self, text: str) -> list[int]:
+        return list(memoryview(self.packed(text)[0]).cast("I"))
 
     def decode(self, ids: list[int]) -> str:
         """As the library's decode: the leading space that encoding adds is dropped; bytes that are no UTF-8 become U+FFFD."""
         raw = self._raw(list(ids))
         return (raw[1:] if raw.startswith(b" ") else raw).decode("utf-8", "replace")
 
-    def digests(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids, SHA-256 of what they decode to."""
-        memo = self.memo
-        found = [memo[c] for c in self.chunks(text)]
-        body = b"".join([x[0] for x in found])
-        ids = self.bos.to_bytes(4, "little") + body + self.eos.to_bytes(4, "little")
-        raw = b"".join([x[1] for x in found])
-        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(raw[1:] if raw.startswith(b" ") else raw).hexdigest()
-
 
 @lru_cache(maxsize=2)
 def codec(model_path: str) -> PieceCodec:
@@ -227,8 +223,12 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
         for batch in batches:
-            ids = [c.encode(t.decode()) for t in raw_texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(x) for x in ids], pa.string())], names=[id_col, "token_ids", "decoded"])
+            ids, texts = batch.column(0), raw_texts(batch.column(1))
+            for a, b in slices([len(t) for t in texts]):
+                rows = [c.packed(t.decode()) for t in texts[a:b]]
+                ends = np.cumsum([0, *(len(x[0]) // 4 for x in rows)], dtype=np.int32)
+                tokens = pa.ListArray.from_arrays(ends, np.frombuffer(b"".join([x[0] for x in rows]), np.int32))
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).cast(pa.int64()), tokens, pa.array([x[1] for x in rows], pa.binary()).cast(pa.string())], names=[id_col, "token_ids", "decoded"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} long, token_ids array<int>, decoded string")
 
@@ -239,8 +239,12 @@ def encode_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
         for batch in batches:
-            rows = [c.digests(t.decode()) for t in raw_texts(batch.column(1))]
-            n, a, b = zip(*rows) if rows else ((), (), ())
+            n, a, b = [], [], []
+            for t in raw_texts(batch.column(1)):
+                ids, text = c.packed(t.decode())
+                n.append(len(ids) // 4)
+                a.append(hashlib.sha256(ids).hexdigest())
+                b.append(hashlib.sha256(text).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string")
