@@ -10,6 +10,7 @@ from quarry.llm.decontamination import decontaminate, keep_clean
 from quarry.llm.quality_rules import keep_good, quality_rules
 from quarry.llm.sentencepiece_bpe import encode, encode_digests
 from quarry.llm.simhash import near_duplicates, representatives
+from quarry.llm.substring_dedup import cut_repeats, substring_dedup
 
 
 def model_path() -> str:
@@ -26,6 +27,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids", "spans")
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("fp")
 
@@ -53,6 +58,7 @@ def encoded(docs: DataFrame) -> DataFrame:
 QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_decontamination": op4_decontamination,
+    "op7_suffix_array": op7_suffix_array,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
