@@ -376,14 +376,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """docs with repeated strings cut out of the texts; characters of which bytes went go whole, and length_col follows."""
     keyed = _keyed(docs, id_col, text_col)
-    at = docs.columns.index(text_col)
+    names = docs.columns
+    at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [raw if raw is None else cut(raw.encode(), s)[0].decode("utf-8", "ignore") if s else raw for raw, s in zip(batch.column(at).to_pylist(), batch.column(len(docs.columns)).to_pylist())]
-            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(docs.columns))]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            texts = [raw if raw is None else cut(raw.encode(), s)[0].decode("utf-8", "ignore") if s else raw for raw, s in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist())]
+            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     spans = find_spans(keyed.select("_doc", "_tag", F.col(text_col).alias("text")))
-    out = keyed.join(spans, ["_doc", "_tag"], "left").select(*docs.columns, "spans").mapInArrow(run, docs.schema)
+    out = keyed.join(spans, ["_doc", "_tag"], "left").select(*names, "spans").mapInArrow(run, docs.schema)
     return out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType)) if length_col in docs.columns else out
