@@ -5,7 +5,8 @@ FANOUT consecutive children, that is an ordered range of slots and of byte offse
 children's digests in order; a shard's root covers it all. Two replicas are compared root by root, and only children
 of nodes that differ are compared further, down to the slots that are damaged.
 
-Only ids, lengths and digests are shuffled, never record bytes. No group holds more than a shard's records.
+Record bytes are hashed once where they are read; only ids, lengths and digests are kept, as tables in the shared folder,
+one for each level. No group holds more than a shard's records.
 
 Defined results: null urls and payloads are empty; a null id counts as -1. Records that share an id share a slot and
 its verdict. A slot is ok, corrupt (digests differ), missing (not in the replica) or extra (only there).
@@ -17,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.llm.common import stored
+
 SHARD_SLOTS = 4096
 FANOUT = 16
 
@@ -43,11 +46,13 @@ def _digest_in_order(key: str) -> Column:
 
 def tree(recs: DataFrame) -> list[DataFrame]:
     """Levels from the slots (0) to the shards' roots: (shard, node, digest, n_bytes)."""
-    levels = [recs.groupBy("shard", F.col("slot").alias("node")).agg(_digest_in_order("length").alias("digest"), F.sum("length").alias("n_bytes"))]
+    leaves = recs.groupBy("shard", F.col("slot").alias("node")).agg(_digest_in_order("length").alias("digest"), F.sum("length").alias("n_bytes"))
+    levels = [stored(leaves, "level")]
     span = SHARD_SLOTS
     while span > 1:
         below = levels[-1]
-        levels.append(below.groupBy("shard", F.floor(F.col("node") / FANOUT).cast("long").alias("up")).agg(_digest_in_order("node").alias("digest"), F.sum("n_bytes").alias("n_bytes")).withColumnRenamed("up", "node"))
+        above = below.groupBy("shard", F.floor(F.col("node") / FANOUT).cast("long").alias("up")).agg(_digest_in_order("node").alias("digest"), F.sum("n_bytes").alias("n_bytes"))
+        levels.append(stored(above.withColumnRenamed("up", "node"), "level"))
         span = -(-span // FANOUT)
     return levels
 
@@ -62,12 +67,13 @@ def differing_slots(a: list[DataFrame], b: list[DataFrame]) -> DataFrame:
             left, right = (x.join(parent, (x["shard"] == parent["shard"]) & (F.floor(x["node"] / FANOUT) == parent["parent"]), "left_semi") for x in (left, right))
         both = left.join(right, ["shard", "node"], "full_outer")
         status = F.when(F.col("there").isNull(), "missing").when(F.col("here").isNull(), "extra").otherwise("corrupt")
-        suspects = both.where(~F.col("here").eqNullSafe(F.col("there"))).select("shard", "node", status.alias("status"))
+        suspects = stored(both.where(~F.col("here").eqNullSafe(F.col("there"))).select("shard", "node", status.alias("status")), "suspects")
     return suspects
 
 
 def audit(recs: DataFrame, replica: DataFrame) -> DataFrame:
     """One row per record of either side that is in a shard of the first, and for extra slots: id, shard, slot, offset, length, digest, status."""
+    recs, replica = stored(recs, "records"), stored(replica, "records")
     found = differing_slots(tree(recs), tree(replica)).withColumnRenamed("node", "slot")
     order = Window.partitionBy("shard").orderBy("slot", "length", "digest").rowsBetween(Window.unboundedPreceding, -1)
     placed = recs.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)))
