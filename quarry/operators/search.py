@@ -42,7 +42,7 @@ KEY = ("k_score", "k_length", "k_span", "k_position")
 
 def scored_names(rows: DataFrame, pattern: Q.Pattern, scheme: str = "default") -> DataFrame:
     """Distinct matching names with begin, end, score and rank fields; Python sees each name once."""
-    hits = matching_names(rows, pattern).withColumn("m", S.match_udf(pattern, scheme)("name")).where("m is not null")
+    hits = matching_names(rows, pattern).withColumn("m", S.match_udf(pattern, scheme)("name")).where("m.score is not null")
     return hits.select("name", "m.*").select("name", "begin", "end", "score", *rank_fields(F.col("name"), F.col("begin"), F.col("end"), F.col("score")))
 
 

@@ -174,8 +174,8 @@ def match_alias(spark, sf_dir):
     pattern = Q.parse_pattern("srng")
     names = catalog.parts(spark, sf_dir).select("name").distinct()
     direct = names.withColumn("m", S.match_udf(Q.parse_pattern("'srng"))("name"))
-    found = best_alias(direct.where("m is null").select("name").join(_aliases(spark, sf_dir), "name"), pattern)
-    return direct.join(found, "name", "left").select("name", F.coalesce("m.score", "alias_score").alias("score"), F.col("m").isNull().alias("by_alias")).where("score is not null")
+    found = best_alias(direct.where("m.score is null").select("name").join(_aliases(spark, sf_dir), "name"), pattern)
+    return direct.join(found, "name", "left").select("name", F.coalesce("m.score", "alias_score").alias("score"), F.col("m.score").isNull().alias("by_alias")).where("score is not null")
 
 
 @query("""SELECT q, span, score, span <= greatest(3 * q, 20) AND score >= 5 * q AS accepted FROM (SELECT (id % 9) + 1 AS q, id % 37 AS span, id % 53 AS score FROM parts)""")
@@ -207,7 +207,7 @@ def match_mixed(spark, sf_dir):
     from quarry.functions.alias import mixed_match_udf
 
     cases = spark.createDataFrame([("重庆火锅",), ("北京烤鸭",), ("重庆qing",), ("plain",)], "name string")
-    return cases.withColumn("m", mixed_match_udf("重qing")("name")).where("m is not null").select("name", "m.*")
+    return cases.withColumn("m", mixed_match_udf("重qing")("name")).where("m.score is not null").select("name", "m.*")
 
 
 @query("SELECT name, contains(lower(name), 'na') AS hit, 'favorite' AS kind FROM (SELECT n_name AS name FROM nation) WHERE contains(lower(name), 'na')")
