@@ -80,7 +80,7 @@ def history_mru(spark, sf_dir):
 @query("SELECT lower(event_type || '-' || user_id) AS keyword, max(event_id) AS last_at FROM events GROUP BY 1 ORDER BY last_at DESC LIMIT 2000")
 def keyword_mru(spark, sf_dir):
     words = catalog.table(spark, sf_dir, "events").select(F.lower(F.concat_ws("-", "event_type", F.col("user_id").cast("string"))).alias("keyword"), F.col("event_id").alias("last_at"))
-    return words.groupBy("keyword").agg(F.max("at").alias("last_at")).orderBy(F.desc("last_at")).limit(2000)
+    return words.groupBy("keyword").agg(F.max("last_at").alias("last_at")).orderBy(F.desc("last_at")).limit(2000)
 
 
 @query("SELECT n_nationkey, n_name FROM nation WHERE contains(lower(n_name), '1') ORDER BY n_nationkey LIMIT 8")
