@@ -33,7 +33,7 @@ _TURN = re.compile(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", re.S)
 
 #: Layout -> its field paths; [] stands for the elements of an array.
 LAYOUTS: dict[str, tuple[str, ...]] = {
-    "turn_rows": ("conv_id", "role", "text", "turn"),
+    "turn_rows": ("role", "text"),  # with conv_id and turn beside them
     "messages": ("messages[].content", "messages[].role"),
     "from_value": ("conversations[].from", "conversations[].value"),
     "prompt_completion": ("completion", "prompt"),
@@ -56,6 +56,12 @@ def fingerprint(paths: set[str] | tuple[str, ...]) -> str:
 _BY_PRINT = {fingerprint(paths): name for name, paths in LAYOUTS.items()}
 
 
+def layout_of(paths: set[str]) -> str | None:
+    """By fingerprint; where fields of other layouts stand beside a whole one, the fullest that is there whole."""
+    exact = _BY_PRINT.get(fingerprint(paths))
+    return exact or next((n for n, own in sorted(LAYOUTS.items(), key=lambda x: -len(x[1])) if set(own) <= paths), None)
+
+
 def schema_paths(kind: T.DataType, at: str = "") -> set[str]:
     if isinstance(kind, T.StructType):
         return {p for f in kind.fields for p in schema_paths(f.dataType, f"{at}.{f.name}" if at else f.name)}
@@ -73,7 +79,7 @@ def json_paths(value: Any, at: str = "") -> set[str]:
 
 
 def layout_of_schema(schema: T.StructType) -> str | None:
-    return _BY_PRINT.get(fingerprint(schema_paths(schema)))
+    return layout_of(schema_paths(schema))
 
 
 def fingerprint_of_json(line: str) -> str:
@@ -86,7 +92,7 @@ def turns_of_json(line: str | None) -> list[tuple[str, str]]:
         record = json.loads(line) if line else None
     except ValueError:
         return []
-    layout = _BY_PRINT.get(fingerprint(json_paths(record))) if isinstance(record, dict) else None
+    layout = layout_of(json_paths(record)) if isinstance(record, dict) else None
     if layout == "turn_rows":
         return [(record["role"] or "", record["text"] or "")]
     if layout in _LISTS:
