@@ -40,6 +40,8 @@ LENGTH = 100
 GRAM = 24
 #: Differing runs of one anchor within a slice from which on the anchor counts as hot.
 HOT = 48
+#: Bytes of text worked on at once: a slice takes some hundred bytes of arrays for each.
+SLICE = 2 << 20
 
 _NO_ID = -(1 << 63)
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -185,7 +187,7 @@ def _anchors(width: int):
         for batch in batches:
             every_doc, every_tag = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             texts = raw_texts(batch.column(2))
-            for a, b in slices([len(t) for t in texts]):
+            for a, b in slices([len(t) for t in texts], SLICE):
                 r = runs_of(texts[a:b])
                 if not len(r["row"]):
                     continue
@@ -277,7 +279,7 @@ def _fetch(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, tags, texts, wanted = batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw_texts(batch.column(2)), batch.column(3)
-            for a, b in slices([len(t) for t in texts]):
+            for a, b in slices([len(t) for t in texts], SLICE):
                 cold, hot, late = [], {}, []
                 for i, want in zip(range(a, b), wanted.slice(a, b - a).to_pylist()):
                     _strings(docs[i], tags[i], texts[i], want, cold, hot, late)
