@@ -12,6 +12,14 @@ from pyspark.sql.window import Window
 from quarry.sources import catalog as C
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpointed in the folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='quarry-')}")
+    return df.checkpoint()
+
+
 class Snapshots:
     """Snapshot versions in a shared folder; a version appears under its name only when it is wholly written."""
 
@@ -61,12 +69,13 @@ def toggled(links: DataFrame, toggles: DataFrame, *key: str) -> DataFrame:
 
 
 def cascade(nodes: DataFrame, removed: DataFrame, max_depth: int = 64) -> DataFrame:
-    """Ids that go with the removed ones over current parentage; each level is a join, ended when one is empty."""
+    """Ids that go with the removed ones over current parentage; each level is one semi-join with the one above, which is
+    checkpointed so that no level is computed again, and the walk ends when one is empty."""
     edges = nodes.where("id <> parent_id").select("id", "parent_id")
-    level = removed.select("id").distinct()
+    level = cut_lineage(removed.select("id").distinct())
     gone = level
     for _ in range(max_depth):
-        level = edges.join(level.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi").select("id")
+        level = cut_lineage(edges.join(level.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi").select("id"))
         if level.isEmpty():
             break
         gone = gone.union(level)

@@ -88,14 +88,14 @@ def score_boundary(spark, sf_dir):
     return names.select("name", (16 * 4 + 10 * 5 + P.boundary_bonus(F.col("name"), start)).alias("score"))
 
 
-@query("SELECT DISTINCT name, 26 * length(trim(name)) + 10 AS score FROM parts WHERE lower(trim(name)) = 'red widget.economy'")
+@query("SELECT DISTINCT name, CAST(26 * length(trim(name)) + 10 AS INTEGER) AS score FROM parts WHERE lower(trim(name)) = 'red widget.economy'")
 def score_equal(spark, sf_dir):
     names = N.matching_names(catalog.parts(spark, sf_dir), Q.parse_pattern("^red\\ widget.economy$"))
     return names.select("name", ((P.SCORE_MATCH + P.BONUS_WHITE) * F.length(F.trim("name")) + P.BONUS_WHITE).alias("score"))
 
 
 # a literal term at a word start: 16 a character, the bonus of the start carried through the run and doubled on the first
-_KEYS = """SELECT DISTINCT name, -(16 * 4 + b * 5) AS k_score, length(trim(name)) AS k_length, 4 AS k_span, CASE WHEN p = 1 THEN 0 ELSE 256 + p - 1 END AS k_position
+_KEYS = """SELECT DISTINCT name, -(16 * 4 + b * 5) AS k_score, CAST(length(trim(name)) AS INTEGER) AS k_length, 4 AS k_span, CAST(CASE WHEN p = 1 THEN 0 ELSE 256 + p - 1 END AS INTEGER) AS k_position
 FROM (SELECT name, instr(lower(name), 'bolt') AS p, CASE WHEN instr(lower(name), 'bolt') = 1 OR substr(name, instr(lower(name), 'bolt') - 1, 1) = ' ' THEN 10 ELSE 8 END AS b FROM parts) WHERE p > 0"""
 
 
@@ -119,7 +119,7 @@ def topk_rank(spark, sf_dir):
     return best.select(F.row_number().over(Window.orderBy(*N.KEY, "id")).alias("place"), "id", "name")
 
 
-@query("""SELECT id, name, k_score, k_length, k_span, k_position FROM (SELECT id, name, -(16 * 4 + (CASE WHEN p = 1 OR substr(name, p - 1, 1) = ' ' THEN 10 ELSE 8 END) * 5 + 16 * 4 + 10 * 5) AS k_score, length(trim(name)) AS k_length, p + 3 AS k_span, 0 AS k_position
+@query("""SELECT id, name, k_score, k_length, k_span, k_position FROM (SELECT id, name, -(16 * 4 + (CASE WHEN p = 1 OR substr(name, p - 1, 1) = ' ' THEN 10 ELSE 8 END) * 5 + 16 * 4 + 10 * 5) AS k_score, CAST(length(trim(name)) AS INTEGER) AS k_length, CAST(p + 3 AS INTEGER) AS k_span, 0 AS k_position
  FROM (SELECT id, name, instr(lower(name), 'bolt') AS p FROM parts WHERE contains(lower(name), 'bolt') AND starts_with(lower(name), 'blue'))) ORDER BY k_score, k_length, k_span, k_position, id LIMIT 20""")
 def search_name_exact(spark, sf_dir):
     """Minimum slice: "'bolt ^blue" end to end in native columns."""
