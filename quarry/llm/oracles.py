@@ -8,7 +8,49 @@ _RECORD = """'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13
  || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || CAST(strlen(coalesce(html, '')) AS VARCHAR)
  || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)"""
 
+_WORDS10 = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_REPEATS = """SELECT rid, CAST(count(*) AS BIGINT) AS n_hit, CAST(sum(length(w[k])) AS BIGINT) AS chars FROM (
+   SELECT DISTINCT rid, i + u.j AS k FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, s) AS c FROM (
+     SELECT rid, t.i AS i, array_to_string(w[t.i : t.i + {n} - 1], ' ') AS s FROM d, unnest(range(1, greatest(len(w) - {n} + 2, 1))) AS t(i))), unnest(range(0, {n})) AS u(j) WHERE c > 1) JOIN d USING (rid) GROUP BY rid"""
+
 ORACLE_SQL = {
+    "op1_warc_fixity": f"""
+WITH r AS (SELECT page_id, page_id // 4096 AS shard, page_id % 4096 AS slot, html, {_RECORD} AS record FROM pages)
+SELECT page_id, shard, slot, CAST(sum(strlen(record)) OVER (PARTITION BY shard ORDER BY slot) - strlen(record) AS BIGINT) AS "offset",
+       CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS digest,
+       CASE WHEN page_id % 97 = 11 THEN 'missing' WHEN page_id % 53 = 7 AND 'X' || substr(html, 2) <> html THEN 'corrupt' ELSE 'ok' END AS status
+FROM r
+""",
+    "op7_suffix_array": """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS h FROM documents),
+w AS (SELECT doc_id, t.p AS p, array_slice(h, t.p + 1, t.p + 100) AS s FROM d, unnest(range(0, greatest(octet_length(h) - 99, 0))) AS t(p)),
+late AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM w) WHERE k > 1),
+island AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS g
+           FROM (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS fresh FROM late)),
+span AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM island GROUP BY doc_id, g),
+gap AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM span
+        UNION ALL SELECT doc_id, max(b), 1000000000 FROM span GROUP BY doc_id),
+kept AS (SELECT gap.doc_id AS doc_id, string_agg(hex(array_slice(h, CAST(a + 1 AS BIGINT), CAST(b AS BIGINT))), '' ORDER BY a) AS k FROM gap JOIN d ON d.doc_id = gap.doc_id GROUP BY gap.doc_id),
+total AS (SELECT doc_id, sum(b - a) AS n, count(*) AS c FROM span GROUP BY doc_id)
+SELECT d.doc_id AS doc_id, CAST(octet_length(h) AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(c, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(k, hex(h)))) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN total ON total.doc_id = d.doc_id
+""",
+    "op10_quality_rules": f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, {_WORDS10} AS w FROM documents),
+r3 AS ({_REPEATS.format(n=3)}), r5 AS ({_REPEATS.format(n=5)}), r7 AS ({_REPEATS.format(n=7)}), r10 AS ({_REPEATS.format(n=10)}),
+line AS (SELECT rid, x FROM (SELECT rid, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]')),
+ln AS (SELECT rid, sum(n) - count(*) AS dups, sum(n * strlen(x)) AS every, sum(strlen(x)) AS once FROM (SELECT rid, x, count(*) AS n FROM line GROUP BY rid, x) GROUP BY rid),
+m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(dups, 0) AS n_dup_lines,
+        coalesce(r3.n_hit, 0) AS n_repeat_words, coalesce((every - once) / CAST(every AS DOUBLE), 0) AS lines,
+        coalesce(r5.chars, 0) AS c5, coalesce(r7.chars, 0) AS c7, coalesce(r10.chars, 0) AS c10
+      FROM d LEFT JOIN ln USING (rid) LEFT JOIN r3 USING (rid) LEFT JOIN r5 USING (rid) LEFT JOIN r7 USING (rid) LEFT JOIN r10 USING (rid)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+       CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND lines <= 0.40 AND c5 / CAST(greatest(word_chars, 1) AS DOUBLE) <= 0.40 AND c7 / CAST(greatest(word_chars, 1) AS DOUBLE) <= 0.35 AND c10 / CAST(greatest(word_chars, 1) AS DOUBLE) <= 0.30 AS kept
+FROM b
+""",
     "op6_chat_format": f"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL VALUES (-1, 0, 'user', '{_TRICKY}'), (-1, 1, 'assistant', '{_TRICKY}'))
