@@ -16,7 +16,7 @@ Repeated rows and null document ids each give one row; other columns of either i
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -102,7 +102,15 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tu
         yield block
 
 
-def scan(split: list[list[bytes]], windows: list[Windows]) -> tuple[list[list[tuple[int, int]]], list[set[str]]]:
+def _held(sent: list) -> Iterator[Windows]:
+    """The blocks one after another; of several, one is in a worker's memory at a time."""
+    for b in sent:
+        yield b.value
+        if len(sent) > 1:
+            b.__dict__.pop("_value", None)
+
+
+def scan(split: list[list[bytes]], windows: Iterable[Windows]) -> tuple[list[list[tuple[int, int]]], list[set[str]]]:
     """For each document of a shard: merged spans of hit words, and the items that hit it."""
     counts = np.array([len(x) for x in split], np.int64)
     offsets = np.cumsum(counts + 1) - (counts + 1)
@@ -134,7 +142,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             ids, texts = batch.column(0), raw_texts(batch.column(1))
             for a, b in slices([len(t) for t in texts]):
                 split = [words(t) for t in texts[a:b]]
-                spans, items = scan(split, [x.value for x in sent])
+                spans, items = scan(split, _held(sent))
                 n_words = [len(x) for x in split]
                 n_hit = [sum(e - s for s, e in x) for x in spans]
                 names = [sorted(x) for x in items]
@@ -156,7 +164,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
             texts, kept = raw_texts(batch.column(at)), []
             for a, b in slices([len(t) for t in texts]):
                 split = [words(t) for t in texts[a:b]]
-                spans, _ = scan(split, [x.value for x in sent])
+                spans, _ = scan(split, _held(sent))
                 kept += [not (x and HIT_SHARE * sum(e - s for s, e in x) >= len(w)) for x, w in zip(spans, split)]
             yield batch.filter(pa.array(kept, pa.bool_()))
 

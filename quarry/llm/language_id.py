@@ -108,10 +108,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sizes = {r["_lang"]: r["n"] for r in usable.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(SAMPLE_ROWS).collect()}
     each = min(SAMPLE_ROWS_EACH, max(1, SAMPLE_ROWS // max(1, len(sizes))))
     part = F.pmod(F.xxhash64(F.coalesce("_id", F.lit(0))), F.lit(1 << 40)) / float(1 << 40)
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("_lang") == lang, F.lit(min(1.0, each / n))).otherwise(share)
-    picked = usable.where(part < share)
+    if not sizes:
+        return None
+    share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, each / n))))
+    picked = usable.where(part < F.coalesce(share[F.col("_lang")], F.lit(0.0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

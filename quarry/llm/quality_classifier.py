@@ -117,8 +117,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Learns from at most SAMPLE_ROWS rows of docs that have a 0/1 label: those of smallest id hash."""
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
     picked = marked.orderBy(F.xxhash64("_id"), "_id", "_label").limit(SAMPLE_ROWS)
-    rows = docs.join(F.broadcast(picked), F.col(id_col) == F.col("_id")).select("_id", "_label", F.coalesce(text_col, F.lit("")).alias("_text")).collect()
-    rows = sorted(rows, key=lambda r: (r["_id"], r["_text"], r["_label"]))[: 2 * SAMPLE_ROWS]
+    rows = docs.join(F.broadcast(picked), F.col(id_col) == F.col("_id")).select("_id", "_label", F.coalesce(text_col, F.lit("")).alias("_text")).limit(2 * SAMPLE_ROWS).collect()
+    rows = sorted(rows, key=lambda r: (r["_id"], r["_text"], r["_label"]))
     return fit([r["_text"].encode() for r in rows], np.array([r["_label"] for r in rows], np.float32))
 
 

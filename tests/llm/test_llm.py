@@ -132,6 +132,15 @@ def test_decontamination():
             assert (sum(b - a for a, b in s), f) == brute_hits(t, items)
 
 
+def test_benchmark_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 20)
+    bench = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(15))) for i in range(5)], "item_id long, text string")
+    docs = docs_of(spark, ["zz " + " ".join(f"w{i}x{j}" for j in range(15)) for i in range(5)] + ["clean text"])
+    out = {r["doc_id"]: r for r in decontamination.decontaminate(docs, bench).collect()}
+    assert all(out[i]["n_hit"] == 15 and out[i]["item_ids"] == [str(i)] and out[i]["contaminated"] for i in range(5))
+    assert out[5]["n_hit"] == 0 and decontamination.keep_clean(docs, bench).count() == 1
+
+
 def test_fm_index_locates_all():
     rng = np.random.default_rng(5)
     s = rng.integers(0, 4, 500)
