@@ -176,7 +176,8 @@ def _unpacked(table: pa.Table, kind: int, kinds: list[np.dtype]) -> list[np.ndar
 
 
 _BUCKETS = "bucket long, kind int, n long, packed binary"
-_RUN = [np.uint64, np.uint64, np.int64, np.int64, np.uint32, np.uint8, np.uint8]
+#: Within its bucket an anchor is told by 32 bits; a chance meeting only sends runs to a shard for nothing.
+_RUN = [np.uint32, np.uint64, np.int64, np.int64, np.uint32, np.uint8, np.uint8]
 _CUT = [np.int64, np.int64, np.int64, np.int64]
 
 
@@ -213,8 +214,10 @@ def _anchors(width: int):
                 mark = mark[np.unique(which[mark], return_index=True)[1]]
                 key = np.where(hot, _mix(anchor ^ body), anchor)
                 flag = np.where(hot, HOT_RUN, COLD_RUN).astype(np.uint8)
-                columns = [np.append(x, y) for x, y in ((key, anchor[mark]), (body, body[mark]), (doc, doc[mark]), (tag, tag[mark]), (lo.astype(np.uint32), lo[mark].astype(np.uint32)), (size.astype(np.uint8), size[mark].astype(np.uint8)), (flag, np.full(len(mark), HOT_MARK, np.uint8)))]
-                yield _packed((columns[0] % np.uint64(width)).astype(np.int64), columns, 0)
+                key = np.append(key, anchor[mark])
+                bucket, short = (key % np.uint64(width)).astype(np.int64), (key // np.uint64(width)).astype(np.uint32)
+                columns = [short] + [np.append(x, y) for x, y in ((body, body[mark]), (doc, doc[mark]), (tag, tag[mark]), (lo.astype(np.uint32), lo[mark].astype(np.uint32)), (size.astype(np.uint8), size[mark].astype(np.uint8)), (flag, np.full(len(mark), HOT_MARK, np.uint8)))]
+                yield _packed(bucket, columns, 0)
 
     return run
 
@@ -223,6 +226,7 @@ def _meet(table: pa.Table) -> pa.Table:
     """Step 2, for one bucket of anchors."""
     out = [_spans(REMOVED, *_unpacked(table, 1, _CUT))]
     key, body, doc, tag, lo, size, flag = _unpacked(table, 0, _RUN)
+    key = key.astype(np.int64) | (int(table["bucket"][0].as_py()) << 32)
     order = np.argsort(key, kind="stable")
     s = key[order]
     first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])[: len(s)])
@@ -242,9 +246,9 @@ def _meet(table: pa.Table) -> pa.Table:
         out.append(_spans(REMOVED, doc[later], tag[later], lo[later], high[later]))
         _, which, kinds = np.unique(key[head], return_inverse=True, return_counts=True)
         cold = head[(kinds[which] > 1) & ~hot[head]]
-        out.append(_spans(FETCH, doc[cold], tag[cold], lo[cold], high[cold], key[cold].view(np.int64)))
+        out.append(_spans(FETCH, doc[cold], tag[cold], lo[cold], high[cold], key[cold]))
         warm = head[hot[head]]
-        out.append(_spans(FETCH_HOT, doc[warm], tag[warm], lo[warm], high[warm], key[warm].view(np.int64)))
+        out.append(_spans(FETCH_HOT, doc[warm], tag[warm], lo[warm], high[warm], key[warm]))
     return pa.concat_tables(out)
 
 
