@@ -11,8 +11,6 @@ from quarry.functions import scoring as S
 
 #: Fixed values of two-stage ranking: least limit, head-room, scan head-room, cap in path mode.
 LEAST_LIMIT, HEADROOM, SCAN_HEADROOM, PATH_CAP = 8, 8, 5, 4000
-#: Name tables up to this many rows are sent to all tasks of the fan-out join.
-BROADCAST_ROWS = 2_000_000
 
 
 def names_of(rows: DataFrame) -> DataFrame:

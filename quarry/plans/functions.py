@@ -82,6 +82,15 @@ def project_display_path(spark, sf_dir):
     return catalog.parts(spark, sf_dir).select("id", F.regexp_replace("path", "/[^/]*$", "").alias("parent"), F.concat(F.lit("//share/"), F.expr("substr(path, 4)")).alias("shown"))
 
 
+@query("SELECT 'calculator' AS kind, '2' AS result UNION ALL SELECT 'base', '0xFF'")
+def instant_udtf(spark, sf_dir):
+    """Instant results as a table function in SQL."""
+    from quarry.functions.extensions import register
+
+    register(spark)
+    return spark.sql("SELECT * FROM instant_results('1+1') UNION ALL SELECT * FROM instant_results('255 to hex')")
+
+
 @query()
 def alias_generate(spark, sf_dir):
     names = spark.createDataFrame([("重庆火锅",), ("和",), ("北京",), ("plain",)], "name string")

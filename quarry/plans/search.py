@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarry.functions import predicates as P
 from quarry.functions import query as Q
 from quarry.functions import scoring as S
 from quarry.operators import search as N
-from quarry.plans.registry import query, sql_query
+from quarry.plans.registry import query
 from quarry.sources import catalog
 
 
@@ -114,8 +115,6 @@ def topk_rank(spark, sf_dir):
     """Top k by key then id; the window only numbers the k rows."""
     rows = catalog.parts(spark, sf_dir)
     best = N.top(N.fan_out(rank_key(spark, sf_dir), rows), 25)
-    from pyspark.sql.window import Window
-
     return best.select(F.row_number().over(Window.orderBy(*N.KEY, "id")).alias("place"), "id", "name")
 
 
@@ -156,10 +155,7 @@ def join_name_fanout(spark, sf_dir):
     return N.fan_out(N.matching_names(rows, Q.parse_pattern("'bolt")), rows).select("id", "name")
 
 
-# alias tables: initials and full spelling of part names stand in for transliterations
-_ALIASES = "SELECT DISTINCT name, 1 AS provider_id, substr(name, 1, 1) || substr(name, instr(name, ' ') + 1, 1) AS alias FROM parts UNION ALL SELECT DISTINCT name, 2, replace(name, ' ', '') FROM parts"
-
-
+# initials and full spelling of part names stand in for transliterations
 def _aliases(spark, sf_dir):
     names = catalog.parts(spark, sf_dir).select("name").distinct()
     initials = F.concat(F.substring("name", 1, 1), F.expr("substr(name, instr(name, ' ') + 1, 1)"))
