@@ -13,7 +13,7 @@ from quarry.plans.registry import query, sql_query
 from quarry.sources import catalog
 
 # ---- sources and sinks
-sql_query("src_journal_catchup", "SELECT usn, id, reason, size, max(usn) OVER () + 1 AS next_usn FROM journal WHERE usn > 9000", "SELECT usn, id, reason, size, max(usn) OVER () + 1 AS next_usn FROM journal WHERE usn > 9000")
+sql_query("src_journal_catchup", "SELECT usn, id, reason, size, (SELECT max(usn) + 1 FROM journal) AS next_usn FROM journal WHERE usn > 9000")
 sql_query("src_tree", "SELECT id, parent_id, name, is_dir, size FROM tree")
 sql_query("src_header_counts", "SELECT count(*) AS n_rows, min(id) AS min_id, max(id) AS max_id FROM parts")
 sql_query("src_live_scan", "SELECT id, name FROM parts WHERE lower(name) LIKE '%bolt%' AND id < 10000 ORDER BY id LIMIT 200")
