@@ -33,11 +33,12 @@ from quarry.llm.common import stored
 SLOTS_BYTES = 16 << 20
 #: A template token is on this share of a host's pages at least; the main slot holds this share of the text.
 FREQUENT, MAIN_SHARE = 0.8, 0.6
+#: Longest container path that a token spells out; what is above it is told by its hash.
+PATH_CHARS = 400
 
-_PIECE = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
+_PIECE = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-_VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = set("script style textarea title noscript template iframe svg math canvas object select option button xmp noembed noframes".split())
 _CONTAINERS = set("html head body main article section div nav header footer aside form ul ol dl menu table tbody thead tfoot tr td th figure fieldset details dialog blockquote center address".split())
 _BLOCKS = _CONTAINERS | set("p h1 h2 h3 h4 h5 h6 li dt dd pre br hr caption figcaption summary legend hgroup".split())
@@ -48,6 +49,16 @@ _BOILER_WORDS = set(
     "sidebar side aside widget widgets footer foot header masthead topbar comment comments commentlist reply replies respond disqus discussion cookie cookies consent gdpr "
     "notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended pagination pager toolbar complementary contentinfo".split()
 )
+#: Of these, the words that say nothing inside an article or beside a word for one; and those for readers' comments.
+_WEAK_WORDS = set("banner banners header masthead side widget widgets".split())
+_ARTICLE_WORDS = set("article content entry post story".split())
+_COMMENT_WORDS = set("comment comments commentlist reply replies respond".split())
+#: Elements of which an unclosed one holds all that follows.
+_RAW_TEXT = set("script style textarea title iframe xmp noembed noframes template".split())
+_IN_HEAD = set("base link meta noscript script style template title".split())
+#: Tag -> open elements that it ends.
+_CELLS, _SECTIONS = {"td", "th"}, {"td", "th", "tr", "tbody", "thead", "tfoot"}
+_ENDED_BY = {"td": _CELLS, "th": _CELLS, "tr": _CELLS | {"tr"}, "tbody": _SECTIONS, "thead": _SECTIONS, "tfoot": _SECTIONS}
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -58,19 +69,55 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool]:
-    """Name of a container with its class, id and role; whether it is boilerplate."""
-    names = [next(filter(None, m), "") for m in _NAMES.findall(attributes)] if "=" in attributes else []
-    words = {w for x in names for w in _WORD.findall(x.lower())}
-    boiler = tag in _BOILER_TAGS or (bool(words & _BOILER_WORDS) and tag not in ("html", "body", "article", "main")) or bool(attributes and _HIDDEN.search(attributes))
-    return ".".join([tag, *sorted(" ".join(names).lower().split())]), boiler
+class Place:
+    """A container of a page, with what is known of it from those around it."""
+
+    __slots__ = ("article", "boiler", "chars", "depth", "in_slot", "main", "tag", "token", "up")
+
+    def __init__(self, tag: str, token: str, up: Place | None, bad: bool, slot: str | None):
+        self.tag, self.token, self.up, self.chars = tag, token, up, 0
+        self.depth = up.depth + 1 if up else -1
+        self.boiler = bad or bool(up and up.boiler)
+        self.article = tag == "article" or bool(up and up.article)
+        self.main = tag == "main" or bool(up and up.main)
+        self.in_slot = token == slot if up is None or not up.in_slot else True
+
 
+def _token(up: Place, label: str) -> str:
+    """Path of containers down to a label; of bounded length, so that deep nesting costs no more than shallow."""
+    if not up.token:
+        return label
+    above = up.token if len(up.token) <= PATH_CHARS else f"~{xxhash.xxh3_64_hexdigest(up.token)}"
+    return f"{above}/{label}"
 
-def walk(page: str) -> Iterator[tuple[str, str | None, tuple[str, ...], int]]:
-    """Structure of a page: ("open", token, container path, boilerplate depth) and ("block", text, path, depth)."""
-    stack: list[tuple[str, str, bool]] = []  # tag, label, boilerplate
-    path: tuple[str, ...] = ()
-    boiler, parts, at, skip_to = 0, [], 0, 0
+
+def _label(tag: str, attributes: str, inside: bool) -> tuple[str, bool]:
+    """Name of a container with its class, id and role; whether it is boilerplate (inside: in an article or main element)."""
+    if not attributes:
+        return tag, tag in _BOILER_TAGS or (tag == "header" and not inside)
+    names = [next(filter(None, m), "") for m in _NAMES.findall(attributes)] if "=" in attributes else []
+    words = {w for x in names for w in _WORD.findall(x.lower())}
+    marks = words & _BOILER_WORDS
+    if inside or words & _ARTICLE_WORDS:
+        marks -= _WEAK_WORDS
+    if tag == "article":
+        marks &= _COMMENT_WORDS
+    elif tag in ("html", "body", "main"):
+        marks = set()
+    boiler = tag in _BOILER_TAGS or (tag == "header" and not inside) or bool(marks) or bool(_HIDDEN.search(attributes))
+    label = ".".join([tag, *sorted(" ".join(names).lower().replace("/", "|").split())])
+    return label if len(label) <= PATH_CHARS else f"{tag}.~{xxhash.xxh3_64_hexdigest(label)}", boiler
+
+
+def walk(page: str, slot: str | None = None) -> Iterator[tuple[str, str, Place]]:
+    """Structure of a page: ("open", token, place of it or around it) and ("block", text, place around it).
+
+    End tags that may be left out are implied; the time is linear in the page whatever its nesting."""
+    here = Place("", "", None, False, slot)
+    opened: dict[str, int] = {}
+    absent: set[str] = set()  # elements that end nowhere in what is left
+    parts: list[str] = []
+    at = skip_to = 0
 
     def block() -> str:
         text = " ".join(_html.unescape("".join(parts)).split())
@@ -88,49 +135,60 @@ def walk(page: str) -> Iterator[tuple[str, str | None, tuple[str, ...], int]]:
             continue
         tag = tag.lower()
         if tag in _BLOCKS and parts and (text := block()):
-            yield "block", text, path, boiler
+            yield "block", text, here
         if close:
-            if tag in _CONTAINERS and any(x[0] == tag for x in stack):
+            if opened.get(tag):
                 while True:
-                    was, _, bad = stack.pop()
-                    boiler -= bad
+                    was, here = here.tag, here.up
+                    opened[was] -= 1
                     if was == tag:
                         break
-                path = tuple(x[1] for x in stack)
             continue
+        while here.tag in _ENDED_BY.get(tag, ()) or (here.tag == "head" and tag not in _IN_HEAD):
+            opened[here.tag] -= 1
+            here = here.up
         if tag in _RAW:
-            if not attributes.endswith("/"):
+            yield "open", _token(here, tag), here
+            if not attributes.endswith("/") and tag not in absent:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = skip_to = end.end() if end else len(page)
-            yield "open", tag, path, boiler
+                if end:
+                    at = skip_to = end.end()
+                elif tag in _RAW_TEXT:
+                    at = skip_to = len(page)
+                else:
+                    absent.add(tag)
             continue
-        label, bad = _label(tag, attributes)
-        yield "open", label, path, boiler
+        label, bad = _label(tag, attributes, here.article or here.main)
+        token = _token(here, label)
         if tag in _CONTAINERS and not attributes.endswith("/"):
-            if tag == "header" and not any(x[0] in ("article", "main") for x in stack):
-                bad = True
-            stack.append((tag, label, bad))
-            boiler += bad
-            path = (*path, label)
+            here = Place(tag, token, here, bad, slot)
+            opened[tag] = opened.get(tag, 0) + 1
+        yield "open", token, here
     if at < len(page):
         parts.append(page[at:])
     if parts and (text := block()):
-        yield "block", text, path, boiler
+        yield "block", text, here
 
 
 def page_vector(page: str) -> dict[str, list[int]]:
-    """Token (container path / tag) -> [count, characters of text inside, depth]."""
-    found: dict[str, list[int]] = {}
-    for kind, value, path, boiler in walk(page):
+    """Token (container path / tag) -> [count, characters of text inside, depth]; the token '' stands for the page."""
+    found: dict[str, list[int]] = {"": [1, 0, -1]}
+    places: list[Place] = []
+    for kind, value, place in walk(page):
         if kind == "open":
-            found.setdefault("/".join((*path, value)), [0, 0, len(path)])[0] += 1
-        elif not boiler:
-            for k in range(1, len(path) + 1):
-                own = found.get("/".join(path[:k]))
-                if own:
-                    own[1] += len(value)
-            found.setdefault("", [1, 0, -1])[1] += len(value)
-    found.setdefault("", [1, 0, -1])
+            new = place.token == value and (not places or places[-1] is not place)
+            found.setdefault(value, [0, 0, place.depth if new else place.depth + 1])[0] += 1
+            if new:
+                places.append(place)
+        elif not place.boiler:
+            if place.up is None:
+                found[""][1] += len(value)
+            place.chars += len(value)
+    for place in reversed(places):  # those inside come after those around them
+        found[place.token][1] += place.chars
+        if place.up.up is None:
+            found[""][1] += place.chars
+        place.up.chars += place.chars
     return found
 
 
@@ -171,27 +229,20 @@ def templates(vectors: DataFrame) -> DataFrame:
 
 
 def main_slots(found: DataFrame) -> DataFrame:
-    """(host, slot): the deepest template container with most of the host's text."""
+    """(host, slot): the deepest template container with most of the host's text, widened to the article or main element it is in."""
     fit = found.where(F.col("n_chars") >= MAIN_SHARE * F.col("host_chars")).where("host_chars > 0")
-    return fit.groupBy("host").agg(F.max_by("token", F.struct("depth", "n_chars", "token")).alias("slot"))
+    deepest = fit.groupBy("host").agg(F.max_by("token", F.struct("depth", "n_chars", "token")).alias("slot"))
+    around = [F.nullif(F.regexp_extract("slot", rf"^((?:[^/]*/)*?{tag}(?:\.[^/]*)?)(?:/|$)", 1), F.lit("")) for tag in ("article", "main")]
+    return deepest.select("host", F.coalesce(*around, "slot").alias("slot"))
 
 
 def main_text(page: str | None, slot: str | None) -> str:
-    """Text of the slot's blocks; without such a slot, of the page's article or main element, else of all blocks."""
-    blocks, opened = [], set()
-    for kind, value, path, boiler in walk(page or ""):
-        if kind == "open":
-            opened.add("/".join((*path, value)))
-        elif not boiler:
-            blocks.append((value, path))
-    articles = [(v, p) for v, p in blocks if any(x.split(".")[0] == "article" for x in p)] or [(v, p) for v, p in blocks if any(x.split(".")[0] == "main" for x in p)]
-    if slot and slot in opened:
-        inside = [(v, p) for v, p in blocks if "/".join(p) == slot or "/".join(p).startswith(f"{slot}/")]
-        # a slot around the article is narrowed to it
-        blocks = [x for x in articles if x in inside] if articles and not any(s.split(".")[0] in ("article", "main") for s in slot.split("/")) else inside
-    elif articles:
-        blocks = articles
-    return "\n".join(v for v, _ in blocks)
+    """Text of the slot's blocks, of those in its articles if it is wider than one; without such a slot, of the page's
+    article or main elements, else of all blocks."""
+    blocks = [(value, place) for kind, value, place in walk(page or "", slot) if kind == "block" and not place.boiler]
+    found = [x for x in blocks if x[1].in_slot] or blocks
+    found = [x for x in found if x[1].article] or [x for x in blocks if x[1].article] or [x for x in found if x[1].main] or [x for x in blocks if x[1].main] or found
+    return "\n".join(v for v, _ in found)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -349,6 +349,27 @@ def test_html_slot_from_template_alone(spark):
         assert r["text"] == (f"story number {r['page_id']} " * (3 + r["page_id"])).strip()
 
 
+def test_html_left_out_end_tags_and_deep_nesting():
+    text = html_extraction.main_text
+    assert text("<html><head><title>T</title><body><p>One<p>Two", None) == "One\nTwo"
+    assert text("<title>T</title><p>One<table><tr><td>a<td>b<tr><td>c</table>d<option>e<p>f", None) == "One\na\nb\nc\nde\nf"
+    assert text("<p>a<script>var x = '<p>no'", None) == "a"
+    assert text('<article><header class="entry-header"><h1>H</h1></header><p>x</p><article class="comment">no</article></article>', None) == "H\nx"
+    assert text('<article class="post"><h1>H</h1><div class="w-1/2 body"><p>x</p></div></article><p>y', "article.post") == "H\nx"
+    for deep in ("<div class=a>" * 30_000 + "x" + "</div>" * 30_000, "<tr><td>x" * 20_000, "<p>x<b>" * 30_000, "</div><option>" * 30_000 + "<p>x", "<a b='" * 20_000 + "<p>x"):
+        vector = html_extraction.page_vector(deep)
+        assert sum(len(k) for k in vector) < 60_000_000 and isinstance(text(deep, None), str)
+    assert html_extraction.page_vector("<div><p>ab</p><div>c</div></div>d")[""][1] == 4
+
+
+def test_html_slot_widens_to_its_article(spark):
+    page = "<html><body><nav><a>m</a></nav><article class=post><h1>Head {0}</h1><div class=body><p>{1}</p></div></article></body></html>"
+    df = spark.createDataFrame([(i, f"http://d.example/{i}", page.format(i, f"words of {i} " * 20)) for i in range(5)], "page_id long, url string, html string")
+    slots = html_extraction.main_slots(html_extraction.templates(html_extraction.occurrence_vectors(df))).collect()
+    assert [r["slot"] for r in slots] == ["html/body/article.post"]
+    assert all(r["text"] == f"Head {r['page_id']}\n" + (f"words of {r['page_id']} " * 20).strip() for r in html_extraction.extract(df).collect())
+
+
 # ---- classifiers
 
 
