@@ -247,7 +247,9 @@ def main_text(page: str | None, slot: str | None) -> str:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, url, text."""
-    slots = stored(main_slots(templates(occurrence_vectors(pages, url_col, html_col))), "slots")
+    # the vectors are used three times over; as a table the pages are walked for them once
+    vectors = stored(occurrence_vectors(pages, url_col, html_col), "vectors")
+    slots = stored(main_slots(templates(vectors)), "slots")
     kind = f"{id_col} long, {url_col} string, text string"
     size = slots.agg(F.sum(F.octet_length("host") + F.octet_length("slot") + 64)).first()[0] or 0
     known = None
