@@ -4,7 +4,8 @@ A text is cut into overlapping chunks that cover all of it. Learned filters, one
 run over every chunk; each filter's largest response in a chunk is its pooled value. The chunks' pooled vectors combine
 into their largest and their mean, and a logistic layer makes one probability of both.
 
-Trained by Adam on at most SAMPLE_ROWS labelled rows, the same rows and draws each time. Scoring covers the whole text
+Trained by Adam on at most SAMPLE_ROWS labelled rows, the same rows and draws each time; of a text of more than
+LEARN_CHUNKS chunks, that many from all over it come to the driver, so that its memory doesn't follow the lengths of texts. Scoring covers the whole text
 of every row and shuffles nothing; the filters travel with the task.
 
 Defined results: null and empty texts score as a text of padding alone. Without rows to learn from, all scores are 0.5.
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import raw_texts, slices
 
-#: Bound of the labelled sample that is learned from.
-SAMPLE_ROWS = 4000
+#: Bound of the labelled sample that is learned from, in rows, and in chunks of each.
+SAMPLE_ROWS, LEARN_CHUNKS = 4000, 40
 #: Chunks of one text that a training step looks at; scoring looks at all.
 TRAIN_CHUNKS = 3
 CHUNK, OVERLAP = 512, 64
@@ -65,12 +66,16 @@ def chunks_of(raw: bytes) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(buf, (n, CHUNK), (step, 1))
 
 
-def fit(texts: list[bytes], labels: np.ndarray, seed: int = 11) -> ByteNet | None:
-    if not texts:
+def fit(texts: list[bytes], labels: np.ndarray) -> ByteNet | None:
+    return fit_chunks([chunks_of(t) for t in texts], labels)
+
+
+def fit_chunks(chunked: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> ByteNet | None:
+    """Learns from the chunks of texts and the texts' labels."""
+    if not chunked:
         return None
     rng = np.random.default_rng(seed)
     net = ByteNet(rng.normal(0, 0.15, (WIDTH, 256, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32), 0.0)
-    chunked = [chunks_of(t) for t in texts]
     share = np.clip(labels.mean(), 0.02, 0.98)
     net.shift = float(np.log(share / (1 - share)))
     params = [net.table, net.bias, net.weight, np.array([net.shift], np.float32)]
@@ -80,9 +85,9 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 11) -> ByteNet | Non
         # a third of each batch is from the rarer label, with weights that undo it
         half = [x for x in by_label if len(x)]
         rare = min(half, key=len)
-        pick = np.concatenate([rng.choice(rare, BATCH // 3), rng.integers(0, len(texts), BATCH - BATCH // 3)])
-        odds = np.where(np.isin(pick, rare), BATCH // 3 / len(rare), 0) + (BATCH - BATCH // 3) / len(texts)
-        importance = (BATCH / len(texts)) / odds
+        pick = np.concatenate([rng.choice(rare, BATCH // 3), rng.integers(0, len(chunked), BATCH - BATCH // 3)])
+        odds = np.where(np.isin(pick, rare), BATCH // 3 / len(rare), 0) + (BATCH - BATCH // 3) / len(chunked)
+        importance = (BATCH / len(chunked)) / odds
         rows, first = [], []
         for i in pick:
             first.append(sum(map(len, rows)))
@@ -117,9 +122,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Learns from at most SAMPLE_ROWS rows of docs that have a 0/1 label: those of smallest id hash."""
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
     picked = marked.orderBy(F.xxhash64("_id"), "_id", "_label").limit(SAMPLE_ROWS)
-    rows = docs.join(F.broadcast(picked), F.col(id_col) == F.col("_id")).select("_id", "_label", F.coalesce(text_col, F.lit("")).alias("_text")).limit(2 * SAMPLE_ROWS).collect()
-    rows = sorted(rows, key=lambda r: (r["_id"], r["_text"], r["_label"]))
-    return fit([r["_text"].encode() for r in rows], np.array([r["_label"] for r in rows], np.float32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunks = []
+            for raw in raw_texts(batch.column(3)):
+                c = chunks_of(raw)
+                if len(c) > LEARN_CHUNKS:
+                    c = c[np.linspace(0, len(c) - 1, LEARN_CHUNKS).astype(np.int64)]
+                chunks.append(c.tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(chunks, pa.binary())], names=["_id", "_label", "_h", "chunks"])
+
+    found = docs.join(F.broadcast(picked), F.col(id_col) == F.col("_id")).select(F.col("_id").cast("long"), "_label", F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("_text"))
+    rows = sorted(found.mapInArrow(run, "_id long, _label int, _h long, chunks binary").limit(2 * SAMPLE_ROWS).collect(), key=lambda r: (r["_id"], r["_h"], r["_label"]))
+    return fit_chunks([np.frombuffer(r["chunks"], np.uint8).reshape(-1, CHUNK) for r in rows], np.array([r["_label"] for r in rows], np.float32))
 
 
 def score_texts(net: ByteNet | None, texts: list[bytes]) -> np.ndarray:
