@@ -394,6 +394,14 @@ def test_quality_held_out(spark):
         assert c.shape[1] == 512 and (c.sum(0) > 0).sum() == min(n, 512) and len(c) * 448 + 64 >= n
 
 
+def test_quality_training_on_awkward_rows(spark):
+    docs = docs_of(spark, [*AWKWARD, "good words " * 9000, "### $$$ " * 9000])
+    labels = spark.createDataFrame([(i, i % 2, 0, "x") for i in range(len(AWKWARD) + 2)] + [(0, None, 0, "x"), (None, 1, 0, "x"), (5, 1, 0, "x"), (5, 1, 0, "x")], "doc_id long, quality int, toxic int, text string")
+    net = quality_classifier.train(docs, labels)
+    assert np.isfinite(net.table).all() and quality_classifier.classify(docs, net).where("score between 0 and 1").count() == len(AWKWARD) + 2
+    assert quality_classifier.train(docs.limit(0), labels) is None and quality_classifier.train(docs, labels.limit(0)) is None
+
+
 # ---- pipeline
 
 
