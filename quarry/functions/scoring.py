@@ -2,12 +2,14 @@
 
 The score of a fuzzy term is the best local alignment of the term inside the name. It is found over two tables, best
 score and length of the run of matches that ends there, filled term character by term character over the stretch of
-the name that can hold a match. Applied to distinct names only and through UDFs marked non-deterministic, so that the
+the name that can hold a match. Only cells where characters agree are kept: between them a score falls by the gap
+penalties, so it is told from the last one, and long texts cost their agreeing cells alone. Applied to distinct names only and through UDFs marked non-deterministic, so that the
 optimizer neither pushes them below a distinct nor doubles them.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -50,6 +52,11 @@ def bonus(before: int, here: int, scheme: str = "default") -> int:
     return {NON_WORD: P.BONUS_BOUNDARY, DELIMITER: P.BONUS_BOUNDARY, WHITE: white}.get(here, 0)
 
 
+@lru_cache(maxsize=65536)
+def pair_bonus(before: str, here: str, scheme: str) -> int:
+    return bonus(char_class(before), char_class(here), scheme)
+
+
 def bonuses(text: str, scheme: str = "default", start: int = 0, initial: int | None = None) -> list[int]:
     """Bonus of each position from start on; the first is judged as if `initial` stood before it."""
     before = initial if initial is not None else DELIMITER if scheme == "path" else WHITE
@@ -62,7 +69,9 @@ def bonuses(text: str, scheme: str = "default", start: int = 0, initial: int | N
 
 
 def _low(text: str, cased: bool) -> str:
-    return text if cased else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    if cased:
+        return text
+    return text.lower() if text.isascii() else text.translate({ord(c): c.lower() for c in set(text) if len(c.lower()) == 1})
 
 
 def span_score(text: str, pattern: str, start: int, end: int, cased: bool = False, scheme: str = "default") -> int:
@@ -123,72 +132,103 @@ def fuzzy(text: str, pattern: str, cased: bool = False, scheme: str = "default",
             marks.append(i)
             i += 1
         return at, hi, span_score(text, pattern, at, hi, cased, scheme), marks
-    part, own = folded[lo:hi], bonuses(text[lo:hi], scheme)
+    part, raw = folded[lo:hi], text[lo:hi]
+    first = bonus(DELIMITER if scheme == "path" else WHITE, char_class(raw[0]), scheme)
+    codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+    places = {c: np.flatnonzero(codes == ord(c)).tolist() for c in set(wanted)}
+    own = {i: pair_bonus(raw[i - 1], raw[i], scheme) if i else first for at in places.values() for i in at}
     if m == 1:
         best = (0, -1)
-        for i, c in enumerate(part):
-            if c == wanted:
-                s = P.SCORE_MATCH + own[i] * P.FIRST_FACTOR
-                if s > best[0]:
-                    best = (s, i)
-                    if own[i] >= P.BONUS_BOUNDARY:
-                        break
+        for i in places[wanted]:
+            s = P.SCORE_MATCH + own[i] * P.FIRST_FACTOR
+            if s > best[0]:
+                best = (s, i)
+                if own[i] >= P.BONUS_BOUNDARY:
+                    break
         return lo + best[1], lo + best[1] + 1, best[0], [lo + best[1]]
     earliest, at = [], 0
     for c in wanted:
         earliest.append(part.index(c, at))
         at = earliest[-1] + 1
-    base, last = earliest[0], part.rindex(wanted[-1])
-    width = last - base + 1
-    score = np.zeros((m, width), np.int64)
-    run = np.zeros((m, width), np.int64)
-    gap, previous = False, 0
-    for r in range(width):
-        if part[base + r] == wanted[0]:
-            previous = P.SCORE_MATCH + own[base + r] * P.FIRST_FACTOR
-            score[0, r], run[0, r], gap = previous, 1, False
-        else:
-            previous = max(previous + (P.GAP_EXTENSION if gap else P.GAP_START), 0)
-            score[0, r], gap = previous, True
-    top, top_at = 0, 0
+    # rows[k]: the places of the k-th character, with score, fall of the score just behind it, run; all else follows from them
+    at = places[wanted[0]]
+    rows = [(at, [P.SCORE_MATCH + own[i] * P.FIRST_FACTOR for i in at], [P.GAP_START] * len(at), [1] * len(at))]
+    top, top_at = 0, earliest[0]
     for k in range(1, m):
-        gap = False
-        for r in range(earliest[k] - base, width):
-            skip = int(score[k, r - 1]) + (P.GAP_EXTENSION if gap else P.GAP_START) if r else 0
-            take = length = 0
-            if r and part[base + r] == wanted[k]:
-                b, take, length = own[base + r], int(score[k - 1, r - 1]) + P.SCORE_MATCH, int(run[k - 1, r - 1]) + 1
-                if length > 1:
-                    lead = own[base + r - length + 1]
-                    if b >= P.BONUS_BOUNDARY and b > lead:
-                        length = 1
-                    else:
-                        b = max(b, lead, P.BONUS_CONSECUTIVE)
-                if take + b < skip:
-                    take, length = take + own[base + r], 0
+        up_at, up_score, up_fall, up_run = rows[-1]
+        at = places[wanted[k]]
+        at = at[bisect_left(at, earliest[k]) :]
+        scores, falls, lengths = [], [], []
+        j, n_up = 0, len(up_at)
+        last, value, fall = -1, 0, P.GAP_START
+        for i in at:
+            while j < n_up and up_at[j] < i:
+                j += 1
+            d = i - 1 - up_at[j - 1]
+            if d:
+                take, length = max(0, up_score[j - 1] + up_fall[j - 1] + (d - 1) * P.GAP_EXTENSION) + P.SCORE_MATCH, 1
+            else:
+                take, length = up_score[j - 1] + P.SCORE_MATCH, up_run[j - 1] + 1
+            if last < 0 or i - 1 == last:
+                skip = value + fall
+            else:
+                before = max(0, value + fall + (i - 2 - last) * P.GAP_EXTENSION)
+                skip = before + (P.GAP_EXTENSION if before else P.GAP_START)
+            b = own[i]
+            if length > 1:
+                lead = own[i - length + 1]
+                if b >= P.BONUS_BOUNDARY and b > lead:
+                    length = 1
                 else:
-                    take += b
-            run[k, r], gap = length, take < skip
-            score[k, r] = max(take, skip, 0)
-            if k == m - 1 and score[k, r] > top:
-                top, top_at = int(score[k, r]), r
+                    b = max(b, lead, P.BONUS_CONSECUTIVE)
+            if take + b < skip:
+                take, length = take + own[i], 0
+            else:
+                take += b
+            last, value, fall = i, max(take, skip, 0), P.GAP_EXTENSION if take < skip else P.GAP_START
+            scores.append(value)
+            falls.append(fall)
+            lengths.append(length)
+        rows.append((at, scores, falls, lengths))
+    for i, s in zip(rows[-1][0], rows[-1][1]):
+        if s > top:
+            top, top_at = s, i
+
+    def score_at(k: int, i: int) -> int:
+        at, scores, falls, _ = rows[k]
+        j = bisect_right(at, i) - 1
+        if j < 0:
+            return 0
+        return scores[j] if at[j] == i else max(0, scores[j] + falls[j] + (i - at[j] - 1) * P.GAP_EXTENSION)
+
+    def run_at(k: int, i: int) -> int:
+        j = bisect_left(rows[k][0], i)
+        return rows[k][3][j] if j < len(rows[k][0]) and rows[k][0][j] == i else 0
+
     # walk back from the best end; on equal scores a cell counts as matched if its run goes on
-    k, r, prefer, marks, begin = m - 1, top_at, True, [], earliest[0]
-    while k >= 0 and base + r >= earliest[k]:
-        row, s = k, score[k, r]
-        diagonal, left = (score[k - 1, r - 1] if k and r else 0), (score[k, r - 1] if r else 0)
+    k, i, row, marks, begin = m - 1, top_at, m - 1, [], earliest[0]
+    base, final = earliest[0], part.rindex(wanted[-1])
+    while k >= 0 and i >= earliest[k]:
+        s = score_at(k, i)
+        diagonal, left = (score_at(k - 1, i - 1) if k and i > base else 0), (score_at(k, i - 1) if i > base else 0)
+        if i == top_at and k == m - 1:
+            prefer = True
+        else:  # as the cell before this one has it
+            goes_on = row < m - 1 and i + 2 <= final and i + 2 >= earliest[row + 1] - 1 and run_at(row + 1, i + 2) > 0
+            prefer = run_at(row, i + 1) > 1 or goes_on
+        row = k
         if s > diagonal and (s > left or (s == left and prefer)):
-            marks.append(lo + base + r)
+            marks.append(lo + i)
             if k == 0:
-                begin = base + r
+                begin = i
                 break
-            k -= 1
-        goes_on = row < m - 1 and r + 1 < width and base + r + 1 >= earliest[row + 1] - 1 and run[row + 1, r + 1] > 0
-        prefer = bool(run[row, r] > 1 or goes_on)
-        r -= 1
+            k, i = k - 1, i - 1
+        else:  # nothing is matched before the last place of this character
+            j = bisect_left(rows[k][0], i) - 1
+            i = rows[k][0][j] if j >= 0 else -1
     else:
         marks += [lo + e for e in earliest[: k + 1]]
-    return lo + begin, lo + base + top_at + 1, top, sorted(marks)
+    return lo + begin, lo + top_at + 1, top, sorted(marks)
 
 
 def _edge(text: str, at: int, scheme: str) -> int:
@@ -306,6 +346,16 @@ def match_udf(pattern: Q.Pattern, scheme: str = "default"):
     return F.pandas_udf(run, MATCH_TYPE).asNondeterministic()
 
 
+def fuzzy_udf(term: str, cased: bool = False):
+    """Text -> struct(begin, end, score) of one fuzzy term over all of it, '|' and line ends included; null without a match."""
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        found = [fuzzy(x, term, cased) if x is not None else None for x in texts]
+        return pd.DataFrame({k: pd.array([f[i] if f else None for f in found], "Int32") for i, k in enumerate(("begin", "end", "score"))})
+
+    return F.pandas_udf(run, MATCH_TYPE).asNondeterministic()
+
+
 def weight_udf(pattern: Q.Pattern):
     return F.pandas_udf(lambda names: names.map(lambda x: weight(marks(x, pattern)) if x else 0.0).astype(float), T.DoubleType()).asNondeterministic()
 

@@ -42,9 +42,12 @@ query("SELECT id, name FROM parts WHERE contains(lower(name), 'bolt') AND lower(
 
 @query("SELECT id, true AS hit FROM lines WHERE regexp_matches(lower(name), '^[^e]*e[^n]*n[^t]*t[^r]*r[^a]*a[^l]*l[^e]*e')")
 def match_fuzzy_long(spark, sf_dir):
-    """Long multilingual names; the match set is the same whichever scan scores them."""
-    pattern = Q.parse_pattern("entrale")
-    return catalog.lines(spark, sf_dir).where(P.pattern_column(F.col("name"), pattern)).select("id", F.lit(True).alias("hit"))
+    """Whole documents with the alignment of the term; beyond scoring.MAX_CELLS the greedy scan scores them. The match set
+    is the same whichever scan scores them."""
+    term = "entrale"
+    texts = catalog.table(spark, sf_dir, "documents").where(P.pattern_column(F.col("text"), Q.parse_pattern(term)))
+    scored = texts.select(F.col("doc_id").alias("id"), S.fuzzy_udf(term)("text").alias("m")).where("m.score is not null")
+    return scored.select("id", F.lit(True).alias("hit"), "m.*")
 
 
 @query("""SELECT t.text AS text, list_bool_or(list_transform(string_split(t.text, '|'), lambda s: contains(s, 'ab') AND contains(s, 'cd'))) AS hit
