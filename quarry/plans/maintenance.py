@@ -39,7 +39,8 @@ def cdc_compact(spark, sf_dir):
 
 sql_query("cdc_links", """SELECT id, parent_id, name FROM (SELECT id, parent_id, name, action, row_number() OVER (PARTITION BY id, parent_id, name ORDER BY usn DESC) AS rn
  FROM (SELECT id, id % 7 AS parent_id, 'link' || (usn % 3) AS name, usn, CASE WHEN reason = 512 THEN 'remove' ELSE 'add' END AS action FROM journal)) WHERE rn = 1 AND action = 'add'""")
-sql_query("cdc_rename", "SELECT c.id AS id, coalesce(r.new_name, p.name) || '/' || c.name AS path FROM tree c JOIN tree p ON c.parent_id = p.id LEFT JOIN (SELECT 10000 + n_nationkey AS id, 'renamed-' || n_nationkey AS new_name FROM nation WHERE n_nationkey % 4 = 0) r ON r.id = p.id WHERE c.id > 1000000 AND c.id < 1000000000")
+sql_query("cdc_rename", "SELECT c.id AS id, coalesce(r.new_name, p.name) || '/' || c.name AS path FROM tree c JOIN tree p ON c.parent_id = p.id LEFT JOIN (SELECT 10000 + n_nationkey AS id, 'renamed-' || n_nationkey AS new_name FROM nation WHERE n_nationkey % 4 = 0) r ON r.id = p.id",
+          "SELECT c.id AS id, coalesce(r.new_name, p.name) || '/' || c.name AS path FROM tree c JOIN tree p ON c.parent_id = p.id LEFT JOIN (SELECT 10000 + n_nationkey AS id, 'renamed-' || n_nationkey AS new_name FROM nation WHERE n_nationkey % 4 = 0) r ON r.id = p.id WHERE c.id > 1000000 AND c.id < 1000000000")
 sql_query("cdc_metadata_overlay", "SELECT p.id AS id, coalesce(m.size, p.size) AS size FROM parts p LEFT JOIN (SELECT id, max_by(size, usn) AS size FROM journal WHERE reason IN (2, 32768) GROUP BY id) m ON p.id = m.id")
 sql_query("cdc_diff", """SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed' WHEN o.size = n.size THEN 'reused' ELSE 'changed' END AS status
  FROM (SELECT id, size FROM parts WHERE id % 5 <> 0) o FULL OUTER JOIN (SELECT id, CASE WHEN id % 9 = 0 THEN size + 1 ELSE size END AS size FROM parts WHERE id % 6 <> 0) n ON o.id = n.id""")

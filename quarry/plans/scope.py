@@ -178,7 +178,7 @@ def filter_reachable(spark, sf_dir):
 @query("SELECT id, path FROM paths WHERE starts_with(path, 'T:/ASIA') AND path <> 'T:/ASIA' AND depth <= 2")
 def filter_self(spark, sf_dir):
     parsed = Q.parse_query("T:/ASIA/")
-    rows = catalog.paths(spark, sf_dir).where("depth <= 2").where(X.under(F.col("path"), [parsed.exact_path]))
+    rows = catalog.paths(spark, sf_dir).where(X.under(F.col("path"), [parsed.exact_path]))
     return rows.where(F.lower("path") != parsed.exact_path).select("id", "path")
 
 
@@ -204,7 +204,7 @@ sql_query("join_metadata_batch", "SELECT p.id AS id, p.size AS size FROM parts p
 
 @query("SELECT id, unnest(ancestors) AS ancestor FROM paths WHERE depth = 4")
 def join_ancestors(spark, sf_dir):
-    return catalog.paths(spark, sf_dir).where("depth = 4").select("id", F.explode("ancestors").alias("ancestor"))
+    return catalog.paths(spark, sf_dir).select("id", F.explode("ancestors").alias("ancestor"))
 
 
 @query("SELECT id, path, depth FROM paths")

@@ -62,3 +62,37 @@ def test_scores_of_agreeing_cells_are_those_of_the_tables():
             found += 1
             assert got[2] == _table_score(text[max(0, text.index(term[0]) - 1) : text.rindex(term[-1]) + 1], term), (text, term)
     assert found > 500
+
+
+def _parents(spark, sf_dir):
+    """id -> (parent, name) of the whole tree."""
+    return {r["id"]: (r["parent_id"], r["name"]) for r in catalog.tree(spark, sf_dir).collect()}
+
+
+def _chain(tree, i):
+    out = []
+    while i != 1:
+        i = tree[i][0]
+        out.append(i)
+    return out
+
+
+def test_self_listing_is_all_below_the_directory(spark, sf_dir):
+    tree = _parents(spark, sf_dir)
+    asia = next(i for i, (_, name) in tree.items() if name == "ASIA")
+    rows = registry.queries()["filter_self"](spark, sf_dir).collect()
+    assert {r["id"] for r in rows} == {i for i in tree if asia in _chain(tree, i)} and len({r["id"] for r in rows}) == len(rows)
+    assert {r["path"].count("/") for r in rows} == {2, 3, 4}
+
+
+def test_rename_reaches_all_nodes(spark, sf_dir):
+    tree = _parents(spark, sf_dir)
+    new = {i: f"renamed-{i - 10000}" for i in tree if 10000 <= i < 1000000 and i % 4 == 0}
+    got = [(r["id"], r["path"]) for r in registry.queries()["cdc_rename"](spark, sf_dir).collect()]
+    assert sorted(got) == sorted((i, f"{new.get(p, tree[p][1])}/{name}") for i, (p, name) in tree.items())
+
+
+def test_closure_has_directories(spark, sf_dir):
+    tree = _parents(spark, sf_dir)
+    got = [(r["id"], r["ancestor"]) for r in registry.queries()["join_ancestors"](spark, sf_dir).collect()]
+    assert sorted(got) == sorted((i, a) for i in tree for a in _chain(tree, i))
