@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.operators.maintenance import cut_lineage
+
 TokenProvider = Callable[[str, DataFrame], DataFrame | None]
 #: Sort letters and their columns.
 SORT_COLUMNS = {"s": "size", "c": "created", "m": "modified", "a": "accessed"}
@@ -56,10 +58,25 @@ def apply_tokens(rows: DataFrame, tokens: tuple[str, ...], providers: list[Token
     return rows
 
 
+def placed(rows: DataFrame, name: str = "place") -> DataFrame:
+    """Adds the place of each row of a totally ordered DataFrame. The sort has dealt the rows by ranges, so a place is the
+    number of rows in the ranges before, one number a range, plus the place within. The ranges are checkpointed, else
+    they could be drawn anew between counting and numbering."""
+    at = F.col("_at")
+    ranged = cut_lineage(rows.withColumn("_at", F.monotonically_increasing_id()))  # range << 33 | place within
+    part, within = F.shiftright(at, 33), at.bitwiseAND(F.lit((1 << 33) - 1))
+    before, total = {}, 0
+    for r in ranged.groupBy(part.alias("part")).count().orderBy("part").toLocalIterator():
+        before[r["part"]], total = total, total + r["count"]
+    first = F.element_at(F.array(*(F.lit(before.get(i, 0)).cast("long") for i in range(max(before, default=0) + 1))), (part + 1).cast("int"))
+    return ranged.withColumn(name, first + within + 1).drop("_at")
+
+
 def numbered(rows: DataFrame, *order: Column | str, limit: int | None = None, name: str = "place") -> DataFrame:
-    """Adds the place in the order; with a limit the window only sees that many rows."""
-    if limit is not None:
-        rows = rows.orderBy(*order).limit(limit)
+    """Adds the place in the order; the window only sees as many rows as the limit, and without one there is no window."""
+    if limit is None:
+        return placed(rows.orderBy(*order), name)
+    rows = rows.orderBy(*order).limit(limit)
     return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)))
 
 

@@ -25,7 +25,7 @@ def order_results(spark, sf_dir):
     latest = catalog.table(spark, sf_dir, "events").where("user_id IS NOT NULL").groupBy(F.col("user_id").alias("id")).agg(F.max("event_id").alias("last_at"))
     rows = catalog.parts(spark, sf_dir).join(latest, "id", "left").withColumns({"priority": F.coalesce(-F.col("last_at"), F.lit(9223372036854775807)), "pos": F.col("id") % 11})
     order = ["priority", "pos", F.length("path"), F.lower("source_key"), F.lower("path"), "id"]
-    return R.numbered(rows, *order, limit=200).select("place", "id", "priority")
+    return R.numbered(rows, *order).select("place", "id", "priority")
 
 
 sql_query("join_history", "SELECT p.id AS id, coalesce(h.last_at, 9223372036854775807) AS last_at FROM parts p LEFT JOIN (SELECT user_id, max(event_id) AS last_at FROM events GROUP BY user_id) h ON p.id = h.user_id")
@@ -48,17 +48,17 @@ def page_results(spark, sf_dir):
 
 @query("SELECT CAST(row_number() OVER (ORDER BY lower(name), id) AS INTEGER) AS place, id FROM parts ORDER BY lower(name), id LIMIT 300")
 def sort_columns(spark, sf_dir):
-    return R.numbered(catalog.parts(spark, sf_dir), F.lower("name"), "id", limit=300).select("place", "id")
+    return R.numbered(catalog.parts(spark, sf_dir), F.lower("name"), "id").select("place", "id")
 
 
 @query("SELECT id, size FROM parts ORDER BY size DESC, id LIMIT 100")
 def token_sort(spark, sf_dir):
-    return R.apply_tokens(catalog.parts(spark, sf_dir), ("s-",)).select("id", "size").limit(100)
+    return R.placed(R.apply_tokens(catalog.parts(spark, sf_dir), ("s-",)).select("id", "size"))
 
 
 @query("SELECT id, size FROM parts WHERE ext IN ('economy', 'promo') ORDER BY size, id LIMIT 100")
 def token_chain(spark, sf_dir):
-    return R.apply_tokens(catalog.parts(spark, sf_dir), (".economy.promo", "s")).select("id", "size").limit(100)
+    return R.placed(R.apply_tokens(catalog.parts(spark, sf_dir), (".economy.promo", "s")).select("id", "size"))
 
 
 @query("SELECT name FROM (SELECT DISTINCT p_name AS name, CASE WHEN starts_with(p_name, 'r') THEN 0 ELSE 1 END AS tier FROM part WHERE contains(p_name, 'r')) ORDER BY tier, name LIMIT 15")

@@ -2,6 +2,9 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+from quarry.operators import ranking as R
 from quarry.functions import scoring as S
 from quarry.plans import registry
 from quarry.sources import catalog
@@ -96,3 +99,34 @@ def test_closure_has_directories(spark, sf_dir):
     tree = _parents(spark, sf_dir)
     got = [(r["id"], r["ancestor"]) for r in registry.queries()["join_ancestors"](spark, sf_dir).collect()]
     assert sorted(got) == sorted((i, a) for i in tree for a in _chain(tree, i))
+
+
+def _placed_ids(spark, sf_dir, name):
+    rows = [(r["place"], r["id"]) for r in registry.queries()[name](spark, sf_dir).collect()]
+    assert rows == sorted(rows)
+    assert [p for p, _ in rows] == list(range(1, len(rows) + 1))
+    return [i for _, i in rows]
+
+
+def test_orders_place_every_row(spark, sf_dir):
+    parts = catalog.parts(spark, sf_dir).collect()
+    latest = {r[0]: r[1] for r in catalog.table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("event_id")).collect() if r[0] is not None}
+    cross = lambda r: (-latest[r["id"]] if r["id"] in latest else 2**63 - 1, r["id"] % 11, len(r["path"]), r["source_key"].lower(), r["path"].lower(), r["id"])
+    ids = lambda rows, key: [r["id"] for r in sorted(rows, key=key)]
+    assert _placed_ids(spark, sf_dir, "sort_columns") == ids(parts, lambda r: (r["name"].lower(), r["id"]))
+    assert _placed_ids(spark, sf_dir, "token_sort") == ids(parts, lambda r: (-r["size"], r["id"]))
+    assert _placed_ids(spark, sf_dir, "token_chain") == ids([r for r in parts if r["ext"] in ("economy", "promo")], lambda r: (r["size"], r["id"]))
+    assert _placed_ids(spark, sf_dir, "order_results") == ids(parts, cross)
+
+
+def test_places_go_on_across_ranges(spark):
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ids = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("id"))
+        out = R.numbered(ids, F.col("id") % 3, F.desc("id"))
+        assert out.rdd.getNumPartitions() > 1
+        assert [(r["place"], r["id"]) for r in out.collect()] == list(enumerate(sorted(range(5000), key=lambda i: (i % 3, -i)), 1))
+        assert R.numbered(ids.limit(0), "id").collect() == []
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
