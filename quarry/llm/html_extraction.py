@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm.common import stored
 
@@ -253,12 +254,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     kind = f"{id_col} long, {url_col} string, text string"
     size = slots.agg(F.sum(F.octet_length("host") + F.octet_length("slot") + 64)).first()[0] or 0
     known = None
+
+    def with_host(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([host_of(u) for u in batch.column(1).to_pylist()], pa.string())], names=[id_col, url_col, html_col, "host"])
+
     if size <= SLOTS_BYTES:
         known = pages.sparkSession.sparkContext.broadcast(dict(slots.select("host", "slot").toLocalIterator()))
         rows = pages.select(id_col, url_col, html_col)
     else:
-        host = F.lower(F.regexp_extract(F.coalesce(url_col, F.lit("")), r"^(?:[^:/?#]+:)?//([^/?#]*)", 1))
-        rows = pages.select(id_col, url_col, html_col, host.alias("host")).join(slots, "host", "left").select(id_col, url_col, html_col, "slot")
+        own = pages.select(id_col, url_col, html_col)
+        rows = own.mapInArrow(with_host, T.StructType([*own.schema.fields, T.StructField("host", T.StringType())])).join(slots, "host", "left").select(id_col, url_col, html_col, "slot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
