@@ -370,6 +370,71 @@ def test_html_slot_widens_to_its_article(spark):
     assert all(r["text"] == f"Head {r['page_id']}\n" + (f"words of {r['page_id']} " * 20).strip() for r in html_extraction.extract(df).collect())
 
 
+def _bare(i, article, menu="menu {0} of many", box=""):
+    """A page without article or main elements and without names."""
+    return f"<html><body><div><ul><li>{menu.format(i)}</li></ul></div><div><h1>Head {i}</h1>{article}{box}</div><div>host line {i % 3}</div></body></html>"
+
+
+def test_html_slot_without_names(spark):
+    """Sibling regions are told apart by their place alone; with the slot dropped all regions come out."""
+    rows = [(i, f"http://e.example/{i}", _bare(i, f"<p>{'words of %d and more ' % i * 20}</p>")) for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in html_extraction.extract(df).collect()}
+    for i, _, page in rows:
+        want = f"Head {i}\n" + ("words of %d and more " % i * 20).strip()
+        assert found[i] == want
+        assert html_extraction.main_text(page, None) != want
+
+
+def test_html_text_that_the_host_repeats_goes(spark):
+    box = "<div><p>Please register to read on</p></div>"
+    rows = [(i, f"http://f.example/{i}", _bare(i, f"<p>{'words of %d and more ' % i * 9}</p>", box=box)) for i in range(20)]
+    # copies of one article aren't template text, however many of the host's pages they are
+    rows += [(100 + i, f"http://g.example/{i}", _bare(i, "<p>the very same article " * 9)) for i in range(20)]
+    rows += [(200 + i, f"http://k.example/{i}", _bare(0, "<p>one and the same page</p>", menu="m")) for i in range(20)]
+    out = {r["page_id"]: r["text"] for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[i] == f"Head {i}\n" + ("words of %d and more " % i * 9).strip() for i in range(20))
+    assert all(out[100 + i].count("the very same article") == 9 and "menu" not in out[100 + i] for i in range(20))
+    assert all("one and the same page" in out[200 + i] for i in range(20))
+
+
+def test_html_vectors_against_brute_force(spark):
+    """Occurrence vectors and classes: tokens have one vector exactly if they occur equally often on every page."""
+    rng = random.Random(4)
+    rows = [(i, f"http://h{i % 2}.example/{i}", "<html><body>" + "".join(rng.choice(["<div class=a><p>x</p></div>", "<ul><li>y</li></ul>", "<p>z</p>", f"<h2>t{rng.randint(0, 2)}</h2>"]) for _ in range(rng.randint(1, 6))) + "<div class=b><p>end</p></div></body></html>") for i in range(24)]
+    found = html_extraction.occurrence_vectors(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    counts = {}
+    for i, url, page in rows:
+        for token, (n, chars, _) in html_extraction.page_vector(page).items():
+            counts.setdefault((html_extraction.host_of(url), token), {})[i] = (n, chars)
+    counts = {k: v for k, v in counts.items() if len(v) > 1 or "/=" not in k[1]}
+    got = {(r["host"], r["token"]): r for r in found}
+    assert set(got) == set(counts)
+    for k, v in counts.items():
+        assert (got[k]["n_pages"], got[k]["n_chars"]) == (len(v), sum(c for _, c in v.values()))
+        for j, w in counts.items():
+            alike = {i: n for i, (n, _) in v.items()} == {i: n for i, (n, _) in w.items()}
+            assert (got[k]["vector"] == got[j]["vector"]) == alike or k[0] != j[0]
+
+
+def test_html_marks_on_all_elements():
+    text = html_extraction.main_text
+    page = '<article><h1>H</h1><p class="advertisement">buy</p><p>one <span class="share">Share <span>it</span> now</span>two</p><h3 class="related">R</h3><p hidden>no</p><p class=notice>gone<p>kept<ul><li class="menu">m<li>item</ul><a class="social"><div>x</div>y</a> end</article>'
+    assert text(page, None) == "H\none two\nkept\nitem\nend"
+    assert text('<p>a <span class="ad">b', None) == "a"
+    assert text('<p>a <img class="ad"> b</p>', None) == "a b"
+
+
+def test_slots_are_found_alike_by_join_and_broadcast(spark, monkeypatch):
+    page = '<html><body><div class="x"><p>short {0}</p></div><div class="y"><div class="z"><p>' + "the long text of page {0} " * 9 + "</p></div></div></body></html>"
+    urls = [f"{u}{k}" for u in ("1http://h/", "http://[bad/", "http://a\tb.org/", "http://plain.org/") for k in range(4)] + [None]
+    pages = spark.createDataFrame([(i, u, page.format(i)) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    sent = sorted(map(tuple, html_extraction.extract(pages).collect()), key=lambda r: r[0])
+    monkeypatch.setattr(html_extraction, "SLOTS_BYTES", -1)
+    joined = sorted(map(tuple, html_extraction.extract(pages).collect()), key=lambda r: r[0])
+    assert joined == sent and all("short" not in r[2] for r in sent)
+
+
 # ---- classifiers
 
 
