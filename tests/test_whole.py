@@ -4,7 +4,6 @@ import random
 
 from pyspark.sql import functions as F
 
-from quarry.llm import html_extraction as E
 from quarry.operators import ranking as R
 from quarry.functions import scoring as S
 from quarry.plans import registry
@@ -131,13 +130,3 @@ def test_places_go_on_across_ranges(spark):
         assert R.numbered(ids.limit(0), "id").collect() == []
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
-
-
-def test_slots_are_found_alike_by_join_and_broadcast(spark, monkeypatch):
-    page = '<html><body><div class="x"><p>short {0}</p></div><div class="y"><div class="z"><p>' + "the long text of page {0} " * 9 + "</p></div></div></body></html>"
-    urls = [f"{u}{k}" for u in ("1http://h/", "http://[bad/", "http://a\tb.org/", "http://plain.org/") for k in range(4)] + [None]
-    pages = spark.createDataFrame([(i, u, page.format(i)) for i, u in enumerate(urls)], "page_id long, url string, html string")
-    sent = sorted(map(tuple, E.extract(pages).collect()), key=lambda r: r[0])
-    monkeypatch.setattr(E, "SLOTS_BYTES", -1)
-    joined = sorted(map(tuple, E.extract(pages).collect()), key=lambda r: r[0])
-    assert joined == sent and all("short" not in r[2] for r in sent)
