@@ -4,12 +4,13 @@ A text is cut into overlapping chunks that cover all of it. Learned filters, one
 run over every chunk; each filter's largest response in a chunk is its pooled value. The chunks' pooled vectors combine
 into their largest and their mean, and a logistic layer makes one probability of both.
 
-Trained by Adam on at most SAMPLE_ROWS labelled rows, the same rows and draws each time; of a text of more than
-LEARN_CHUNKS chunks, that many from all over it come to the driver, so that its memory doesn't follow the lengths of texts. Scoring covers the whole text
-of every row and shuffles nothing; the filters travel with the task.
+Trained by Adam on at most SAMPLE_ROWS labelled rows, the same rows and draws each time. A training step sees all
+chunks of its texts, as scoring does; the driver holds the sample's texts, whole, and a step's chunks PART at a time.
+Scoring covers the whole text of every row and shuffles nothing; the filters travel with the task.
 
 Defined results: null and empty texts score as a text of padding alone. Without rows to learn from, all scores are 0.5.
-A null id counts as the text '' where rows are told apart by id; labels for ids that repeat are each used.
+A null id counts as the text '' where rows are told apart by id; an id with several texts or labels counts once for
+each of them, equal rows once.
 """
 
 from __future__ import annotations
@@ -24,12 +25,12 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import raw_texts, slices
 
-#: Bound of the labelled sample that is learned from, in rows, and in chunks of each.
-SAMPLE_ROWS, LEARN_CHUNKS = 4000, 40
-#: Chunks of one text that a training step looks at; scoring looks at all.
-TRAIN_CHUNKS = 3
+#: Bound of the labelled sample that is learned from, in rows.
+SAMPLE_ROWS = 4000
 CHUNK, OVERLAP = 512, 64
-WIDTH, STRIDE, FILTERS = 8, 2, 24
+WIDTH, FILTERS = 8, 24
+#: Chunks that are worked on at once.
+PART = 256
 STEPS, BATCH, RATE, DECAY = 500, 48, 0.01, 1e-4
 
 
@@ -42,12 +43,16 @@ class ByteNet:
 
     def pooled(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Largest response of each filter in each chunk (rows of bytes), and where it is."""
-        at = range(0, chunks.shape[1] - WIDTH + 1, STRIDE)
-        out = np.zeros((len(chunks), len(at), FILTERS), np.float32)
-        for j in range(WIDTH):
-            out += self.table[j][chunks[:, j : j + STRIDE * len(at) : STRIDE][:, : len(at)]]
-        where = out.argmax(1)
-        return np.maximum(np.take_along_axis(out, where[:, None, :], 1)[:, 0] + self.bias, 0), where
+        top, where = np.zeros((len(chunks), FILTERS), np.float32), np.zeros((len(chunks), FILTERS), np.int64)
+        wide = chunks.shape[1] - WIDTH + 1
+        for i in range(0, len(chunks), PART):
+            x = chunks[i : i + PART]
+            out = self.table[0][x[:, :wide]]
+            for j in range(1, WIDTH):
+                out += self.table[j][x[:, j : j + wide]]
+            at = out.argmax(1)
+            top[i : i + PART], where[i : i + PART] = np.take_along_axis(out, at[:, None, :], 1)[:, 0], at
+        return np.maximum(top + self.bias, 0), where
 
     def probability(self, pooled: np.ndarray, first: np.ndarray) -> np.ndarray:
         """From the pooled chunks of texts that start at rows first."""
@@ -66,13 +71,9 @@ def chunks_of(raw: bytes) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(buf, (n, CHUNK), (step, 1))
 
 
-def fit(texts: list[bytes], labels: np.ndarray) -> ByteNet | None:
-    return fit_chunks([chunks_of(t) for t in texts], labels)
-
-
-def fit_chunks(chunked: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> ByteNet | None:
-    """Learns from the chunks of texts and the texts' labels."""
-    if not chunked:
+def fit(texts: list[bytes], labels: np.ndarray, seed: int = 11) -> ByteNet | None:
+    """Learns from texts and their labels."""
+    if not texts:
         return None
     rng = np.random.default_rng(seed)
     net = ByteNet(rng.normal(0, 0.15, (WIDTH, 256, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32), 0.0)
@@ -85,16 +86,12 @@ def fit_chunks(chunked: list[np.ndarray], labels: np.ndarray, seed: int = 11) ->
         # a third of each batch is from the rarer label, with weights that undo it
         half = [x for x in by_label if len(x)]
         rare = min(half, key=len)
-        pick = np.concatenate([rng.choice(rare, BATCH // 3), rng.integers(0, len(chunked), BATCH - BATCH // 3)])
-        odds = np.where(np.isin(pick, rare), BATCH // 3 / len(rare), 0) + (BATCH - BATCH // 3) / len(chunked)
-        importance = (BATCH / len(chunked)) / odds
-        rows, first = [], []
-        for i in pick:
-            first.append(sum(map(len, rows)))
-            c = chunked[i]
-            rows.append(c if len(c) <= TRAIN_CHUNKS else c[np.sort(rng.choice(len(c), TRAIN_CHUNKS, replace=False))])
-        x, first = np.concatenate(rows), np.array(first)
-        size = np.diff(np.append(first, len(x)))
+        pick = np.concatenate([rng.choice(rare, BATCH // 3), rng.integers(0, len(texts), BATCH - BATCH // 3)])
+        odds = np.where(np.isin(pick, rare), BATCH // 3 / len(rare), 0) + (BATCH - BATCH // 3) / len(texts)
+        importance = (BATCH / len(texts)) / odds
+        rows = [chunks_of(texts[i]) for i in pick]
+        x, size = np.concatenate(rows), np.array([len(r) for r in rows])
+        first = np.cumsum(size) - size
         pooled, where = net.pooled(x)
         net.shift = float(params[3][0])
         p = net.probability(pooled, first)
@@ -106,7 +103,7 @@ def fit_chunks(chunked: list[np.ndarray], labels: np.ndarray, seed: int = 11) ->
         d_pooled = (d[owner, None] * (is_top * net.weight[:FILTERS] + net.weight[FILTERS:] / size[owner, None]) * (pooled > 0)).astype(np.float32)
         d_table = np.zeros_like(net.table)
         chunk_no, filter_no = np.nonzero(d_pooled)
-        value, place = d_pooled[chunk_no, filter_no], where[chunk_no, filter_no] * STRIDE
+        value, place = d_pooled[chunk_no, filter_no], where[chunk_no, filter_no]
         for j in range(WIDTH):
             np.add.at(d_table[j], (x[chunk_no, place + j], filter_no), value)
         grads = [d_table, d_pooled.sum(0), feats.T @ d + DECAY * net.weight, np.array([d.sum()], np.float32)]
@@ -121,32 +118,24 @@ def fit_chunks(chunked: list[np.ndarray], labels: np.ndarray, seed: int = 11) ->
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> ByteNet | None:
     """Learns from at most SAMPLE_ROWS rows of docs that have a 0/1 label: those of smallest id hash."""
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
-    picked = marked.orderBy(F.xxhash64("_id"), "_id", "_label").limit(SAMPLE_ROWS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            chunks = []
-            for raw in raw_texts(batch.column(3)):
-                c = chunks_of(raw)
-                if len(c) > LEARN_CHUNKS:
-                    c = c[np.linspace(0, len(c) - 1, LEARN_CHUNKS).astype(np.int64)]
-                chunks.append(c.tobytes())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(chunks, pa.binary())], names=["_id", "_label", "_h", "chunks"])
-
-    found = docs.join(F.broadcast(picked), F.col(id_col) == F.col("_id")).select(F.col("_id").cast("long"), "_label", F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("_text"))
-    rows = sorted(found.mapInArrow(run, "_id long, _label int, _h long, chunks binary").limit(2 * SAMPLE_ROWS).collect(), key=lambda r: (r["_id"], r["_h"], r["_label"]))
-    return fit_chunks([np.frombuffer(r["chunks"], np.uint8).reshape(-1, CHUNK) for r in rows], np.array([r["_label"] for r in rows], np.float32))
+    picked = marked.distinct().orderBy(F.xxhash64("_id"), "_id", "_label").limit(SAMPLE_ROWS)
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_id").isNotNull())
+    hashed = texts.withColumn("_h", F.xxhash64("_text"))
+    # ids that repeat can stand for more rows than were picked; the bound holds for rows
+    sample = hashed.drop("_text").join(F.broadcast(picked), "_id").distinct().orderBy(F.xxhash64("_id"), "_id", "_label", "_h").limit(SAMPLE_ROWS)
+    found = hashed.join(F.broadcast(sample), ["_id", "_h"]).groupBy("_id", "_label", "_h").agg(F.first("_text").alias("_text"))
+    rows = sorted(((r["_id"], r["_h"], r["_label"], (r["_text"] or "").encode()) for r in found.toLocalIterator()), key=lambda r: r[:3])
+    return fit([r[3] for r in rows], np.array([r[2] for r in rows], np.float32))
 
 
 def score_texts(net: ByteNet | None, texts: list[bytes]) -> np.ndarray:
-    """Probabilities; chunks are worked on a few hundred at a time."""
+    """Probabilities."""
     if net is None:
         return np.full(len(texts), 0.5)
     rows = [chunks_of(t) for t in texts]
     size = np.array([len(r) for r in rows])
     x = np.concatenate(rows)
-    pooled = np.concatenate([net.pooled(x[i : i + 256])[0] for i in range(0, len(x), 256)])
-    return net.probability(pooled, np.cumsum(size) - size).astype(np.float64)
+    return net.probability(net.pooled(x)[0], np.cumsum(size) - size).astype(np.float64)
 
 
 def classify(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
