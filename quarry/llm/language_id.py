@@ -14,12 +14,12 @@ is. Null languages are not learned from. A null id counts as the text '' where r
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +31,8 @@ DIM = 2048
 CENTROIDS = 4
 REJECT_QUANTILE, REJECT_SLACK = 0.99, 0.10
 TEMPERATURE = 0.05
-_LETTER = re.compile(r"[^\W\d_]")
+#: A letter is what Unicode says is one (category L).
+_LETTER = regex.compile(r"\p{L}")
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256)], np.uint32)
 
 
