@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts are worked on in slices of about this many UTF-8 bytes, so that memory does not follow the batch size.
 SLICE_BYTES = 4 << 20
@@ -37,9 +38,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def n_buckets(spark: SparkSession, per_partition: int = 4) -> int:
-    """Buckets of packed shuffles follow the cluster's own shuffle width."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * per_partition)
+def n_buckets(spark: SparkSession, n_bytes: int, target: int) -> int:
+    """Buckets of a packed shuffle: as many as the bytes need to be of the target size, four to a shuffle task at least."""
+    return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_bytes) // target))
+
+
+def text_bytes(docs: DataFrame, text_col: str) -> int:
+    """UTF-8 bytes of all texts."""
+    return docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
 
 
 def raw_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

@@ -1,28 +1,33 @@
 """SimHash near-duplicates by the generalised pigeonhole principle.
 
 1. Fingerprints: majority bits of XXH64 over word shingles (one pass, no shuffle).
-2. Equal fingerprints fold to their smallest document id before anything is compared.
+2. Equal fingerprints fold to one node before anything is compared.
 3. Bits that agree more often than chance (from the co-occurrence counts over all fingerprints) are grouped into
    partitions. With thresholds t_i that sum to radius - m + 1, two fingerprints within the radius agree within t_i on
    at least one partition i. Dynamic programming picks the partition count and the thresholds with the fewest
-   estimated candidates and probes.
+   estimated candidates and probes. As the bits of a partition are correlated, fingerprints agree on it more often than
+   independent bits would: the estimate is a beta-binomial with the mean and variance that the counts give.
 4. Each fingerprint is filed under its own value of every partition and probes all values within t_i. Probes and
-   entries travel packed by bucket; each meeting is verified on all 64 bits, and only a spanning forest of the links
-   of a bucket leaves it, so rows stay linear in the fingerprints however large a group of copies is.
-5. Components by alternating large-star and small-star steps on tables in the shared folder.
+   entries travel packed by bucket, as many buckets as their bytes need; each meeting is verified on all 64 bits, and
+   only a spanning forest of the links of a bucket leaves it, so rows stay linear in the fingerprints however large a
+   group of copies is.
+5. Components by alternating large-star and small-star steps on tables in the shared folder; a component's id is the
+   smallest of the document ids of all its fingerprints.
 
 A bucket key with more than CROWD members is not compared pair by pair: every member is filed under all values within
 half the radius of it. Two members are within the radius exactly if they share such a value, and each value links its
 members to one of them; this is exact and linear in the members.
 
 Defined results: null and wordless texts have fingerprint zero, which links like any other. Rows that repeat an id each
-get a row. A null id takes no part in choosing component_id unless all ids of the component are null.
+get a row. Rows without an id link like any other, but take no part in choosing component_id, which is null if all ids
+of the component are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb, exp, lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +37,16 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import n_buckets, raw_texts, slices, stored
 
+_NO_ID = -(1 << 63)
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
 #: Members of one bucket key that are still compared pair by pair.
 CROWD = 1024
-#: What one probe costs, in candidates.
-PROBE_COST = 2.0
+#: What one probe costs, in candidates: it is sorted, packed and shuffled (KEY_BYTES), a candidate is one comparison.
+PROBE_COST = 160.0
+#: A key with its fingerprint and whether it is an entry; bytes of them that a bucket should hold.
+KEY_BYTES, BUCKET_BYTES = 17, 8 << 20
 
 
 def fingerprint_many(texts: list[bytes], size: int = SHINGLE) -> np.ndarray:
@@ -70,17 +78,17 @@ def fingerprint_many(texts: list[bytes], size: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, fp (the fingerprint's bits as a signed long)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+    """One row per document: id, fp (the fingerprint's bits as a signed long), and further long columns as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = raw_texts(batch.column(1))
             fps = [fingerprint_many(texts[a:b]) for a, b in slices([len(t) for t in texts])]
             fp = np.concatenate(fps or [np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fp)], names=[id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fp), *batch.columns[2:]], names=[id_col, "fp", *more])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} long, fp long")
+    return docs.select(id_col, text_col, *more).mapInArrow(run, ", ".join(f"{c} long" for c in (id_col, "fp", *more)))
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
@@ -130,15 +138,35 @@ def correlated_groups(n: int, together: np.ndarray, m: int) -> list[list[int]]:
     return groups
 
 
-def _meeting_odds(bits: list[int], p: np.ndarray, upto: int) -> np.ndarray:
-    """Chance that two fingerprints differ in at most 0, 1, ... upto of the bits, taken as independent."""
+def _meeting_odds(bits: list[int], p: np.ndarray, joint: np.ndarray, upto: int) -> np.ndarray:
+    """Chance that two fingerprints differ in at most 0, 1, ... upto of the bits.
+
+    Two fingerprints differ in both of two bits with chance 2 (p11 p00 + p10 p01); these give the variance of how many
+    bits differ, which is more than independent bits have. p: how often a bit is set; joint: how often two are."""
+    w = len(bits)
+    q = p[bits]
+    both = joint[np.ix_(bits, bits)]
+    one, other = q[:, None] - both, q[None, :] - both
+    neither = 1 - q[:, None] - q[None, :] + both
+    differ = 2 * q * (1 - q)
+    twice = 2 * (both * neither + one * other)
+    np.fill_diagonal(twice, differ)
+    mean = differ.sum() / w
+    variance = max(float((twice - np.outer(differ, differ)).sum()), 0.0)
+    even = w * mean * (1 - mean)
+    rho = min(max((variance / even - 1) / (w - 1), 0.0), 0.999) if even > 0 and w > 1 else 0.0
     odds = np.zeros(upto + 1)
-    odds[0] = 1.0
-    for b in bits:
-        q = 2 * p[b] * (1 - p[b])
-        odds[1:] = odds[1:] * (1 - q) + odds[:-1] * q
-        odds[0] *= 1 - q
-    return np.cumsum(odds)
+    if rho > 1e-9:
+        a, b = mean * (1 - rho) / rho, (1 - mean) * (1 - rho) / rho
+        log_beta = lambda x, y: lgamma(x) + lgamma(y) - lgamma(x + y)
+        for k in range(min(upto, w) + 1):
+            odds[k] = comb(w, k) * exp(log_beta(k + a, w - k + b) - log_beta(a, b))
+    else:
+        odds[0] = 1.0
+        for d in differ:
+            odds[1:] = odds[1:] * (1 - d) + odds[:-1] * d
+            odds[0] *= 1 - d
+    return np.minimum(np.cumsum(odds), 1.0)
 
 
 def _probes(width: int, t: int) -> int:
@@ -151,7 +179,8 @@ def _probes(width: int, t: int) -> int:
 
 def allocate(n: int, together: np.ndarray, radius: int = RADIUS) -> list[tuple[list[int], int]]:
     """Partitions with thresholds (those without one are left out), of least estimated cost."""
-    p = np.diag(together) / max(n, 1)
+    joint = together / max(n, 1)
+    p = np.diag(joint)
     best: tuple[float, list[tuple[list[int], int]]] | None = None
     for m in range(2, radius + 2):
         groups = correlated_groups(n, together, m)
@@ -160,7 +189,7 @@ def allocate(n: int, together: np.ndarray, radius: int = RADIUS) -> list[tuple[l
         cost[0, 0] = 0.0
         back: dict[tuple[int, int], int] = {}
         for i, g in enumerate(groups):
-            odds = _meeting_odds(g, p, radius)
+            odds = _meeting_odds(g, p, joint, radius)
             for have in range(want + 1):
                 if np.isinf(cost[i, have]):
                     continue
@@ -241,13 +270,11 @@ def crowd_links(fp: np.ndarray, radius: int = RADIUS, slice_rows: int = 4096) ->
     return np.concatenate([x[0] for x in links]), np.concatenate([x[1] for x in links])
 
 
-def bucket_links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, entry: np.ndarray, radius: int = RADIUS, crowd: int = CROWD) -> tuple[np.ndarray, np.ndarray]:
-    """(rep, smaller rep of its tree) links among what meets under equal keys in one bucket."""
+def bucket_links(key: np.ndarray, fp: np.ndarray, entry: np.ndarray, radius: int = RADIUS, crowd: int = CROWD) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint, smallest fingerprint of its tree) links among what meets under equal keys in one bucket."""
     order = np.lexsort((~entry, key))
-    key, fp, rep, entry = key[order], fp[order], rep[order], entry[order]
-    node_fp, node = np.unique(fp, return_inverse=True)
-    node_rep = np.zeros(len(node_fp), np.int64)
-    node_rep[node] = rep
+    key, fp, entry = key[order], fp[order], entry[order]
+    node_fp, node = np.unique(fp.view(np.int64), return_inverse=True)
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(start, len(key)))
     n_entry = np.add.reduceat(entry.astype(np.int64), start)
@@ -265,32 +292,28 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, entry: np.nda
         found_b.append(node[b[near]])
     for x in np.flatnonzero((n_entry > 0) & (size > crowd)):
         own = np.unique(node[start[x] : start[x] + size[x]])
-        a, b = crowd_links(node_fp[own], radius)
+        a, b = crowd_links(node_fp[own].view(np.uint64), radius)
         found_a.append(own[a])
         found_b.append(own[b])
     if not found_a:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    by_rep = np.argsort(node_rep, kind="stable")
-    place = np.empty(len(by_rep), np.int64)
-    place[by_rep] = np.arange(len(by_rep))
-    root = _forest(len(by_rep), place[np.concatenate(found_a)], place[np.concatenate(found_b)])
+    root = _forest(len(node_fp), np.concatenate(found_a), np.concatenate(found_b))
     moved = np.flatnonzero(root != np.arange(len(root)))
-    return node_rep[by_rep[moved]], node_rep[by_rep[root[moved]]]
+    return node_fp[moved], node_fp[root[moved]]
 
 
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(u, v), v < u: links that connect all nodes (fp, rep) within the radius."""
+    """(u, v), v < u: links that connect all fingerprints (fp, distinct) within the radius."""
     spark = nodes.sparkSession
     n, together = bit_statistics(nodes)
     plan = allocate(n, together, radius)
-    width = n_buckets(spark)
+    width = n_buckets(spark, n * KEY_BYTES * sum(_probes(len(bits), t) for bits, t in plan), BUCKET_BYTES)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every_fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            every_rep = batch.column(1).to_numpy(zero_copy_only=False)
-            for at in range(0, len(every_fp), 20_000):
-                fp, rep = every_fp[at : at + 20_000], every_rep[at : at + 20_000]
+            every = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for at in range(0, len(every), 20_000):
+                fp = every[at : at + 20_000]
                 keys, owner, entry = [], [], []
                 for part, (bits, t) in enumerate(plan):
                     own = fp & _mask(bits)
@@ -305,17 +328,17 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
                 key, o, e, bucket = key[order], o[order], e[order], bucket[order]
                 cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
                 ends = np.append(cut[1:], len(bucket))
-                packed = [key[a:b].tobytes() + fp[o[a:b]].tobytes() + rep[o[a:b]].tobytes() + e[a:b].tobytes() for a, b in zip(cut, ends)]
+                packed = [key[a:b].tobytes() + fp[o[a:b]].tobytes() + e[a:b].tobytes() for a, b in zip(cut, ends)]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(ends - cut), pa.array(packed, pa.binary())], names=["bucket", "n", "packed"])
 
     def meet(t: pa.Table) -> pa.Table:
         parts = []
         for n_rows, raw in zip(t["n"].to_pylist(), t["packed"].to_pylist()):
-            parts.append((np.frombuffer(raw, np.uint64, n_rows), np.frombuffer(raw, np.uint64, n_rows, 8 * n_rows), np.frombuffer(raw, np.int64, n_rows, 16 * n_rows), np.frombuffer(raw, bool, n_rows, 24 * n_rows)))
+            parts.append((np.frombuffer(raw, np.uint64, n_rows), np.frombuffer(raw, np.uint64, n_rows, 8 * n_rows), np.frombuffer(raw, bool, n_rows, 16 * n_rows)))
         u, v = bucket_links(*(np.concatenate(x) for x in zip(*parts)), radius=radius)
         return pa.table({"u": u, "v": v})
 
-    packed = nodes.select("fp", "rep").mapInArrow(file, "bucket long, n long, packed binary")
+    packed = nodes.select("fp").mapInArrow(file, "bucket long, n long, packed binary")
     return packed.groupBy("bucket").applyInArrow(meet, "u long, v long")
 
 
@@ -338,18 +361,29 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def grouped(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, root, rep): each fingerprint's component, named by its smallest fingerprint, and the component's smallest id."""
+    nodes = stored(prints.groupBy("fp").agg(F.min("id").alias("rep")), "nodes")
+    settled = components(links(nodes, radius))
+    rooted = stored(nodes.join(settled.select(F.col("u").alias("fp"), "v"), "fp", "left").select("fp", "rep", F.coalesce("v", "fp").alias("root")), "rooted")
+    # a root's own row is in rooted, so components of one fingerprint need no join
+    wide = rooted.join(settled.select(F.col("v").alias("root")).distinct(), "root", "left_semi").groupBy("root").agg(F.min("rep").alias("least"))
+    return rooted.join(wide, "root", "left").select("fp", "root", F.coalesce("least", "rep").alias("rep"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row per document: id, fp, fingerprint (hex), component_id."""
     prints = stored(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = stored(prints.groupBy("fp").agg(F.min(id_col).alias("rep")), "nodes")
-    settled = components(links(nodes.where("rep is not null"), radius))
-    named = nodes.join(settled.select(F.col("u").alias("rep"), "v"), "rep", "left").select("fp", F.coalesce("v", "rep").alias("component_id"))
-    return prints.join(named, "fp").select(id_col, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = grouped(prints.select("fp", F.col(id_col).alias("id")), radius)
+    return prints.join(named, "fp").select(id_col, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("rep").alias("component_id"))
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The documents whose id is their component's smallest, with all their columns; of rows that repeat an id one
-    stays, and rows without an id, which nothing can name as copies, all stay."""
-    known = docs.where(F.col(id_col).isNotNull())
-    kept = near_duplicates(known, id_col, text_col, radius).where(F.col(id_col) == F.col("component_id")).select(id_col)
-    return known.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    """One row of each component, with all its columns: that of the smallest id, then fingerprint, then text hash; a row
+    without an id stays only where no row of its component has one."""
+    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), "_tag": F.xxhash64(text_col)})
+    prints = stored(fingerprints(keyed, "_id", text_col, "_tag"), "fingerprints")
+    named = grouped(prints.select("fp", F.col("_id").alias("id")), radius).select("fp", "root")
+    order = F.struct(F.col("_id") == _NO_ID, "_id", "fp", "_tag")
+    best = prints.join(named, "fp").groupBy("root").agg(F.min(order).alias("x")).select("x._id", "x._tag")
+    return keyed.join(best, ["_id", "_tag"], "left_semi").dropDuplicates(["_id", "_tag"]).select(docs.columns)

@@ -18,6 +18,9 @@ is marked. Its runs are spread by their own hash, and in step 3 they are dealt s
 after equal strings of a slice fold to the earliest. So a group never holds more than HOT runs, or one string, for each
 slice of input, and no pair of documents is ever formed.
 
+Runs are equal if the 64-bit hash of their bytes and 32 bits and the bucket of their anchor's agree; 2 * 10^12 runs, that
+is about 100 TB of text, hold a chance pair with odds below 10^-6.
+
 Defined results: a null text is empty; texts under LENGTH bytes keep all. Rows that repeat both id and text are one
 document and all get its result; rows that share only the id are ordered by a hash of the text. A null id orders first.
 """
@@ -33,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import n_buckets, raw_texts, slices, stored
+from quarry.llm.common import n_buckets, raw_texts, slices, stored, text_bytes
 from quarry.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 LENGTH = 100
@@ -42,6 +45,8 @@ GRAM = 24
 HOT = 48
 #: Bytes of text worked on at once: a slice takes some hundred bytes of arrays for each.
 SLICE = 2 << 20
+#: Bytes of text whose runs a bucket should hold.
+BUCKET_BYTES = 16 << 20
 
 _NO_ID = -(1 << 63)
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -337,10 +342,9 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumns({"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), "_tag": F.xxhash64(F.col(text_col))})
 
 
-def find_spans(docs: DataFrame) -> DataFrame:
+def find_spans(docs: DataFrame, n_bytes: int) -> DataFrame:
     """(_doc, _tag, spans): what goes from each keyed document that loses anything; spans may overlap."""
-    spark = docs.sparkSession
-    width = n_buckets(spark)
+    width = n_buckets(docs.sparkSession, n_bytes, BUCKET_BYTES)
     runs = docs.select("_doc", "_tag", "text").mapInArrow(_anchors(width), _BUCKETS)
     marks = stored(runs.groupBy("bucket").applyInArrow(_meet, _SPAN), "runs")
     wanted = marks.where(F.col("kind") != REMOVED).groupBy(F.col("doc").alias("_doc"), F.col("tag").alias("_tag")).agg(F.collect_list(F.struct("kind", "lo", "hi", "key")).alias("wanted"))
@@ -375,7 +379,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"],
             )
 
-    joined = keyed.join(find_spans(keyed), ["_doc", "_tag"], "left").select("_doc", "text", "spans")
+    joined = keyed.join(find_spans(keyed, text_bytes(keyed, "text")), ["_doc", "_tag"], "left").select("_doc", "text", "spans")
     return joined.mapInArrow(run, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
 
 
@@ -391,6 +395,6 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    spans = find_spans(keyed.select("_doc", "_tag", F.col(text_col).alias("text")))
+    spans = find_spans(keyed.select("_doc", "_tag", F.col(text_col).alias("text")), text_bytes(docs, text_col))
     out = keyed.join(spans, ["_doc", "_tag"], "left").select(*names, "spans").mapInArrow(run, docs.schema)
     return out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType)) if length_col in docs.columns else out
