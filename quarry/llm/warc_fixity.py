@@ -6,10 +6,12 @@ children's digests in order; a shard's root covers it all. Two replicas are comp
 of nodes that differ are compared further, down to the slots that are damaged.
 
 Record bytes are hashed once where they are read; only ids, lengths and digests are kept, as tables in the shared folder,
-one for each level. No group holds more than a shard's records.
+one for each level. A slot can hold any number of records that share an id (null ids all do): its digest is that of the
+count and sums of its records' digests, lane by lane, which pre-aggregate. No list holds more than FANOUT digests, and
+offsets are told within a slot by length and head of digest, so that a hot slot is many groups.
 
 Defined results: null urls and payloads are empty; a null id counts as -1. Records that share an id share a slot and
-its verdict. A slot is ok, corrupt (digests differ), missing (not in the replica) or extra (only there).
+its verdict, whatever their order. A slot is ok, corrupt (digests differ), missing (not in the replica) or extra (only there).
 """
 
 from __future__ import annotations
@@ -20,8 +22,11 @@ from pyspark.sql.window import Window
 
 from quarry.llm.common import stored
 
+#: A power of two.
 SHARD_SLOTS = 4096
 FANOUT = 16
+#: Digests are added up in lanes of so many hex digits, which sums of longs hold for any number of records.
+LANE = 8
 
 
 def record_text(id_: Column, url: Column, payload: Column) -> Column:
@@ -35,7 +40,7 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     """One row per record: id, shard, slot, length (bytes), digest."""
     id_ = F.coalesce(F.col(id_col).cast("long"), F.lit(-1))
     made = pages.select(id_.alias("id"), record_text(id_, F.col(url_col), F.col(payload_col)).alias("record"))
-    shard = F.floor(F.col("id") / SHARD_SLOTS).cast("long")
+    shard = F.shiftright("id", SHARD_SLOTS.bit_length() - 1)  # a division would round ids beyond 2^53
     return made.select("id", shard.alias("shard"), F.pmod("id", F.lit(SHARD_SLOTS)).alias("slot"), F.octet_length("record").cast("long").alias("length"), F.sha2(F.col("record").cast("binary"), 256).alias("digest"))
 
 
@@ -46,7 +51,8 @@ def _digest_in_order(key: str) -> Column:
 
 def tree(recs: DataFrame) -> list[DataFrame]:
     """Levels from the slots (0) to the shards' roots: (shard, node, digest, n_bytes)."""
-    leaves = recs.groupBy("shard", F.col("slot").alias("node")).agg(_digest_in_order("length").alias("digest"), F.sum("length").alias("n_bytes"))
+    lanes = [F.sum(F.conv(F.substring("digest", at, LANE), 16, 10).cast("long")).cast("string") for at in range(1, 65, LANE)]
+    leaves = recs.groupBy("shard", F.col("slot").alias("node")).agg(F.sha2(F.concat_ws(",", F.count("*").cast("string"), *lanes).cast("binary"), 256).alias("digest"), F.sum("length").alias("n_bytes"))
     levels = [stored(leaves, "level")]
     span = SHARD_SLOTS
     while span > 1:
@@ -71,12 +77,28 @@ def differing_slots(a: list[DataFrame], b: list[DataFrame]) -> DataFrame:
     return suspects
 
 
+def with_offsets(recs: DataFrame) -> DataFrame:
+    """Records with their byte offset in the shard, in order of slot, length and digest; from the sizes of slots, then of
+    records of one length and head of digest, then of the records themselves."""
+    recs = recs.withColumn("head", F.substring("digest", 1, 3))
+    before = lambda key, *order: F.coalesce(F.sum("n").over(Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = recs.groupBy("shard", "slot", "length", "head").agg(F.sum("length").alias("n"), F.count("*").alias("records"))
+    slots = groups.groupBy("shard", "slot").agg(F.sum("n").alias("n")).select("shard", "slot", before(["shard"], "slot").alias("of_slot"))
+    within = groups.select("shard", "slot", "length", "head", "records", before(["shard", "slot"], "length", "head").alias("of_group"))
+    starts = within.join(slots, ["shard", "slot"]).select("shard", "slot", "length", "head", "records", (F.col("of_slot") + F.col("of_group")).alias("start"))
+    each = recs.join(starts, ["shard", "slot", "length", "head"])
+    # a group of one record, as nearly all are, needs no order
+    one = each.where("records = 1").withColumn("offset", F.col("start"))
+    more = each.where("records > 1").withColumn("n", F.col("length"))
+    more = more.withColumn("offset", F.col("start") + before(["shard", "slot", "length", "head"], "digest")).drop("n")
+    return one.unionByName(more).drop("head", "records", "start")
+
+
 def audit(recs: DataFrame, replica: DataFrame) -> DataFrame:
     """One row per record of either side that is in a shard of the first, and for extra slots: id, shard, slot, offset, length, digest, status."""
     recs, replica = stored(recs, "records"), stored(replica, "records")
     found = differing_slots(tree(recs), tree(replica)).withColumnRenamed("node", "slot")
-    order = Window.partitionBy("shard").orderBy("slot", "length", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    placed = recs.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)))
+    placed = with_offsets(recs)
     mine = placed.join(found, ["shard", "slot"], "left").select("id", "shard", "slot", "offset", "length", "digest", F.coalesce("status", F.lit("ok")).alias("status"))
     extra = replica.join(found.where("status = 'extra'"), ["shard", "slot"]).select("id", "shard", "slot", F.lit(None).cast("long").alias("offset"), "length", "digest", "status")
     return mine.unionByName(extra)
