@@ -5,8 +5,10 @@ are searched backward at once, occurrences are located through sampled suffix po
 merged into removal spans. Words that no window holds, and runs of words shorter than the shortest window, can't be
 part of an occurrence and become one separator before the index is built, so its size follows the suspicious text.
 
-The benchmark is sent to the executors in blocks of at most BLOCK_BYTES, however many there are; documents are never
-shuffled and each shard is independent, so a lost executor costs its shards only.
+The benchmark is sent to the executors in blocks of at most BLOCK_WINDOWS windows, arrays of word numbers, however many
+blocks there are: the driver builds one at a time, and a worker holds one at a time and takes all shards of a batch
+through it before the next. Documents are never shuffled and each shard is independent, so a lost executor costs its
+shards only.
 
 Defined results: null texts and texts without words have no words, no hits and are clean; benchmark rows with a null or
 wordless text are never found; items that share an id count once; an empty benchmark leaves all documents clean.
@@ -28,8 +30,8 @@ from quarry.llm.common import raw_texts, slices
 from quarry.llm.fm_index import FMIndex
 
 WINDOW = 13
-#: Benchmark text sent to the executors at once.
-BLOCK_BYTES = 16 << 20
+#: Benchmark windows sent to the executors at once; one takes about 100 bytes with its words.
+BLOCK_WINDOWS = 1 << 18
 #: A document is contaminated if hit words are at least one in so many.
 HIT_SHARE = 20
 
@@ -42,21 +44,40 @@ def words(raw: bytes) -> list[bytes]:
 
 
 class Windows:
-    """The distinct windows of a block of benchmark items."""
+    """The distinct windows of a block of benchmark items; an item may come in several parts."""
 
-    def __init__(self, items: list[tuple[str, bytes]], size: int = WINDOW):
+    def __init__(self, items: list[tuple[str, list[bytes]]], size: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
-        for item, raw in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(raw)]
-            for i in range(max(1, len(ids) - size + 1) if ids else 0):
-                found.setdefault(tuple(ids[i : i + size]), set()).add(item)
-        self.items = [sorted(x) for x in found.values()]
-        self.lengths = np.array([len(w) for w in found], np.int64)
-        self.phrases = np.zeros((len(found), size), np.int64)
-        for i, w in enumerate(found):
-            self.phrases[i, : len(w)] = w
-        self.shortest = int(self.lengths.min()) if found else 0
+        self.names = sorted({item for item, _ in items})
+        number = {item: i for i, item in enumerate(self.names)}
+        phrases, lengths, owners = [np.zeros((0, size), np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for item, ws in items:
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws], np.int32)
+            if not len(ids):
+                continue
+            if len(ids) < size:  # one short window, padded
+                own = np.zeros((1, size), np.int32)
+                own[0, : len(ids)] = ids
+            else:
+                own = np.lib.stride_tricks.sliding_window_view(ids, size)
+            phrases.append(own)
+            lengths.append(np.full(len(own), min(len(ids), size), np.int32))
+            owners.append(np.full(len(own), number[item], np.int32))
+        every, length, owner = np.concatenate(phrases), np.concatenate(lengths), np.concatenate(owners)
+        order = np.lexsort((owner, *every.T))
+        every, length, owner = every[order], length[order], owner[order]
+        new = np.ones(len(every), bool)
+        new[1:] = (every[1:] != every[:-1]).any(1)
+        self.phrases, self.lengths = every[new], length[new].astype(np.int64)
+        # the items of window k: owner[first[k] : first[k + 1]]
+        once = new.copy()
+        once[1:] |= owner[1:] != owner[:-1]
+        self.owner = owner[once]
+        self.first = np.append(np.flatnonzero(new[once]), len(self.owner))
+        self.shortest = int(self.lengths.min()) if len(self.lengths) else 0
+
+    def items_of(self, k: int) -> list[str]:
+        return [self.names[i] for i in self.owner[self.first[k] : self.first[k + 1]]]
 
 
 def occurrences(split: list[list[bytes]], w: Windows) -> tuple[np.ndarray, np.ndarray]:
@@ -81,27 +102,34 @@ def occurrences(split: list[list[bytes]], w: Windows) -> tuple[np.ndarray, np.nd
     place = np.repeat(starts - base, sizes) + np.arange(sizes.sum())
     symbols = ids[place]
     index = FMIndex(symbols, len(w.vocabulary) + 1)
-    lo, hi = index.search(w.phrases, w.lengths)
+    lo, hi = index.search(w.phrases.astype(np.int64), w.lengths)
     counts = np.maximum(hi - lo, 0)
     window = np.repeat(np.arange(len(lo)), counts)
     rows = np.repeat(lo - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
     return window, place[index.locate(rows)]
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, bytes]]]:
-    """The benchmark in blocks of bounded size."""
-    block, size = [], 0
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int = WINDOW) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The benchmark's words in blocks of a bounded number of windows; a longer item is parted so that no window is lost."""
+    block, held = [], 0
     for row in benchmark.select(F.col(id_col).cast("string"), F.col(text_col)).where(F.col(text_col).isNotNull()).toLocalIterator():
-        raw = row[1].encode()
-        if block and size + len(raw) > BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-        block.append((row[0] or "", raw))
-        size += len(raw)
+        ws = words(row[1].encode())
+        for at in range(0, max(1, len(ws) - size + 1), BLOCK_WINDOWS):
+            part = ws[at : at + BLOCK_WINDOWS + size - 1]
+            n = max(1, len(part) - size + 1)
+            if block and held + n > BLOCK_WINDOWS:
+                yield block
+                block, held = [], 0
+            block.append((row[0] or "", part))
+            held += n
     if block:
         yield block
 
 
+def sent_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list:
+    return [benchmark.sparkSession.sparkContext.broadcast(Windows(b)) for b in blocks(benchmark, id_col, text_col)]
+
+
 def _held(sent: list) -> Iterator[Windows]:
     """The blocks one after another; of several, one is in a worker's memory at a time."""
     for b in sent:
@@ -110,45 +138,71 @@ def _held(sent: list) -> Iterator[Windows]:
             b.__dict__.pop("_value", None)
 
 
-def scan(split: list[list[bytes]], windows: Iterable[Windows]) -> tuple[list[list[tuple[int, int]]], list[set[str]]]:
-    """For each document of a shard: merged spans of hit words, and the items that hit it."""
-    counts = np.array([len(x) for x in split], np.int64)
-    offsets = np.cumsum(counts + 1) - (counts + 1)
-    spans: list[list[tuple[int, int]]] = [[] for _ in split]
-    items: list[set[str]] = [set() for _ in split]
-    cover = np.zeros(int((counts + 1).sum()) + 1, np.int64)
-    for w in windows:
+class Shard:
+    """What has been found so far in a slice of documents."""
+
+    def __init__(self, texts: list[bytes]):
+        self.texts, self.split = texts, [words(t) for t in texts]
+        self.n_words = np.array([len(x) for x in self.split], np.int64)
+        self.offsets = np.cumsum(self.n_words + 1) - (self.n_words + 1)
+        self.cover = np.zeros(int((self.n_words + 1).sum()) + 1, np.int32)
+        self.items: list[set[str]] = [set() for _ in texts]
+
+    def search(self, w: Windows) -> None:
+        """Adds a block's hits; words are split again for the next block rather than held for all shards."""
+        split = self.split or [words(t) for t in self.texts]
+        self.split = []
         window, at = occurrences(split, w)
-        np.add.at(cover, at, 1)
-        np.add.at(cover, at + w.lengths[window], -1)
-        doc = np.searchsorted(offsets, at, "right") - 1
+        np.add.at(self.cover, at, 1)
+        np.add.at(self.cover, at + w.lengths[window], -1)
+        doc = np.searchsorted(self.offsets, at, "right") - 1
         for d, k in set(zip(doc.tolist(), window.tolist())):
-            items[d].update(w.items[k])
-    hit = np.concatenate([[0], (np.cumsum(cover) > 0).astype(np.int8), [0]])
-    edges = np.flatnonzero(np.diff(hit))
-    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-        d = int(np.searchsorted(offsets, a, "right")) - 1
-        spans[d].append((a - int(offsets[d]), b - int(offsets[d])))
-    return spans, items
+            self.items[d].update(w.items_of(k))
+
+    def spans(self) -> list[list[tuple[int, int]]]:
+        """For each document: merged spans of hit words."""
+        found: list[list[tuple[int, int]]] = [[] for _ in self.texts]
+        hit = np.concatenate([[0], (np.cumsum(self.cover) > 0).astype(np.int8), [0]])
+        edges = np.flatnonzero(np.diff(hit))
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            d = int(np.searchsorted(self.offsets, a, "right")) - 1
+            found[d].append((a - int(self.offsets[d]), b - int(self.offsets[d])))
+        return found
+
+
+def scan(texts: list[bytes], windows: Iterable[Windows], one: bool = False) -> Iterator[tuple[int, Shard]]:
+    """Shards of a batch of texts, each with the row it begins at, searched for all blocks."""
+    cuts = list(slices([len(t) for t in texts]))
+    if one:  # with a single block each shard is done with before the next
+        (w,) = windows
+        for a, b in cuts:
+            shard = Shard(texts[a:b])
+            shard.search(w)
+            yield a, shard
+        return
+    shards = [Shard(texts[a:b]) for a, b in cuts]
+    for shard in shards:
+        shard.split = []
+    for w in windows:
+        for shard in shards:
+            shard.search(w)
+    yield from zip((a for a, _ in cuts), shards)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids, spans of hit words."""
-    spark = docs.sparkSession
-    sent = [spark.sparkContext.broadcast(Windows(b)) for b in blocks(benchmark, item_col, item_text_col)]
+    sent = sent_blocks(benchmark, item_col, item_text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), raw_texts(batch.column(1))
-            for a, b in slices([len(t) for t in texts]):
-                split = [words(t) for t in texts[a:b]]
-                spans, items = scan(split, _held(sent))
-                n_words = [len(x) for x in split]
+            ids = batch.column(0)
+            for a, shard in scan(raw_texts(batch.column(1)), _held(sent), len(sent) == 1):
+                spans, n_words = shard.spans(), shard.n_words.tolist()
                 n_hit = [sum(e - s for s, e in x) for x in spans]
-                names = [sorted(x) for x in items]
+                names = [sorted(x) for x in shard.items]
                 digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]
                 bad = [h > 0 and HIT_SHARE * h >= n for h, n in zip(n_hit, n_words)]
-                columns = [ids.slice(a, b - a).cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(map(len, names), pa.int64()), pa.array(digest, pa.string()), pa.array(bad, pa.bool_()), pa.array(names, pa.list_(pa.string())), pa.array([[list(s) for s in x] for x in spans], pa.list_(pa.list_(pa.int32())))]
+                columns = [ids.slice(a, len(spans)).cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(map(len, names), pa.int64()), pa.array(digest, pa.string()), pa.array(bad, pa.bool_()), pa.array(names, pa.list_(pa.string())), pa.array([[list(s) for s in x] for x in spans], pa.list_(pa.list_(pa.int32())))]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids", "spans"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>, spans array<array<int>>")
@@ -157,15 +211,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The documents that aren't contaminated, with all their columns; nothing is shuffled."""
     at = docs.columns.index(text_col)
-    sent = [docs.sparkSession.sparkContext.broadcast(Windows(b)) for b in blocks(benchmark, item_col, item_text_col)]
+    sent = sent_blocks(benchmark, item_col, item_text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, kept = raw_texts(batch.column(at)), []
-            for a, b in slices([len(t) for t in texts]):
-                split = [words(t) for t in texts[a:b]]
-                spans, _ = scan(split, _held(sent))
-                kept += [not (x and HIT_SHARE * sum(e - s for s, e in x) >= len(w)) for x, w in zip(spans, split)]
+            kept = []
+            for _, shard in scan(raw_texts(batch.column(at)), _held(sent), len(sent) == 1):
+                kept += [not (x and HIT_SHARE * sum(e - s for s, e in x) >= n) for x, n in zip(shard.spans(), shard.n_words.tolist())]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
