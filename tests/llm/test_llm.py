@@ -127,13 +127,16 @@ def test_decontamination():
         items = [(str(i), b" ".join(rng.choices(v, k=rng.randint(0, 18)))) for i in range(6)]
         texts = [b" ".join(rng.choices([*v, b"zz"], k=rng.randint(0, 80))) for _ in range(8)]
         texts[0] = b"x " + items[0][1] + b" " + items[1][1]
-        spans, found = decontamination.scan([decontamination.words(t) for t in texts], [decontamination.Windows(items[:3]), decontamination.Windows(items[3:])])
-        for t, s, f in zip(texts, spans, found):
-            assert (sum(b - a for a, b in s), f) == brute_hits(t, items)
+        split = [(i, decontamination.words(t)) for i, t in items]
+        for cut in ([split], [split[:3], split[3:]]):
+            windows = [decontamination.Windows(x) for x in cut]
+            ((at, shard),) = decontamination.scan(texts, windows, len(cut) == 1)
+            for t, s, f in zip(texts, shard.spans(), shard.items):
+                assert at == 0 and (sum(b - a for a, b in s), f) == brute_hits(t, items)
 
 
 def test_benchmark_in_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 20)
+    monkeypatch.setattr(decontamination, "BLOCK_WINDOWS", 2)  # so that items are parted too
     bench = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(15))) for i in range(5)], "item_id long, text string")
     docs = docs_of(spark, ["zz " + " ".join(f"w{i}x{j}" for j in range(15)) for i in range(5)] + ["clean text"])
     out = {r["doc_id"]: r for r in decontamination.decontaminate(docs, bench).collect()}
@@ -141,6 +144,14 @@ def test_benchmark_in_several_blocks(spark, monkeypatch):
     assert out[5]["n_hit"] == 0 and decontamination.keep_clean(docs, bench).count() == 1
 
 
+def test_benchmark_items_that_repeat_or_lack_an_id(spark):
+    phrase = " ".join(f"w{j}" for j in range(13))
+    bench = spark.createDataFrame([(1, phrase, "x"), (1, "other words here", "x"), (1, phrase, "y"), (None, phrase, "x"), (2, None, "x"), (3, " .,", "x")], "item_id long, text string, doc_id string")
+    docs = docs_of(spark, [phrase, "see other words here now", None, phrase.upper()], [0, 1, 2, 0])
+    got = sorted(((r["doc_id"], r["n_hit"], r["item_ids"]) for r in decontamination.decontaminate(docs, bench).collect()), key=str)
+    assert got == [(0, 13, ["", "1"]), (0, 13, ["", "1"]), (1, 3, ["1"]), (2, 0, [])]
+
+
 def test_fm_index_locates_all():
     rng = np.random.default_rng(5)
     s = rng.integers(0, 4, 500)
@@ -246,6 +257,36 @@ def test_simhash(spark, monkeypatch, crowd):
     assert len({find(i) for i in range(len(texts))}) < len(texts) - 30
 
 
+def test_simhash_links_through_rows_without_id(spark, monkeypatch):
+    """A fingerprint that only null ids carry joins two that are out of reach of one another."""
+    prints = [(7, 0), (None, 0b1111), (3, 0b11111111), (None, 1 << 40 | 0x7FFF << 20), (9, 0x7FFF << 44)]
+    df = spark.createDataFrame([(i, fp) for i, fp in prints], "id long, fp long")
+    got = {r["fp"]: (r["root"], r["rep"]) for r in simhash.grouped(df).collect()}
+    assert got[0] == got[0b1111] == got[0b11111111] == (0, 3)
+    assert got[prints[3][1]] == (prints[3][1], None) and got[prints[4][1]][1] == 9
+
+
+def test_simhash_representatives_by_row(spark):
+    a, b = ("one two three four five six " * 9).strip(), ("ten other words of a wholly different kind " * 9).strip()
+    docs = docs_of(spark, [a, b, a, a, b, "alone of all these words here", "alone of all these words here"], [5, 5, None, 6, 8, None, None])
+    kept = sorted(((r["doc_id"], r["text"]) for r in simhash.representatives(docs).collect()), key=str)
+    assert kept == sorted([(5, a), (5, b), (None, "alone of all these words here")], key=str)
+
+
+def test_simhash_odds_follow_correlation():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2, (4000, 16)).repeat(4, axis=1)
+    bits = base ^ (rng.random((4000, 64)) < 0.05)
+    together = (bits.T @ bits).astype(float)
+    group = list(range(16))
+    pairs = rng.integers(0, 4000, (200_000, 2))
+    seen = (bits[pairs[:, 0]][:, group] != bits[pairs[:, 1]][:, group]).sum(1)
+    odds = simhash._meeting_odds(group, np.diag(together) / 4000, together / 4000, 4)
+    for t in range(5):
+        assert 0.3 < odds[t] / max((seen <= t).mean(), 1e-4) < 3
+    assert odds[0] > 20 * 0.5**16
+
+
 def test_pigeonhole_thresholds():
     together = np.full((64, 64), 250.0)
     np.fill_diagonal(together, 500.0)
@@ -316,6 +357,26 @@ def test_fixity(spark):
     assert warc_fixity.audit(warc_fixity.records(empty), warc_fixity.records(empty)).count() == 0
 
 
+def test_fixity_of_hot_slots_and_large_ids(spark):
+    big = (1 << 53) + 1
+    pages = [(None, f"u{i % 7}", "x" * (i % 3)) for i in range(300)] + [(5, None, None)] * 4 + [(5, "u", "y")] + [(big + 4096 * i, "u", "z") for i in range(-2, 3)] + [(-3, "u", "z")]
+    kind = "page_id long, url string, html string"
+    recs = warc_fixity.records(spark.createDataFrame(pages, kind).repartition(4))
+    shuffled = warc_fixity.records(spark.createDataFrame(pages[::-1], kind).repartition(3))
+    got = warc_fixity.audit(recs, shuffled).collect()
+    assert len(got) == len(pages) and {r["status"] for r in got} == {"ok"}
+    assert {r["shard"] for r in got} == {(p[0] if p[0] is not None else -1) // 4096 for p in pages}
+    by_shard = {}
+    for r in got:
+        by_shard.setdefault(r["shard"], []).append(r)
+    for rows in by_shard.values():
+        rows.sort(key=lambda r: r["offset"])
+        assert [(r["slot"], r["length"], r["digest"]) for r in rows] == sorted((r["slot"], r["length"], r["digest"]) for r in rows)
+        assert rows[0]["offset"] == 0 and all(x["offset"] + x["length"] == y["offset"] for x, y in zip(rows, rows[1:]))
+    less = warc_fixity.audit(recs, warc_fixity.records(spark.createDataFrame(pages[1:], kind))).collect()
+    assert {(r["id"], r["status"]) for r in less if r["status"] != "ok"} == {(-1, "corrupt")}
+
+
 # ---- html
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="<p>no</p>";</script></head><body>
@@ -447,6 +508,8 @@ def test_language_held_out(spark, sf_dir):
     out = {r["doc_id"]: r for r in language_id.identify(docs_of(spark, [None, "123 !!", "the dog", "qqqq zzzz xxxx"]), model).collect()}
     assert [out[i]["lang_pred"] for i in range(3)] == ["und", "und", "en"] and out[3]["rejected"] and out[3]["lang_pred"] != "und"
     assert language_id.identify(docs_of(spark, ["abc"]), None).first()["lang_pred"] == "und"
+    marks = language_id.identify(docs_of(spark, ["²½①", "½ 12", "ª", "٣"]), model).collect()
+    assert [r["lang_pred"] == "und" for r in sorted(marks, key=lambda r: r["doc_id"])] == [True, True, False, True]
 
 
 def test_quality_held_out(spark):
@@ -459,6 +522,20 @@ def test_quality_held_out(spark):
         assert c.shape[1] == 512 and (c.sum(0) > 0).sum() == min(n, 512) and len(c) * 448 + 64 >= n
 
 
+def test_quality_sample_is_whole_and_bounded(spark, monkeypatch):
+    """Rows bound the sample, not parts of texts: a mark at the end of a long text is learned from."""
+    seen = []
+    monkeypatch.setattr(quality_classifier, "fit", lambda texts, labels: seen.append((texts, labels.tolist())))
+    long_text = "word " * 100_000 + "end"
+    docs = docs_of(spark, [long_text, "b", "b", "c", None], [1, 2, 2, 2, 3])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (3, 1), (4, 0)], "doc_id long, quality int")
+    quality_classifier.train(docs, labels)
+    assert seen[0] == ([long_text.encode(), *sorted([b"b", b"c"], key=lambda t: next(r[0] for r in spark.sql(f"select xxhash64('{t.decode()}')").collect())), b""], [1, 0, 0, 1])
+    monkeypatch.setattr(quality_classifier, "SAMPLE_ROWS", 2)
+    quality_classifier.train(docs, labels)
+    assert len(seen[1][0]) == 2
+
+
 def test_quality_training_on_awkward_rows(spark):
     docs = docs_of(spark, [*AWKWARD, "good words " * 9000, "### $$$ " * 9000])
     labels = spark.createDataFrame([(i, i % 2, 0, "x") for i in range(len(AWKWARD) + 2)] + [(0, None, 0, "x"), (None, 1, 0, "x"), (5, 1, 0, "x"), (5, 1, 0, "x")], "doc_id long, quality int, toxic int, text string")
