@@ -56,14 +56,11 @@ def best_alias(aliases: DataFrame, pattern: Q.Pattern) -> DataFrame:
     """(name, alias, alias_score): the best accepted alias of each name."""
 
     def run(texts: pd.Series) -> pd.Series:
+        n = pattern.term_length
         out = []
-        for x in texts:
-            m = S.pattern_match(x, pattern)
-            if m is None or not accepts(pattern, x, m):
-                out.append(None)
-                continue
-            n, span = pattern.term_length, m[1] - m[0]
-            out.append(round(m[2] * n / span) if span > n else m[2])
+        for x, m in zip(texts, S.pattern_matches(list(texts), pattern)):
+            span = m[1] - m[0] if m else 0
+            out.append((round(m[2] * n / span) if span > n else m[2]) if m and accepts(pattern, x, m) else None)
         return pd.Series(pd.array(out, "Int32"))
 
     score = F.pandas_udf(run, T.IntegerType()).asNondeterministic()

@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,9 +58,13 @@ class InstantResults:
 def register(spark: SparkSession) -> None:
     """SQL functions: instant_results(text) as a table, fuzzy_score(name, query) as a scalar."""
 
-    def score(name: str, text: str) -> int | None:
-        found = S.pattern_match(name, Q.parse_pattern(text)) if name is not None and text else None
-        return found[2] if found else None
+    def score(names: pd.Series, texts: pd.Series) -> pd.Series:
+        out = pd.Series(pd.array([None] * len(names), "Int32"))
+        for text in {t for t in texts if t}:  # each query is parsed once a batch
+            at = [i for i, (x, t) in enumerate(zip(names, texts)) if t == text and x is not None]
+            for i, m in zip(at, S.pattern_matches([names.iloc[i] for i in at], Q.parse_pattern(text))):
+                out.iloc[i] = m[2] if m else None
+        return out
 
     spark.udtf.register("instant_results", InstantResults)
-    spark.udf.register("fuzzy_score", score, "int")
+    spark.udf.register("fuzzy_score", F.pandas_udf(score, "int"))

@@ -1,60 +1,123 @@
-"""Globs and ignore rules as regular expressions that Java and RE2 both read."""
+"""Globs and ignore rules as regular expressions that Java and RE2 both read.
+
+A glob is parsed to a tree of segments, which is then rendered: `*` and `?` stay in a segment, a segment `**` stands for
+any number of segments, `**` beside other text for anything, `[...]` for one character of a class, `{a,b}` for either.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-_OPEN, _SEP, _NOT_SEP = r"^(?:[a-zA-Z]:)?[\\/]?", r"[\\/]", r"[^\\/]"
+from quarry.functions.predicates import literal_regex
+
+#: A separator, a character of a segment, what may stand before an anchored path and before a name.
+SEPARATOR, IN_SEGMENT = r"[\\/]", r"[^\\/]"
+ANCHORED, ANYWHERE = r"^(?:[a-zA-Z]:)?[\\/]?", r"(?:^|[\\/])"
+
+
+@dataclass(frozen=True)
+class Text:
+    text: str
+
+    def regex(self) -> str:
+        return literal_regex(self.text)
+
+
+@dataclass(frozen=True)
+class Stars:
+    count: int
+
+    def regex(self) -> str:
+        return {1: f"{IN_SEGMENT}*", 2: ".*"}.get(self.count, "")  # three and more stand for nothing
+
+
+@dataclass(frozen=True)
+class AnyOne:
+    def regex(self) -> str:
+        return IN_SEGMENT
+
+
+@dataclass(frozen=True)
+class OneOf:
+    members: str
+
+    def regex(self) -> str:
+        return f"[{self.members}]"
+
+
+@dataclass(frozen=True)
+class Either:
+    choices: tuple[Path, ...]
+
+    def regex(self) -> str:
+        return f"(?:{'|'.join(c.regex() for c in self.choices)})"
+
+
+@dataclass(frozen=True)
+class Path:
+    """Segments, each a sequence of the above."""
+
+    segments: tuple[tuple[Text | Stars | AnyOne | OneOf | Either, ...], ...]
+
+    def regex(self) -> str:
+        out = []
+        for segment in self.segments[:-1]:
+            out.append(f"(?:.*{SEPARATOR})?" if segment == (Stars(2),) else "".join(x.regex() for x in segment) + SEPARATOR)
+        return "".join(out) + "".join(x.regex() for x in self.segments[-1])
+
+
+def _path(glob: str, tokens: Iterator[str], braced: bool) -> tuple[Path, str]:
+    """A path up to the end, or in braces up to ',' or '}', and what ended it."""
+    segments: list[list] = [[]]
+    for t in tokens:
+        if braced and t in ",}":
+            return Path(tuple(map(tuple, segments))), t
+        if t in ("]", "}") or (t == "{" and braced):
+            raise ValueError(f"mismatched {t!r} in glob {glob!r}")
+        if t == "/":
+            segments.append([])
+        elif t == "?":
+            segments[-1].append(AnyOne())
+        elif t[0] == "*":
+            segments[-1].append(Stars(len(t)))
+        elif t == "[":
+            segments[-1].append(OneOf(_members(glob, tokens)))
+        elif t == "{":
+            choices, end = [], ","
+            while end == ",":
+                choice, end = _path(glob, tokens, True)
+                choices.append(choice)
+            segments[-1].append(Either(tuple(choices)))
+        else:
+            segments[-1].append(Text(t))
+    if braced:
+        raise ValueError(f"a brace isn't closed in glob {glob!r}")
+    return Path(tuple(map(tuple, segments))), ""
+
+
+def _members(glob: str, tokens: Iterator[str]) -> str:
+    """What stands between brackets, which may nest."""
+    open_, out = 1, []
+    for t in tokens:
+        open_ += (t == "[") - (t == "]")
+        if not open_:
+            return "".join(out)
+        out.append(t)
+    raise ValueError(f"a bracket isn't closed in glob {glob!r}")
 
 
 def glob_regex(glob: str) -> str:
-    """Anchored at the root if it holds a '/', else at any path segment; '*' stays in a segment, '**' crosses them.
+    """Anchored at the root if it holds a '/' that isn't its last, else at any path segment.
 
     Raises ValueError on brackets or braces that don't pair, or braces inside braces."""
     if not glob:
         return ""
-    rest = glob.replace("\\", "/")
-    anchored = "/" in rest.rstrip("/")
-    rest = rest.removeprefix("/")
-    out = [_OPEN if anchored or glob.startswith(("/", "\\")) else r"(^|[\\/])"]
-    parts = re.findall(r"^\*\*/|/\*\*/|/\*\*$|\*+|\[|\]|.", rest, re.S)
-    depth, braces = 0, False
-    for p in parts:
-        if depth:
-            depth += (p == "[") - (p == "]")
-            out.append(p)
-        elif p == "/**/":
-            out.append(rf"{_SEP}(?:.*{_SEP})?")
-        elif p == "**/":
-            out.append(rf"(?:.*{_SEP})?")
-        elif p == "/**":
-            out.append(rf"{_SEP}.*")
-        elif p == "**":
-            out.append(".*")
-        elif p == "*":
-            out.append(f"{_NOT_SEP}*")
-        elif p.startswith("*"):
-            continue  # three and more stars stand for nothing
-        elif p == "?":
-            out.append(_NOT_SEP)
-        elif p == "[":
-            depth = 1
-            out.append(p)
-        elif p == "]" or (p == "{" and braces) or (p == "}" and not braces):
-            raise ValueError(f"mismatched {p!r} in glob {glob!r}")
-        elif p in "{}":
-            braces = p == "{"
-            out.append("(?:" if braces else ")")
-        elif p == "," and braces:
-            out.append("|")
-        elif p == "/":
-            out.append(_SEP)
-        else:
-            out.append(f"\\{p}" if p in ".+()|^$@%" else p)
-    if depth or braces:
-        raise ValueError(f"bracket or brace isn't closed in glob {glob!r}")
-    return "".join(out) + "$"
+    whole = glob.replace("\\", "/")
+    anchored = whole.startswith("/") or "/" in whole.rstrip("/")
+    path, _ = _path(glob, iter(re.findall(r"\*+|[][{}?/,]|[^][{}?/,*]+", whole.removeprefix("/"))), False)
+    return (ANCHORED if anchored else ANYWHERE) + path.regex() + "$"
 
 
 def with_ancestors(regex: str) -> str:

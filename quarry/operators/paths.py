@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,16 +31,19 @@ def directory_scores(dirs: DataFrame, segments: list[str]) -> DataFrame:
     """(parent_path, dir_score, dir_weight) of distinct directories; only matching ones, each scored once."""
     patterns = [Q.parse_pattern(s) for s in segments]
 
-    def run(batch):
-        import pandas as pd
-
+    def run(batch: pd.Series) -> pd.DataFrame:
+        rows = [list(x) for x in batch]
+        each = sorted({n for x in rows for n in x})  # names repeat from directory to directory
+        scores = [dict(zip(each, S.pattern_matches(each, p))) for p in patterns]
+        hit = [[n for n in each if found[n]] for found in scores]
+        shares = [dict(zip(names, S.weights(names, p))) for names, p in zip(hit, patterns)]
         out = []
-        for names in batch:
+        for names in rows:
             q, score, weight = len(patterns) - 1, 0, 1.0
-            for name in list(names)[::-1]:
-                found = S.pattern_match(name, patterns[q]) if q >= 0 else None
+            for name in reversed(names):
+                found = scores[q][name] if q >= 0 else None
                 if found:
-                    score, weight, q = score + found[2], weight * (S.weight(S.marks(name, patterns[q])) or 1.0), q - 1
+                    score, weight, q = score + found[2], weight * (shares[q][name] or 1.0), q - 1
             out.append((score if q < 0 else 0, weight))
         return pd.DataFrame(out, columns=["dir_score", "dir_weight"])
 

@@ -31,42 +31,6 @@ def test_fuzzy_long_reaches_the_greedy_scan(spark, tmp_path):
     assert (row["id"], row["begin"], row["end"], row["score"]) == (1, start, len(text), S.span_score(text, "entrale", start, len(text)))
 
 
-def _table_score(text, term):
-    """Best score by the full tables of scores and runs."""
-    own, width = S.bonuses(text), len(text)
-    best, run = [[0] * width for _ in term], [[0] * width for _ in term]
-    at = -1
-    for k, c in enumerate(term):
-        at = text.index(c, at + 1)
-        gap = False
-        for r in range(at, width):
-            skip = (best[k][r - 1] + (-1 if gap else -3)) if r > at else -3
-            take = length = 0
-            if text[r] == c and k == 0:
-                best[k][r], run[k][r], gap = 16 + own[r] * 2, 1, False
-                continue
-            if text[r] == c:
-                b, take, length = own[r], best[k - 1][r - 1] + 16, run[k - 1][r - 1] + 1
-                if length > 1:
-                    lead = own[r - length + 1]
-                    length, b = (1, b) if b >= 8 and b > lead else (length, max(b, lead, 4))
-                take, length = (take + own[r], 0) if take + b < skip else (take + b, length)
-            best[k][r], run[k][r], gap = max(take, skip, 0), length, take < skip
-    return max(best[-1])
-
-
-def test_scores_of_agreeing_cells_are_those_of_the_tables():
-    rng, found = random.Random(5), 0
-    for _ in range(2000):
-        text = "".join(rng.choice("abc/1 ") for _ in range(rng.randint(2, 60)))
-        term = "".join(rng.choice("abc1") for _ in range(rng.randint(2, 5)))
-        got = S.fuzzy(text, term)
-        if got:
-            found += 1
-            assert got[2] == _table_score(text[max(0, text.index(term[0]) - 1) : text.rindex(term[-1]) + 1], term), (text, term)
-    assert found > 500
-
-
 def _parents(spark, sf_dir):
     """id -> (parent, name) of the whole tree."""
     return {r["id"]: (r["parent_id"], r["name"]) for r in catalog.tree(spark, sf_dir).collect()}
