@@ -227,12 +227,50 @@ def attributes(flags: Column) -> Column:
     return F.concat_ws(",", *(F.when(flags.bitwiseAND(F.lit(b)) != 0, n) for n, b in each))
 
 
+def age_label(seconds: Column) -> Column:
+    """'5s ago', '12m ago', '3h 4m ago', '2d 1h ago'; the second part is left out where it is zero."""
+    whole = lambda unit: F.floor((seconds - seconds % unit) / unit).cast("long")
+    part = lambda unit, of, name: F.when(whole(unit) % of > 0, F.concat(F.lit(" "), (whole(unit) % of).cast("string"), F.lit(name))).otherwise("")
+    text = (
+        F.when(seconds < 60, F.concat(seconds.cast("long").cast("string"), F.lit("s")))
+        .when(seconds < 3600, F.concat(whole(60).cast("string"), F.lit("m")))
+        .when(seconds < 86400, F.concat(whole(3600).cast("string"), F.lit("h"), part(60, 60, "m")))
+        .otherwise(F.concat(whole(86400).cast("string"), F.lit("d"), part(3600, 24, "h")))
+    )
+    return F.concat(text, F.lit(" ago"))
+
+
+def expand_env(text: Column, values: dict[str, str]) -> Column:
+    """%NAME% replaced by its value, case aside; unknown names stay."""
+    known = F.create_map(*(F.lit(x) for k, v in values.items() for x in (k.lower(), v))) if values else None
+    pieces = F.split(text, "%")
+
+    def add(out: Column, i: Column) -> Column:
+        piece = F.element_at(pieces, i + 1)
+        value = F.try_element_at(known, F.lower(piece)) if known is not None else F.lit(None).cast("string")
+        # state: text so far, and whether the piece stands after an opening '%'
+        opened = out["open"] & (i + 1 < F.size(pieces)) & value.isNotNull()
+        return F.struct(
+            F.when(i == 0, piece).when(opened, F.concat(out["text"], value)).when(out["joined"], F.concat(out["text"], piece)).otherwise(F.concat(out["text"], F.lit("%"), piece)).alias("text"),
+            (~opened).alias("open"),
+            opened.alias("joined"),
+        )
+
+    start = F.struct(F.lit("").alias("text"), F.lit(False).alias("open"), F.lit(False).alias("joined"))
+    return F.aggregate(F.sequence(F.lit(0), F.size(pieces) - 1), start, add)["text"]
+
+
 def filetime_seconds(filetime: Column) -> Column:
     """100 ns since 1601 to unix seconds, clamped to 32 bits; 0 stays unknown."""
-    seconds = F.floor(filetime / 10_000_000) - 11_644_473_600
+    seconds = F.call_function("div", filetime, F.lit(10_000_000)) - 11_644_473_600
     return F.when(filetime > 0, F.least(F.greatest(seconds, F.lit(0)), F.lit(4294967295))).otherwise(0).cast("long")
 
 
 def normal_path(path: Column) -> Column:
     """One kind of separator, none at the end."""
     return F.regexp_replace(F.translate(path, "\\", "/"), "(?<=.)/+$", "")
+
+
+def path_id(path: Column) -> Column:
+    """64-bit id of a path, case and separators aside."""
+    return F.xxhash64(F.lower(normal_path(path)))

@@ -30,6 +30,20 @@ def visible(flags: Column) -> Column:
     return ~has_flag(flags, HIDDEN | SYSTEM)
 
 
+def on_drive(rows: DataFrame, drive: str | None) -> DataFrame:
+    """Rows of the source that a drive word names; all without one."""
+    return rows if drive is None else rows.where(F.lower("source_key") == drive.lower())
+
+
+def down_to(rows: DataFrame, depth: int) -> DataFrame:
+    return rows.where(F.col("depth") <= depth)
+
+
+def modified_since(rows: DataFrame, moment: Column) -> DataFrame:
+    """Rows changed at or after a moment; those without a time aren't."""
+    return rows.where(F.col("modified") >= moment)
+
+
 def under(path: Column, roots: Iterable[str]) -> Column:
     """Is a path one of the roots or below one?"""
     return any_of((F.lower(path) == r.lower()) | F.lower(path).startswith(f"{r.lower()}/") for r in roots)

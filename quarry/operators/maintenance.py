@@ -1,65 +1,101 @@
-"""Change-data maintenance: journal dispatch, overlay, cascade, compaction, versioned snapshots."""
+"""Change-data maintenance: journal dispatch, links, metadata overlay, compaction, offsets.
+
+Two things follow from a journal and are kept apart. Membership: which links (rows by their key) are there; only add,
+remove, hide and toggle records touch it. Metadata: sizes and times of an id, which the last refreshing record gives to
+every row of the id; it never adds or removes a row.
+"""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from quarry.operators import tree
 from quarry.sources import catalog as C
 
+LINK = ("id", "parent_id", "name")
+#: Reasons after which an id is looked at again, unless it is deleted.
+REFRESHING = C.FILE_CREATE | C.RENAME_NEW | C.DATA_OVERWRITE | C.DATA_EXTEND | C.DATA_TRUNCATION | C.BASIC_INFO | C.COMPRESSION | C.ENCRYPTION
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpointed in the folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='quarry-')}")
-    return df.checkpoint()
-
-
-class Snapshots:
-    """Snapshot versions in a shared folder; a version appears under its name only when it is wholly written."""
-
-    def __init__(self, spark: SparkSession, folder: str | None = None):
-        shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        self.spark, self.folder = spark, folder or f"{(shared or 'file://' + tempfile.mkdtemp(prefix='quarry-')).rstrip('/')}/snapshots-{uuid.uuid4().hex}"
-
-    def write(self, rows: DataFrame, version: str | None = None) -> str:
-        version = version or uuid.uuid4().hex
-        rows.sortWithinPartitions("id").write.partitionBy("source_key").parquet(f"{self.folder}/{version}")
-        return version
 
-    def read(self, version: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{version}")
+def _has(reason: Column, bits: int) -> Column:
+    return reason.bitwiseAND(F.lit(bits)) != 0
 
 
 def reason_action(reason: Column, *, toggle: str = "toggle") -> Column:
-    """Ordered dispatch of a change record."""
-    has = lambda bits: reason.bitwiseAND(F.lit(bits)) != 0
+    """Ordered dispatch of a change record; refresh stands for records that touch metadata alone."""
     return (
-        F.when(has(C.HARD_LINK) & ~has(C.FILE_CREATE | C.FILE_DELETE), toggle)
-        .when(has(C.RENAME_OLD), "hide")
-        .when(has(C.FILE_DELETE), "remove")
-        .when(has(C.FILE_CREATE | C.RENAME_NEW), "add")
-        .when(has(C.DATA_EXTEND | C.BASIC_INFO), "refresh")
+        F.when(_has(reason, C.HARD_LINK) & ~_has(reason, C.FILE_CREATE | C.FILE_DELETE), toggle)
+        .when(_has(reason, C.RENAME_OLD), "hide")
+        .when(_has(reason, C.FILE_DELETE), "remove")
+        .when(_has(reason, C.FILE_CREATE | C.RENAME_NEW), "add")
+        .when(refreshes(reason), "refresh")
         .otherwise("skip")
     )
 
 
+def refreshes(reason: Column) -> Column:
+    return _has(reason, REFRESHING) & ~_has(reason, C.FILE_DELETE)
+
+
 def last_by(changes: DataFrame, *key: str, order: str = "usn") -> DataFrame:
     """The last change of each key; pre-aggregated, so a hot key costs each task one row."""
     rest = [c for c in changes.columns if c not in key]
     return changes.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("s")).select(*key, "s.*")
 
 
-def compact(base: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
-    """Base less what the last changes remove or override, plus what they add; changes carry an action and base's columns."""
-    last = last_by(changes, key)
-    kept = base.join(last.select(key), key, "left_anti")
-    return kept.unionByName(last.where("action = 'add'").select(base.columns))
+def _equal(left: str, right: str, key: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a & b, (F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in key))
+
+
+def link_states(changes: DataFrame, key: tuple[str, ...] = LINK) -> DataFrame:
+    """What a journal makes of each key it touches: `settled` is true or false after the last add, remove or hide, null if
+    only toggles speak; `flips` says whether toggles after that are odd in number. Both are sums over the records."""
+    own = changes.where(F.col("action").isin("add", "remove", "hide", "toggle"))
+    sets = F.col("action") != "toggle"
+    settled = own.where(sets).groupBy(*key).agg(F.max("usn").alias("at"), F.max_by("action", "usn").alias("last"))
+    toggles = own.where(~sets).select(*key, "usn")
+    later = toggles.alias("t").join(settled.alias("s"), _equal("t", "s", key), "left").where("s.at is null or t.usn > s.at")
+    flips = later.groupBy(*(F.col(f"t.{k}").alias(k) for k in key)).agg((F.count("*") % 2 == 1).alias("flips"))
+    both = settled.alias("s").join(flips.alias("f"), _equal("s", "f", key), "full")
+    return both.select(*(F.coalesce(f"s.{k}", f"f.{k}").alias(k) for k in key), F.when(F.col("last").isNotNull(), F.col("last") == "add").alias("settled"), "last", F.coalesce("flips", F.lit(False)).alias("flips"))
+
+
+def apply_links(base: DataFrame, changes: DataFrame, key: tuple[str, ...] = LINK) -> DataFrame:
+    """Base with the journal's links: rows whose key no change names stay, a row that is there keeps its columns, a new
+    one has those of its last add or toggle, as far as the journal has them."""
+    states = link_states(changes, key)
+    there = F.col("settled")
+    old = base.alias("b").join(states.alias("l"), _equal("b", "l", key), "left")
+    kept = old.where(F.coalesce(there, F.lit(True)) != F.coalesce("flips", F.lit(False))).select("b.*")
+    fresh = states.where(F.coalesce(there, F.lit(False)) != F.col("flips")).select(*key)
+    fresh = fresh.alias("n").join(base.select(*key).alias("o"), _equal("n", "o", key), "left_anti")
+    makers = last_by(changes.where(F.col("action").isin("add", "toggle")), *key)
+    made = fresh.alias("n").join(makers.alias("m"), _equal("n", "m", key))
+    return kept.unionByName(made.select(*(F.col(f"n.{c}") if c in key else F.col(f"m.{c}") if c in changes.columns else F.lit(None).cast(base.schema[c].dataType).alias(c) for c in base.columns)))
+
+
+def overlay_metadata(rows: DataFrame, changes: DataFrame, columns: tuple[str, ...] = ("size",), id_col: str = "id") -> DataFrame:
+    """Rows whose id a record refreshed have what the last such record says; changes carry `refresh` (boolean)."""
+    last = changes.where("refresh").groupBy(F.col(id_col).alias("_id")).agg(F.max_by(F.struct(*columns), "usn").alias("_new"))
+    met = rows.join(last, F.col(id_col) == F.col("_id"), "left")
+    return met.select(*(F.when(F.col("_id").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in rows.columns))
+
+
+def compact(base: DataFrame, changes: DataFrame, key: tuple[str, ...] = LINK, columns: tuple[str, ...] = ("size",), directories: bool = False) -> DataFrame:
+    """A new base from a base and a journal of changes (key, usn, action, refresh and metadata columns).
+
+    With directories, what lies below a removed one goes too, over the parentage that the journal leaves: what was moved
+    out stays, what was moved in goes, and a hidden (renamed) one takes nothing along."""
+    rows = overlay_metadata(apply_links(base, changes, key), changes, columns)
+    if not directories:
+        return rows
+    gone = link_states(changes, key).where("last = 'remove'").select("id").distinct().join(rows.select("id"), "id", "left_anti")
+    heads = rows.join(gone.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi").select("id").distinct()
+    lost = tree.closure(rows).join(heads.withColumnRenamed("id", "ancestor"), "ancestor", "left_semi").select("id").union(heads).distinct()
+    return rows.join(lost, "id", "left_anti").select(rows.columns)
 
 
 def toggled(links: DataFrame, toggles: DataFrame, *key: str) -> DataFrame:
@@ -68,20 +104,6 @@ def toggled(links: DataFrame, toggles: DataFrame, *key: str) -> DataFrame:
     return links.join(odd, list(key), "left_anti").unionByName(odd.join(links.select(*key), list(key), "left_anti"))
 
 
-def cascade(nodes: DataFrame, removed: DataFrame, max_depth: int = 64) -> DataFrame:
-    """Ids that go with the removed ones over current parentage; each level is one semi-join with the one above, which is
-    checkpointed so that no level is computed again, and the walk ends when one is empty."""
-    edges = nodes.where("id <> parent_id").select("id", "parent_id")
-    level = cut_lineage(removed.select("id").distinct())
-    gone = level
-    for _ in range(max_depth):
-        level = cut_lineage(edges.join(level.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi").select("id"))
-        if level.isEmpty():
-            break
-        gone = gone.union(level)
-    return gone.distinct()
-
-
 def apply_path_changes(base: DataFrame, changes: DataFrame) -> DataFrame:
     """Path-keyed changes: delete and rename-from remove a path and all below it, create and change upsert; missing
     parents of upserted paths are added as directories. Columns: path, is_dir, size; changes also action, usn."""
@@ -96,8 +118,34 @@ def apply_path_changes(base: DataFrame, changes: DataFrame) -> DataFrame:
     return kept.unionByName(upserts).unionByName(parents.join(kept, "path", "left_anti"))
 
 
+def diff(old: DataFrame, new: DataFrame, compare: tuple[str, ...], id_col: str = "id") -> DataFrame:
+    """(id, status): added, removed, reused (all compared columns equal) or changed, from two scans."""
+    state = lambda side, df: df.select(id_col, F.struct(*compare).alias(side))
+    both = state("was", old).join(state("now", new), id_col, "full")
+    status = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("was").eqNullSafe(F.col("now")), "reused").otherwise("changed")
+    return both.select(id_col, status.alias("status"))
+
+
 def sessions(changes: DataFrame, key: str, gap: str) -> DataFrame:
-    """Debounce in batch form: changes of a key closer than the gap fold to one, its last."""
-    w = Window.partitionBy(key).orderBy("ts", "usn")
-    new = F.when(F.col("ts") - F.lag("ts").over(w) <= F.expr(f"INTERVAL {gap}"), 0).otherwise(1)
-    return changes.withColumn("_n", new).withColumn("session", F.sum("_n").over(w)).groupBy(key, "session").agg(F.max("usn").alias("usn"), F.count("*").alias("n"))
+    """Debounce in batch form: changes of a key closer than the gap fold to one, its last. Sessions merge as partial
+    aggregates, so a hot key is no single window."""
+    timed = changes.withColumn("ts", F.col("ts").cast("timestamp"))
+    return timed.groupBy(key, F.session_window("ts", gap).alias("session")).agg(F.max("usn").alias("usn"), F.count("*").alias("n"))
+
+
+def offset_state(headers: DataFrame, journal: DataFrame) -> DataFrame:
+    """What to do with each stored snapshot header (source_key, journal_id, next_usn) given its journal (source_key,
+    journal_id, first_usn, next_usn): resume after its offset, or rebuild if the journal is another one, no longer holds
+    the offset or isn't yet there. A source without a journal is rebuilt."""
+    of = journal.select("source_key", F.col("journal_id").alias("_id"), F.col("first_usn").alias("_first"), F.col("next_usn").alias("_next"))
+    met = headers.join(of, "source_key", "left")
+    fine = (F.col("journal_id") == F.col("_id")) & F.col("next_usn").between(F.col("_first"), F.col("_next"))
+    return met.select(*headers.columns, F.when(fine, "resume").otherwise("rebuild").alias("state"))
+
+
+def catch_up(base: DataFrame, changes: DataFrame, header: tuple[int, int], journal: tuple[int, int, int], rescan: DataFrame, key: tuple[str, ...] = LINK) -> DataFrame:
+    """Base after the changes since its header's (journal id, next usn); the rescan, if (journal id, first usn, next usn) says
+    that changes are missing."""
+    if header[0] != journal[0] or not journal[1] <= header[1] <= journal[2]:
+        return rescan
+    return compact(base, changes.where(F.col("usn") >= header[1]), key)

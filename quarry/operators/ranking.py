@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.operators.maintenance import cut_lineage
+from quarry.operators.storage import cut_lineage
 
 TokenProvider = Callable[[str, DataFrame], DataFrame | None]
 #: Sort letters and their columns.
@@ -81,6 +81,49 @@ def numbered(rows: DataFrame, *order: Column | str, limit: int | None = None, na
 
 
 def first_of(rows: DataFrame, key: Column | str, *order: Column | str) -> DataFrame:
-    """The first row of each key in an order that ends in a unique column."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """The first row of each key in an ascending order that ends in a unique column; as an aggregate, so a hot key costs
+    each task one row."""
+    key = F.col(key) if isinstance(key, str) else key
+    return rows.groupBy(key.alias("_key")).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_row")).select("_row.*")
+
+
+def merged(local: DataFrame, other: DataFrame, path_col: str = "path") -> DataFrame:
+    """Local rows, and those of the other side whose path (case and separators aside) isn't among them."""
+    norm = lambda c: F.lower(F.regexp_replace(F.translate(c, "\\", "/"), "(?<=.)/+$", ""))
+    mine = local.select(norm(path_col).alias("_path")).distinct()
+    return local.unionByName(other.withColumn("_path", norm(path_col)).join(mine, "_path", "left_anti").drop("_path"))
+
+
+def curated_order(rows: DataFrame, path_col: str = "path") -> DataFrame:
+    """One row of each path (case aside), the best by: curated first, priority, type, weight, short path, path."""
+    return first_of(rows, F.lower(path_col), ~F.col("curated"), "priority", "type_rank", -F.col("weight"), F.length(path_col), path_col, "id")
+
+
+def scoped(rows: DataFrame, folder: str, text: str, favorites: DataFrame, history: DataFrame) -> DataFrame:
+    """Results of a search below one folder, which is no result itself. Rows that are favourites or in the history are
+    curated; the rest of the order is that of curated_order(). Adds place.
+
+    rows: id, path, name, weight, type_rank; favorites: path; history: path, last_at."""
+    from quarry.functions import predicates as P
+    from quarry.functions import query as Q
+
+    root = folder.rstrip("/").lower()
+    low = F.lower("path")
+    found = rows.where(low.startswith(f"{root}/") & P.pattern_column(F.col("name"), Q.parse_pattern(text))).withColumn("_path", low)
+    liked = favorites.select(F.lower("path").alias("_path")).distinct().withColumn("_liked", F.lit(True))
+    used = history.groupBy(F.lower("path").alias("_path")).agg(F.max("last_at").alias("_at"))
+    known = found.join(liked, "_path", "left").join(used, "_path", "left").drop("_path")
+    marked = known.withColumns({"curated": F.col("_liked").isNotNull() | F.col("_at").isNotNull(), "priority": F.coalesce(-F.col("_at"), F.lit((1 << 63) - 1))}).drop("_liked", "_at")
+    return numbered(curated_order(marked), ~F.col("curated"), "priority", "type_rank", -F.col("weight"), F.length("path"), "path", "id")
+
+
+def keyword_list(rows: DataFrame, text: str, keyword: str, name_col: str, limit: int = 8) -> DataFrame:
+    """A settings list behind its keyword: rows whose name fuzzily matches what follows it, the first few in catalog order
+    (id); all of them where nothing follows, none where the text isn't for the keyword."""
+    from quarry.functions import predicates as P
+    from quarry.functions import query as Q
+
+    rest = Q.keyword_gate(text, keyword)
+    if rest is None:
+        return rows.limit(0)
+    return rows.where(P.pattern_column(F.col(name_col), Q.parse_pattern(rest))).orderBy("id").limit(limit) if rest else rows

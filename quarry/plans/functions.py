@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from quarry.functions import alias as A
 from quarry.functions import instant as I
-from quarry.plans.registry import query, sql_query
+from quarry.plans.registry import query
 from quarry.sources import catalog
 
 
@@ -34,9 +34,11 @@ def base_convert(spark, sf_dir):
     return catalog.table(spark, sf_dir, "part").select("p_partkey", *(c.alias(k) for k, c in I.base_columns(F.col("p_partkey")).items()))
 
 
-@query("SELECT p_partkey, unnest(string_split(p_name || ';' || p_brand, ';')) AS piece FROM part")
+@query("SELECT p_partkey, unnest(string_split('/opt/tools;' || p_name || '%;%NO%;/home/me/' || p_brand, ';')) AS piece FROM part")
 def split_multi(spark, sf_dir):
-    return catalog.table(spark, sf_dir, "part").select("p_partkey", F.explode(F.split(F.concat_ws(";", "p_name", "p_brand"), ";")).alias("piece"))
+    """Names in '%' give their values, unknown ones stay; then one row for each of the ';' parts."""
+    text = F.concat(F.lit("%Tools%;"), "p_name", F.lit("%;%NO%;%HOME%/"), "p_brand")
+    return catalog.table(spark, sf_dir, "part").select("p_partkey", F.explode(F.split(I.expand_env(text, {"TOOLS": "/opt/tools", "Home": "/home/me"}), ";")).alias("piece"))
 
 
 @query("SELECT page_id, length(url) >= 8 AND regexp_matches(url, '^(?i)https?://[^/?#\\s]+[^\\s]*$') AS ok FROM pages")
@@ -56,14 +58,17 @@ def command_template(spark, sf_dir):
     return spark.createDataFrame([(t, r, I.fill_command(t, r)) for t, r in cases], "template string, rest string, command string")
 
 
-sql_query("path_normalize", "SELECT id, regexp_replace(translate(path || '/', '/', '~'), '~+$', '') AS path FROM parts")
+@query("SELECT id, 'P:/' || folder || '/' || name AS path, true AS same_id FROM parts")
+def path_normalize(spark, sf_dir):
+    """Paths written with other separators and an end separator; the id of a path follows neither these nor case."""
+    rough = F.concat(F.lit("P:\\"), "folder", F.lit("\\"), "name", F.lit("//"))
+    return catalog.parts(spark, sf_dir).select("id", I.normal_path(rough).alias("path"), (I.path_id(F.upper(rough)) == I.path_id(F.col("path"))).alias("same_id"))
 
 
 @query("SELECT o_orderkey, CASE WHEN f > 0 THEN least(greatest(f // 10000000 - 11644473600, 0), 4294967295) ELSE 0 END AS s FROM (SELECT o_orderkey, (o_orderkey % 5) * 30000000000000000 + o_orderkey AS f FROM orders)")
 def time_convert(spark, sf_dir):
     ft = (F.col("o_orderkey") % 5) * F.lit(30000000000000000) + F.col("o_orderkey")
-    seconds = F.floor((ft - ft % 10000000) / F.lit(10000000))
-    return catalog.table(spark, sf_dir, "orders").select("o_orderkey", F.when(ft > 0, F.least(F.greatest(seconds - 11644473600, F.lit(0)), F.lit(4294967295))).otherwise(0).cast("long").alias("s"))
+    return catalog.table(spark, sf_dir, "orders").select("o_orderkey", I.filetime_seconds(ft).alias("s"))
 
 
 @query("SELECT id, concat_ws(',', CASE WHEN f & 1 <> 0 THEN 'directory' END, CASE WHEN f & 8 <> 0 THEN 'hidden' END, CASE WHEN f & 16 <> 0 THEN 'system' END, CASE WHEN f & 32 <> 0 THEN 'readonly' END) AS attrs FROM (SELECT id, id % 64 AS f FROM parts)")

@@ -5,20 +5,41 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators import maintenance as M
-from quarry.plans.registry import query, sql_query
+from quarry.operators import tree as H
+from quarry.operators.storage import Snapshots
+from quarry.plans.registry import query
 from quarry.sources import catalog
 
 
 def _changes(spark, sf_dir):
-    """Journal records with an action and the catalog's columns."""
-    action = M.reason_action(F.col("reason"))
-    return catalog.journal(spark, sf_dir).select("id", "usn", action.alias("action"), F.concat(F.lit("file-"), F.col("id").cast("string"), F.lit("."), action).alias("name"), "size", F.lit("P").alias("source_key"))
+    """The journal as link changes of the parts' folders, with toggles and renames dealt in by usn."""
+    usn = F.col("usn")
+    reason = F.when(usn % 11 == 0, catalog.HARD_LINK).when(usn % 13 == 0, catalog.RENAME_OLD).otherwise(F.col("reason"))
+    name = F.when(usn % 4 == 0, F.concat(F.lit("link-"), (usn % 3).cast("string"))).otherwise(F.concat(F.lit("part-"), F.col("id").cast("string")))
+    rows = catalog.journal(spark, sf_dir).where("id is not null").withColumn("reason", reason)
+    return rows.select("id", "usn", (F.col("id") % 10).alias("parent_id"), name.alias("name"), M.reason_action(F.col("reason")).alias("action"), M.refreshes(F.col("reason")).alias("refresh"), "size", F.lit("P").alias("source_key"))
+
+
+def _links(spark, sf_dir):
+    return catalog.parts(spark, sf_dir).select("id", (F.col("id") % 10).alias("parent_id"), F.concat(F.lit("part-"), F.col("id").cast("string")).alias("name"), "size", "source_key")
 
 
 _ACTION = "CASE reason WHEN 65536 THEN 'toggle' WHEN 4096 THEN 'hide' WHEN 512 THEN 'remove' WHEN 256 THEN 'add' WHEN 8192 THEN 'add' WHEN 2 THEN 'refresh' WHEN 32768 THEN 'refresh' ELSE 'skip' END"
-_LAST = f"SELECT id, usn, {_ACTION} AS action, size FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY usn DESC) AS rn FROM journal) WHERE rn = 1"
-_COMPACT = f"""WITH last AS ({_LAST}) SELECT id, name, size FROM (SELECT id, name, size FROM parts WHERE id NOT IN (SELECT id FROM last)
- UNION ALL SELECT id, 'file-' || id || '.' || action AS name, size FROM last WHERE action = 'add')"""
+_LAST = f"SELECT id, usn, {_ACTION} AS action, size FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY usn DESC) AS rn FROM journal WHERE id IS NOT NULL) WHERE rn = 1"
+# by the rules of the journal: the last add, remove or hide of a link says whether it is there, each toggle after it
+# (or all, where there is none) turns that round; an id's size is that of its last record that is a create, a rename's
+# new name or a change of data or attributes, and not a delete; a link without such a record keeps the base's size
+_REPLAY = f"""WITH ch AS (SELECT usn, id, id % 10 AS parent_id, CASE WHEN usn % 4 = 0 THEN 'link-' || (usn % 3) ELSE 'part-' || id END AS name, size,
+   CASE WHEN usn % 11 = 0 THEN 65536 WHEN usn % 13 = 0 THEN 4096 ELSE reason END AS reason FROM journal WHERE id IS NOT NULL),
+ mem AS (SELECT *, max(CASE WHEN reason <> 65536 THEN usn END) OVER (PARTITION BY id, parent_id, name) AS set_usn FROM ch WHERE reason IN (65536, 4096, 512, 256, 8192)),
+ link AS (SELECT id, parent_id, name, max(CASE WHEN usn = set_usn THEN CASE WHEN reason IN (256, 8192) THEN 1 ELSE 0 END END) AS there, count(*) FILTER (WHERE reason = 65536 AND (set_usn IS NULL OR usn > set_usn)) AS flips,
+   max_by(size, usn) FILTER (WHERE reason IN (65536, 256, 8192)) AS made_size FROM mem GROUP BY id, parent_id, name),
+ base AS (SELECT id, id % 10 AS parent_id, 'part-' || id AS name, size FROM parts),
+ met AS (SELECT coalesce(b.id, l.id) AS id, coalesce(b.parent_id, l.parent_id) AS parent_id, coalesce(b.name, l.name) AS name, coalesce(b.size, l.made_size) AS size,
+   (coalesce(l.there, CASE WHEN b.id IS NULL THEN 0 ELSE 1 END) + coalesce(l.flips, 0)) % 2 AS present
+   FROM base b FULL OUTER JOIN link l ON b.id = l.id AND b.parent_id = l.parent_id AND b.name = l.name),
+ stat AS (SELECT id, max_by(size, usn) AS size FROM ch WHERE reason IN (256, 8192, 2, 32768) GROUP BY id)"""
+_COMPACT = _REPLAY + " SELECT met.id AS id, parent_id, name, CASE WHEN stat.id IS NULL THEN met.size ELSE stat.size END AS size FROM met LEFT JOIN stat ON stat.id = met.id WHERE present = 1"
 
 
 @query(f"SELECT usn, id, {_ACTION} AS action FROM journal")
@@ -28,22 +49,49 @@ def cdc_reason(spark, sf_dir):
 
 @query(_LAST)
 def cdc_upsert(spark, sf_dir):
-    return M.last_by(_changes(spark, sf_dir), "id").select("id", "usn", "action", "size")
+    rows = catalog.journal(spark, sf_dir).where("id is not null").select("id", "usn", M.reason_action(F.col("reason")).alias("action"), "size")
+    return M.last_by(rows, "id").select("id", "usn", "action", "size")
 
 
 @query(_COMPACT)
 def cdc_compact(spark, sf_dir):
-    base = catalog.parts(spark, sf_dir).select("id", "name", "size", "source_key")
-    return M.compact(base, _changes(spark, sf_dir)).select("id", "name", "size")
+    return M.compact(_links(spark, sf_dir), _changes(spark, sf_dir)).select("id", "parent_id", "name", "size")
+
+
+@query(_REPLAY + " SELECT id, parent_id, name FROM met WHERE present = 1")
+def cdc_links(spark, sf_dir):
+    """Membership of each link alone: one id may have several, each with its own history."""
+    return M.apply_links(_links(spark, sf_dir), _changes(spark, sf_dir)).select("id", "parent_id", "name")
+
+
+@query("SELECT p.id AS id, coalesce(m.size, p.size) AS size FROM parts p LEFT JOIN (SELECT id, arg_max(size, usn) AS size FROM journal WHERE reason IN (2, 256, 8192, 32768) GROUP BY id) m ON p.id = m.id")
+def cdc_metadata_overlay(spark, sf_dir):
+    changes = catalog.journal(spark, sf_dir).withColumn("refresh", M.refreshes(F.col("reason")))
+    return M.overlay_metadata(catalog.parts(spark, sf_dir).select("id", "size"), changes)
 
 
-sql_query("cdc_links", """SELECT id, parent_id, name FROM (SELECT id, parent_id, name, action, row_number() OVER (PARTITION BY id, parent_id, name ORDER BY usn DESC) AS rn
- FROM (SELECT id, id % 7 AS parent_id, 'link' || (usn % 3) AS name, usn, CASE WHEN reason = 512 THEN 'remove' ELSE 'add' END AS action FROM journal)) WHERE rn = 1 AND action = 'add'""")
-sql_query("cdc_rename", "SELECT c.id AS id, coalesce(r.new_name, p.name) || '/' || c.name AS path FROM tree c JOIN tree p ON c.parent_id = p.id LEFT JOIN (SELECT 10000 + n_nationkey AS id, 'renamed-' || n_nationkey AS new_name FROM nation WHERE n_nationkey % 4 = 0) r ON r.id = p.id",
-          "SELECT c.id AS id, coalesce(r.new_name, p.name) || '/' || c.name AS path FROM tree c JOIN tree p ON c.parent_id = p.id LEFT JOIN (SELECT 10000 + n_nationkey AS id, 'renamed-' || n_nationkey AS new_name FROM nation WHERE n_nationkey % 4 = 0) r ON r.id = p.id WHERE c.id > 1000000 AND c.id < 1000000000")
-sql_query("cdc_metadata_overlay", "SELECT p.id AS id, coalesce(m.size, p.size) AS size FROM parts p LEFT JOIN (SELECT id, max_by(size, usn) AS size FROM journal WHERE reason IN (2, 32768) GROUP BY id) m ON p.id = m.id")
-sql_query("cdc_diff", """SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed' WHEN o.size = n.size THEN 'reused' ELSE 'changed' END AS status
- FROM (SELECT id, size FROM parts WHERE id % 5 <> 0) o FULL OUTER JOIN (SELECT id, CASE WHEN id % 9 = 0 THEN size + 1 ELSE size END AS size FROM parts WHERE id % 6 <> 0) n ON o.id = n.id""")
+_RENAMED = "SELECT 10000 + n_nationkey AS id, 'renamed-' || n_nationkey AS new_name FROM nation WHERE n_nationkey % 4 = 0"
+
+
+@query(f"""WITH RECURSIVE now AS (SELECT t.id, t.parent_id, coalesce(r.new_name, t.name) AS name FROM tree t LEFT JOIN ({_RENAMED}) r ON r.id = t.id),
+ r AS (SELECT id, 'T:/' || name AS path FROM now WHERE parent_id = 1 AND id <> 1 UNION ALL SELECT now.id, r.path || '/' || now.name FROM now JOIN r ON now.parent_id = r.id) SELECT id, path FROM r""")
+def cdc_rename(spark, sf_dir):
+    """Directories renamed over the journal, old name hidden and new one added; what is below follows by parent id."""
+    nodes = catalog.tree(spark, sf_dir).select("id", "parent_id", "name", "size")
+    moved = nodes.join(catalog.table(spark, sf_dir, "nation").where("n_nationkey % 4 = 0").select((10000 + F.col("n_nationkey")).cast("long").alias("id"), "n_nationkey"), "id")
+    new = F.concat(F.lit("renamed-"), F.col("n_nationkey").cast("string"))
+    record = lambda step, name, reason: moved.select("id", "parent_id", name.alias("name"), "size", (F.col("n_nationkey") * 2 + step).cast("long").alias("usn"), M.reason_action(F.lit(reason)).alias("action"), F.lit(False).alias("refresh"))
+    changes = record(0, F.col("name"), catalog.RENAME_OLD).unionByName(record(1, new, catalog.RENAME_NEW))
+    return H.with_paths(M.compact(nodes, changes, directories=True)).select("id", "path")
+
+
+@query("""SELECT id, CASE WHEN min(side) = 2 THEN 'added' WHEN max(side) = 1 THEN 'removed' WHEN min(size) = max(size) THEN 'reused' ELSE 'changed' END AS status
+ FROM (SELECT id, size, 1 AS side FROM parts WHERE id % 5 <> 0 UNION ALL SELECT id, CASE WHEN id % 9 = 0 THEN size + 1 ELSE size END, 2 FROM parts WHERE id % 6 <> 0) GROUP BY id""")
+def cdc_diff(spark, sf_dir):
+    """Two scans of the parts: some ids are only in the first, some only in the second, some have another size there."""
+    rows = catalog.parts(spark, sf_dir).select("id", "size")
+    now = rows.where("id % 6 <> 0").withColumn("size", F.when(F.col("id") % 9 == 0, F.col("size") + 1).otherwise(F.col("size")))
+    return M.diff(rows.where("id % 5 <> 0"), now, ("size",))
 
 
 @query("SELECT id, parent_id FROM (SELECT id, id % 10 AS parent_id FROM parts WHERE id % 2 = 0 AND id NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL GROUP BY user_id HAVING count(*) % 2 = 1) UNION ALL SELECT user_id, user_id % 10 FROM events GROUP BY user_id HAVING count(*) % 2 = 1 AND user_id NOT IN (SELECT id FROM parts WHERE id % 2 = 0))")
@@ -56,7 +104,7 @@ def cdc_toggle(spark, sf_dir):
 @query("""WITH RECURSIVE gone AS (SELECT id FROM tree WHERE name IN ('ASIA', 'NATION_2') UNION SELECT t.id FROM tree t JOIN gone g ON t.parent_id = g.id AND t.id <> t.parent_id) SELECT id FROM gone""")
 def cdc_cascade(spark, sf_dir):
     nodes = catalog.tree(spark, sf_dir)
-    return M.cascade(nodes, nodes.where(F.col("name").isin("ASIA", "NATION_2")))
+    return H.cascade(nodes, nodes.where(F.col("name").isin("ASIA", "NATION_2")))
 
 
 @query()
@@ -66,13 +114,40 @@ def cdc_path_apply(spark, sf_dir):
     return M.apply_path_changes(base, changes)
 
 
-@query("""SELECT id, min(usn) AS first_usn, max(usn) AS usn, count(*) AS n FROM (SELECT id, usn, sum(fresh) OVER (PARTITION BY id ORDER BY ts, usn) AS s FROM (
- SELECT id, usn, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY id ORDER BY ts, usn) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM journal)) GROUP BY id, s""".replace("min(usn) AS first_usn, ", ""))
+_SESSIONS = """SELECT id, max(usn) AS usn, count(*) AS n, max(ts) AS last_ts FROM (SELECT id, usn, ts, sum(fresh) OVER (PARTITION BY id ORDER BY ts, usn) AS s FROM (
+ SELECT id, usn, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY id ORDER BY ts, usn) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM journal)) GROUP BY id, s"""
+
+
+@query(f"SELECT id, usn, n FROM ({_SESSIONS})")
 def stream_debounce(spark, sf_dir):
     """Batch twin of the debounced stream: quiet periods part sessions."""
     return M.sessions(catalog.journal(spark, sf_dir), "id", "6 HOUR").drop("session")
 
 
+@query(f"SELECT id, usn, n FROM ({_SESSIONS}) WHERE last_ts + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM journal)")
+def stream_debounce_live(spark, sf_dir):
+    """The debounced stream itself: the sessions that its watermark has closed when the journal ends."""
+    from quarry.streaming import journal as J
+
+    schema = catalog.table(spark, sf_dir, "events").schema
+    changes = J.tail(spark, sf_dir, schema, "events*.parquet").select(F.col("event_id").alias("usn"), F.col("user_id").alias("id"), "ts")
+    folder = Snapshots(spark).folder
+    J.run_to_table(J.debounced(changes, "6 hours", "1 hour").select("id", "usn", "n"), f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.schema("id long, usn long, n long").parquet(f"{folder}/out")
+
+
+_HEADERS = "SELECT 'S' || s_suppkey AS source_key, s_suppkey % 3 AS journal_id, s_suppkey * 37 % 400 AS next_usn FROM supplier"
+
+
+@query(f"SELECT source_key, journal_id, next_usn, CASE WHEN journal_id = 1 AND next_usn >= 100 AND next_usn <= 300 AND source_key <> 'S4' THEN 'resume' ELSE 'rebuild' END AS state FROM ({_HEADERS})")
+def cdc_offsets(spark, sf_dir):
+    """Stored offsets against their journals, each of which has id 1 and holds 100 to 300; one source has none."""
+    key = F.col("s_suppkey")
+    headers = catalog.table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), key.cast("string")).alias("source_key"), (key % 3).alias("journal_id"), (key * 37 % 400).alias("next_usn"))
+    journal = headers.where("source_key <> 'S4'").select("source_key", F.lit(1).alias("journal_id"), F.lit(100).alias("first_usn"), F.lit(300).alias("next_usn"))
+    return M.offset_state(headers, journal)
+
+
 @query("SELECT event_id AS usn, user_id AS id, event_type FROM events")
 def stream_journal_tail(spark, sf_dir):
     """The journal read as a stream of files into a table."""
@@ -80,7 +155,7 @@ def stream_journal_tail(spark, sf_dir):
 
     schema = catalog.table(spark, sf_dir, "events").schema
     events = J.tail(spark, sf_dir, schema, "events*.parquet").select(F.col("event_id").alias("usn"), F.col("user_id").alias("id"), "event_type")
-    folder = M.Snapshots(spark).folder
+    folder = Snapshots(spark).folder
     J.run_to_table(events, f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/out")
 
@@ -91,7 +166,7 @@ def stream_resume(spark, sf_dir):
     from quarry.streaming import journal as J
 
     schema = catalog.table(spark, sf_dir, "events").schema
-    folder = M.Snapshots(spark).folder
+    folder = Snapshots(spark).folder
     for _ in range(2):
         J.run_to_table(J.tail(spark, sf_dir, schema, "events*.parquet").select("event_id"), f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/out").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("n_distinct"))
@@ -99,17 +174,16 @@ def stream_resume(spark, sf_dir):
 
 @query(_COMPACT)
 def stream_compact(spark, sf_dir):
-    """Micro-batches compacted into snapshot versions; ends at the result of the batch compaction."""
+    """Micro-batches kept as deltas and compacted; ends at the result of the batch compaction."""
     from quarry.streaming import journal as J
 
-    schema = catalog.table(spark, sf_dir, "events").schema
-    kind = F.col("event_type")
-    reason = F.when(kind == "signup", catalog.FILE_CREATE).when(kind == "click", catalog.DATA_EXTEND).when(kind == "view", catalog.BASIC_INFO).when(kind == "purchase", catalog.RENAME_NEW).when(kind == "error", catalog.FILE_DELETE).otherwise(0)
-    action = M.reason_action(reason)
-    name = F.concat(F.lit("file-"), F.col("user_id").cast("string"), F.lit("."), action)
-    changes = J.tail(spark, sf_dir, schema, "events*.parquet").select(F.col("user_id").alias("id"), F.col("event_id").alias("usn"), action.alias("action"), name.alias("name"), F.floor(F.col("value") * 100).cast("long").alias("size"), F.lit("P").alias("source_key"))
-    store = M.Snapshots(spark)
-    base = catalog.parts(spark, sf_dir).select("id", "name", "size", "source_key")
-    done = J.compact_stream(changes, base, store, f"{store.folder}/checkpoint")
-    done.awaitTermination()
-    return store.read(f"v{done.lastProgress['batchId']}").select("id", "name", "size")
+    store = Snapshots(spark)
+    folder = f"{store.folder}-journal"
+    changes = _changes(spark, sf_dir)
+    last = changes.agg(F.max("usn")).first()[0] or 0
+    for k in range(4):  # a journal grows in the order of its offsets
+        changes.where(F.col("usn").between(k * last // 4 + (k > 0), (k + 1) * last // 4)).coalesce(1).write.mode("append").parquet(folder)
+    stream = J.tail(spark, folder, changes.schema, per_trigger=1)
+    keeper = J.Compactor(_links(spark, sf_dir), store, threshold=400)
+    keeper.run(stream, f"{folder}-checkpoint").awaitTermination()
+    return store.read(keeper.persist()).select("id", "parent_id", "name", "size")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.functions import instant as I
+from quarry.operators import joins as J
 from quarry.operators import ranking as R
 from quarry.operators import search as N
 from quarry.plans.registry import query, sql_query
@@ -12,14 +14,32 @@ from quarry.sources import catalog
 
 sql_query("union_sources", "SELECT id, name, 'P' AS source FROM parts UNION ALL SELECT page_id AS id, path AS name, host AS source FROM page_paths")
 sql_query("set_except", "SELECT DISTINCT folder FROM parts EXCEPT SELECT 'Brand#1' AS folder")
-sql_query("merge_local_global", "SELECT id, path FROM parts WHERE id % 3 = 0 UNION ALL SELECT g.id, g.path FROM (SELECT id, path FROM parts WHERE id % 2 = 0) g WHERE NOT EXISTS (SELECT 1 FROM (SELECT path FROM parts WHERE id % 3 = 0) l WHERE lower(l.path) = lower(g.path))")
-sql_query("recent_files", "SELECT id, name, modified FROM paths WHERE NOT is_dir AND modified >= TIMESTAMP '2001-01-01 00:00:00' ORDER BY modified DESC, id LIMIT 100")
-sql_query("column_age", "SELECT o_orderkey, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN CAST(s DIV 60 AS STRING) || 'm' ELSE '' END AS label FROM (SELECT o_orderkey, o_orderkey % 7200 AS s FROM orders)",
-          "SELECT o_orderkey, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN CAST(s // 60 AS VARCHAR) || 'm' ELSE '' END AS label FROM (SELECT o_orderkey, o_orderkey % 7200 AS s FROM orders)")
+
+
+@query("SELECT id, path FROM parts WHERE id % 3 = 0 UNION ALL SELECT id, path FROM parts WHERE id % 2 = 0 AND lower(path) NOT IN (SELECT lower(path) FROM parts WHERE id % 3 = 0)")
+def merge_local_global(spark, sf_dir):
+    rows = catalog.parts(spark, sf_dir).select("id", "path")
+    return R.merged(rows.where("id % 3 = 0"), rows.where("id % 2 = 0"))
+
+
+@query("SELECT id, name, modified FROM paths WHERE NOT is_dir AND modified >= TIMESTAMP '2001-01-01 00:00:00' ORDER BY modified DESC, id LIMIT 100")
+def recent_files(spark, sf_dir):
+    """The newest files since a time."""
+    files = catalog.tree(spark, sf_dir).where(~F.col("is_dir") & (F.col("modified") >= F.lit("2001-01-01 00:00:00").cast("timestamp")))
+    return files.select("id", "name", "modified").orderBy(F.desc("modified"), "id").limit(100)
+
+
+@query("""SELECT o_orderkey, CASE WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN (s // 60) || 'm ago' WHEN s < 86400 THEN (s // 3600) || 'h' || CASE WHEN s // 60 % 60 > 0 THEN ' ' || (s // 60 % 60) || 'm' ELSE '' END || ' ago'
+ ELSE (s // 86400) || 'd' || CASE WHEN s // 3600 % 24 > 0 THEN ' ' || (s // 3600 % 24) || 'h' ELSE '' END || ' ago' END AS label FROM (SELECT o_orderkey, o_orderkey * o_orderkey % 400000 AS s FROM orders)""")
+def column_age(spark, sf_dir):
+    key = F.col("o_orderkey")
+    return catalog.table(spark, sf_dir, "orders").select("o_orderkey", I.age_label(key * key % 400000).alias("label"))
+
+
 
 @query("""WITH h AS (SELECT user_id, max(event_id) AS last_at FROM events GROUP BY user_id),
 x AS (SELECT p.id AS id, p.path AS path, coalesce(-h.last_at, 9223372036854775807) AS priority, p.id % 11 AS pos, p.source_key AS source_key FROM parts p LEFT JOIN h ON p.id = h.user_id)
-SELECT CAST(row_number() OVER (ORDER BY priority, pos, length(path), lower(source_key), lower(path), id) AS INTEGER) AS place, id, priority FROM x ORDER BY place LIMIT 200""")
+SELECT CAST(row_number() OVER (ORDER BY priority, pos, length(path), lower(source_key), lower(path), id) AS BIGINT) AS place, id, priority FROM x""")
 def order_results(spark, sf_dir):
     """Cross-source order: most recent in history first, then rank, path length, drive, path."""
     latest = catalog.table(spark, sf_dir, "events").where("user_id IS NOT NULL").groupBy(F.col("user_id").alias("id")).agg(F.max("event_id").alias("last_at"))
@@ -28,15 +48,28 @@ def order_results(spark, sf_dir):
     return R.numbered(rows, *order).select("place", "id", "priority")
 
 
-sql_query("join_history", "SELECT p.id AS id, coalesce(h.last_at, 9223372036854775807) AS last_at FROM parts p LEFT JOIN (SELECT user_id, max(event_id) AS last_at FROM events GROUP BY user_id) h ON p.id = h.user_id")
+@query("SELECT p_partkey AS id, coalesce((SELECT max(event_id) FROM events WHERE user_id = p_partkey), 9223372036854775807) AS last_at FROM part")
+def join_history(spark, sf_dir):
+    used = catalog.table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("at"))
+    return J.last_used(catalog.parts(spark, sf_dir).select("id"), used)
 
 
 @query("""SELECT id, path, weight FROM (SELECT id, path, weight, row_number() OVER (PARTITION BY lower(path) ORDER BY curated DESC, priority, type_rank, weight DESC, length(path), path, id) AS rn
 FROM (SELECT id, path, id % 10 = 0 AS curated, id % 5 AS priority, id % 3 AS type_rank, (id % 100) / 100.0::DOUBLE AS weight FROM parts)) WHERE rn = 1""")
 def order_curated(spark, sf_dir):
     rows = catalog.parts(spark, sf_dir).select("id", "path", (F.col("id") % 10 == 0).alias("curated"), (F.col("id") % 5).alias("priority"), (F.col("id") % 3).alias("type_rank"), ((F.col("id") % 100) / 100.0).alias("weight"))
-    order = [F.desc("curated"), "priority", "type_rank", F.desc("weight"), F.length("path"), "path", "id"]
-    return R.first_of(rows, F.lower("path"), *order).select("id", "path", "weight")
+    return R.curated_order(rows).select("id", "path", "weight")
+
+
+@query("""WITH x AS (SELECT id, path, (id % 100) / 100.0::DOUBLE AS weight, id % 3 AS type_rank FROM parts WHERE starts_with(lower(path), 'p:/brand#2/') AND contains(lower(name), 'bolt')),
+ h AS (SELECT lower(p.path) AS k, max(event_id) AS last_at FROM events JOIN parts p ON p.id = user_id GROUP BY 1),
+ y AS (SELECT x.*, h.last_at IS NOT NULL OR f.k IS NOT NULL AS curated, coalesce(-h.last_at, 9223372036854775807) AS priority FROM x LEFT JOIN h ON h.k = lower(x.path) LEFT JOIN (SELECT DISTINCT lower(path) AS k FROM parts WHERE id % 10 = 0) f ON f.k = lower(x.path)),
+ z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lower(path) ORDER BY curated DESC, priority, type_rank, weight DESC, length(path), path, id) = 1)
+SELECT row_number() OVER (ORDER BY curated DESC, priority, type_rank, weight DESC, length(path), path, id) AS place, id, path, curated FROM z""")
+def scoped_results(spark, sf_dir):
+    rows = catalog.parts(spark, sf_dir).withColumns({"weight": (F.col("id") % 100) / 100.0, "type_rank": F.col("id") % 3})
+    used = catalog.table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("last_at")).join(rows.select("id", "path"), "id")
+    return R.scoped(rows, "P:/Brand#2", "'bolt", rows.where("id % 10 = 0").select("path"), used).select("place", "id", "path", "curated")
 
 
 @query("SELECT CAST(row_number() OVER (ORDER BY length(name), id) AS INTEGER) AS place, id, row_number() OVER (ORDER BY length(name), id) <= 8 AS first_page FROM parts ORDER BY length(name), id LIMIT 50")
@@ -46,17 +79,17 @@ def page_results(spark, sf_dir):
     return rows.select("place", "id", (F.col("place") <= 8).alias("first_page"))
 
 
-@query("SELECT CAST(row_number() OVER (ORDER BY lower(name), id) AS INTEGER) AS place, id FROM parts ORDER BY lower(name), id LIMIT 300")
+@query("SELECT row_number() OVER (ORDER BY lower(name), id) AS place, id FROM parts")
 def sort_columns(spark, sf_dir):
     return R.numbered(catalog.parts(spark, sf_dir), F.lower("name"), "id").select("place", "id")
 
 
-@query("SELECT id, size FROM parts ORDER BY size DESC, id LIMIT 100")
+@query("SELECT row_number() OVER (ORDER BY size DESC, id) AS place, id, size FROM parts")
 def token_sort(spark, sf_dir):
     return R.placed(R.apply_tokens(catalog.parts(spark, sf_dir), ("s-",)).select("id", "size"))
 
 
-@query("SELECT id, size FROM parts WHERE ext IN ('economy', 'promo') ORDER BY size, id LIMIT 100")
+@query("SELECT row_number() OVER (ORDER BY size, id) AS place, id, size FROM parts WHERE ext IN ('economy', 'promo')")
 def token_chain(spark, sf_dir):
     return R.placed(R.apply_tokens(catalog.parts(spark, sf_dir), (".economy.promo", "s")).select("id", "size"))
 
@@ -82,9 +115,10 @@ def keyword_mru(spark, sf_dir):
     return words.groupBy("keyword").agg(F.max("last_at").alias("last_at")).orderBy(F.desc("last_at")).limit(2000)
 
 
-@query("SELECT n_nationkey, n_name FROM nation WHERE contains(lower(n_name), '1') ORDER BY n_nationkey LIMIT 8")
+@query("SELECT n_nationkey AS id, n_name AS name FROM nation WHERE regexp_matches(lower(n_name), '^[^n]*n[^t]*t[^1]*1') ORDER BY n_nationkey LIMIT 8")
 def list_first_n(spark, sf_dir):
-    return catalog.table(spark, sf_dir, "nation").where(F.lower("n_name").contains("1")).orderBy("n_nationkey").limit(8).select("n_nationkey", "n_name")
+    settings = catalog.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    return R.keyword_list(settings, "set nt1", "set", "name")
 
 
 @query("SELECT min(id) AS id, lower(path) AS path FROM parts GROUP BY lower(path)")

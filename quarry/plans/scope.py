@@ -2,29 +2,67 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quarry.functions import query as Q
 from quarry.functions.globs import glob_regex, ignore_rules, pattern_list, with_ancestors
 from quarry.functions import predicates as P
+from quarry.operators import aggregates as A
 from quarry.operators import filters as X
+from quarry.operators import joins as J
 from quarry.operators import paths as H
+from quarry.operators import ranking as R
+from quarry.operators import tree as W
+from quarry.operators.storage import Snapshots, shared_folder
 from quarry.plans.registry import query, sql_query
 from quarry.sources import catalog
 
 # ---- sources and sinks
 sql_query("src_journal_catchup", "SELECT usn, id, reason, size, (SELECT max(usn) + 1 FROM journal) AS next_usn FROM journal WHERE usn > 9000")
 sql_query("src_tree", "SELECT id, parent_id, name, is_dir, size FROM tree")
-sql_query("src_header_counts", "SELECT count(*) AS n_rows, min(id) AS min_id, max(id) AS max_id FROM parts")
-sql_query("src_live_scan", "SELECT id, name FROM parts WHERE lower(name) LIKE '%bolt%' AND id < 10000 ORDER BY id LIMIT 200")
 sql_query("src_history_topn", "SELECT page_id, url FROM pages WHERE url LIKE 'http%' ORDER BY page_id DESC LIMIT 2000")
 sql_query("src_bookmark_join", "SELECT b.conv_id AS conv_id, coalesce(nullif(b.role, 'system'), d.source, d.lang) AS title, d.doc_id AS doc_id FROM conversations b JOIN documents d ON b.conv_id = d.doc_id WHERE b.turn = 0")
 sql_query("src_json_extract", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type = 'click'", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type = 'click'")
 
 
-@query("SELECT p_partkey, p_name, p_size FROM part")
+@query("""SELECT page_id, array_to_string(string_split(path, '/')[:-2], '/') AS folder, CAST(len(string_split(path, '/')) - 1 AS INTEGER) AS depth, name, url
+ FROM page_paths WHERE regexp_matches(url, '^https?://')""")
+def src_json_tree(spark, sf_dir):
+    """Bookmark files, one for each page, with a folder inside a folder for each part of its path, flattened depth first."""
+    from quarry.sources.bookmarks import flatten
+
+    pages = catalog.page_paths(spark, sf_dir)
+    parts = F.split("path", "/")
+    text = lambda c: F.to_json(F.struct(c.alias("s")))
+    quoted = lambda c: F.regexp_extract(text(c), r'^\{"s":(.*)\}$', 1)
+    leaf = F.concat(F.lit('{"type":"url","name":'), quoted(F.element_at(parts, -1)), F.lit(',"url":'), quoted(F.col("url")), F.lit("}"))
+    nested = F.aggregate(F.reverse(F.slice(parts, 1, F.size(parts) - 1)), leaf, lambda inner, name: F.concat(F.lit('{"type":"folder","name":'), quoted(name), F.lit(',"children":['), inner, F.lit("]}")))
+    return flatten(pages.select("page_id", nested.alias("bookmarks")), "page_id", "bookmarks")
+
+
+@query("SELECT p_partkey AS id, p_name AS name, p_size AS size FROM part")
 def src_snapshot(spark, sf_dir):
-    return catalog.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    """A stored snapshot, opened again: the schema comes from its footers, rows are read by what uses them."""
+    store = Snapshots(spark)
+    rows = catalog.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("size"), F.lit("P").alias("source_key"))
+    return store.read(store.write(rows)).select("id", "name", "size")
+
+
+@query("SELECT count(*) AS n_rows, min(p_partkey) AS min_id, max(p_partkey) AS max_id, CAST(7 AS BIGINT) AS journal_id, (SELECT max(event_id) + 1 FROM events) AS next_usn FROM part")
+def src_header_counts(spark, sf_dir):
+    """Counts and offset of a snapshot from its header alone."""
+    store = Snapshots(spark)
+    next_usn = catalog.journal(spark, sf_dir).agg(F.max("usn") + 1).first()[0]
+    return store.header(store.write(catalog.parts(spark, sf_dir).select("id", "name", "size", "source_key"), journal_id=7, next_usn=next_usn or 0))
+
+
+@query("SELECT id, name FROM parts WHERE contains(lower(name), 'bolt') AND starts_with(path, 'P:/Brand#3/')")
+def src_live_scan(spark, sf_dir):
+    """A directory that no catalog holds, scanned as it is: the same predicates over the raw rows, with no dictionary."""
+    rows = catalog.parts(spark, sf_dir).where(X.under(F.col("path"), ["p:/brand#3"]))
+    return rows.where(P.pattern_column(F.col("name"), Q.parse_pattern("'bolt"))).select("id", "name")
 
 
 @query("""WITH u AS (SELECT DISTINCT host, list_slice(string_split(path, '/'), 1, k) AS parts, k FROM page_paths, unnest(range(1, 9)) AS r(k) WHERE k <= len(string_split(path, '/')))
@@ -52,17 +90,27 @@ def src_registered_dirs(spark, sf_dir):
 @query("SELECT id, name, size, source_key FROM parts")
 def sink_snapshot_roundtrip(spark, sf_dir):
     """Snapshot written sorted by id within partitions, by source, then read again."""
-    from quarry.operators.maintenance import Snapshots
-
     store = Snapshots(spark)
     version = store.write(catalog.parts(spark, sf_dir).select("id", "name", "size", "source_key"))
     return store.read(version).select("id", "name", "size", "source_key")
 
 
 # ---- scope filters
-sql_query("filter_drive", "SELECT id, name FROM parts WHERE source_key = 'P'")
-sql_query("filter_depth", "SELECT id, name, depth FROM paths WHERE depth <= 2")
-sql_query("filter_modified", "SELECT id, name FROM paths WHERE modified >= TIMESTAMP '2001-07-02 00:00:00'")
+@query("SELECT p_partkey AS id, p_name || '.' || lower(p_type) AS name FROM part")
+def filter_drive(spark, sf_dir):
+    """A drive word in the query keeps the rows of that source."""
+    return X.on_drive(catalog.parts(spark, sf_dir), Q.parse_pattern("p: 'x").drive).select("id", "name")
+
+
+@query("SELECT id, name, CAST(len(string_split(path, '/')) - 1 AS INTEGER) AS depth FROM paths WHERE len(string_split(path, '/')) <= 3")
+def filter_depth(spark, sf_dir):
+    """What a walk of two levels lists."""
+    return X.down_to(W.with_paths(catalog.tree(spark, sf_dir).where("id <> 1"), root=1), 2).select("id", "name", "depth")
+
+
+@query("SELECT 1000000000 + o_orderkey AS id, 'order-' || o_orderkey || '.' || lower(o_orderstatus) AS name FROM orders WHERE o_orderdate >= TIMESTAMP '2001-07-02 00:00:00'")
+def filter_modified(spark, sf_dir):
+    return X.modified_since(catalog.tree(spark, sf_dir), F.lit("2001-07-02 00:00:00").cast("timestamp")).select("id", "name")
 
 
 @query("SELECT id, path FROM paths WHERE starts_with(lower(path), 't:/africa/')")
@@ -106,6 +154,7 @@ def filter_bypass(spark, sf_dir):
 
 
 _IGNORE = "# comment\nfr\n!*/fr/1*\n*.example.org/en/2*\n"
+_INNER = "!fr\n/en/3*\n"
 
 
 @query("SELECT page_id, path, CASE WHEN regexp_matches(path, '{2}') THEN true WHEN regexp_matches(path, '{1}') THEN false WHEN regexp_matches(path, '{0}') THEN true ELSE false END AS ignored FROM page_paths".format(*(r.regex for r in ignore_rules(_IGNORE))))
@@ -114,6 +163,18 @@ def filter_ignore_rules(spark, sf_dir):
     return rows.select("page_id", "path", X.ignored(F.col("path"), F.lit(False), ignore_rules(_IGNORE)).alias("ignored"))
 
 
+@query("""SELECT page_id, path, CASE WHEN path LIKE 'blog.tionsh.example.net/%' AND regexp_matches(path, '^blog.tionsh.example.net/en/3[^/]*$') THEN true
+ WHEN path LIKE 'blog.tionsh.example.net/%' AND regexp_matches(path, '/fr$') THEN false WHEN regexp_matches(path, '{2}') THEN true WHEN regexp_matches(path, '{1}') THEN false WHEN regexp_matches(path, '{0}') THEN true ELSE false END AS ignored FROM page_paths""".format(*(r.regex for r in ignore_rules(_IGNORE))))
+def src_ignore_files(spark, sf_dir):
+    """Ignore files read from the tree they rule: one at the top, one in a host's folder, which is heard after it."""
+    from quarry.sources.ignorefiles import ignored_by, read_rules
+
+    folder = f"{shared_folder(spark)}/ignore-{uuid.uuid4().hex}"
+    for at, text in (("", _IGNORE), ("/blog.tionsh.example.net", _INNER)):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{folder}{at}/.gitignore")
+    return ignored_by(catalog.page_paths(spark, sf_dir), read_rules(spark, folder)).select("page_id", "path", "ignored")
+
+
 @query("SELECT page_id, path FROM page_paths WHERE regexp_matches(path, '{}')".format(glob_regex("**/e[ns]/{1*,2?}")))
 def glob_match(spark, sf_dir):
     return catalog.page_paths(spark, sf_dir).where(F.col("path").rlike(glob_regex("**/e[ns]/{1*,2?}"))).select("page_id", "path")
@@ -175,7 +236,7 @@ def filter_reachable(spark, sf_dir):
     return catalog.parts(spark, sf_dir).join(offline, "folder", "left_anti").select("id", "name")
 
 
-@query("SELECT id, path FROM paths WHERE starts_with(path, 'T:/ASIA') AND path <> 'T:/ASIA' AND depth <= 2")
+@query("SELECT id, path FROM paths WHERE starts_with(path, 'T:/ASIA/')")
 def filter_self(spark, sf_dir):
     parsed = Q.parse_query("T:/ASIA/")
     rows = catalog.paths(spark, sf_dir).where(X.under(F.col("path"), [parsed.exact_path]))
@@ -196,20 +257,39 @@ def tiered_topk(spark, sf_dir):
 
 
 # ---- tree joins and paths
-sql_query("join_parent", "SELECT c.id AS id, c.name AS name, p.name AS parent FROM tree c JOIN tree p ON c.parent_id = p.id WHERE c.id <> p.id AND c.is_dir")
-sql_query("join_orphans", "SELECT c.id AS id, coalesce(p.id, 1) AS parent FROM (SELECT id, CASE WHEN id % 5 = 0 THEN -id ELSE parent_id END AS parent_id FROM tree) c LEFT JOIN tree p ON c.parent_id = p.id")
-sql_query("path_children", "SELECT c.id AS id, c.name AS name FROM tree d JOIN tree c ON c.parent_id = d.id AND c.id <> d.id WHERE d.name = 'NATION_3' AND lower(c.name) LIKE '%customer%'")
-sql_query("join_metadata_batch", "SELECT p.id AS id, p.size AS size FROM parts p JOIN (SELECT DISTINCT lower(path) AS wanted FROM parts WHERE id % 100 = 0) w ON lower(p.path) = w.wanted")
+@query("""SELECT 1000 + r_regionkey AS id, r_name AS name, '' AS parent FROM region UNION ALL SELECT 10000 + n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey
+ UNION ALL SELECT 1000000 + c_custkey, c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def join_parent(spark, sf_dir):
+    return J.with_parent(catalog.tree(spark, sf_dir)).where("is_dir").select("id", "name", "parent")
+
+
+@query("SELECT id, CASE WHEN id % 5 = 0 OR parent_id NOT IN (SELECT id FROM tree) THEN 1 ELSE parent_id END AS parent FROM tree")
+def join_orphans(spark, sf_dir):
+    rows = catalog.tree(spark, sf_dir).select("id", F.when(F.col("id") % 5 == 0, -F.col("id")).otherwise(F.col("parent_id")).alias("parent_id"))
+    return J.adopted(rows)
+
 
+@query("SELECT 1000000 + c_custkey AS id, c_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_3' AND contains(lower(c_name), 'customer')")
+def path_children(spark, sf_dir):
+    below = J.children_of(catalog.tree(spark, sf_dir), F.col("name") == "NATION_3")
+    return below.where(P.pattern_column(F.col("name"), Q.parse_pattern("'customer"))).select("id", "name")
 
-@query("SELECT id, unnest(ancestors) AS ancestor FROM paths WHERE depth = 4")
+
+@query("SELECT id, size FROM parts WHERE lower(path) IN (SELECT lower(path) FROM parts WHERE id % 100 = 0)")
+def join_metadata_batch(spark, sf_dir):
+    rows = catalog.parts(spark, sf_dir)
+    return J.with_metadata(rows, rows.where("id % 100 = 0")).select("id", "size")
+
+
+@query("SELECT id, unnest(ancestors) AS ancestor FROM paths")
 def join_ancestors(spark, sf_dir):
-    return catalog.paths(spark, sf_dir).select("id", F.explode("ancestors").alias("ancestor"))
+    return W.closure(catalog.tree(spark, sf_dir))
 
 
 @query("SELECT id, path, depth FROM paths")
 def project_full_path(spark, sf_dir):
-    return catalog.paths(spark, sf_dir).select("id", "path", "depth")
+    """From parent ids alone, whatever the depth."""
+    return W.with_paths(catalog.tree(spark, sf_dir).where("id <> 1"), root=1).select("id", "path", "depth")
 
 
 @query("SELECT id, name, path, is_dir, CASE WHEN is_dir THEN 'D' ELSE 'F' END AS kind, substr(path, 1, 1) AS drive, modified FROM paths")
@@ -220,14 +300,10 @@ def project_result(spark, sf_dir):
 @query("""WITH s AS (SELECT DISTINCT host AS source FROM page_paths UNION SELECT DISTINCT host || '/en' FROM page_paths)
 SELECT page_id, path, max_by(source, length(source)) AS source FROM page_paths JOIN s ON path = source OR starts_with(path, source || '/') GROUP BY page_id, path""")
 def join_longest_prefix(spark, sf_dir):
-    """Longest source that is a prefix at a separator: an equi-join on each row's few prefixes, not a theta join."""
     rows = catalog.page_paths(spark, sf_dir)
     hosts = rows.select("host").distinct()
     sources = hosts.select(F.col("host").alias("source")).union(hosts.select(F.concat("host", F.lit("/en"))))
-    parts = F.split("path", "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
-    each = rows.select("page_id", "path", F.explode(prefixes).alias("source"))
-    return each.join(sources, "source").groupBy("page_id", "path").agg(F.max_by("source", F.length("source")).alias("source"))
+    return J.with_source(rows.select("page_id", "path"), sources)
 
 
 @query("SELECT id, path FROM (SELECT id, path, names[:len(names) - 1] AS up, name FROM paths) WHERE regexp_matches(lower(name), '^[^o]*o[^1]*1[^2]*2') AND list_bool_or(list_transform(range(1, len(up) + 1), lambda j: contains(lower(up[j]), 'nation_') AND list_bool_or(list_transform(range(1, j), lambda i: starts_with(lower(up[i]), 'a')))))")
@@ -251,24 +327,62 @@ def path_term_fallback(spark, sf_dir):
 
 
 # ---- aggregates
-sql_query("agg_counts_by_source", "SELECT split_part(path, '/', 2) AS source, sum(CASE WHEN is_dir THEN 1 ELSE 0 END) AS dirs, sum(CASE WHEN is_dir THEN 0 ELSE 1 END) AS files FROM paths GROUP BY 1", "SELECT split_part(path, '/', 2) AS source, CAST(sum(CASE WHEN is_dir THEN 1 ELSE 0 END) AS BIGINT) AS dirs, CAST(sum(CASE WHEN is_dir THEN 0 ELSE 1 END) AS BIGINT) AS files FROM paths GROUP BY 1")
-sql_query("agg_totals", "SELECT count(*) AS n, sum(size) AS size FROM parts", "SELECT count(*) AS n, CAST(sum(size) AS BIGINT) AS size FROM parts")
-sql_query("agg_live_counts", "SELECT greatest(0, (SELECT count(*) FROM parts) + sum(CASE reason WHEN 256 THEN 1 WHEN 512 THEN -1 ELSE 0 END)) AS live FROM journal", "SELECT CAST(greatest(0, (SELECT count(*) FROM parts) + sum(CASE reason WHEN 256 THEN 1 WHEN 512 THEN -1 ELSE 0 END)) AS BIGINT) AS live FROM journal")
-sql_query("agg_distinct_names", "SELECT name, count(*) AS n FROM parts GROUP BY name")
-sql_query("agg_children", "SELECT parent_id, count(*) AS n FROM tree WHERE id <> parent_id GROUP BY parent_id")
-sql_query("agg_best_alias", "SELECT name, max(id * 7 % 101) AS best, min(id) AS first_id FROM parts GROUP BY name")
-sql_query("agg_first_of_group", "SELECT folder, name, id FROM (SELECT folder, name, id, row_number() OVER (PARTITION BY folder ORDER BY id) AS rn FROM parts) WHERE rn = 1")
-sql_query("agg_ingest_stats", "SELECT count(*) AS n, sum(CASE WHEN url IS NULL THEN 1 ELSE 0 END) AS skipped, sum(CASE WHEN host = '' THEN 1 ELSE 0 END) AS errors, count(DISTINCT host) AS sources FROM page_paths", "SELECT count(*) AS n, CAST(sum(CASE WHEN url IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS skipped, CAST(sum(CASE WHEN host = '' THEN 1 ELSE 0 END) AS BIGINT) AS errors, count(DISTINCT host) AS sources FROM page_paths")
+@query("""SELECT r_name AS source, 1 + (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) + (SELECT count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = r_regionkey) AS dirs,
+ (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = r_regionkey) AS files FROM region""")
+def agg_counts_by_source(spark, sf_dir):
+    rows = catalog.paths(spark, sf_dir)
+    return A.counts_by(rows, F.split_part("path", F.lit("/"), F.lit(2)), F.col("is_dir"))
+
+
+@query("SELECT count(*) AS n, CAST(sum(65536 * CAST(p_size AS BIGINT) * p_size) AS BIGINT) AS size FROM part")
+def agg_totals(spark, sf_dir):
+    return A.totals(catalog.parts(spark, sf_dir))
+
+
+@query("SELECT CAST(greatest(0, (SELECT count(*) FROM part) + (SELECT count(*) FROM events WHERE event_type = 'signup') - (SELECT count(*) FROM events WHERE event_type = 'error')) AS BIGINT) AS live")
+def agg_live_counts(spark, sf_dir):
+    return A.live_count(catalog.parts(spark, sf_dir), catalog.journal(spark, sf_dir))
+
+
+@query("SELECT folder, CAST(greatest(0, count(*) - count(*) FILTER (WHERE gone)) AS BIGINT) AS live FROM (SELECT p_brand AS folder, EXISTS (SELECT 1 FROM events WHERE event_type = 'error' AND user_id = p_partkey) AS gone FROM part) GROUP BY folder")
+def agg_live_counts_by_folder(spark, sf_dir):
+    """Counts of each folder kept up by the journal."""
+    rows = catalog.parts(spark, sf_dir)
+    gone = catalog.journal(spark, sf_dir).where(F.col("reason") == catalog.FILE_DELETE).select("id").distinct()
+    return A.live_counts_by(rows, rows.join(gone, "id").select("folder", F.lit(-1).alias("step")), "folder")
+
+
+@query("SELECT p_name || '.' || lower(p_type) AS name, count(*) AS n FROM part GROUP BY p_name, lower(p_type)")
+def agg_distinct_names(spark, sf_dir):
+    return A.dictionary(catalog.parts(spark, sf_dir))
+
+
+@query("""SELECT CAST(1 AS BIGINT) AS parent_id, count(*) AS n FROM region UNION ALL SELECT 1000 + n_regionkey, count(*) FROM nation GROUP BY 1
+ UNION ALL SELECT 10000 + c_nationkey, count(*) FROM customer GROUP BY 1 UNION ALL SELECT 1000000 + o_custkey, count(*) FROM orders GROUP BY 1""")
+def agg_children(spark, sf_dir):
+    return A.children(catalog.tree(spark, sf_dir))
+
+
+@query("SELECT DISTINCT ON (name) name, score AS best, first_id FROM (SELECT name, id * 7 % 101 AS score, min(id) OVER (PARTITION BY name) AS first_id FROM parts) ORDER BY name, score DESC")
+def agg_best_alias(spark, sf_dir):
+    return A.best_by(catalog.parts(spark, sf_dir), "name", F.col("id") * 7 % 101)
+
+
+@query("SELECT folder, name, id FROM parts QUALIFY row_number() OVER (PARTITION BY folder ORDER BY id) = 1")
+def agg_first_of_group(spark, sf_dir):
+    return R.first_of(catalog.parts(spark, sf_dir).select("folder", "name", "id"), "folder", "id")
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (WHERE url IS NULL) AS skipped, count(*) FILTER (WHERE host = '') AS errors, count(DISTINCT host) AS sources FROM page_paths")
+def agg_ingest_stats(spark, sf_dir):
+    return A.walk_statistics(catalog.page_paths(spark, sf_dir), F.col("url"), F.col("host"))
 
 
-@query("SELECT folder, bit_or(CAST((CASE WHEN contains(name, 'bolt') THEN 1 ELSE 0 END) + (CASE WHEN contains(name, 'red') THEN 2 ELSE 0 END) AS INTEGER)) AS mask FROM parts GROUP BY folder")
+@query("SELECT folder, CAST(max(CASE WHEN contains(name, 'bolt') THEN 1 ELSE 0 END) + max(CASE WHEN contains(name, 'red') THEN 2 ELSE 0 END) AS INTEGER) AS mask FROM parts GROUP BY folder")
 def agg_term_mask(spark, sf_dir):
-    mask = F.when(F.col("name").contains("bolt"), 1).otherwise(0) + F.when(F.col("name").contains("red"), 2).otherwise(0)
-    return catalog.parts(spark, sf_dir).groupBy("folder").agg(F.bit_or(mask).alias("mask"))
+    return A.term_mask(catalog.parts(spark, sf_dir), "folder", [F.col("name").contains("bolt"), F.col("name").contains("red")])
 
 
 @query("SELECT sha256(string_agg(v, ';' ORDER BY v)) AS fingerprint FROM (SELECT DISTINCT trim(folder) AS v FROM parts)")
 def agg_fingerprint(spark, sf_dir):
-    """Fingerprint of a small value set: trimmed, distinct, sorted, hashed."""
-    values = catalog.parts(spark, sf_dir).select(F.trim("folder").alias("v")).distinct()
-    return values.agg(F.sha2(F.array_join(F.array_sort(F.collect_set("v")), ";"), 256).alias("fingerprint"))
+    return A.fingerprint(catalog.parts(spark, sf_dir), "folder")

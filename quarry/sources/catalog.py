@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
-DATA_EXTEND, FILE_CREATE, FILE_DELETE, RENAME_OLD, RENAME_NEW, BASIC_INFO, HARD_LINK = 0x2, 0x100, 0x200, 0x1000, 0x2000, 0x8000, 0x10000
+DATA_OVERWRITE, DATA_EXTEND, DATA_TRUNCATION, FILE_CREATE, FILE_DELETE = 0x1, 0x2, 0x4, 0x100, 0x200
+RENAME_OLD, RENAME_NEW, BASIC_INFO, HARD_LINK, COMPRESSION, ENCRYPTION = 0x1000, 0x2000, 0x8000, 0x10000, 0x20000, 0x40000
 DIRECTORY, DELETED, SOURCE_ROOT, HIDDEN, SYSTEM, READ_ONLY = 1, 2, 4, 8, 16, 32
 
 

@@ -1,6 +1,7 @@
 """All registered queries against DuckDB, plan shapes, UDF row counts, random trees against a Python model."""
 
 import random
+from datetime import datetime, timedelta
 
 import duckdb
 import pytest
@@ -12,6 +13,8 @@ from quarry.functions import scoring as S
 from quarry.operators import maintenance as M
 from quarry.operators import paths as H
 from quarry.operators import search as N
+from quarry.operators import tree as W
+from quarry.operators.storage import Snapshots
 from quarry.plans import registry
 from quarry.sources import catalog
 
@@ -107,15 +110,173 @@ def test_random_names_predicates_agree_with_scoring(spark):
         assert got == [S.pattern_match(n, p) is not None for n in names], text
 
 
+KEPT = "id long, parent_id long, name string, size long"
+CHANGE = "usn long, id long, parent_id long, name string, action string, refresh boolean, size long"
+
+
+def replay(base, changes, directories=False):
+    """Record by record: links as a journal reader keeps them, then the last refresh of each id over all its rows."""
+    now = {r[:3]: r[3] for r in base}
+    stats = {}
+    for usn, id_, parent, name, action, refresh, size in sorted(changes):
+        key = (id_, parent, name)
+        if action == "add" or (action == "toggle" and key not in now):
+            now.setdefault(key, size)
+            if action == "add" and key not in {r[:3] for r in base}:
+                now[key] = size
+        elif action in ("remove", "hide", "toggle"):
+            now.pop(key, None)
+            if action == "remove" and directories and not any(k[0] == id_ for k in now):
+                gone = {id_}
+                while True:
+                    below = {k for k in now if k[1] in gone}
+                    if not below:
+                        break
+                    gone = {k[0] for k in below}
+                    for k in below:
+                        del now[k]
+        if refresh:
+            stats[id_] = size
+    return {(*k, stats.get(k[0], v)) for k, v in now.items()}
+
+
 def test_compaction_replay(spark):
+    """Refresh and skip records remove nothing; toggles count from the last add, remove or hide on."""
     rng = random.Random(6)
-    base = [(i, f"n{i}", i, "P") for i in range(20)]
-    changes = [(rng.randint(0, 30), u, rng.choice(["add", "remove"]), f"c{u}", u, "P") for u in range(60)]
-    now = {r[0]: r[1] for r in base}
-    for id_, _, action, name, _, _ in changes:
-        if action == "add":
-            now[id_] = name
+    for trial in range(3):
+        base = [(i, i % 3, f"n{i}", i) for i in range(20)]
+        changes = []
+        for u in range(150):
+            i = rng.randint(0, 25)
+            action = rng.choice(["add", "remove", "refresh", "skip", "hide", "toggle"])
+            changes.append((u, i, i % 3, rng.choice([f"n{i}", f"m{i}"]), action, action in ("add", "refresh") or (action == "toggle" and u % 2 == 0), 1000 + u))
+        got = M.compact(spark.createDataFrame(base, KEPT), spark.createDataFrame(changes, CHANGE))
+        assert {tuple(r) for r in got.collect()} == replay(base, changes)
+    only = [(1, 1, 1, "n1", "refresh", True, 77), (2, 2, 2, "n2", "skip", False, 88)]
+    got = M.compact(spark.createDataFrame(base[:3], KEPT), spark.createDataFrame(only, CHANGE))
+    assert {tuple(r) for r in got.collect()} == {(0, 0, "n0", 0), (1, 1, "n1", 77), (2, 2, "n2", 2)}
+    empty = spark.createDataFrame([], CHANGE)
+    assert {tuple(r) for r in M.compact(spark.createDataFrame(base, KEPT), empty).collect()} == set(base)
+
+
+def test_compaction_takes_what_is_below_a_removed_directory(spark):
+    base = [(2, 1, "a", 0), (3, 2, "b", 0), (4, 3, "f", 5), (5, 2, "g", 6), (6, 1, "c", 0), (7, 6, "h", 7), (8, 1, "d", 0), (9, 8, "i", 8)]
+    changes = [
+        (1, 4, 3, "f", "hide", False, 0), (2, 4, 6, "f", "add", False, 5),  # moved out: stays
+        (3, 7, 6, "h", "hide", False, 0), (4, 7, 3, "h", "add", False, 7),  # moved in: goes
+        (5, 2, 1, "a", "remove", False, 0), (6, 10, 3, "late", "add", False, 1),  # comes after, below what is gone
+        (7, 8, 1, "d", "hide", False, 0), (8, 8, 1, "renamed", "add", False, 0),  # renamed: what is below follows the id
+    ]
+    got = M.compact(spark.createDataFrame(base, KEPT), spark.createDataFrame(changes, CHANGE), directories=True)
+    assert {tuple(r)[:3] for r in got.collect()} == {(6, 1, "c"), (4, 6, "f"), (8, 1, "renamed"), (9, 8, "i")}
+
+
+def chain_and_forest(seed):
+    rng = random.Random(seed)
+    rows = [(1, 1, "")] + [(i, i - 1, f"c{i}") for i in range(2, 73)]  # 71 levels
+    rows += [(i, rng.choice([1, *range(100, i)]) if i > 100 else 1, f"t{i}") for i in range(100, 180)]
+    rows += [(300, 999, "orphan"), (301, 300, "below"), (400, 401, "r"), (401, 402, "r"), (402, 400, "r"), (403, 402, "tail"), (404, 403, "tail")]
+    return rows
+
+
+def test_trees_of_any_depth(spark):
+    rows = chain_and_forest(3)
+    up = {i: (p, n) for i, p, n in rows}
+    got = {r["id"]: r for r in W.with_paths(spark.createDataFrame(rows, "id long, parent_id long, name string").repartition(3)).collect()}
+    assert set(got) == set(up) - {1}
+    for i in got:
+        above, names, at = [], [], i
+        while at in up and at != 1 and at not in above:
+            names.insert(0, up[at][1])
+            above.insert(0, at)
+            at = up[at][0]
+        if i >= 400:
+            assert got[i]["path"] is None and set(got[i]["ancestors"]) >= {400, 401, 402} - {i}
         else:
-            now.pop(id_, None)
-    got = M.compact(spark.createDataFrame(base, "id long, name string, size long, source_key string"), spark.createDataFrame(changes, "id long, usn long, action string, name string, size long, source_key string"))
-    assert {r["id"]: r["name"] for r in got.collect()} == now
+            assert got[i]["path"] == "/".join(["T:", *names]) and got[i]["depth"] == len(names)
+            assert got[i]["ancestors"] == ([1] if i < 300 else []) + above[:-1]
+
+
+@pytest.mark.parametrize("removed", [[2], [50], [100], [400], [300, 71], [1], [12345], []])
+def test_cascade_of_any_depth(spark, removed):
+    rows = chain_and_forest(4)
+    gone = set(removed)
+    while True:
+        more = {i for i, p, _ in rows if p in gone} - gone
+        if not more:
+            break
+        gone |= more
+    nodes = spark.createDataFrame(rows, "id long, parent_id long, name string")
+    got = W.cascade(nodes, spark.createDataFrame([(i,) for i in removed], "id long"))
+    assert sorted(r["id"] for r in got.collect()) == sorted(gone)
+
+
+def test_debounced_stream_agrees_with_the_batch(spark, tmp_path):
+    """What the watermark has closed is what the batch finds, and the rest comes once later records close it."""
+    from quarry.streaming import journal as J
+
+    rng = random.Random(2)
+    kind = "usn long, id long, ts timestamp"
+    at = lambda minutes: datetime(2024, 1, 1) + timedelta(minutes=minutes)
+    first = [(u, rng.randint(0, 5), at(u * 7)) for u in range(200)]
+    for part, rows in enumerate((first, [(1000, 99, at(100_000))])):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        J.run_to_table(J.debounced(J.tail(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema), "30 minutes", "10 minutes").select("id", "usn", "n"), f"{tmp_path}/out", f"{tmp_path}/check")
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    want = sorted((r["id"], r["usn"], r["n"]) for r in M.sessions(spark.createDataFrame(first, kind), "id", "30 minutes").collect())
+    assert got == want and len(got) > 20
+
+
+def test_compactor_keeps_deltas_until_the_threshold(spark, tmp_path):
+    from quarry.streaming import journal as J
+
+    base = spark.createDataFrame([(i, 1, f"n{i}", i, "P") for i in range(5)], f"{KEPT}, source_key string")
+    store = Snapshots(spark, f"{tmp_path}/store")
+    keeper = J.Compactor(base, store, threshold=3)
+    batch = lambda *rows: spark.createDataFrame(list(rows), CHANGE)
+    start = keeper.latest()
+    keeper.step(batch(), 0)
+    assert keeper.latest() == start and not keeper.pending(start) and keeper.persist() == start  # nothing is pending
+    keeper.step(batch((1, 0, 1, "n0", "remove", False, 0)), 1)
+    keeper.step(batch((1, 0, 1, "n0", "remove", False, 0)), 1)  # run again after a failure
+    assert keeper.latest() == start and len(keeper.pending(start)) == 1
+    keeper.step(batch((2, 1, 1, "n1", "refresh", True, 50), (3, 9, 1, "new", "add", True, 9)), 2)
+    now = keeper.latest()
+    assert now != start and not store.has(start) and not keeper.pending(now) and not keeper.deltas.names()
+    assert {(r["id"], r["size"]) for r in store.read(now).collect()} == {(1, 50), (2, 2), (3, 3), (4, 4), (9, 9)}
+    keeper.step(batch((4, 2, 1, "n2", "hide", False, 0)), 3)
+    assert store.read(keeper.persist()).count() == 4 and store.header(keeper.latest()).first()["n_rows"] == 4
+
+
+def test_offsets_and_rebuild(spark):
+    base = spark.createDataFrame([(1, 1, "a", 1)], KEPT)
+    rescan = spark.createDataFrame([(8, 1, "z", 8)], KEPT)
+    changes = spark.createDataFrame([(5, 1, 1, "a", "remove", False, 0), (9, 2, 1, "b", "add", True, 2)], CHANGE)
+    run = lambda header, journal: sorted(r["id"] for r in M.catch_up(base, changes, header, journal, rescan).collect())
+    assert run((7, 6), (7, 5, 10)) == [1, 2] and run((7, 5), (7, 5, 10)) == [2]
+    assert run((7, 4), (7, 5, 10)) == run((7, 11), (7, 5, 10)) == run((6, 6), (7, 5, 10)) == [8]
+
+
+def test_bookmark_trees():
+    from quarry.sources.bookmarks import links_of
+
+    leaf = '{"type":"url","name":"x","url":"https://x"}'
+    deep = '{"type":"folder","name":"f","children":[' * 400 + leaf + "]}" * 400
+    assert next(links_of(deep))[1] == 400
+    text = '{"roots":{"bar":{"type":"folder","name":"Bar","children":[%s,{"type":"folder","name":"In","children":[%s,{"type":"url","name":"j","url":"javascript:1"}]},{"type":"url","url":"http://n"}]}}}' % (leaf, leaf)
+    assert list(links_of(text)) == [("Bar", 1, "x", "https://x"), ("Bar/In", 2, "x", "https://x"), ("Bar", 1, "http://n", "http://n")]
+    assert list(links_of(None)) == list(links_of("{")) == list(links_of("3")) == []
+
+
+def test_ignore_files_down_a_tree(spark, tmp_path):
+    from quarry.sources.ignorefiles import ignored_by, read_rules
+
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / ".gitignore").write_text("*.log\nbuild/\n")
+    (tmp_path / "a" / ".ignore").write_text("!keep.log\n/b/*.txt\n")
+    (tmp_path / "a" / "b" / ".gitignore").write_text("!x.txt\n")
+    (tmp_path / "a" / "other.txt").write_text("*\n")
+    paths = {"x.log": True, "a/x.log": True, "a/keep.log": False, "keep.log": True, "a/b/y.txt": True, "a/b/x.txt": False, "a/y.txt": False, "build": True}
+    rows = spark.createDataFrame([(p, p == "build") for p in paths], "path string, is_dir boolean")
+    got = {r["path"]: r["ignored"] for r in ignored_by(rows, read_rules(spark, str(tmp_path)), is_dir="is_dir").collect()}
+    assert got == paths

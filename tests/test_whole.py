@@ -56,7 +56,8 @@ def test_rename_reaches_all_nodes(spark, sf_dir):
     tree = _parents(spark, sf_dir)
     new = {i: f"renamed-{i - 10000}" for i in tree if 10000 <= i < 1000000 and i % 4 == 0}
     got = [(r["id"], r["path"]) for r in registry.queries()["cdc_rename"](spark, sf_dir).collect()]
-    assert sorted(got) == sorted((i, f"{new.get(p, tree[p][1])}/{name}") for i, (p, name) in tree.items())
+    shown = lambda i: new.get(i, tree[i][1])
+    assert sorted(got) == sorted((i, "/".join(["T:", *map(shown, _chain(tree, i)[-2::-1]), shown(i)])) for i in tree if i != 1)
 
 
 def test_closure_has_directories(spark, sf_dir):
