@@ -5,33 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import queries as Q
-from quarry.llm.common import stored, table
+from quarry.llm.common import dropped, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go; null, empty and short texts are such. Rows of an empty table: none."""
     return Q.keep_quality(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: that of the smallest doc_id."""
+    """One row of each SimHash group stays: that of the smallest doc_id, then fingerprint, then text hash. A row without an
+    id stays only if its group has none with one. All texts without words are one group."""
     return Q.keep_representatives(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages are cut out of the texts."""
+    """Repeated passages are cut out of the texts, which may become empty; n_chars follows. Null texts stay null; rows that
+    repeat id and text are one document; a null id orders first."""
     return Q.cut_repeats(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a contaminated text go."""
+    """Documents with a contaminated text go. Texts without words are clean, an empty benchmark leaves all."""
     return Q.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left."""
+    """Token ids of what is left, one row for each row; a null or empty text has the begin and end ids alone."""
     return Q.encoded(docs)
 
 
@@ -44,5 +46,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        kept = stored(stage(spark, docs, sf_dir), name)
+        dropped(docs)  # its successor is written
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
