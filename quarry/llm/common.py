@@ -19,23 +19,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a temporary one, but only on a local
+    master: on a cluster each executor would write to its own disk."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='quarry-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: df as a Parquet table in the shared folder, removed when the session ends."""
+    """Cuts the lineage: df as a Parquet table in the shared folder, removed by dropped() or when the session ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarry-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.deleteOnExit(where)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._stored_at = lambda: fs.delete(where, True)
+    return found
+
+
+def dropped(table: DataFrame) -> None:
+    """Removes a stored table that nothing reads any more; other DataFrames stay as they are."""
+    remove = getattr(table, "_stored_at", None)
+    if callable(remove):
+        remove()
 
 
 def n_buckets(spark: SparkSession, n_bytes: int, target: int) -> int:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import n_buckets, raw_texts, slices, stored
+from quarry.llm.common import dropped, n_buckets, raw_texts, slices, stored
 
 _NO_ID = -(1 << 63)
 SHINGLE = 4
@@ -355,7 +355,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         then = stored(small, "edges")
         mark = [F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h")]
-        if then.agg(*mark).first() == now.agg(*mark).first():
+        settled = then.agg(*mark).first() == now.agg(*mark).first()
+        dropped(now)
+        if settled:
             return then
         now = then
     raise RuntimeError("components did not settle")
