@@ -1,16 +1,18 @@
 """Chat formatting by schema fingerprints.
 
-The nested field paths of a record that any known layout uses are hashed; the hash selects a declarative mapping that
-turns the record into canonical turns (conversation, turn, role, text). Tables of one layout are mapped with column
-expressions by their schema; JSON lines of mixed layouts are mapped one by one. Turns are then marked up, with control
+All nested field paths of a record are hashed; the hash selects a declarative mapping that turns the record into
+canonical turns (conversation, turn, role, text). A fingerprint that is met for the first time is given the mapping of
+the layout whose fields it holds, the fullest such, and is known from then on. Tables of one layout are mapped with
+column expressions by their schema; a column of JSON records of mixed layouts is mapped record by record. Turns are then marked up, with control
 strings inside texts escaped reversibly, and assistant texts are put under the loss mask.
 
 A conversation is read in order by one task, because digests over it are sequential, but it is never held: turns stream
 through in sorted order and leave as pieces of bounded size, however long the conversation.
 
 Defined results: null texts and roles are empty; turns of equal number are ordered by role, then text; rows without a
-conversation id form one conversation. Columns that no layout knows are ignored. A record that fits no layout has no
-turns (its fingerprint is reported by fingerprint_of_json).
+conversation id form one conversation. Fields that no layout knows change the fingerprint but not the turns. A record
+that fits no layout, or isn't JSON, has no turns (its fingerprint is reported). A field that holds no text counts as its
+JSON, null as empty.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -46,20 +48,28 @@ ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assi
 #: (layout -> fields of one user text, joined by an empty line, and the assistant's field)
 _PAIRS = {"prompt_completion": (("prompt",), "completion"), "prompt_response": (("prompt",), "response"), "instruction": (("instruction",), "output"), "instruction_input": (("instruction", "input"), "output"), "question_answer": (("question",), "answer")}
 _LISTS = {"messages": ("messages", "role", "content"), "from_value": ("conversations", "from", "value")}
-_KNOWN = {p for paths in LAYOUTS.values() for p in paths}
 
 
-def fingerprint(paths: set[str] | tuple[str, ...]) -> str:
-    return hashlib.sha256("\n".join(sorted(p for p in set(paths) if p in _KNOWN)).encode()).hexdigest()
+def fingerprint(paths: Iterable[str]) -> str:
+    """Hash of all nested field paths of a record."""
+    return hashlib.sha256("\n".join(sorted(set(paths))).encode("utf-8", "surrogatepass")).hexdigest()
 
 
-_BY_PRINT = {fingerprint(paths): name for name, paths in LAYOUTS.items()}
+#: Fingerprint -> layout, of those met so far.
+_BY_PRINT: dict[str, str | None] = {fingerprint(paths): name for name, paths in LAYOUTS.items()}
+#: Fingerprints that are remembered; beyond, all but the layouts' own are forgotten.
+MAX_PRINTS = 10_000
 
 
 def layout_of(paths: set[str]) -> str | None:
-    """By fingerprint; where fields of other layouts stand beside a whole one, the fullest that is there whole."""
-    exact = _BY_PRINT.get(fingerprint(paths))
-    return exact or next((n for n, own in sorted(LAYOUTS.items(), key=lambda x: -len(x[1])) if set(own) <= paths), None)
+    """The mapping of a fingerprint; for a new one, of the fullest layout that is there whole."""
+    key = fingerprint(paths)
+    if key not in _BY_PRINT:
+        if len(_BY_PRINT) >= MAX_PRINTS:
+            for old in list(_BY_PRINT)[len(LAYOUTS) :]:
+                del _BY_PRINT[old]
+        _BY_PRINT[key] = next((n for n, own in sorted(LAYOUTS.items(), key=lambda x: -len(x[1])) if set(own) <= paths), None)
+    return _BY_PRINT[key]
 
 
 def schema_paths(kind: T.DataType, at: str = "") -> set[str]:
@@ -70,40 +80,81 @@ def schema_paths(kind: T.DataType, at: str = "") -> set[str]:
     return {at}
 
 
-def json_paths(value: Any, at: str = "") -> set[str]:
-    if isinstance(value, dict):
-        return {p for k, v in value.items() for p in json_paths(v, f"{at}.{k}" if at else k)}
-    if isinstance(value, list):
-        return {p for v in value for p in json_paths(v, f"{at}[]")}
-    return {at}
+def json_paths(value: Any) -> set[str]:
+    """Paths of all leaves; an empty object or array has none."""
+    found, stack = set(), [(value, "")]
+    while stack:
+        v, at = stack.pop()
+        if isinstance(v, dict):
+            stack += [(x, f"{at}.{k}" if at else k) for k, x in v.items()]
+        elif isinstance(v, list):
+            stack += [(x, f"{at}[]") for x in v]
+        else:
+            found.add(at)
+    return found
 
 
 def layout_of_schema(schema: T.StructType) -> str | None:
     return layout_of(schema_paths(schema))
 
 
-def fingerprint_of_json(line: str) -> str:
-    return fingerprint(json_paths(json.loads(line)))
-
-
-def turns_of_json(line: str | None) -> list[tuple[str, str]]:
-    """(role, text) turns of one JSON record of any known layout."""
+def _record(line: str | None) -> dict | None:
     try:
         record = json.loads(line) if line else None
-    except ValueError:
-        return []
-    layout = layout_of(json_paths(record)) if isinstance(record, dict) else None
+    except (ValueError, RecursionError):
+        return None
+    return record if isinstance(record, dict) else None
+
+
+def fingerprint_of_json(line: str | None) -> str | None:
+    record = _record(line)
+    return None if record is None else fingerprint(json_paths(record))
+
+
+def _text(value: Any) -> str:
+    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+
+
+def _turns(record: dict, layout: str | None) -> list[tuple[str, str]]:
     if layout == "turn_rows":
-        return [(record["role"] or "", record["text"] or "")]
+        return [(_text(record["role"]), _text(record["text"]))]
     if layout in _LISTS:
         field, role, text = _LISTS[layout]
-        return [(ROLES.get(m.get(role) or "", m.get(role) or ""), m.get(text) or "") for m in record[field]]
+        return [(ROLES.get(_text(m.get(role)), _text(m.get(role))), _text(m.get(text))) for m in record[field] if isinstance(m, dict)]
     if layout in _PAIRS:
         asked, answer = _PAIRS[layout]
-        return [("user", "\n\n".join(record[f] for f in asked if record[f])), ("assistant", record[answer] or "")]
+        return [("user", "\n\n".join(filter(None, (_text(record[f]) for f in asked)))), ("assistant", _text(record[answer]))]
     return []
 
 
+def turns_of_json(line: str | None) -> list[tuple[str, str]]:
+    """(role, text) turns of one JSON record of any known layout."""
+    record = _record(line)
+    return [] if record is None else _turns(record, layout_of(json_paths(record)))
+
+
+_TURNS = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("layout", pa.string()), ("fingerprint", pa.string())])
+
+
+def convert_records(df: DataFrame, id_col: str = "conv_id", json_col: str = "record") -> DataFrame:
+    """Turns of a column of JSON records of any layouts: conv_id, turn (within the record), role, text, and the record's
+    layout and fingerprint. A record without turns has one row with a null turn, so that no record is lost from sight."""
+
+    def turns(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for conv, line in rows:
+            record = _record(line)
+            paths = json_paths(record) if record is not None else None
+            layout, key = (None, None) if paths is None else (layout_of(paths), fingerprint(paths))
+            found = _turns(record, layout) if layout else []
+            for i, (role, text) in enumerate(found):
+                yield conv, i, role, text, layout, key
+            if not found:
+                yield conv, None, None, None, layout, key
+
+    kind = "conv_id long, turn long, role string, text string, layout string, fingerprint string"
+    return df.select(F.col(id_col).cast("long"), json_col).mapInArrow(lambda batches: _emit(turns(_consecutive(batches)), _TURNS), kind)
+
+
 def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """(conv_id, turn, role, text) rows of a table of one layout, chosen by its schema's fingerprint."""
     layout = layout_of_schema(df.schema)
@@ -189,8 +240,9 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 _DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
 
-def read_back(pieces: DataFrame) -> DataFrame:
-    """One row per conversation, read from formatted pieces as format_conversations() leaves them."""
+def read_back(pieces: DataFrame, ordered: bool = False) -> DataFrame:
+    """One row per conversation, read from formatted pieces. They are brought together and in order first, unless they come
+    straight from format_conversations(), which leaves them so."""
 
     def digests(rows: Iterator[tuple]) -> Iterator[tuple]:
         now: tuple | None = None
@@ -215,4 +267,6 @@ def read_back(pieces: DataFrame) -> DataFrame:
         return x[0], x[3][0], x[1].hexdigest(), x[3][1], x[2].hexdigest(), x[3][2]
 
     run: Callable = lambda batches: _emit(digests(_consecutive(batches)), _DIGESTS)
+    if not ordered:
+        pieces = pieces.select(*_PIECES.names).repartition("conv_id").sortWithinPartitions("conv_id", "piece")
     return pieces.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

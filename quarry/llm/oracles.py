@@ -14,6 +14,13 @@ _REPEATS = """SELECT rid, CAST(count(*) AS BIGINT) AS n_hit, CAST(sum(length(w[k
      SELECT rid, t.i AS i, array_to_string(w[t.i : t.i + {n} - 1], ' ') AS s FROM d, unnest(range(1, greatest(len(w) - {n} + 2, 1))) AS t(i))), unnest(range(0, {n})) AS u(j) WHERE c > 1) JOIN d USING (rid) GROUP BY rid"""
 
 ORACLE_SQL = {
+    "chat_records": """
+WITH r AS (SELECT conv_id * 1000 + turn AS record_id, (conv_id + turn) % 6 AS kind, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations)
+SELECT record_id, CAST(0 AS BIGINT) AS turn, role, text, ['turn_rows', 'messages', 'from_value'][kind + 1] AS layout FROM r WHERE kind < 3
+UNION ALL SELECT record_id, 0, 'user', CASE WHEN kind = 3 THEN text WHEN text = '' THEN 'say' ELSE 'say' || chr(10) || chr(10) || text END, ['prompt_completion', 'instruction_input'][kind - 2] FROM r WHERE kind IN (3, 4)
+UNION ALL SELECT record_id, 1, 'assistant', 'ok', ['prompt_completion', 'instruction_input'][kind - 2] FROM r WHERE kind IN (3, 4)
+UNION ALL SELECT record_id, NULL, NULL, NULL, NULL FROM r WHERE kind = 5
+""",
     "op1_warc_fixity": f"""
 WITH r AS (SELECT page_id, page_id // 4096 AS shard, page_id % 4096 AS slot, html, {_RECORD} AS record FROM pages)
 SELECT page_id, shard, slot, CAST(sum(strlen(record)) OVER (PARTITION BY shard ORDER BY slot) - strlen(record) AS BIGINT) AS "offset",

@@ -339,6 +339,32 @@ def test_long_conversation_leaves_in_pieces(spark, monkeypatch):
     assert r["n_turns"] == 200 and r["loss_sha256"] == hashlib.sha256("".join(t for _, _, x, t in rows if x == "assistant").encode()).hexdigest()
 
 
+def test_chat_records_of_mixed_layouts(spark):
+    lines = ['{"role":"user","text":"a"}', '{"messages":[{"role":"user","content":null},{"role":"x","content":["p"]},3]}', '{"prompt":5,"completion":null,"new":{"deep":[1]}}', "{", None, "[1]", "", '{"messages":[]}', "[" * 100_000, '{"unknown":1}', '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"z"}],"id":"7"}']
+    df = spark.createDataFrame([(i, x, "t") for i, x in enumerate(lines)] + [(None, lines[0], "t"), (0, lines[0], "t")], "conv_id long, record string, text string").repartition(3)
+    got = {}
+    for r in chat_format.convert_records(df).collect():
+        got.setdefault(r["conv_id"], []).append((r["turn"], r["role"], r["text"], r["layout"]))
+    assert got[None] == [(0, "user", "a", "turn_rows")] and got[0] == got[None] * 2
+    assert sorted(got[2]) == [(0, "user", "5", "prompt_completion"), (1, "assistant", "", "prompt_completion")]
+    assert sorted(got[10]) == [(0, "user", "q", "from_value"), (1, "assistant", "z", "from_value")]
+    assert all(got[i] == [(None, None, None, None)] for i in (3, 4, 5, 6, 7, 8, 9))
+    assert chat_format.fingerprint_of_json('{"a":1,"b":{"c":[{"d":2}]}}') == chat_format.fingerprint(["a", "b.c[].d"])
+    assert chat_format.fingerprint_of_json(lines[2]) != chat_format.fingerprint_of_json('{"prompt":5,"completion":null}')
+    assert chat_format.convert_records(df.limit(0)).count() == 0
+
+
+def test_pieces_read_back_in_any_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(chat_format, "PIECE_CHARS", 50)
+    rows = [(c, i, "assistant" if i % 2 else "user", f"turn {i} of {c}") for c in range(5) for i in range(30)]
+    pieces = chat_format.format_conversations(chat_format.canonical_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    pieces.repartition(7, "piece").write.parquet(f"{tmp_path}/pieces")
+    again = chat_format.read_back(spark.read.parquet(f"{tmp_path}/pieces"))
+    key = lambda r: r["conv_id"]
+    assert sorted(again.collect(), key=key) == sorted(chat_format.read_back(pieces, ordered=True).collect(), key=key) and again.count() == 5
+    assert chat_format.read_back(pieces.limit(0)).count() == 0 and chat_format.format_conversations(pieces.limit(0).selectExpr("conv_id", "piece turn", "formatted role", "formatted text")).count() == 0
+
+
 # ---- WARC
 
 
@@ -547,6 +573,23 @@ def test_quality_training_on_awkward_rows(spark):
 # ---- pipeline
 
 
+def test_pipeline_on_awkward_tables(spark, tmp_path):
+    """Null ids, repeated rows, null and empty texts, an extra column; and an empty table."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    fresh = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    good, other = fresh(120), fresh(120)
+    rows = [(1, good), (1, good), (None, good), (None, other), (2, None), (3, ""), (4, " "), (5, "\u00e9" * 3000), (None, None)]
+    docs = spark.createDataFrame([(i, t, None, None, None, 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _doc int")
+    for name, table in (("some", docs), ("none", docs.limit(0))):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, fresh(20)), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
+    assert sorted((r["doc_id"] for r in out), key=str) == [1, None]
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
