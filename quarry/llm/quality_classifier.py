@@ -29,8 +29,8 @@ from quarry.llm.common import raw_texts, slices
 SAMPLE_ROWS = 4000
 CHUNK, OVERLAP = 512, 64
 WIDTH, FILTERS = 8, 24
-#: Chunks that are worked on at once.
-PART = 256
+#: Chunks that are worked on at once; their responses should stay in a core's cache.
+PART = 16
 STEPS, BATCH, RATE, DECAY = 500, 48, 0.01, 1e-4
 
 
@@ -41,17 +41,20 @@ class ByteNet:
     weight: np.ndarray  # 2 * FILTERS + 1
     shift: float
 
-    def pooled(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Largest response of each filter in each chunk (rows of bytes), and where it is."""
-        top, where = np.zeros((len(chunks), FILTERS), np.float32), np.zeros((len(chunks), FILTERS), np.int64)
+    def pooled(self, chunks: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """Largest response of each filter in each chunk (rows of bytes), and on demand where it is."""
+        top = np.zeros((len(chunks), FILTERS), np.float32)
+        where = np.zeros((len(chunks), FILTERS), np.int64) if places else None
         wide = chunks.shape[1] - WIDTH + 1
+        term = np.empty((min(PART, len(chunks)), wide, FILTERS), np.float32)
         for i in range(0, len(chunks), PART):
             x = chunks[i : i + PART]
-            out = self.table[0][x[:, :wide]]
+            out = np.take(self.table[0], x[:, :wide], axis=0)
             for j in range(1, WIDTH):
-                out += self.table[j][x[:, j : j + wide]]
-            at = out.argmax(1)
-            top[i : i + PART], where[i : i + PART] = np.take_along_axis(out, at[:, None, :], 1)[:, 0], at
+                out += np.take(self.table[j], x[:, j : j + wide], axis=0, out=term[: len(x)], mode="clip")
+            top[i : i + PART] = out.max(1)
+            if places:
+                where[i : i + PART] = out.argmax(1)
         return np.maximum(top + self.bias, 0), where
 
     def probability(self, pooled: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -92,7 +95,7 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 11) -> ByteNet | Non
         rows = [chunks_of(texts[i]) for i in pick]
         x, size = np.concatenate(rows), np.array([len(r) for r in rows])
         first = np.cumsum(size) - size
-        pooled, where = net.pooled(x)
+        pooled, where = net.pooled(x, True)
         net.shift = float(params[3][0])
         p = net.probability(pooled, first)
         d = ((p - labels[pick]) * importance / len(pick)).astype(np.float32)
