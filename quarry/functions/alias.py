@@ -6,10 +6,13 @@ available.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,6 +71,40 @@ def best_alias(aliases: DataFrame, pattern: Q.Pattern) -> DataFrame:
     return aliases.join(each, "alias").groupBy("name").agg(F.max_by("alias", F.struct("alias_score", "alias")).alias("alias"), F.max("alias_score").alias("alias_score"))
 
 
+@dataclass(frozen=True)
+class AliasProvider:
+    """Spellings of names, and of query terms; stored spellings of another version are made anew."""
+
+    provider_id: int
+    version: int
+    spell: Callable[[str], list[str]]
+    query_forms: Callable[[str], list[str]] = lambda term: []
+
+
+def spelled(names: DataFrame, providers: list[AliasProvider]) -> DataFrame:
+    """(name, provider_id, version, alias) of distinct names by all providers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(n, p.provider_id, p.version, a) for n in batch.column(0).to_pylist() if n is not None for p in providers for a in p.spell(n)]
+            columns = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.string()))], names=["name", "provider_id", "version", "alias"])
+
+    return names.select("name").distinct().mapInArrow(run, "name string, provider_id int, version int, alias string")
+
+
+def reconcile(stored: DataFrame, names: DataFrame, providers: list[AliasProvider]) -> DataFrame:
+    """Stored aliases less those of other versions, providers or names, and the spellings of what has none in this version."""
+    each = names.select("name").where("name is not null").distinct()
+    current = reduce(lambda a, b: a | b, ((F.col("provider_id") == p.provider_id) & (F.col("version") == p.version) for p in providers), F.lit(False))
+    kept = stored.where(current).join(each, "name", "left_semi")
+    made = []
+    for p in providers:
+        have = kept.where(F.col("provider_id") == p.provider_id).select("name").distinct()
+        made.append(spelled(each.join(have, "name", "left_anti"), [p]))
+    return reduce(DataFrame.unionByName, made, kept.select("name", "provider_id", "version", "alias"))
+
+
 def generate(name: str, readings: Mapping[str, tuple[str, ...]] = SAMPLE_READINGS) -> list[str]:
     """Initials alias and full alias: variants joined by '|', a joint mark between adjacent transliterated characters."""
     if not any(c in readings for c in name):

@@ -2,7 +2,7 @@
 
 | provider | shape |
 |-|-|
-| alias | name -> alternative spellings (an Arrow UDF over distinct names), query text -> forms |
+| alias | name -> alternative spellings (an Arrow UDF over distinct names), query term -> forms, with a version (`alias.AliasProvider`) |
 | token | (token, rows) -> rows or None; reorders or filters, never adds (`operators.ranking.PROVIDERS`) |
 | items | session -> rows of (name, path, weight) |
 | instant | query text -> rows, as a table function |
@@ -21,21 +21,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import instant
+from quarry.functions.alias import AliasProvider
 from quarry.functions import query as Q
 from quarry.functions import scoring as S
 
 
 @dataclass
 class Extensions:
+    aliases: list[AliasProvider] = field(default_factory=list)
     items: list[Callable[[SparkSession], DataFrame]] = field(default_factory=list)
     instants: list[Callable[[str], Iterator[tuple[str, str]]]] = field(default_factory=list)
     columns: dict[str, Callable[[], Column]] = field(default_factory=dict)
     filters: dict[str, Column] = field(default_factory=dict)
 
+    def query_forms(self, term: str) -> list[str]:
+        """Alternative spellings of a query term by all alias providers, for parse_pattern()."""
+        return list(dict.fromkeys(f for p in self.aliases for f in p.query_forms(term)))
+
     def catalog(self, spark: SparkSession) -> DataFrame:
         """All item providers' rows."""
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (f(spark) for f in self.items))
 
+    def filtered(self, rows: DataFrame, groups: list[list[str]]) -> DataFrame:
+        """Rows that meet a filter of every group; a name that no provider has filters everything."""
+        tests = [reduce(lambda a, b: a | b, (self.filters.get(n, F.lit(False)) for n in names), F.lit(False)) for names in groups]
+        return rows.where(reduce(lambda a, b: a & b, tests, F.lit(True)))
+
     def with_columns(self, rows: DataFrame) -> DataFrame:
         return rows.withColumns({name: make() for name, make in self.columns.items()})
 

@@ -1,4 +1,4 @@
-"""Search query text to dataclasses; pure Python, run on the driver.
+"""Search query text to dataclasses; pure Python, run on the driver but for trigger_columns().
 
 '/' and '\\\\' are both taken as separators; the port's paths use '/'.
 """
@@ -9,6 +9,9 @@ import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 FUZZY, EXACT, BOUNDARY, PREFIX, SUFFIX, EQUAL = "fuzzy", "exact", "boundary", "prefix", "suffix", "equal"
 
 
@@ -77,6 +80,15 @@ def type_trigger(text: str, triggers: dict[str, str]) -> tuple[str | None, str]:
     return (triggers[text[0]], text[1:].lstrip()) if text and text[0] in triggers else (None, text)
 
 
+def trigger_columns(text: Column, triggers: dict[str, str]) -> tuple[Column, Column]:
+    """type_trigger() over a column: (result type or null, text without its trigger)."""
+    first = F.substring(text, 1, 1)
+    kind = F.lit(None).cast("string")
+    for c, name in triggers.items():
+        kind = F.when(first == c, name).otherwise(kind)
+    return kind, F.when(kind.isNotNull(), F.ltrim(F.substring(text, 2, 1 << 30))).otherwise(text)
+
+
 def keyword_gate(text: str, keyword: str) -> str | None:
     """What follows '<keyword> ', or None if the text isn't for that keyword."""
     word, _, rest = text.strip().partition(" ")

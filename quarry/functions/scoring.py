@@ -447,6 +447,15 @@ def weight_udf(pattern: Q.Pattern):
     return F.pandas_udf(lambda names: pd.Series(weights(list(names), pattern), dtype=float), T.DoubleType()).asNondeterministic()
 
 
+def best_weight_udf(pattern: Q.Pattern):
+    """Texts -> the best weight of any of them."""
+
+    def best(*columns: pd.Series) -> pd.Series:
+        return pd.DataFrame({i: weights(list(c), pattern) for i, c in enumerate(columns)}).max(axis=1).astype(float)
+
+    return F.pandas_udf(best, T.DoubleType()).asNondeterministic()
+
+
 def ranges_udf(pattern: Q.Pattern):
     """Name -> [from, to, from, to, ...] of its highlighted characters."""
     return F.pandas_udf(lambda names: pd.Series([[i for r in runs(x) for i in r] for x in marks_of([n or "" for n in names], pattern)]), T.ArrayType(T.IntegerType())).asNondeterministic()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,14 +29,20 @@ def segment_hit(name: Column, left: Column, segments: list[str]) -> Column:
     return out
 
 
-def directory_scores(dirs: DataFrame, segments: list[str]) -> DataFrame:
-    """(parent_path, dir_score, dir_weight) of distinct directories; only matching ones, each scored once."""
+def directory_scores(dirs: DataFrame, segments: list[str], aliases: Callable[[str], list[str]] | None = None) -> DataFrame:
+    """(parent_path, dir_score, dir_weight) of distinct directories; only matching ones, each scored once.
+
+    A segment that a name doesn't match is tried on the name's aliases, the first hit counting, with no further gate."""
     patterns = [Q.parse_pattern(s) for s in segments]
 
     def run(batch: pd.Series) -> pd.DataFrame:
         rows = [list(x) for x in batch]
         each = sorted({n for x in rows for n in x})  # names repeat from directory to directory
         scores = [dict(zip(each, S.pattern_matches(each, p))) for p in patterns]
+        for found, p in zip(scores, patterns) if aliases else ():
+            for n in each:
+                if found[n] is None:
+                    found[n] = next((m for m in S.pattern_matches(aliases(n), p) if m), None)
         hit = [[n for n in each if found[n]] for found in scores]
         shares = [dict(zip(names, S.weights(names, p))) for names, p in zip(hit, patterns)]
         out = []
@@ -49,17 +57,20 @@ def directory_scores(dirs: DataFrame, segments: list[str]) -> DataFrame:
 
     kind = T.StructType([T.StructField("dir_score", T.IntegerType()), T.StructField("dir_weight", T.DoubleType())])
     score = F.pandas_udf(run, kind).asNondeterministic()
-    hit = dirs.where(positional_match(F.col("up_names"), segments))
+    hit = positional_match(F.col("up_names"), segments)
+    if aliases:  # names beyond ASCII may match by alias alone
+        hit = hit | F.exists("up_names", lambda n: n.rlike("[^\\x00-\\x7F]"))
+    hit = dirs.where(hit)
     return hit.withColumn("d", score("up_names")).select("parent_path", "d.*").where("dir_score > 0")
 
 
-def search_path(rows: DataFrame, text: str, limit: int) -> DataFrame:
+def search_path(rows: DataFrame, text: str, limit: int, aliases: Callable[[str], list[str]] | None = None) -> DataFrame:
     """Path-mode search: directory part by position, name part as a pattern; head-room capped at PATH_CAP."""
     parsed = Q.parse_query(text)
     segments = [s for s in parsed.directory.split("/") if s and not s.endswith(":")]
     pattern = Q.parse_pattern(parsed.name)
     up = rows.withColumn("up_names", F.slice("names", 1, F.size("names") - 1))
-    dirs = directory_scores(up.select("parent_path", "up_names").distinct(), segments)
+    dirs = directory_scores(up.select("parent_path", "up_names").distinct(), segments, aliases)
     hits = up.join(dirs, "parent_path")
     if pattern.sets:
         hits = hits.join(N.scored_names(rows, pattern).select("name", "score", "k_span", "k_position"), "name")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,9 +55,16 @@ def top(rows: DataFrame, limit: int, *more: str) -> DataFrame:
     return rows.orderBy(*KEY, *more, "id").limit(limit)
 
 
-def search(rows: DataFrame, text: str, limit: int, fuzzy: bool = True) -> DataFrame:
+def favorites(rows: DataFrame, pattern: Q.Pattern) -> DataFrame:
+    """Favourites (custom, url, path) whose display name matches: the custom name, else the url, else the path's last part.
+    Adds name and weight."""
+    shown = rows.withColumn("name", F.coalesce(F.nullif("custom", F.lit("")), F.nullif("url", F.lit("")), F.regexp_extract("path", "([^/]+)/*$", 1)))
+    return shown.where(P.pattern_column(F.col("name"), pattern)).withColumn("weight", S.weight_udf(pattern)("name"))
+
+
+def search(rows: DataFrame, text: str, limit: int, fuzzy: bool = True, alias_forms: Callable[[str], Iterable[str]] | None = None) -> DataFrame:
     """Two-stage ranked search: unweighted top with head-room, then scores weighted by coverage, then the limit."""
-    pattern = Q.parse_pattern(text, fuzzy)
+    pattern = Q.parse_pattern(text, fuzzy, alias_forms)
     if pattern.drive:
         rows = rows.where(F.lower("source_key") == pattern.drive)
     elif not pattern.sets:

@@ -85,17 +85,18 @@ _START = "instr(lower(name), 'ring')"
 _BONUS = f"CASE WHEN {_START} = 1 OR substr(name, {_START} - 1, 1) = ' ' THEN 10 WHEN substr(name, {_START} - 1, 1) IN ('/', ':', ';', ',', '|') THEN 9 ELSE 8 END"
 
 
+def _scored(spark, sf_dir, text: str) -> DataFrame:
+    return N.scored_names(catalog.parts(spark, sf_dir), Q.parse_pattern(text))
+
+
 @query(f"SELECT DISTINCT name, 16 * 4 + 10 * 5 + {_BONUS} AS score FROM parts WHERE regexp_matches(lower(name), '(^|[^a-z0-9])ring([^a-z0-9]|$)')")
 def score_boundary(spark, sf_dir):
-    names = N.matching_names(catalog.parts(spark, sf_dir), Q.parse_pattern("'ring'"))
-    start = F.instr(F.lower("name"), "ring")
-    return names.select("name", (16 * 4 + 10 * 5 + P.boundary_bonus(F.col("name"), start)).alias("score"))
+    return _scored(spark, sf_dir, "'ring'").select("name", "score")
 
 
 @query("SELECT DISTINCT name, CAST(26 * length(trim(name)) + 10 AS INTEGER) AS score FROM parts WHERE lower(trim(name)) = 'red widget.economy'")
 def score_equal(spark, sf_dir):
-    names = N.matching_names(catalog.parts(spark, sf_dir), Q.parse_pattern("^red\\ widget.economy$"))
-    return names.select("name", ((P.SCORE_MATCH + P.BONUS_WHITE) * F.length(F.trim("name")) + P.BONUS_WHITE).alias("score"))
+    return _scored(spark, sf_dir, "^red\\ widget.economy$").select("name", "score")
 
 
 # a literal term at a word start: 16 a character, the bonus of the start carried through the run and doubled on the first
@@ -105,32 +106,33 @@ FROM (SELECT name, instr(lower(name), 'bolt') AS p, CASE WHEN instr(lower(name),
 
 @query(_KEYS)
 def rank_key(spark, sf_dir):
-    """All four rank fields of a literal term, natively."""
-    names = N.matching_names(catalog.parts(spark, sf_dir), Q.parse_pattern("'bolt"))
-    at = F.instr(F.lower("name"), "bolt")
-    score = P.SCORE_MATCH * 4 + P.boundary_bonus(F.col("name"), at) * 5
-    return names.select("name", *N.rank_fields(F.col("name"), at - 1, at + 3, score))
+    """All four rank fields of a literal term."""
+    return _scored(spark, sf_dir, "'bolt").select("name", *N.KEY)
 
 
 @query(f"""WITH k AS ({_KEYS}) SELECT CAST(row_number() OVER (ORDER BY k_score, k_length, k_span, k_position, id) AS INTEGER) AS place, id, name FROM parts JOIN k USING (name)
  ORDER BY k_score, k_length, k_span, k_position, id LIMIT 25""")
 def topk_rank(spark, sf_dir):
     """Top k by key then id; the window only numbers the k rows."""
-    rows = catalog.parts(spark, sf_dir)
-    best = N.top(N.fan_out(rank_key(spark, sf_dir), rows), 25)
+    best = N.top(N.fan_out(_scored(spark, sf_dir, "'bolt"), catalog.parts(spark, sf_dir)), 25)
     return best.select(F.row_number().over(Window.orderBy(*N.KEY, "id")).alias("place"), "id", "name")
 
 
-@query("""SELECT id, name, k_score, k_length, k_span, k_position FROM (SELECT id, name, -(16 * 4 + (CASE WHEN p = 1 OR substr(name, p - 1, 1) = ' ' THEN 10 ELSE 8 END) * 5 + 16 * 4 + 10 * 5) AS k_score, CAST(length(trim(name)) AS INTEGER) AS k_length, CAST(p + 3 AS INTEGER) AS k_span, 0 AS k_position
- FROM (SELECT id, name, instr(lower(name), 'bolt') AS p FROM parts WHERE contains(lower(name), 'bolt') AND starts_with(lower(name), 'blue'))) ORDER BY k_score, k_length, k_span, k_position, id LIMIT 20""")
+_BOTH = """SELECT id, name, 16 * 4 + (CASE WHEN p = 1 OR substr(name, p - 1, 1) = ' ' THEN 10 ELSE 8 END) * 5 + 16 * 4 + 10 * 5 AS score, CAST(length(trim(name)) AS INTEGER) AS k_length, CAST(p + 3 AS INTEGER) AS k_span, 0 AS k_position,
+ length(name) AS n FROM (SELECT id, name, instr(lower(name), 'bolt') AS p FROM parts WHERE contains(lower(name), 'bolt') AND starts_with(lower(name), 'blue'))"""
+
+
+@query(f"SELECT id, name, -score AS k_score, k_length, k_span, k_position FROM ({_BOTH}) ORDER BY k_score, k_length, k_span, k_position, id LIMIT 20")
 def search_name_exact(spark, sf_dir):
-    """Minimum slice: "'bolt ^blue" end to end in native columns."""
-    rows = catalog.parts(spark, sf_dir)
-    names = N.matching_names(rows, Q.parse_pattern("'bolt ^blue"))
-    at = F.instr(F.lower("name"), "bolt")
-    score = P.SCORE_MATCH * 8 + P.boundary_bonus(F.col("name"), at) * 5 + P.BONUS_WHITE * 5
-    keyed = names.select("name", *N.rank_fields(F.col("name"), F.lit(0), at + 3, score))
-    return N.top(N.fan_out(keyed, rows), 20).select("id", "name", *N.KEY)
+    """Minimum slice: "'bolt ^blue" end to end, without the second stage."""
+    return N.top(N.fan_out(_scored(spark, sf_dir, "'bolt ^blue"), catalog.parts(spark, sf_dir)), 20).select("id", "name", *N.KEY)
+
+
+@query(f"""WITH x AS ({_BOTH}), first AS (SELECT * FROM x ORDER BY -score, k_length, k_span, k_position, id LIMIT 160)
+SELECT id, name, score, CAST(-floor(score * (8.0 / n * (32.0 / 64))) AS INTEGER) AS k_score, k_length, k_span, k_position FROM first ORDER BY k_score, k_length, k_span, k_position, id LIMIT 20""")
+def search_name_weighted(spark, sf_dir):
+    """Both stages of a search: two words of four characters that stand apart weigh 8 / length times 32 / 64."""
+    return N.search(catalog.parts(spark, sf_dir), "'bolt ^blue", 20).select("id", "name", "score", *N.KEY)
 
 
 @query()
@@ -193,11 +195,33 @@ def alias_weight(spark, sf_dir):
     return rows.select("id", alias_score(F.col("c"), F.col("l"), F.col("s")).alias("w"))
 
 
-@query("SELECT DISTINCT name, greatest(CASE WHEN contains(name, 'ing') THEN round(3.0 / length(name), 9) ELSE 0 END, CASE WHEN contains(ext, 'ing') THEN round(3.0 / length(ext), 9) ELSE 0 END, CASE WHEN contains(folder, '1') THEN 0.125 ELSE 0 END) AS best FROM parts")
+@query("SELECT DISTINCT name, ext, folder, round(greatest(CASE WHEN contains(lower(name), 'ing') THEN 3.0 / length(name) ELSE 0 END, CASE WHEN contains(lower(ext), 'ing') THEN 3.0 / length(ext) ELSE 0 END, CASE WHEN contains(lower(folder), 'ing') THEN 3.0 / length(folder) ELSE 0 END), 9) AS best FROM parts")
 def best_of_texts(spark, sf_dir):
     """Best weight over a title and its other texts."""
-    share = lambda c: F.when(F.col(c).contains("ing"), F.round(3.0 / F.length(c), 9)).otherwise(0.0)
-    return catalog.parts(spark, sf_dir).select("name", F.greatest(share("name"), share("ext"), F.when(F.col("folder").contains("1"), 0.125).otherwise(0.0)).alias("best")).distinct()
+    rows = catalog.parts(spark, sf_dir).select("name", "ext", "folder").distinct()
+    return rows.select("*", F.round(S.best_weight_udf(Q.parse_pattern("'ing"))("name", "ext", "folder"), 9).alias("best"))
+
+
+@query("""SELECT id, CASE WHEN contains(lower(name), 'srng') THEN 'name' WHEN contains(lower(replace(name, ' ', '')), 'dbol') THEN 'form' END AS by FROM parts WHERE contains(lower(name), 'srng') OR contains(lower(replace(name, ' ', '')), 'dbol')""")
+def match_alias_forms(spark, sf_dir):
+    """A provider's alternative spellings of a term join its set of alternatives, after the term itself."""
+    pattern = Q.parse_pattern("'srng", alias_forms=lambda text: ["dbol"] if text == "srng" else [])
+    rows = catalog.parts(spark, sf_dir).withColumn("joined", F.replace("name", F.lit(" "), F.lit("")))
+    plain = Q.parse_pattern("'srng")
+    return rows.where(P.pattern_column(F.col("joined"), pattern) | P.pattern_column(F.col("name"), plain)).select("id", F.when(P.pattern_column(F.col("name"), plain), "name").otherwise("form").alias("by"))
+
+
+@query("SELECT name, provider_id, CAST(CASE provider_id WHEN 1 THEN 2 ELSE 1 END AS INTEGER) AS version, CASE provider_id WHEN 1 THEN substr(name, 1, 1) || substr(name, instr(name, ' ') + 1, 1) ELSE replace(name, ' ', '') END AS alias FROM (SELECT DISTINCT name FROM parts) CROSS JOIN (VALUES (1), (2)) AS p(provider_id)")
+def alias_reconcile(spark, sf_dir):
+    """Stored aliases of an older provider version, of a provider that is gone and of names that are gone are replaced."""
+    from quarry.functions import alias as A
+
+    names = catalog.parts(spark, sf_dir).select("name")
+    initials = A.AliasProvider(1, 2, lambda n: [n[:1] + n[n.find(" ") + 1 : n.find(" ") + 2]])
+    joined = A.AliasProvider(2, 1, lambda n: [n.replace(" ", "")])
+    old = names.distinct().select("name", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("provider_id"), F.lit(1).alias("version"), F.when(F.col("provider_id") == 2, F.replace("name", F.lit(" "), F.lit(""))).otherwise(F.reverse("name")).alias("alias"))
+    old = old.where("name not like 'red%' or provider_id <> 2").unionByName(spark.createDataFrame([("gone", 2, 1, "gone")], old.schema))
+    return A.reconcile(old, names, [initials, joined])
 
 
 @query()
@@ -209,9 +233,47 @@ def match_mixed(spark, sf_dir):
     return cases.withColumn("m", mixed_match_udf("重qing")("name")).where("m.score is not null").select("name", "m.*")
 
 
-@query("SELECT name, contains(lower(name), 'na') AS hit, 'favorite' AS kind FROM (SELECT n_name AS name FROM nation) WHERE contains(lower(name), 'na')")
+@query("""SELECT id, name, round(2.0 / length(name), 9) AS weight FROM (SELECT n_nationkey AS id, CASE n_nationkey % 3 WHEN 0 THEN 'My nation ' || n_nationkey WHEN 1 THEN 'https://fav.example/' || n_name ELSE n_name END AS name FROM nation)
+ WHERE contains(lower(name), 'na') AND length(name) - length(replace(lower(name), 'na', '')) = 2""")
 def match_favorites(spark, sf_dir):
-    """Display name: custom name, else url, else leaf name."""
-    favorites = catalog.table(spark, sf_dir, "nation").select(F.lit(None).cast("string").alias("custom"), F.lit(None).cast("string").alias("url"), F.concat(F.lit("T:/"), "n_name").alias("path"))
-    shown = favorites.select(F.coalesce("custom", "url", F.regexp_extract("path", "([^/]+)$", 1)).alias("name"))
-    return shown.where(P.pattern_column(F.col("name"), Q.parse_pattern("'na"))).select("name", F.lit(True).alias("hit"), F.lit("favorite").alias("kind"))
+    """Display name: custom name, else url, else leaf name; with its match weight."""
+    key = F.col("n_nationkey")
+    favorites = catalog.table(spark, sf_dir, "nation").select(key.alias("id"), F.when(key % 3 == 0, F.concat(F.lit("My nation "), key.cast("string"))).alias("custom"), F.when(key % 3 == 1, F.concat(F.lit("https://fav.example/"), "n_name")).alias("url"), F.concat(F.lit("T:/"), "n_name").alias("path"))
+    found = N.favorites(favorites, Q.parse_pattern("'na"))
+    return found.where(F.regexp_count(F.lower("name"), F.lit("na")) == 1).select("id", "name", F.round("weight", 9).alias("weight"))
+
+
+# ---- providers
+def _extensions():
+    from quarry.functions.extensions import Extensions
+
+    return Extensions(
+        items=[lambda spark: spark.sql("SELECT 'Control' AS name, 'c:/control' AS path, 1.0D AS weight"), lambda spark: spark.sql("SELECT 'Fonts' AS name, 'c:/fonts' AS path")],
+        columns={"initial": lambda: F.upper(F.substring("name", 1, 1)), "length": lambda: F.length("name").cast("string")},
+        filters={"bolts": F.col("name").contains("bolt"), "large": F.col("size") > 50 * 1048576, "small": F.col("size") < 1048576},
+    )
+
+
+@query("SELECT 'Control' AS name, 'c:/control' AS path, 1.0::DOUBLE AS weight UNION ALL SELECT 'Fonts', 'c:/fonts', NULL")
+def ext_items(spark, sf_dir):
+    """Rows of all item providers."""
+    return _extensions().catalog(spark)
+
+
+@query("SELECT id, upper(substr(name, 1, 1)) AS initial, CAST(length(name) AS VARCHAR) AS length FROM parts")
+def ext_columns(spark, sf_dir):
+    return _extensions().with_columns(catalog.parts(spark, sf_dir)).select("id", "initial", "length")
+
+
+@query("SELECT id FROM parts WHERE contains(name, 'bolt') AND (size > 50 * 1048576 OR size < 1048576)")
+def ext_filters(spark, sf_dir):
+    """Sidebar filters of providers: alternatives within a group, all groups together."""
+    return _extensions().filtered(catalog.parts(spark, sf_dir), [["bolts"], ["large", "small"]]).select("id")
+
+
+@query("SELECT page_id, CASE WHEN substr(url, 1, 1) = 'h' THEN 'web' ELSE 'other' END AS kind, CASE WHEN substr(url, 1, 1) = 'h' THEN ltrim(substr(url, 2)) ELSE url END AS rest FROM pages WHERE url IS NOT NULL")
+def type_triggers(spark, sf_dir):
+    """The first character picks a result type and is taken off, as a column."""
+    rows = catalog.table(spark, sf_dir, "pages").where("url is not null")
+    kind, rest = Q.trigger_columns(F.col("url"), {"h": "web"})
+    return rows.select("page_id", F.coalesce(kind, F.lit("other")).alias("kind"), rest.alias("rest"))
