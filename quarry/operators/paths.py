@@ -69,11 +69,13 @@ def search_path(rows: DataFrame, text: str, limit: int, aliases: Callable[[str],
     parsed = Q.parse_query(text)
     segments = [s for s in parsed.directory.split("/") if s and not s.endswith(":")]
     pattern = Q.parse_pattern(parsed.name)
+    if parsed.drive:  # a one-letter first part is a drive
+        rows = rows.where(F.lower(F.substring("path", 1, 2)) == f"{parsed.drive}:")
     up = rows.withColumn("up_names", F.slice("names", 1, F.size("names") - 1))
     dirs = directory_scores(up.select("parent_path", "up_names").distinct(), segments, aliases)
     hits = up.join(dirs, "parent_path")
     if pattern.sets:
-        hits = hits.join(N.scored_names(rows, pattern).select("name", "score", "k_span", "k_position"), "name")
+        hits = N.fan_out(N.scored_names(rows, pattern).select("name", "score", "k_span", "k_position"), hits)
     else:
         hits = hits.select("*", F.lit(0).alias("score"), F.lit(65535).alias("k_span"), F.lit(65535).alias("k_position"))
     total = F.col("score") + F.col("dir_score")

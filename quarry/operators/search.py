@@ -13,6 +13,8 @@ from quarry.functions import scoring as S
 
 #: Fixed values of two-stage ranking: least limit, head-room, scan head-room, cap in path mode.
 LEAST_LIMIT, HEADROOM, SCAN_HEADROOM, PATH_CAP = 8, 8, 5, 4000
+#: Parts that the rows of one name are dealt to.
+SALTS = 16
 
 
 def names_of(rows: DataFrame) -> DataFrame:
@@ -46,9 +48,13 @@ def scored_names(rows: DataFrame, pattern: Q.Pattern, scheme: str = "default") -
     return hits.select("name", "m.*").select("name", "begin", "end", "score", *rank_fields(F.col("name"), F.col("begin"), F.col("end"), F.col("score")))
 
 
-def fan_out(names: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows of the names. The dictionary's size follows the data, so the join strategy is left to its measured size."""
-    return rows.join(names, "name")
+def fan_out(names: DataFrame, rows: DataFrame, salts: int = SALTS) -> DataFrame:
+    """Rows of the names. The dictionary's size follows the data, so the join strategy is left to its measured size. A name
+    can be a third of all rows, and behind a distinct the planner doesn't split a skewed join: rows are dealt by name and
+    a salt of their id, and each (distinct) name goes to every salt."""
+    each = names.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    own = [c for c in rows.columns if c == "id"] or rows.columns
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*own), F.lit(salts)).cast("int")).join(each, ["name", "_salt"]).drop("_salt")
 
 
 def top(rows: DataFrame, limit: int, *more: str) -> DataFrame:

@@ -317,7 +317,7 @@ def path_fuzzy(spark, sf_dir):
 
 @query()
 def rank_path(spark, sf_dir):
-    return H.search_path(catalog.paths(spark, sf_dir), "a/_3/12", 20).select("id", "path", "score", "dir_score", "k_score", "k_length", "k_span", "k_position")
+    return H.search_path(catalog.paths(spark, sf_dir), "t:/e/_3/12", 20).select("id", "path", "score", "dir_score", "k_score", "k_length", "k_span", "k_position")
 
 
 @query("""SELECT id, path FROM paths WHERE (contains(lower(name), 'order-12') OR contains(lower(name), 'asia'))

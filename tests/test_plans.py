@@ -1,5 +1,6 @@
 """All registered queries against DuckDB, plan shapes, UDF row counts, random trees against a Python model."""
 
+import hashlib
 import random
 from datetime import datetime, timedelta
 
@@ -280,3 +281,158 @@ def test_ignore_files_down_a_tree(spark, tmp_path):
     rows = spark.createDataFrame([(p, p == "build") for p in paths], "path string, is_dir boolean")
     got = {r["path"]: r["ignored"] for r in ignored_by(rows, read_rules(spark, str(tmp_path)), is_dir="is_dir").collect()}
     assert got == paths
+
+
+def _names(spark, sf_dir):
+    return [r[0] for r in catalog.parts(spark, sf_dir).select("name").distinct().collect()]
+
+
+def test_search_name_against_model(spark, sf_dir):
+    """Every part is scored, ranked, cut, weighted and ranked again in Python."""
+    pattern = Q.parse_pattern("smrg !plate")
+    rows = [(r["id"], r["name"]) for r in catalog.parts(spark, sf_dir).collect()]
+    point = lambda n, b: 0 if b == 0 else (256 if not n[b - 1].isalnum() or n[b - 1].islower() and n[b].isdigit() else 4096) + b
+    keyed = []
+    for i, n in rows:
+        m = S.pattern_match(n, pattern)
+        if m:
+            keyed.append(((-m[2], len(n.strip()), m[1] - m[0], point(n, m[0]), i), n, m[2]))
+    first = sorted(keyed)[: 20 * N.HEADROOM]
+    final = sorted(((-int(score * w) if (w := S.weight(S.marks(n, pattern))) < 1 else -score, *key[1:]) for key, n, score in first))[:20]
+    got = registry.queries()["search_name"](spark, sf_dir).collect()
+    assert [(r["k_score"], r["k_length"], r["k_span"], r["k_position"], r["id"]) for r in got] == final and got
+
+
+def test_highlight_ranges_against_model(spark, sf_dir):
+    got = {r["name"]: r["ranges"] for r in registry.queries()["highlight_ranges"](spark, sf_dir).collect()}
+    want = {}
+    for n in _names(spark, sf_dir):
+        low = n.lower()
+        places = S.fuzzy(n, "sml")
+        if places and "ring" in low:
+            mask = [False] * len(n)
+            at = [i for i in range(len(n)) if low.startswith("sml", i)]
+            for i in [k for a in at for k in range(a, a + 3)] or places[3]:
+                mask[i] = True
+            for a in range(len(n)):
+                if low.startswith("ring", a):
+                    mask[a : a + 4] = [True] * 4
+            edges = [i for i in range(len(n) + 1) if (i < len(n) and mask[i]) != (i > 0 and mask[i - 1])]
+            want[n] = edges
+    assert got == want and len(got) > 3
+
+
+def test_match_alias_against_model(spark, sf_dir):
+    from quarry.functions import alias as A
+
+    pattern, want = Q.parse_pattern("srng"), {}
+    for n in _names(spark, sf_dir):
+        literal = S.pattern_match(n, Q.parse_pattern("'srng"))
+        found = []
+        for text in (n[0] + n[n.find(" ") + 1], n.replace(" ", "")):
+            m = S.pattern_match(text, pattern)
+            if m and A.accepts(pattern, text, m):
+                span = m[1] - m[0]
+                found.append(round(m[2] * 4 / span) if span > 4 else m[2])
+        if literal or found:
+            want[n] = (literal[2], False) if literal else (max(found), True)
+    got = {r["name"]: (r["score"], r["by_alias"]) for r in registry.queries()["match_alias"](spark, sf_dir).collect()}
+    assert got == want and got
+
+
+def test_rank_path_against_model(spark, sf_dir):
+    rows = catalog.paths(spark, sf_dir).collect()
+    segments, pattern, keyed = [Q.parse_pattern("e"), Q.parse_pattern("_3")], Q.parse_pattern("12"), []
+    best = {}
+    for r in rows:
+        up, name = tuple(r["names"][:-1]), r["name"]
+        if up not in best:
+            q, score, w = 1, 0, 1.0
+            for n in reversed(up):
+                m = S.pattern_match(n, segments[q]) if q >= 0 else None
+                if m:
+                    score, w, q = score + m[2], w * (S.weight(S.marks(n, segments[q])) or 1.0), q - 1
+            best[up] = (score, w) if q < 0 else None
+        m = S.pattern_match(name, pattern) if best[up] else None
+        if m:
+            b = m[0]
+            at = 0 if b == 0 else (256 if not name[b - 1].isalnum() or name[b - 1].islower() and name[b].isdigit() else 4096) + b
+            tail = ((min(r["depth"], 255) << 8) + min(len(name), 255), m[1] - b, at, r["id"])
+            keyed.append(((-(m[2] + best[up][0]), *tail), name, m[2], best[up]))
+    first = sorted(keyed)[: min(20 * 8 * 5, 4000)]
+    final = sorted((-int(score * S.weight(S.marks(name, pattern)) + d * w), *key[1:]) for key, name, score, (d, w) in first)[:20]
+    got = registry.queries()["rank_path"](spark, sf_dir).collect()
+    assert [(r["k_score"], r["k_length"], r["k_span"], r["k_position"], r["id"]) for r in got] == final and got
+
+
+def test_path_search_by_alias(spark):
+    from quarry.functions import alias as A
+
+    rows = [(1, "重庆", "重庆 report.txt"), (2, "zq", "report.txt"), (3, "北京", "report.txt")]
+    df = spark.createDataFrame([(i, n, f"T:/{d}", 2, [d, n], f"T:/{d}/{n}") for i, d, n in rows], "id long, name string, parent_path string, depth int, names array<string>, path string")
+    assert {r["id"] for r in H.search_path(df, "zq/report", 10).collect()} == {2}
+    assert H.search_path(df, "u:/zq/report", 10).count() == 0 and H.search_path(df, "t/zq/report", 10).count() == 1
+    assert {r["id"] for r in H.search_path(df, "zq/report", 10, A.generate).collect()} == {1, 2}
+
+
+def test_path_changes_against_model(spark):
+    rng = random.Random(8)
+    base = {f"a/{i % 4}/{i}": (False, i) for i in range(40)} | {"a": (True, 0), **{f"a/{k}": (True, 0) for k in range(4)}}
+    changes = [(f"{rng.choice('ab')}/{rng.randint(0, 5)}" + (f"/{rng.randint(0, 50)}" if rng.random() < 0.8 else ""), False, u, rng.choice(["add", "add", "remove"]), u) for u in range(60)]
+    last = {c[0]: c for c in sorted(changes, key=lambda c: c[4])}
+    gone = [p for p, c in last.items() if c[3] == "remove"]
+    now = {p: v for p, v in base.items() if not any(p == g or p.startswith(g + "/") for g in gone)}
+    adds = {p: (c[1], c[2]) for p, c in last.items() if c[3] == "add"}
+    now.update(adds)
+    for p in list(adds):
+        parts = p.split("/")
+        for k in range(1, len(parts)):
+            now.setdefault("/".join(parts[:k]), (True, 0))
+    got = M.apply_path_changes(spark.createDataFrame([(p, *v) for p, v in base.items()], "path string, is_dir boolean, size long"), spark.createDataFrame(changes, "path string, is_dir boolean, size long, action string, usn long"))
+    assert {r["path"]: (r["is_dir"], r["size"]) for r in got.collect()} == now
+
+
+def test_settings_behind_a_keyword(spark):
+    from quarry.operators import ranking as R
+
+    rows = spark.createDataFrame([(i, f"Setting {i}") for i in range(20)], "id long, name string")
+    count = lambda text: R.keyword_list(rows, text, "set", "name").count()
+    assert count("set xyz") == 0 and count("set 1") == 8 and count("set") == 20 and count("other 1") == 0
+
+
+def test_environment_and_ages(spark):
+    from quarry.functions import instant as I
+
+    cases = {"%A%;x": "1;x", "%a%%B%": "12", "50%": "50%", "%%": "%%", "%X%A%": "%X1", "a%B": "a%B", "": "", "%A% %Y% %B%": "1 %Y% 2"}
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert {r[0]: r[1] for r in df.select("t", I.expand_env(F.col("t"), {"A": "1", "b": "2"})).collect()} == cases
+    ages = {5: "5s ago", 59: "59s ago", 60: "1m ago", 3599: "59m ago", 3600: "1h ago", 3660: "1h 1m ago", 86400: "1d ago", 93600: "1d 2h ago"}
+    df = spark.createDataFrame([(s,) for s in ages], "s long")
+    assert {r[0]: r[1] for r in df.select("s", I.age_label(F.col("s"))).collect()} == ages
+    ticks = spark.createDataFrame([(133_485_408_000_000_007,), (0,), (-5,)], "f long")
+    assert [r[0] for r in ticks.select(I.filetime_seconds(F.col("f"))).collect()] == [1704067200, 0, 0]
+
+
+def test_fingerprint_refuses_too_many_values(spark, monkeypatch):
+    from quarry.operators import aggregates as G
+
+    monkeypatch.setattr(G, "MAX_VALUES", 3)
+    assert G.fingerprint(spark.createDataFrame([(x,) for x in ("b", " a", "a ", None, "c")], "v string"), "v").first()[0] == hashlib.sha256(b"a;b;c").hexdigest()
+    with pytest.raises(Exception, match="more than 3 values"):
+        G.fingerprint(spark.range(9).selectExpr("cast(id as string) v"), "v").collect()
+
+
+def test_a_hot_name_is_split(spark):
+    """Rows of one name are half of all: no partition of the join holds them all, and none is lost."""
+    rows = spark.range(30_000).select("id", F.when(F.col("id") % 2 == 0, "hot bolt").otherwise(F.concat(F.lit("bolt "), F.col("id").cast("string"))).alias("name"))
+    settings = {"spark.sql.shuffle.partitions": "32", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = N.fan_out(N.matching_names(rows, Q.parse_pattern("'bolt")), rows)
+        sizes = [r["n"] for r in found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert sum(sizes) == 30_000 and max(sizes) < 6_000
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
