@@ -47,7 +47,7 @@ FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN total ON total.doc_id
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, {_WORDS10} AS w FROM documents),
 r3 AS ({_REPEATS.format(n=3)}), r5 AS ({_REPEATS.format(n=5)}), r7 AS ({_REPEATS.format(n=7)}), r10 AS ({_REPEATS.format(n=10)}),
 line AS (SELECT rid, x FROM (SELECT rid, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]')),
-ln AS (SELECT rid, sum(n) - count(*) AS dups, sum(n * strlen(x)) AS every, sum(strlen(x)) AS once FROM (SELECT rid, x, count(*) AS n FROM line GROUP BY rid, x) GROUP BY rid),
+ln AS (SELECT rid, sum(n) - count(*) AS dups, sum(n * length(x)) AS every, sum(length(x)) AS once FROM (SELECT rid, x, count(*) AS n FROM line GROUP BY rid, x) GROUP BY rid),
 m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(dups, 0) AS n_dup_lines,
         coalesce(r3.n_hit, 0) AS n_repeat_words, coalesce((every - once) / CAST(every AS DOUBLE), 0) AS lines,
         coalesce(r5.chars, 0) AS c5, coalesce(r7.chars, 0) AS c7, coalesce(r10.chars, 0) AS c10

@@ -5,7 +5,8 @@ lie inside n-grams found at least twice in the same text, and the share inside r
 row, so there is no shuffle; texts are worked on in slices of bounded size.
 
 Defined results: a null text is empty (no words, base_failed). White space alone has no words. Every input row gives
-one output row, repeated rows and null ids included; other columns of the input are ignored.
+one output row, repeated rows and null ids included; other columns of the input are ignored. Windows of words are told
+apart by 64-bit hashes within their text: of n words, the odds of a chance pair are below n^2 / 2^65.
 """
 
 from __future__ import annotations
@@ -25,12 +26,18 @@ MAX_LINE_COVERAGE = 0.40
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = b"#*$%&|<>"
+#: Bytes of UTF-8 that begin no character.
+_INNER_BYTES = bytes(range(0x80, 0xC0))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SCHEMA = "{id} long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line_coverage double, ngram_coverage array<double>, base_failed boolean, kept boolean"
 
 
+def _code_points(raw: bytes) -> int:
+    return len(raw.translate(None, _INNER_BYTES))
+
+
 def _repeated(hashes: np.ndarray, doc: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     """For each word: does it lie in an n-word window that its text holds at least twice?"""
     m = len(hashes)
@@ -77,8 +84,8 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
         own = [x for x in t.split(b"\n") if x.strip()]
         lines[i] = len(own) - len(set(own))
         if lines[i]:
-            every = sum(map(len, own))
-            line_cover[i] = (every - sum(map(len, set(own)))) / every
+            every = sum(map(_code_points, own))
+            line_cover[i] = (every - sum(map(_code_points, set(own)))) / every
     out = {"n_words": n_words, "word_chars": total.astype(np.int64), "n_dup_lines": lines, "line_coverage": line_cover}
     out["n_symbols"] = np.array([len(t) - len(t.translate(None, SYMBOLS)) for t in texts], np.int64)
     out["n_repeat_words"] = np.bincount(doc, _repeated(hashes, doc, ends, 3), k).astype(np.int64)

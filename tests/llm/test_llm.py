@@ -80,6 +80,8 @@ def test_quality_rules(spark):
         r = got[i]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == brute_rules(t)
         assert not (r["base_failed"] and r["kept"])
+    lines = ["é" * 30, "plain line of words", "é" * 30, "日本語"]
+    assert abs(quality_rules.measure(["\n".join(lines).encode()])["line_coverage"][0] - 30 / sum(map(len, lines))) < 1e-12
     unique = " ".join(f"w{i}" for i in range(200))
     passage = " ".join(f"p{i}" for i in range(60))
     m = quality_rules.measure([unique.encode(), (passage + " " + unique + " " + passage + " " + passage).encode()])
