@@ -83,11 +83,6 @@ def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("usn"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("id"), reason.alias("reason"), F.floor(F.col("value") * 100).cast("long").alias("size"))
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First lines of documents as long names: id, name."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("name"))
-
-
 #: DuckDB texts of the same views.
 CTE = {
     "parts": "SELECT p_partkey AS id, p_name || '.' || lower(p_type) AS name, lower(p_type) AS ext, p_brand AS folder, 'P:/' || p_brand || '/' || p_name || '.' || lower(p_type) AS path, CAST(p_size AS BIGINT) * p_size * 65536 AS size, 'P' AS source_key FROM part",
@@ -106,6 +101,5 @@ CTE = {
  SELECT * FROM r""",
     "page_paths": "SELECT page_id, url, regexp_extract(url, '://([^/?#]+)', 1) AS host, regexp_replace(regexp_extract(url, '://([^?#]+)', 1), '/+$', '') AS path, regexp_extract(regexp_replace(regexp_extract(url, '://([^?#]+)', 1), '/+$', ''), '([^/]*)$', 1) AS name FROM pages",
     "journal": f"SELECT event_id AS usn, CAST(ts AS TIMESTAMP) AS ts, user_id AS id, CASE event_type WHEN 'signup' THEN {FILE_CREATE} WHEN 'click' THEN {DATA_EXTEND} WHEN 'view' THEN {BASIC_INFO} WHEN 'purchase' THEN {RENAME_NEW} WHEN 'error' THEN {FILE_DELETE} ELSE 0 END AS reason, CAST(floor(value * 100) AS BIGINT) AS size FROM events",
-    "lines": "SELECT doc_id AS id, split_part(text, chr(10), 1) AS name FROM documents",
 }
-VIEWS = {"parts": parts, "tree": tree, "paths": paths, "page_paths": page_paths, "journal": journal, "lines": lines}
+VIEWS = {"parts": parts, "tree": tree, "paths": paths, "page_paths": page_paths, "journal": journal}
