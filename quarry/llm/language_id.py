@@ -5,8 +5,8 @@ k-means over a bounded sample; a text takes the language of the centroid of larg
 that centroid than nearly all of its own training texts is marked as rejected (distance-based rejection); the nearest
 language is given nevertheless.
 
-The sample holds at most SAMPLE_ROWS rows: those of smallest id hash in each language, an equal share for each. Only
-their vectors come to the driver. Prediction covers the whole text of every row and shuffles nothing.
+The sample holds at most SAMPLE_ROWS rows: those of smallest id hash in each language, an equal share for each, rows that
+repeat id, text and language once. Only their vectors come to the driver. Prediction covers the whole text of every row and shuffles nothing.
 
 Defined results: a null text or one without a letter is `und` with score 0. Without any row to learn from, everything
 is. Null languages are not learned from. A null id counts as the text '' where rows are told apart by id.
@@ -121,7 +121,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 counts = count_vectors(texts[a:b])
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([c.tobytes() for c in counts], pa.binary())], names=["_lang", "_h", "v"])
 
-    rows = picked.select("_text", "_lang", F.xxhash64("_id", "_text").alias("_h")).mapInArrow(run, "_lang string, _h long, v binary").orderBy("_h").limit(2 * SAMPLE_ROWS).collect()
+    rows = picked.select("_text", "_lang", F.xxhash64("_id", "_text").alias("_h")).mapInArrow(run, "_lang string, _h long, v binary").dropDuplicates(["_lang", "_h"]).orderBy("_h", "_lang").limit(SAMPLE_ROWS).collect()
     if not rows:
         return None
     return fit(np.stack([np.frombuffer(r["v"], np.float32) for r in rows]), [r["_lang"] for r in rows])

@@ -43,8 +43,8 @@ LENGTH = 100
 GRAM = 24
 #: Differing runs of one anchor within a slice from which on the anchor counts as hot.
 HOT = 48
-#: Bytes of text worked on at once: a slice takes some hundred bytes of arrays for each.
-SLICE = 2 << 20
+#: Bytes of text worked on at once: a slice takes about 60 bytes of arrays for each.
+SLICE = 1 << 20
 #: Bytes of text whose runs a bucket should hold.
 BUCKET_BYTES = 16 << 20
 
