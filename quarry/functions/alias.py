@@ -215,3 +215,23 @@ def mixed_match_udf(term: str):
 
 def generate_udf():
     return F.pandas_udf(lambda s: s.map(lambda x: generate(x or "")), T.ArrayType(T.StringType())).asNondeterministic()
+
+
+def segment_udf(syllables: Iterable[str]):
+    """Query -> its best reading, syllables parted by blanks; empty without one."""
+    known = set(syllables)
+
+    def run(queries: pd.Series) -> pd.Series:
+        return queries.map(lambda q: " ".join((segment(q or "", known) or [[]])[0])).astype(object)
+
+    return F.pandas_udf(run, T.StringType())
+
+
+def position_udf():
+    """(name, alias) -> positions parted by commas, null where they don't belong together."""
+
+    def run(names: pd.Series, aliases: pd.Series) -> pd.Series:
+        found = [position_map(n, a) if n and a else None for n, a in zip(names, aliases)]
+        return pd.Series([None if x is None else ",".join(map(str, x)) for x in found], dtype=object)
+
+    return F.pandas_udf(run, T.StringType())

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from typing import Any
 from urllib.parse import quote
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -274,3 +275,22 @@ def normal_path(path: Column) -> Column:
 def path_id(path: Column) -> Column:
     """64-bit id of a path, case and separators aside."""
     return F.xxhash64(F.lower(normal_path(path)))
+
+
+def calculate_udf():
+    """Text -> what calculate() shows, or null; each distinct text of a batch is worked out once."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        shown = {t: calculate(t) for t in set(texts) if t is not None}
+        return texts.map(lambda t: shown.get(t)).astype(object)
+
+    return F.pandas_udf(run, "string")
+
+
+def command_udf(template: str):
+    """Rest of a query -> the command that a template makes of it."""
+
+    def run(rest: pd.Series) -> pd.Series:
+        return rest.map(lambda t: fill_command(template, t) if t is not None else None).astype(object)
+
+    return F.pandas_udf(run, "string")

@@ -50,3 +50,12 @@ def last_used(rows: DataFrame, history: DataFrame) -> DataFrame:
     """Rows with the time of their last use (id, at), or the largest number where they have none."""
     latest = history.groupBy("id").agg(F.max("at").alias("last_at"))
     return rows.join(latest, "id", "left").withColumn("last_at", F.coalesce("last_at", F.lit((1 << 63) - 1)))
+
+
+def items(shortcuts: DataFrame, apps: DataFrame) -> DataFrame:
+    """(id, name, kind) of an item catalog: apps, and shortcuts (id, name, target) of which the first of each target within
+    a name stays, unless an app bears the name, case aside."""
+    once = shortcuts.groupBy("name", "target").agg(F.min("id").alias("id"))
+    named = apps.select(F.lower("name").alias("_name")).distinct()
+    others = once.withColumn("_name", F.lower("name")).join(named, "_name", "left_anti")
+    return apps.select("id", "name", F.lit("app").alias("kind")).unionByName(others.select("id", "name", F.lit("shortcut").alias("kind")))

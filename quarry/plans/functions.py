@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quarry.functions import alias as A
 from quarry.functions import instant as I
@@ -23,10 +22,12 @@ def calc_functions(spark, sf_dir):
     return catalog.table(spark, sf_dir, "part").select("p_partkey", F.round(I.to_column(text, {"x": F.col("p_size").cast("double")}), 6).alias("v"))
 
 
-@query("SELECT * FROM (VALUES ('1+1', '2'), ('2^3^2', '512'), ('-2^2', '4'), ('1/0', NULL), ('pi', '3.1415926536'), ('42', NULL), ('hello', NULL), ('0x10*2', '32'), ('min(3,1,0)', '1'), ('min(3)', NULL), ('10%4', '2'), ('1/3', '0.3333333333')) AS t(expr, shown)")
+@query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN NULL WHEN 1 THEN CAST(p_size + p_size % 7 * 2 AS VARCHAR) WHEN 2 THEN NULL WHEN 3 THEN CAST(p_size * p_size AS VARCHAR) WHEN 4 THEN CAST(greatest(p_size, 9) AS VARCHAR) ELSE NULL END AS shown FROM part")
 def calc_gate(spark, sf_dir):
-    cases = ["1+1", "2^3^2", "-2^2", "1/0", "pi", "42", "hello", "0x10*2", "min(3,1,0)", "min(3)", "10%4", "1/3"]
-    return spark.createDataFrame([(c, I.calculate(c)) for c in cases], "expr string, shown string")
+    """What a query text shows as a calculation: plain numbers, words and what can't be worked out show nothing."""
+    size = F.col("p_size").cast("string")
+    text = F.element_at(F.array(size, F.concat(size, F.lit("+"), (F.col("p_size") % 7).cast("string"), F.lit("*2")), F.col("p_name"), F.concat(F.lit("(-"), size, F.lit(")^2")), F.concat(F.lit("max("), size, F.lit(", 9)")), F.concat(size, F.lit("/0"))), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return catalog.table(spark, sf_dir, "part").select("p_partkey", I.calculate_udf()(text).alias("shown"))
 
 
 @query("SELECT p_partkey, '0x' || upper(to_hex(p_partkey)) AS as_hex, '0b' || to_binary(p_partkey) AS as_bin, '0' || to_base(p_partkey, 8) AS as_oct FROM part")
@@ -52,10 +53,10 @@ def url_template(spark, sf_dir):
     return catalog.table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("https://find.example/?q="), enc(F.col("p_name")), F.lit("&b="), enc(F.col("p_brand"))).alias("url"))
 
 
-@query("SELECT * FROM (VALUES ('open %s1 now', 'a b', 'open a now'), ('run {2}', 'a', 'run '), ('say {}', 'x y', 'say x y'), ('q %s', 'a b', 'q a b')) AS t(template, rest, command)")
+@query("SELECT p_partkey, 'open ' || split_part(p_name, ' ', 2) || ' -a ' || split_part(p_name, ' ', 1) || ' -x  ' || p_name || ' ' || p_name AS command FROM part")
 def command_template(spark, sf_dir):
-    cases = [("open %s1 now", "a b"), ("run {2}", "a"), ("say {}", "x y"), ("q %s", "a b")]
-    return spark.createDataFrame([(t, r, I.fill_command(t, r)) for t, r in cases], "template string, rest string, command string")
+    """Arguments by number, one that isn't there, and all of them."""
+    return catalog.table(spark, sf_dir, "part").select("p_partkey", I.command_udf("open %s2 -a {1} -x {9} %s {}")("p_name").alias("command"))
 
 
 @query("SELECT id, 'P:/' || folder || '/' || name AS path, true AS same_id FROM parts")
@@ -87,29 +88,44 @@ def project_display_path(spark, sf_dir):
     return catalog.parts(spark, sf_dir).select("id", F.regexp_replace("path", "/[^/]*$", "").alias("parent"), F.concat(F.lit("//share/"), F.expr("substr(path, 4)")).alias("shown"))
 
 
-@query("SELECT 'calculator' AS kind, '2' AS result UNION ALL SELECT 'base', '0xFF'")
+@query("SELECT id, 'calculator' AS kind, CAST(id + 1 AS VARCHAR) AS result FROM parts WHERE id % 50 < 2 UNION ALL SELECT id, 'base', '0x' || upper(to_hex(id)) FROM parts WHERE id % 50 = 2")
 def instant_udtf(spark, sf_dir):
-    """Instant results as a table function in SQL."""
+    """Instant results as a table function in SQL, joined laterally; texts that ask for nothing have no rows."""
     from quarry.functions.extensions import register
 
     register(spark)
-    return spark.sql("SELECT * FROM instant_results('1+1') UNION ALL SELECT * FROM instant_results('255 to hex')")
+    return spark.sql("SELECT p.id, r.kind, r.result FROM {parts} p, LATERAL instant_results(CASE WHEN p.id % 50 < 2 THEN p.id || '+1' WHEN p.id % 50 = 2 THEN p.id || ' to hex' ELSE p.name END) r", parts=catalog.parts(spark, sf_dir))
 
 
-@query()
+#: Names beyond ASCII, dealt to the parts by size.
+_NAMES = ("重庆火锅", "和", "北京", "plain")
+
+
+def _dealt(spark, sf_dir, values, name):
+    pick = F.element_at(F.array(*(F.lit(v) for v in values)), (F.col("p_size") % len(values) + 1).cast("int"))
+    return catalog.table(spark, sf_dir, "part").select("p_partkey", pick.alias(name))
+
+
+@query("SELECT p_partkey, ['zqhg|cqhg;zhong~qing~huo~guo|chong~qing~huo~guo', 'he|hu|huo', 'bj;bei~jing', ''][p_size % 4 + 1] AS aliases FROM part")
 def alias_generate(spark, sf_dir):
-    names = spark.createDataFrame([("重庆火锅",), ("和",), ("北京",), ("plain",)], "name string")
-    return names.select("name", A.generate_udf()("name").alias("aliases"))
+    """Initials and full spellings of distinct names, fanned out; '~' stands for the joint of two syllables."""
+    rows = _dealt(spark, sf_dir, _NAMES, "name")
+    made = rows.select("name").distinct().withColumn("aliases", F.translate(F.array_join(A.generate_udf()("name"), ";"), A.JOINT, "~"))
+    return rows.join(made, "name").select("p_partkey", "aliases")
 
 
-@query()
+@query("SELECT p_partkey, ['chong qing huo guo', 'bei j', '', 'zhong g', ''][p_size % 5 + 1] AS first_form FROM part")
 def pinyin_segment(spark, sf_dir):
-    known = A.syllables_of()
-    cases = ["chongqinghuoguo", "beij", "zhong", "zhongg", "xyz"]
-    return spark.createDataFrame([(c, A.segment(c, known)) for c in cases], T.StructType([T.StructField("q", T.StringType()), T.StructField("forms", T.ArrayType(T.ArrayType(T.StringType())))]))
+    """The best reading of a query as two or more syllables, the last perhaps half typed."""
+    rows = _dealt(spark, sf_dir, ("chongqinghuoguo", "beij", "zhong", "zhongg", "xyz"), "q")
+    read = rows.select("q").distinct().withColumn("first_form", A.segment_udf(A.syllables_of())("q"))
+    return rows.join(read, "q").select("p_partkey", "first_form")
 
 
-@query()
+@query("SELECT p_partkey, ['0,1', '0,0,0,0,0,1,1,1,1', NULL][p_size % 3 + 1] AS positions FROM part")
 def alias_position_map(spark, sf_dir):
-    cases = [("重庆", "cq"), ("重庆", "chong\u0002qing"), ("北京", "xx")]
-    return spark.createDataFrame([(n, a, A.position_map(n, a)) for n, a in cases], "name string, alias string, positions array<int>")
+    """For each letter of an alias the letter of the name it stands for; nothing where they don't belong together."""
+    rows = _dealt(spark, sf_dir, ("重庆|cq", "重庆|chong~qing", "北京|xx"), "pair")
+    parts = F.split("pair", r"\|")
+    read = rows.select("pair").distinct().withColumn("positions", A.position_udf()(parts[0], F.translate(parts[1], "~", A.JOINT)))
+    return rows.join(read, "pair").select("p_partkey", "positions")

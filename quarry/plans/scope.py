@@ -74,9 +74,13 @@ def src_url_tree(spark, sf_dir):
     return prefixes.select(F.array_join("x.p", "/").alias("path"), F.element_at("x.p", -1).alias("name"), F.col("x.depth").alias("depth")).distinct()
 
 
-@query("SELECT name, min(id) AS id, count(*) AS n FROM parts GROUP BY name")
+@query("""WITH s AS (SELECT name, size % 5 AS target, min(id) AS id FROM parts GROUP BY name, size % 5), a AS (SELECT min(id) AS id, name FROM parts WHERE starts_with(name, 'red') GROUP BY name)
+ SELECT id, name, 'app' AS kind FROM a UNION ALL SELECT id, name, 'shortcut' FROM s WHERE lower(name) NOT IN (SELECT lower(name) FROM a)""")
 def src_items_dedup(spark, sf_dir):
-    return catalog.parts(spark, sf_dir).groupBy("name").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    """Item catalog: one shortcut of each target within a name, and none of a name that an app has."""
+    rows = catalog.parts(spark, sf_dir)
+    apps = rows.where("name like 'red%'").groupBy("name").agg(F.min("id").alias("id"))
+    return J.items(rows.select("id", "name", (F.col("size") % 5).alias("target")), apps)
 
 
 @query("SELECT DISTINCT path, page_id FROM page_paths WHERE host IN (SELECT host FROM page_paths GROUP BY host ORDER BY count(*) DESC, host LIMIT 3) AND contains(lower(name), '1')")

@@ -50,11 +50,11 @@ def match_fuzzy_long(spark, sf_dir):
     return scored.select("id", F.lit(True).alias("hit"), "m.*")
 
 
-@query("""SELECT t.text AS text, list_bool_or(list_transform(string_split(t.text, '|'), lambda s: contains(s, 'ab') AND contains(s, 'cd'))) AS hit
-FROM (VALUES ('ab cd'), ('ab|cd'), ('x|cd ab|y'), ('abcd'), ('a|b|cd')) AS t(text)""")
+@query("SELECT p_partkey AS id, list_bool_or(list_transform([lower(p_name), lower(p_brand), lower(p_type)], lambda s: contains(s, 'bolt') AND contains(s, 'bl'))) AS hit FROM part")
 def match_segmented(spark, sf_dir):
-    cases = spark.createDataFrame([("ab cd",), ("ab|cd",), ("x|cd ab|y",), ("abcd",), ("a|b|cd",)], "text string")
-    return cases.select("text", P.segmented_column(F.col("text"), Q.parse_pattern("'ab 'cd")).alias("hit"))
+    """A text of several segments matches if one of them does; the terms don't straddle segments."""
+    rows = catalog.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws("|", "p_name", "p_brand", "p_type").alias("text"))
+    return rows.select("id", P.segmented_column(F.col("text"), Q.parse_pattern("'bolt 'bl")).alias("hit"))
 
 
 _BITS = "list_reduce(list_prepend(CAST(0 AS UBIGINT), list_transform(list_distinct(string_split(lower(name), '')), lambda c: CAST(1 AS UBIGINT) << CAST(CASE WHEN c BETWEEN 'a' AND 'z' THEN ascii(c) - 97 WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 22 ELSE 36 + ascii(c) % 28 END AS UBIGINT))), lambda a, b: a | b)"
@@ -224,13 +224,23 @@ def alias_reconcile(spark, sf_dir):
     return A.reconcile(old, names, [initials, joined])
 
 
-@query()
+@query("SELECT p_partkey AS id, [0, NULL, 0, NULL][p_size % 4 + 1] AS begin, [2, NULL, 2, NULL][p_size % 4 + 1] AS \"end\", CAST(80 AS INTEGER) AS score FROM part WHERE p_size % 4 = 0")
 def match_mixed(spark, sf_dir):
-    """Terms that mix source letters and alias spelling."""
+    """Terms that mix source letters and alias spelling: of these names only the first has both, one behind the other."""
     from quarry.functions.alias import mixed_match_udf
 
-    cases = spark.createDataFrame([("重庆火锅",), ("北京烤鸭",), ("重庆qing",), ("plain",)], "name string")
-    return cases.withColumn("m", mixed_match_udf("重qing")("name")).where("m.score is not null").select("name", "m.*")
+    names = F.array(*(F.lit(n) for n in ("重庆火锅", "北京烤鸭", "庆重", "plain")))
+    rows = catalog.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.element_at(names, (F.col("p_size") % 4 + 1).cast("int")).alias("name"))
+    found = rows.select("name").distinct().withColumn("m", mixed_match_udf("重qing")("name")).where("m.score is not null")
+    return rows.join(found, "name").select("id", "m.begin", "m.end", "m.score")
+
+
+@query("""SELECT DISTINCT name, scheme, CAST(64 + 5 * CASE WHEN p = 1 THEN at_start ELSE 8 END AS INTEGER) AS score FROM (SELECT name, instr(lower(name), 'bolt') AS p FROM parts) CROSS JOIN (VALUES ('path', 9), ('history', 8)) AS s(scheme, at_start) WHERE p > 0""")
+def score_schemes(spark, sf_dir):
+    """A literal at a word start under the other schemes: a path begins behind a delimiter, and white space counts as any boundary."""
+    rows = catalog.parts(spark, sf_dir)
+    each = [N.scored_names(rows, Q.parse_pattern("'bolt"), scheme).select("name", F.lit(scheme).alias("scheme"), "score") for scheme in ("path", "history")]
+    return each[0].unionByName(each[1])
 
 
 @query("""SELECT id, name, round(2.0 / length(name), 9) AS weight FROM (SELECT n_nationkey AS id, CASE n_nationkey % 3 WHEN 0 THEN 'My nation ' || n_nationkey WHEN 1 THEN 'https://fav.example/' || n_name ELSE n_name END AS name FROM nation)
