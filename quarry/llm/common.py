@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +52,11 @@ def dropped(table: DataFrame) -> None:
         remove()
 
 
+def unnamed(df: DataFrame) -> DataFrame:
+    """df with its columns named by place, so that an operator's own columns clash with none."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def n_buckets(spark: SparkSession, n_bytes: int, target: int) -> int:
     """Buckets of a packed shuffle: as many as the bytes need to be of the target size, four to a shuffle task at least."""
     return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_bytes) // target))
@@ -66,6 +72,15 @@ def raw_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def portions(batches: Iterable[pa.RecordBatch], at: int | str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about limit bytes of the text column at, so that a worker never holds a whole batch as
+    Python objects; what is cut isn't copied."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
+        for a, b in slices(sizes, limit):
+            yield batch.slice(a, b - a)
+
+
 def slices(sizes: list[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive rows of about limit bytes; a longer row stands alone."""
     at = total = 0

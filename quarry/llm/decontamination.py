@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import raw_texts, slices
+from quarry.llm.common import portions, raw_texts, slices
 from quarry.llm.fm_index import FMIndex
 
 WINDOW = 13
@@ -194,7 +194,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     sent = sent_blocks(benchmark, item_col, item_text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 1) if len(sent) == 1 else batches:
             ids = batch.column(0)
             for a, shard in scan(raw_texts(batch.column(1)), _held(sent), len(sent) == 1):
                 spans, n_words = shard.spans(), shard.n_words.tolist()
@@ -214,7 +214,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     sent = sent_blocks(benchmark, item_col, item_text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, at) if len(sent) == 1 else batches:
             kept = []
             for _, shard in scan(raw_texts(batch.column(at)), _held(sent), len(sent) == 1):
                 kept += [not (x and HIT_SHARE * sum(e - s for s, e in x) >= n) for x, n in zip(shard.spans(), shard.n_words.tolist())]

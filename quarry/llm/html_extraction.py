@@ -73,6 +73,7 @@ _ENDED_BY = {"td": _CELLS, "th": _CELLS, "tr": _CELLS | {"tr"}, "tbody": _SECTIO
 _ITEMS = {"li", "dt", "dd"}
 _WORD = re.compile(r"[a-z]+")
 _NUMBER = re.compile(r"[0-9]+")
+_PLACE = re.compile(r"~[0-9]+$")
 
 
 def host_of(url: str | None) -> str:
@@ -99,6 +100,12 @@ class Place:
         self.in_slot = token == slot if up is None or not up.in_slot else True
 
 
+    def inside(self, other: Place) -> bool:
+        here = self
+        while here is not None and here is not other and here.depth > other.depth:
+            here = here.up
+        return here is other
+
     def numbered(self, label: str) -> str:
         """Label of a new container inside; its place among those of one label tells roles apart where names don't."""
         if self.kids is None:
@@ -304,17 +311,41 @@ def main_slots(found: DataFrame) -> DataFrame:
     return deepest.join(above, "host", "left").select("host", F.coalesce(*named, "headed", "slot").alias("slot"))
 
 
-def host_templates(found: DataFrame) -> DataFrame:
-    """(host, slot, texts): what extraction needs of a host's template; texts are the keys of its template texts."""
+def host_templates(vectors: DataFrame, found: DataFrame) -> DataFrame:
+    """(host, slot, siblings, texts): what extraction needs of a host's template. siblings says how many containers of the
+    slot's label most pages have side by side, texts are the keys of the template's texts."""
     texts = found.where("is_text").groupBy("host").agg(F.collect_set(F.regexp_extract("token", "([0-9a-f]*)$", 1)).alias("texts"))
-    return main_slots(found).join(texts, "host", "full_outer")
-
-
-def main_text(page: str | None, slot: str | None, texts: Collection[str] = ()) -> str:
+    base = lambda c: F.regexp_replace(c, "~[0-9]+$", "")
+    place = F.coalesce(F.nullif(F.regexp_extract("token", "~([0-9]+)$", 1), F.lit("")).cast("int"), F.lit(1))
+    slots = main_slots(found).withColumn("base", base("slot"))
+    whole = vectors.where("token = ''").select("host", F.col("n_pages").alias("host_pages"))
+    beside = vectors.select("host", "n_pages", base("token").alias("base"), place.alias("place")).join(slots.select("host", "base"), ["host", "base"], "left_semi")
+    beside = beside.join(whole, "host").where(F.col("n_pages") >= FREQUENT * F.col("host_pages")).groupBy("host").agg(F.max("place").alias("siblings"))
+    return slots.drop("base").join(beside, "host", "left").join(texts, "host", "full_outer").select("host", "slot", "siblings", "texts")
+
+
+def _fullest_sibling(blocks: list[tuple[str, Place]], slot: str, siblings: int) -> Place | None:
+    """On a page that has more or fewer of the slot's siblings than the template, a place doesn't tell which one is meant:
+    the one with most text is taken."""
+    parent, _, label = _PLACE.sub("", slot).rpartition("/")
+    chars: dict[Place, int] = {}
+    for text, place in blocks:
+        while place is not None and not (place.up is not None and place.up.token == parent and _PLACE.sub("", place.token).rpartition("/")[2] == label):
+            place = place.up
+        if place is not None:
+            chars[place] = chars.get(place, 0) + len(text)
+    if not chars or (next(iter(chars)).up.kids or {}).get(label, 0) == siblings:
+        return None
+    return max(chars, key=lambda p: chars[p])
+
+
+def main_text(page: str | None, slot: str | None, texts: Collection[str] = (), siblings: int | None = None) -> str:
     """Text of the slot's blocks less the template's texts. Where there is no such slot, or it is the whole body, of the
     page's article or main elements, else of all blocks."""
     blocks = [(value, place) for kind, value, place in walk(page or "", slot) if kind == "block" and not place.boiler and not (texts and text_key(place, value) in texts)]
     found = [x for x in blocks if x[1].in_slot]
+    if slot and siblings and siblings > 1 and (other := _fullest_sibling(blocks, slot, siblings)):
+        found = [x for x in blocks if x[1].inside(other)]
     if not found or re.split("[.~]", slot.rpartition("/")[2])[0] in ("html", "body"):
         found = found or blocks
         found = [x for x in found if x[1].article] or [x for x in blocks if x[1].article] or [x for x in found if x[1].main] or [x for x in blocks if x[1].main] or found
@@ -326,7 +357,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     # the vectors are used several times over; as a table the pages are walked for them once
     vectors = stored(occurrence_vectors(pages, url_col, html_col), "vectors")
     found = stored(templates(vectors), "templates")
-    slots = stored(host_templates(found), "slots")
+    slots = stored(host_templates(vectors, found), "slots")
     kind = f"{id_col} long, {url_col} string, text string"
     size = slots.agg(F.sum(F.octet_length("host") + F.coalesce(F.octet_length("slot"), F.lit(0)) + 64 + 80 * F.coalesce(F.size("texts"), F.lit(0)))).first()[0] or 0
     known = None
@@ -336,11 +367,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([host_of(u) for u in batch.column(1).to_pylist()], pa.string())], names=[id_col, url_col, html_col, "host"])
 
     if size <= SLOTS_BYTES:
-        known = pages.sparkSession.sparkContext.broadcast({r["host"]: (r["slot"], frozenset(r["texts"] or ())) for r in slots.toLocalIterator()})
+        known = pages.sparkSession.sparkContext.broadcast({r["host"]: (r["slot"], frozenset(r["texts"] or ()), r["siblings"]) for r in slots.toLocalIterator()})
         rows = pages.select(id_col, url_col, html_col)
     else:
         own = pages.select(id_col, url_col, html_col)
-        rows = own.mapInArrow(with_host, T.StructType([*own.schema.fields, T.StructField("host", T.StringType())])).join(slots, "host", "left").select(id_col, url_col, html_col, "slot", "texts")
+        rows = own.mapInArrow(with_host, T.StructType([*own.schema.fields, T.StructField("host", T.StringType())])).join(slots, "host", "left").select(id_col, url_col, html_col, "slot", "texts", "siblings")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,9 +379,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 part = batch.slice(at, 500)
                 urls, pages_ = part.column(1).to_pylist(), part.column(2).to_pylist()
                 if known is None:
-                    of = zip(part.column(3).to_pylist(), (x or () for x in part.column(4).to_pylist()))
+                    of = zip(part.column(3).to_pylist(), (x or () for x in part.column(4).to_pylist()), part.column(5).to_pylist())
                 else:
-                    of = (known.value.get(host_of(u), (None, ())) for u in urls)
+                    of = (known.value.get(host_of(u), (None, (), None)) for u in urls)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1).cast(pa.string()), pa.array([main_text(p, *x) for p, x in zip(pages_, of)], pa.string())], names=[id_col, url_col, "text"])
 
     return rows.mapInArrow(run, kind)

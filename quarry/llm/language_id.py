@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import raw_texts, slices
+from quarry.llm.common import portions, raw_texts, slices
 
 #: Bound of the sample that is learned from, in rows over all languages, and in rows for a language.
 SAMPLE_ROWS, SAMPLE_ROWS_EACH = 4000, 800
@@ -115,7 +115,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     picked = usable.where(part < F.coalesce(share[F.col("_lang")], F.lit(0.0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 0):
             texts = raw_texts(batch.column(0))
             for a, b in slices([max(len(t), DIM) for t in texts]):
                 counts = count_vectors(texts[a:b])
@@ -133,7 +133,7 @@ def identify(docs: DataFrame, model: Centroids | None, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in batches:
+        for batch in portions(batches, 1):
             ids, texts = batch.column(0), raw_texts(batch.column(1))
             for a, b in slices([max(len(t), DIM) for t in texts]):
                 lang, score, rejected = ["und"] * (b - a), np.zeros(b - a), np.zeros(b - a, bool)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import raw_texts, slices
+from quarry.llm.common import portions, raw_texts, slices
 
 #: Bound of the labelled sample that is learned from, in rows.
 SAMPLE_ROWS = 4000
@@ -146,7 +146,7 @@ def classify(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 1):
             ids, texts = batch.column(0), raw_texts(batch.column(1))
             for a, b in slices([max(len(t), CHUNK) for t in texts]):
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).cast(pa.int64()), pa.array(score_texts(sent.value, texts[a:b]))], names=[id_col, "score"])

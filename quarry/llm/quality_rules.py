@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import raw_texts, slices
+from quarry.llm.common import portions, raw_texts, slices
 
 #: n-gram length in words -> largest share of word characters inside repeated n-grams of that length.
 MAX_COVERAGE = {5: 0.40, 7: 0.35, 10: 0.30}
@@ -100,7 +100,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document: id, counts, coverages, base_failed and the verdict kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 1):
             ids, texts = batch.column(0), raw_texts(batch.column(1))
             for a, b in slices([len(t) for t in texts]):
                 m = measure(texts[a:b])
@@ -116,7 +116,7 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, at):
             texts = raw_texts(batch.column(at))
             kept = [measure(texts[a:b])["kept"] for a, b in slices([len(t) for t in texts])]
             yield batch.filter(pa.array(np.concatenate(kept or [np.zeros(0, bool)])))

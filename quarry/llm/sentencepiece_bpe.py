@@ -28,7 +28,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import raw_texts, slices
+from quarry.llm.common import portions, raw_texts, slices
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -222,7 +222,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
-        for batch in batches:
+        for batch in portions(batches, 1):
             ids, texts = batch.column(0), raw_texts(batch.column(1))
             for a, b in slices([len(t) for t in texts]):
                 rows = [c.packed(t.decode()) for t in texts[a:b]]
@@ -238,7 +238,7 @@ def encode_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
-        for batch in batches:
+        for batch in portions(batches, 1):
             n, a, b = [], [], []
             for t in raw_texts(batch.column(1)):
                 ids, text = c.packed(t.decode())

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import dropped, n_buckets, raw_texts, slices, stored
+from quarry.llm.common import dropped, n_buckets, portions, raw_texts, slices, stored, unnamed
 
 _NO_ID = -(1 << 63)
 SHINGLE = 4
@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: id, fp (the fingerprint's bits as a signed long), and further long columns as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 1):
             texts = raw_texts(batch.column(1))
             fps = [fingerprint_many(texts[a:b]) for a, b in slices([len(t) for t in texts])]
             fp = np.concatenate(fps or [np.zeros(0, np.uint64)]).view(np.int64)
@@ -383,9 +383,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row of each component, with all its columns: that of the smallest id, then fingerprint, then text hash; a row
     without an id stays only where no row of its component has one."""
-    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), "_tag": F.xxhash64(text_col)})
-    prints = stored(fingerprints(keyed, "_id", text_col, "_tag"), "fingerprints")
+    at_id, at_text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    keyed = unnamed(docs).withColumns({"_id": F.coalesce(F.col(at_id).cast("long"), F.lit(_NO_ID)), "_tag": F.xxhash64(at_text)})
+    prints = stored(fingerprints(keyed, "_id", at_text, "_tag"), "fingerprints")
     named = grouped(prints.select("fp", F.col("_id").alias("id")), radius).select("fp", "root")
     order = F.struct(F.col("_id") == _NO_ID, "_id", "fp", "_tag")
     best = prints.join(named, "fp").groupBy("root").agg(F.min(order).alias("x")).select("x._id", "x._tag")
-    return keyed.join(best, ["_id", "_tag"], "left_semi").dropDuplicates(["_id", "_tag"]).select(docs.columns)
+    return keyed.join(best, ["_id", "_tag"], "left_semi").dropDuplicates(["_id", "_tag"]).drop("_id", "_tag").toDF(*docs.columns)

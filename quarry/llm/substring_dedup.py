@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import n_buckets, raw_texts, slices, stored, text_bytes
+from quarry.llm.common import n_buckets, portions, raw_texts, slices, stored, text_bytes, unnamed
 from quarry.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 LENGTH = 100
@@ -190,7 +190,7 @@ def _anchors(width: int):
     """Step 1: documents (doc, tag, text) to packed runs (kind 0) and spans that a slice itself settles (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 2):
             every_doc, every_tag = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             texts = raw_texts(batch.column(2))
             for a, b in slices([len(t) for t in texts], SLICE):
@@ -271,8 +271,9 @@ def _strings(doc: int, tag: int, raw: bytes, wanted: list[dict], cold: list, hot
                 late.append(max(own, had))
 
 
-def _fetch(width: int):
-    """Step 3, first half: documents with the runs wanted from them, to packed strings by shard."""
+def _fetch(width: int, text_col: str):
+    """Step 3, first half: documents with the runs wanted from them, to packed strings by shard. Further columns are let
+    pass unread: with them the documents' exchange is that of the last step, and is made once."""
 
     def batch_of(rows: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
         by: dict[int, list] = {}
@@ -286,8 +287,8 @@ def _fetch(width: int):
         return pa.RecordBatch.from_arrays([pa.array(by, pa.int64()), pa.array([0] * len(by), pa.int32()), pa.array([len(x) for x in by.values()], pa.int64()), pa.array(packed, pa.binary())], names=["bucket", "kind", "n", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, tags, texts, wanted = batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw_texts(batch.column(2)), batch.column(3)
+        for batch in portions(batches, text_col):
+            docs, tags, texts, wanted = batch.column("_doc").to_pylist(), batch.column("_tag").to_pylist(), raw_texts(batch.column(text_col)), batch.column("_wanted")
             for a, b in slices([len(t) for t in texts], SLICE):
                 cold, hot, late = [], {}, []
                 for i, want in zip(range(a, b), wanted.slice(a, b - a).to_pylist()):
@@ -342,16 +343,16 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumns({"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), "_tag": F.xxhash64(F.col(text_col))})
 
 
-def find_spans(docs: DataFrame, n_bytes: int) -> DataFrame:
-    """(_doc, _tag, spans): what goes from each keyed document that loses anything; spans may overlap."""
+def find_spans(docs: DataFrame, n_bytes: int, text_col: str = "text") -> DataFrame:
+    """(_doc, _tag, _spans): what goes from each keyed document that loses anything; spans may overlap."""
     width = n_buckets(docs.sparkSession, n_bytes, BUCKET_BYTES)
-    runs = docs.select("_doc", "_tag", "text").mapInArrow(_anchors(width), _BUCKETS)
+    runs = docs.select("_doc", "_tag", text_col).mapInArrow(_anchors(width), _BUCKETS)
     marks = stored(runs.groupBy("bucket").applyInArrow(_meet, _SPAN), "runs")
-    wanted = marks.where(F.col("kind") != REMOVED).groupBy(F.col("doc").alias("_doc"), F.col("tag").alias("_tag")).agg(F.collect_list(F.struct("kind", "lo", "hi", "key")).alias("wanted"))
-    strings = docs.select("_doc", "_tag", "text").join(wanted, ["_doc", "_tag"]).mapInArrow(_fetch(width), _BUCKETS)
+    wanted = marks.where(F.col("kind") != REMOVED).groupBy(F.col("doc").alias("_doc"), F.col("tag").alias("_tag")).agg(F.collect_list(F.struct("kind", "lo", "hi", "key")).alias("_wanted"))
+    strings = docs.join(wanted, ["_doc", "_tag"]).mapInArrow(_fetch(width, text_col), _BUCKETS)
     found = strings.groupBy("bucket").applyInArrow(_shard, _SPAN)
     spans = marks.where(F.col("kind") == REMOVED).unionByName(found)
-    return spans.groupBy(F.col("doc").alias("_doc"), F.col("tag").alias("_tag")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    return spans.groupBy(F.col("doc").alias("_doc"), F.col("tag").alias("_tag")).agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
 
 
 def cut(raw: bytes, spans: list[dict]) -> tuple[bytes, list[tuple[int, int]]]:
@@ -371,7 +372,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = _keyed(docs, id_col, text_col).select("_doc", "_tag", F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 1):
             rows = [(raw, *cut(raw, s or [])) for raw, s in zip(raw_texts(batch.column(1)), batch.column(2).to_pylist())]
             ids = [None if x == _NO_ID else x for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -379,22 +380,22 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"],
             )
 
-    joined = keyed.join(find_spans(keyed, text_bytes(keyed, "text")), ["_doc", "_tag"], "left").select("_doc", "text", "spans")
+    joined = keyed.join(find_spans(keyed, text_bytes(keyed, "text")), ["_doc", "_tag"], "left").select("_doc", "text", "_spans")
     return joined.mapInArrow(run, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """docs with repeated strings cut out of the texts; characters of which bytes went go whole, and length_col follows."""
-    keyed = _keyed(docs, id_col, text_col)
     names = docs.columns
     at = names.index(text_col)
+    keyed = _keyed(unnamed(docs), f"c{names.index(id_col)}", f"c{at}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, at):
             texts = [raw if raw is None else cut(raw.encode(), s)[0].decode("utf-8", "ignore") if s else raw for raw, s in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist())]
             columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    spans = find_spans(keyed.select("_doc", "_tag", F.col(text_col).alias("text")), text_bytes(docs, text_col))
-    out = keyed.join(spans, ["_doc", "_tag"], "left").select(*names, "spans").mapInArrow(run, docs.schema)
+    spans = find_spans(keyed, text_bytes(docs, text_col), f"c{at}")
+    out = keyed.join(spans, ["_doc", "_tag"], "left").select(*(f"c{i}" for i in range(len(names))), "_spans").mapInArrow(run, docs.schema)
     return out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType)) if length_col in docs.columns else out

@@ -55,6 +55,19 @@ def test_awkward_and_empty_tables(spark, name):
     assert op(d.limit(0)).count() == 0
 
 
+def test_columns_that_clash_are_kept(spark):
+    """Columns that bear the names of an operator's own come back as they were."""
+    names = ["doc_id", "text", "_doc", "_tag", "_id", "fp", "spans", "c0", "wanted"]
+    rows = [(i, f"a text of some words number {i} that differs " + "and passage " * 20, f"d{i}", i, None, 1.5, "s", "z", i) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _doc string, _tag int, _id string, fp double, spans string, c0 string, wanted int")
+    for op in (quality_rules.keep_good, simhash.representatives, substring_dedup.cut_repeats, lambda d: decontamination.keep_clean(d, spark.createDataFrame([(1, "x y")], "item_id long, text string"))):
+        out = op(df)
+        assert out.columns == names
+        for r in out.collect():
+            assert tuple(r)[2:] == rows[r["doc_id"]][2:]
+    assert substring_dedup.cut_repeats(df).count() == 4 and simhash.near_duplicates(df).count() == 4 and substring_dedup.substring_dedup(df).count() == 4
+
+
 # ---- quality rules
 
 
@@ -475,6 +488,15 @@ def test_html_slot_without_names(spark):
         assert html_extraction.main_text(page, None) != want
 
 
+def test_html_page_with_other_siblings(spark):
+    """A box more or less before the nameless slot moves its place; the fullest of its siblings is taken then."""
+    rows = [(i, f"http://s.example/{i}", _bare(i, f"<p>{'words of %d and more ' % i * 20}</p>")) for i in range(20)]
+    rows[3] = (3, rows[3][1], rows[3][2].replace("<body>", "<body><div>one more box</div>"))
+    rows[4] = (4, rows[4][1], rows[4][2].replace("<div><ul><li>menu 4 of many</li></ul></div>", ""))
+    found = {r["page_id"]: r["text"] for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[i] == f"Head {i}\n" + ("words of %d and more " % i * 20).strip() for i in range(20))
+
+
 def test_html_text_that_the_host_repeats_goes(spark):
     box = "<div><p>Please register to read on</p></div>"
     rows = [(i, f"http://f.example/{i}", _bare(i, f"<p>{'words of %d and more ' % i * 9}</p>", box=box)) for i in range(20)]
