@@ -98,8 +98,9 @@ def term_fallback(rows: DataFrame, text: str, limit: int) -> DataFrame:
     full = (1 << len(sets)) - 1
     bits = lambda name: sum((F.when(P.set_column(name, s), 1 << i).otherwise(0) for i, s in enumerate(sets)), F.lit(0))
     names = N.names_of(rows).select("name", bits(F.col("name")).alias("name_mask")).where("name_mask <> 0")
+    hits = N.fan_out(names, rows)
     up = F.slice("names", 1, F.size("names") - 1)
-    dirs = rows.select("parent_path", up.alias("up")).distinct().select("parent_path", F.aggregate("up", F.lit(0), lambda m, n: m.bitwiseOR(bits(n))).alias("dir_mask"))
-    both = rows.join(names, "name").join(dirs, "parent_path")
+    dirs = hits.select("parent_path", up.alias("up")).distinct().select("parent_path", F.aggregate("up", F.lit(0), lambda m, n: m.bitwiseOR(bits(n))).alias("dir_mask"))
+    both = hits.join(dirs, "parent_path")
     met = both.where((F.col("name_mask").bitwiseOR(F.col("dir_mask")) == full) & (F.col("name_mask") != full))
     return met.orderBy("id").limit(limit)

@@ -22,9 +22,10 @@ def names_of(rows: DataFrame) -> DataFrame:
     return rows.select("name").distinct().withColumn("mask", P.mask_column(F.col("name")))
 
 
-def matching_names(rows: DataFrame, pattern: Q.Pattern) -> DataFrame:
-    """Distinct names that match; the mask test is native and runs before anything costlier."""
-    named = names_of(rows)
+def matching_names(rows: DataFrame, pattern: Q.Pattern, dictionary: DataFrame | None = None) -> DataFrame:
+    """Distinct names that match; the mask test is native and runs before anything costlier. A stored dictionary (as
+    names_of() makes it) spares the distinct."""
+    named = names_of(rows) if dictionary is None else dictionary
     return named.where(P.mask_filter(F.col("mask"), pattern)).where(P.pattern_column(F.col("name"), pattern)).drop("mask")
 
 
@@ -42,9 +43,9 @@ def rank_fields(name: Column, begin: Column, end: Column, score: Column) -> list
 KEY = ("k_score", "k_length", "k_span", "k_position")
 
 
-def scored_names(rows: DataFrame, pattern: Q.Pattern, scheme: str = "default") -> DataFrame:
+def scored_names(rows: DataFrame, pattern: Q.Pattern, scheme: str = "default", dictionary: DataFrame | None = None) -> DataFrame:
     """Distinct matching names with begin, end, score and rank fields; Python sees each name once."""
-    hits = matching_names(rows, pattern).withColumn("m", S.match_udf(pattern, scheme)("name")).where("m.score is not null")
+    hits = matching_names(rows, pattern, dictionary).withColumn("m", S.match_udf(pattern, scheme)("name")).where("m.score is not null")
     return hits.select("name", "m.*").select("name", "begin", "end", "score", *rank_fields(F.col("name"), F.col("begin"), F.col("end"), F.col("score")))
 
 
@@ -68,7 +69,7 @@ def favorites(rows: DataFrame, pattern: Q.Pattern) -> DataFrame:
     return shown.where(P.pattern_column(F.col("name"), pattern)).withColumn("weight", S.weight_udf(pattern)("name"))
 
 
-def search(rows: DataFrame, text: str, limit: int, fuzzy: bool = True, alias_forms: Callable[[str], Iterable[str]] | None = None) -> DataFrame:
+def search(rows: DataFrame, text: str, limit: int, fuzzy: bool = True, alias_forms: Callable[[str], Iterable[str]] | None = None, dictionary: DataFrame | None = None) -> DataFrame:
     """Two-stage ranked search: unweighted top with head-room, then scores weighted by coverage, then the limit."""
     pattern = Q.parse_pattern(text, fuzzy, alias_forms)
     if pattern.drive:
@@ -77,7 +78,7 @@ def search(rows: DataFrame, text: str, limit: int, fuzzy: bool = True, alias_for
         rows = rows.limit(0)
     if not pattern.sets:
         return rows.select(*rows.columns, *(F.lit(0).alias(k) for k in ("begin", "end", "score", *KEY))).orderBy("id").limit(limit)
-    first = top(fan_out(scored_names(rows, pattern), rows), max(limit, LEAST_LIMIT) * HEADROOM)
+    first = top(fan_out(scored_names(rows, pattern, dictionary=dictionary), rows), max(limit, LEAST_LIMIT) * HEADROOM)
     refined = first.withColumn("w", S.weight_udf(pattern)("name"))
     score = F.when(F.col("w") < 1, F.floor(F.col("score") * F.col("w"))).otherwise(F.col("score"))
     return top(refined.withColumn("k_score", -P.clamp16(score)).drop("w"), limit)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,11 +42,14 @@ class Snapshots:
     def _fs(self):
         return self._path("", "").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def write(self, rows: DataFrame, version: str | None = None, journal_id: int = 0, next_usn: int = 0) -> str:
-        """Rows sorted by id within their partition, by source; then the header: counts, id range, journal and offset."""
+    def write(self, rows: DataFrame, version: str | None = None, journal_id: int = 0, next_usn: int = 0, dictionary: Callable[[DataFrame], DataFrame] | None = None) -> str:
+        """Rows sorted by id within their partition, by source; a name dictionary if one is asked for; then the header:
+        counts, id range, journal and offset."""
         version = version or uuid.uuid4().hex
         rows.sortWithinPartitions("id").write.mode("overwrite").partitionBy("source_key").parquet(f"{self.folder}/{version}/rows")
         kept = self.spark.read.parquet(f"{self.folder}/{version}/rows")
+        if dictionary:
+            dictionary(kept).write.mode("overwrite").parquet(f"{self.folder}/{version}/names")
         head = kept.agg(F.count("*").alias("n_rows"), F.min("id").alias("min_id"), F.max("id").alias("max_id"))
         head.select("*", F.lit(journal_id).cast("long").alias("journal_id"), F.lit(next_usn).cast("long").alias("next_usn")).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/{version}/header")
         return version
@@ -54,6 +58,10 @@ class Snapshots:
         """Opens a version; nothing is read before it is used."""
         return self.spark.read.parquet(f"{self.folder}/{version}/rows")
 
+    def dictionary(self, version: str) -> DataFrame:
+        """The version's distinct names with their masks, if it was written with them."""
+        return self.spark.read.parquet(f"{self.folder}/{version}/names")
+
     def header(self, version: str) -> DataFrame:
         """One row of counts and offsets; the rows aren't touched."""
         return self.spark.read.parquet(f"{self.folder}/{version}/header")

@@ -10,6 +10,7 @@ from quarry.functions import predicates as P
 from quarry.functions import query as Q
 from quarry.functions import scoring as S
 from quarry.operators import search as N
+from quarry.operators.storage import Snapshots
 from quarry.plans.registry import query
 from quarry.sources import catalog
 
@@ -128,13 +129,24 @@ def search_name_exact(spark, sf_dir):
     return N.top(N.fan_out(_scored(spark, sf_dir, "'bolt ^blue"), catalog.parts(spark, sf_dir)), 20).select("id", "name", *N.KEY)
 
 
-@query(f"""WITH x AS ({_BOTH}), first AS (SELECT * FROM x ORDER BY -score, k_length, k_span, k_position, id LIMIT 160)
-SELECT id, name, score, CAST(-floor(score * (8.0 / n * (32.0 / 64))) AS INTEGER) AS k_score, k_length, k_span, k_position FROM first ORDER BY k_score, k_length, k_span, k_position, id LIMIT 20""")
+_WEIGHTED = f"""WITH x AS ({_BOTH}), first AS (SELECT * FROM x ORDER BY -score, k_length, k_span, k_position, id LIMIT 160)
+SELECT id, name, score, CAST(-floor(score * (8.0 / n * (32.0 / 64))) AS INTEGER) AS k_score, k_length, k_span, k_position FROM first ORDER BY k_score, k_length, k_span, k_position, id LIMIT 20"""
+
+
+@query(_WEIGHTED)
 def search_name_weighted(spark, sf_dir):
     """Both stages of a search: two words of four characters that stand apart weigh 8 / length times 32 / 64."""
     return N.search(catalog.parts(spark, sf_dir), "'bolt ^blue", 20).select("id", "name", "score", *N.KEY)
 
 
+@query(_WEIGHTED)
+def search_name_stored(spark, sf_dir):
+    """The same search over a stored snapshot, whose name dictionary spares the distinct over all rows."""
+    store = Snapshots(spark)
+    version = store.write(catalog.parts(spark, sf_dir).select("id", "name", "source_key"), dictionary=N.names_of)
+    return N.search(store.read(version), "'bolt ^blue", 20, dictionary=store.dictionary(version)).select("id", "name", "score", *N.KEY)
+
+
 @query()
 def search_name(spark, sf_dir):
     return N.search(catalog.parts(spark, sf_dir), "smrg !plate", 20).select("id", "name", "begin", "end", "score", *N.KEY)
