@@ -48,34 +48,48 @@ class Windows:
 
     def __init__(self, items: list[tuple[str, list[bytes]]], size: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
+        self.size = size
         self.names = sorted({item for item, _ in items})
         number = {item: i for i, item in enumerate(self.names)}
-        phrases, lengths, owners = [np.zeros((0, size), np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        flat, starts, lengths, owners, at = [], [], [], [], 0
         for item, ws in items:
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws], np.int32)
-            if not len(ids):
+            if not ws:
                 continue
-            if len(ids) < size:  # one short window, padded
-                own = np.zeros((1, size), np.int32)
-                own[0, : len(ids)] = ids
-            else:
-                own = np.lib.stride_tricks.sliding_window_view(ids, size)
-            phrases.append(own)
-            lengths.append(np.full(len(own), min(len(ids), size), np.int32))
-            owners.append(np.full(len(own), number[item], np.int32))
-        every, length, owner = np.concatenate(phrases), np.concatenate(lengths), np.concatenate(owners)
+            flat += [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws]
+            n = max(1, len(ws) - size + 1)
+            starts.append(np.arange(at, at + n, dtype=np.int32))
+            lengths.append(np.full(n, min(len(ws), size), np.int8))
+            owners.append(np.full(n, number[item], np.int32))
+            at += len(ws)
+        self.flat = np.array(flat + [0] * size, np.int32)  # word numbers of all items, one behind the other
+        none = [np.zeros(0, np.int32)]
+        self.starts, length, owner = np.concatenate(starts or none), np.concatenate(lengths or [np.zeros(0, np.int8)]), np.concatenate(owners or none)
+        self.lengths = length
+        every = self._spelled()
         order = np.lexsort((owner, *every.T))
         every, length, owner = every[order], length[order], owner[order]
         new = np.ones(len(every), bool)
         new[1:] = (every[1:] != every[:-1]).any(1)
-        self.phrases, self.lengths = every[new], length[new].astype(np.int64)
+        self.phrases, self.starts, self.lengths = every[new], self.starts[order][new], length[new]
         # the items of window k: owner[first[k] : first[k + 1]]
         once = new.copy()
         once[1:] |= owner[1:] != owner[:-1]
         self.owner = owner[once]
-        self.first = np.append(np.flatnonzero(new[once]), len(self.owner))
+        self.first = np.append(np.flatnonzero(new[once]), len(self.owner)).astype(np.int32)
         self.shortest = int(self.lengths.min()) if len(self.lengths) else 0
 
+    def _spelled(self) -> np.ndarray:
+        """Word numbers of the windows, padded with zeros."""
+        step = np.arange(self.size)
+        return np.where(step < self.lengths[:, None], self.flat[self.starts[:, None] + step], 0).astype(np.int32)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "phrases"}  # a window travels as its place
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.phrases = self._spelled()
+
     def items_of(self, k: int) -> list[str]:
         return [self.names[i] for i in self.owner[self.first[k] : self.first[k + 1]]]
 
@@ -102,7 +116,7 @@ def occurrences(split: list[list[bytes]], w: Windows) -> tuple[np.ndarray, np.nd
     place = np.repeat(starts - base, sizes) + np.arange(sizes.sum())
     symbols = ids[place]
     index = FMIndex(symbols, len(w.vocabulary) + 1)
-    lo, hi = index.search(w.phrases.astype(np.int64), w.lengths)
+    lo, hi = index.search(w.phrases.astype(np.int64), w.lengths.astype(np.int64))
     counts = np.maximum(hi - lo, 0)
     window = np.repeat(np.arange(len(lo)), counts)
     rows = np.repeat(lo - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
@@ -154,7 +168,7 @@ class Shard:
         self.split = []
         window, at = occurrences(split, w)
         np.add.at(self.cover, at, 1)
-        np.add.at(self.cover, at + w.lengths[window], -1)
+        np.add.at(self.cover, at + w.lengths[window].astype(np.int64), -1)
         doc = np.searchsorted(self.offsets, at, "right") - 1
         for d, k in set(zip(doc.tolist(), window.tolist())):
             self.items[d].update(w.items_of(k))
