@@ -82,5 +82,23 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hw USING (rid) LEFT JOIN it USING (rid)
+""",
+    "op12_phrase_mining": f"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents),
+p AS (SELECT row_number() OVER () AS pid, lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d)),
+g AS (SELECT lang, k, array_to_string(w[t.i : t.i + k - 1], ' ') AS phrase FROM p, unnest([1, 2, 3]) AS s(k), unnest(range(1, greatest(len(w) - k + 2, 1))) AS t(i)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase),
+total AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+cut AS (SELECT lang, phrase, a, s.j AS j, array_to_string(w[1 : s.j], ' ') AS x, array_to_string(w[s.j + 1 : k], ' ') AS y FROM c, unnest([1, 2]) AS s(j) WHERE s.j < k),
+scored AS (SELECT cut.lang AS lang, cut.phrase AS phrase, a, j, x.f AS l, y.f AS r, CAST(1000000 AS HUGEINT) * a * a // (CAST(x.f AS HUGEINT) * y.f) AS score
+           FROM cut JOIN f AS x ON x.lang = cut.lang AND x.phrase = cut.x JOIN f AS y ON y.lang = cut.lang AND y.phrase = cut.y),
+low AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+held AS (SELECT DISTINCT s.lang AS lang, s.phrase AS phrase FROM c AS s JOIN c AS b ON b.lang = s.lang AND s.k = 2 AND b.k = 3
+         AND (s.phrase = b.w[1] || ' ' || b.w[2] OR s.phrase = b.w[2] || ' ' || b.w[3]) AND 100 * b.a >= 50 * s.a),
+place AS (SELECT low.lang AS lang, low.phrase AS phrase, a, l, r, score, row_number() OVER (PARTITION BY low.lang ORDER BY score DESC, a DESC, encode(low.phrase)) AS rank
+          FROM low LEFT JOIN held ON held.lang = low.lang AND held.phrase = low.phrase WHERE held.phrase IS NULL)
+SELECT place.lang AS lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM place JOIN total ON total.lang = place.lang WHERE rank <= 2000
 """,
 }

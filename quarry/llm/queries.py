@@ -10,6 +10,7 @@ from quarry.llm.chat_format import canonical_turns, convert_records, format_conv
 from quarry.llm.common import table
 from quarry.llm.decontamination import decontaminate, keep_clean
 from quarry.llm.html_extraction import extract
+from quarry.llm.phrase_mining import collocations
 from quarry.llm.quality_rules import keep_good, quality_rules
 from quarry.llm.sentencepiece_bpe import encode, encode_digests
 from quarry.llm.simhash import near_duplicates, representatives
@@ -100,6 +101,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("line_coverage", "ngram_coverage")
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of each language of all documents; null texts are empty, a null lang is `und`."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def keep_quality(docs: DataFrame) -> DataFrame:
     return keep_good(docs)
 
@@ -127,6 +133,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
+    "op12_phrase_mining": op12_phrase_mining,
     "chat_records": chat_records,
 }
 ORACLE_SQL = oracles.ORACLE_SQL
