@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import language_id, oracles, quality_classifier
+from quarry.llm import language_id, oracles, quality_classifier, toxicity
 from quarry.llm.chat_format import canonical_turns, convert_records, format_conversations, read_back
 from quarry.llm.common import table
 from quarry.llm.decontamination import decontaminate, keep_clean
@@ -106,6 +106,15 @@ def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text, learned from the labelled rows that aren't held out; null texts are empty."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = language_id.held_out("doc_id", 5, 0)
+    net = toxicity.train(docs.where(~out), labels.where(~out))
+    found = toxicity.classify(docs, net)
+    return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def keep_quality(docs: DataFrame) -> DataFrame:
     return keep_good(docs)
 
@@ -134,6 +143,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
     "op12_phrase_mining": op12_phrase_mining,
+    "op13_toxicity": op13_toxicity,
     "chat_records": chat_records,
 }
 ORACLE_SQL = oracles.ORACLE_SQL
