@@ -15,6 +15,7 @@ from quarry.llm.quality_rules import keep_good, quality_rules
 from quarry.llm.sentencepiece_bpe import encode, encode_digests
 from quarry.llm.simhash import near_duplicates, representatives
 from quarry.llm.substring_dedup import cut_repeats, substring_dedup
+from quarry.llm.token_alignment import token_alignment
 from quarry.llm.warc_fixity import audit, records
 
 
@@ -101,6 +102,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("line_coverage", "ngram_coverage")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the byte-level BPE and SentencePiece cut every whole text; texts that are null, empty or not spelled by their
+    tokens have zeros and ''."""
+    import public_tokenizers
+
+    return token_alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), model_path())
+
+
 def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 2000 collocations of each language of all documents; null texts are empty, a null lang is `und`."""
     return collocations(table(spark, sf_dir, "documents"))
@@ -142,6 +151,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
+    "op11_token_alignment": op11_token_alignment,
     "op12_phrase_mining": op12_phrase_mining,
     "op13_toxicity": op13_toxicity,
     "chat_records": chat_records,
