@@ -20,9 +20,11 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,15 +36,26 @@ LEAST, MAX_WORDS = 10, 3
 INSIDE = 50
 TOP = 2000
 #: UTF-8 bytes of texts whose occurrences are projected together.
-SLICE = 2 << 20
+SLICE = 4 << 20
 
-#: A-Z to a-z; ends of pieces to line feeds; a tab to a space. Other white space can't be in a word's bytes afterwards.
-_FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else 0x0A if c in b".,;:!?\n\v\f\r" else 0x20 if c == 9 else c for c in range(256))
+#: Words of a slice that are numbered at once.
+CHUNK = 1 << 20
 
+#: Stands for the end of a piece; no text in UTF-8 has this byte.
+_END = b"\xff"
+#: A-Z to a-z, ends of pieces to _END; a tab is white space as a space is, and no other white space is left.
+_FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else _END[0] if c in b".,;:!?\n\v\f\r" else c for c in range(256))
 
-def pieces(raw: bytes) -> list[list[bytes]]:
-    """The words of each piece of a text."""
-    return [p.split() for p in raw.translate(_FOLD).split(b"\n")]
+
+def tokens_of(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Words of texts with _END between pieces, in runs of about SLICE bytes; a run holds whole pieces, however long."""
+    text = b".".join(texts).translate(_FOLD)
+    at = 0
+    while at < len(text):
+        end = text.find(_END, at + SLICE)
+        end = len(text) if end < 0 else end
+        yield text[at:end].replace(_END, b" %b " % _END).split()
+        at = end
 
 
 def _by_language(batch: pa.RecordBatch) -> dict[str, list[bytes]]:
@@ -63,8 +76,9 @@ def word_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
         for batch in portions(batches, 1, SLICE):
             for lang, texts in _by_language(batch).items():
                 counts: Counter[bytes] = Counter()
-                for raw in texts:
-                    counts.update(raw.translate(_FOLD).split())
+                for tokens in tokens_of(texts):
+                    counts.update(tokens)
+                counts.pop(_END, None)
                 if counts:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts)), pa.array(counts.keys(), pa.binary()).cast(pa.string()), pa.array(counts.values(), pa.int64())], names=["lang", "phrase", "n"])
 
@@ -77,41 +91,98 @@ def heavy_words(words: DataFrame, parts: int) -> dict[tuple[str, bytes], int]:
     return {(r["lang"], r["phrase"].encode()): -(-r["f"] * 4 * parts // total) for r in words.where(F.col("f") * (4 * parts) > total).toLocalIterator()}
 
 
-def projections(texts: list[bytes], max_words: int = MAX_WORDS) -> dict[bytes, Counter[bytes]]:
-    """Word -> its continuations within pieces, as words joined by spaces, and how often each occurs. A word that ends its
-    piece has none."""
-    found: dict[bytes, Counter[bytes]] = defaultdict(Counter)
-    grams: Counter[tuple] = Counter()
-    for raw in texts:
-        for ws in pieces(raw):
-            if len(ws) > 1:
-                ws += [b""] * (max_words - 2)
-                grams.update(zip(*(ws[k:] for k in range(max_words))))
-    for gram, n in grams.items():
-        found[gram[0]][b" ".join(gram[1:]).rstrip(b" ")] += n
-    return found
-
-
-def grow(head: bytes, projection: dict[bytes, int], least: int = LEAST, max_words: int = MAX_WORDS, part: bool = False) -> Iterator[tuple[bytes, int, int]]:
+def _chunks(texts: list[bytes], max_words: int) -> Iterator[list[bytes]]:
+    """Runs of at most CHUNK words and those that follow; they overlap, so that each word stands with its continuation in one."""
+    for run in tokens_of(texts):
+        run += [_END] * max_words
+        for at in range(0, len(run) - max_words, CHUNK):
+            yield run[at : at + CHUNK + max_words - 1]
+
+
+def projections(texts: list[bytes], shards: dict[bytes, int] | None = None, max_words: int = MAX_WORDS) -> Iterator[list[pa.Array]]:
+    """Columns (word, shard, occurrences, continuations) of what follows each word within its piece. There is a line for each
+    next word: that word, then, after a space each, the further words of its occurrences, joined by commas, with ":n" behind
+    what occurs n times. None of these marks can be in a word. A word that ends its piece has no continuation there."""
+    for own in _chunks(texts, max_words):
+        number = {w: i for i, w in enumerate(dict.fromkeys([_END, *own]))}
+        ids = np.fromiter(map(number.__getitem__, own), np.int32, len(own))
+        n = len(ids) - max_words + 1
+        columns = [ids[k : n + k] for k in range(max_words)]
+        for k in range(2, max_words):
+            columns[k] = np.where(columns[k - 1] == 0, 0, columns[k])
+        use = (columns[0] > 0) & (columns[1] > 0)
+        if not use.any():
+            continue
+        columns = [c[use] for c in columns]
+        shard = np.zeros(len(columns[0]), np.int32)
+        if shards and (heavy := [(number[w], k) for w, k in shards.items() if w in number]):
+            ways = np.zeros(len(number), np.int64)
+            ways[[i for i, _ in heavy]] = [k for _, k in heavy]
+            dealt = np.flatnonzero(ways[columns[0]])
+            crc = np.fromiter(map(zlib.crc32, number), np.int64, len(number))
+            mixed = np.zeros(len(dealt), np.int64)
+            for c in columns[1:]:
+                mixed = (mixed * 1_000_003 + crc[c[dealt]]) & 0xFFFFFFFFFFFF
+            shard[dealt] = mixed % ways[columns[0][dealt]] + 1
+        columns.insert(1, shard)
+        order = np.lexsort(columns[::-1])
+        columns = [c[order] for c in columns]
+
+        def starts(k: int) -> np.ndarray:
+            """Where the first k columns have a new value."""
+            new = np.ones(len(order), bool)
+            new[1:] = np.any([c[1:] != c[:-1] for c in columns[:k]], 0)
+            return np.flatnonzero(new)
+
+        words = pa.array([b"", *list(number)[1:]], pa.binary())
+        each, by_next, by_head = starts(max_words + 1), starts(3), starts(2)
+        times = np.diff(np.append(each, len(order)))
+        rest = words.take(pa.array(columns[3][each])) if max_words > 2 else pa.array([b""] * len(each), pa.binary())
+        for c in columns[4:]:
+            rest = pc.binary_join_element_wise(rest, words.take(pa.array(c[each])), b",")
+        rest = pc.if_else(pa.array(times == 1), rest, pc.binary_join_element_wise(rest, pa.array(times).cast(pa.string()).cast(pa.binary()), b":"))
+        joined = lambda x, inner, outer, mark: pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(inner, outer), len(inner)).astype(np.int32)), x), mark)
+        lines = pc.binary_join_element_wise(words.take(pa.array(columns[2][by_next])), joined(rest, each, by_next, b" "), b" ")
+        yield [words.take(pa.array(columns[0][by_head])), pa.array(columns[1][by_head]), pa.array(np.diff(np.append(by_head, len(order)))), joined(lines, by_next, by_head, b"\n")]
+
+
+def grow(head: bytes, projection: Iterable[bytes], least: int = LEAST, max_words: int = MAX_WORDS, part: bool = False) -> Iterator[tuple[bytes, int, int]]:
     """(phrase, number of words, occurrences) of the frequent extensions of a word, depth-first. Of a part of a projection,
-    extensions that other parts may have too come with their count in this part, however small."""
-    follow = [c.split(b" ") for c in projection]
-    weight = list(projection.values())
-    stack = [(head, 1, list(range(len(follow))))]
-    while stack:
-        prefix, depth, pointers = stack.pop()
-        dealt: dict[bytes, list[int]] = defaultdict(list)
-        for p in pointers:
-            if len(follow[p]) >= depth:
-                dealt[follow[p][depth - 1]].append(p)
-        whole = depth + 1 == max_words  # a part holds all occurrences of a continuation of full length
-        for word, own in dealt.items():
-            n = sum([weight[p] for p in own])
-            if n >= least or part and not whole:
-                phrase = prefix + b" " + word
-                yield phrase, depth + 1, n
-                if not whole:
-                    stack.append((phrase, depth + 1, own))
+    extensions that other parts may have too come with their count in this part, however small; only those of full length
+    are all in one part."""
+    dealt: dict[bytes, list[bytes]] = defaultdict(list)
+    for lines in projection:
+        for line in lines.split(b"\n"):
+            word, _, rest = line.partition(b" ")
+            dealt[word].append(rest)
+    few = 1 if part and max_words > 2 else least
+    for word, rests in dealt.items():
+        follow: Counter[bytes] = Counter(b" ".join(rests).split(b" "))
+        for c in [c for c in follow if b":" in c]:
+            text, _, n = c.partition(b":")
+            follow[text] += follow.pop(c) * int(n)
+        n = follow.total()
+        if n >= few:
+            yield head + b" " + word, 2, n
+            if max_words > 2:
+                yield from _extend(head + b" " + word, 2, follow, least, max_words, part)
+
+
+def _extend(prefix: bytes, depth: int, follow: dict[bytes, int], least: int, max_words: int, part: bool) -> Iterator[tuple[bytes, int, int]]:
+    """follow: the pointers of a prefix, its further words and how often they occur."""
+    if depth + 1 == max_words:
+        yield from ((prefix + b" " + c, max_words, n) for c, n in follow.items() if n >= least and c)
+        return
+    dealt: dict[bytes, Counter[bytes]] = defaultdict(Counter)
+    for c, n in follow.items():
+        word, _, rest = c.partition(b",")
+        if word:
+            dealt[word][rest] += n
+    for word, own in dealt.items():
+        n = own.total()
+        if n >= least or part:
+            yield prefix + b" " + word, depth + 1, n
+            yield from _extend(prefix + b" " + word, depth + 1, own, least, max_words, part)
 
 
 def frequent_phrases(docs: DataFrame, words: DataFrame, least: int = LEAST, max_words: int = MAX_WORDS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -121,24 +192,16 @@ def frequent_phrases(docs: DataFrame, words: DataFrame, least: int = LEAST, max_
     heavy = spark.sparkContext.broadcast(heavy_words(words, parts))
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards: dict[str, dict[bytes, int]] = defaultdict(dict)
+        for (lang, word), n in heavy.value.items():
+            shards[lang][word] = n
         for batch in portions(batches, 1, SLICE):
             for lang, texts in _by_language(batch).items():
-                heads, shards, rows, sizes = [], [], [], []
-                for head, found in projections(texts, max_words).items():
-                    n = heavy.value.get((lang, head), 1)
-                    dealt: dict[int, Counter] = defaultdict(Counter) if n > 1 else {0: found}
-                    if n > 1:
-                        for c, k in found.items():
-                            dealt[zlib.crc32(c) % n + 1][c] = k
-                    for shard, own in dealt.items():
-                        heads.append(head)
-                        shards.append(shard)
-                        rows.append(b"\n".join([b"%b\t%d" % x for x in own.items()]))
-                        sizes.append(sum(own.values()))
-                for a in range(0, len(heads), 4096):
-                    b = a + 4096
-                    own = [pa.array([lang] * len(heads[a:b])), pa.array(heads[a:b], pa.binary()).cast(pa.string()), pa.array(shards[a:b], pa.int32()), pa.array(sizes[a:b], pa.int64()), pa.array(rows[a:b], pa.binary()).cast(pa.string())]
-                    yield pa.RecordBatch.from_arrays(own, names=["lang", "head", "shard", "n", "follow"])
+                for head, shard, n, follow in projections(texts, shards.get(lang), max_words):
+                    columns = [pa.array([lang] * len(head)), head.cast(pa.string()), shard, n, follow.cast(pa.string())]
+                    found = pa.RecordBatch.from_arrays(columns, names=["lang", "head", "shard", "n", "follow"])
+                    for at in range(0, len(found), 8192):
+                        yield found.slice(at, 8192)
 
     def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -150,12 +213,7 @@ def frequent_phrases(docs: DataFrame, words: DataFrame, least: int = LEAST, max_
 
         def finish() -> None:
             if key and (total >= least or key[2]):
-                projection: Counter[bytes] = Counter()
-                for rows in held:
-                    for line in rows.split(b"\n"):
-                        c, n = line.split(b"\t")
-                        projection[c] += int(n)
-                out.extend((key[0], *x) for x in grow(key[1], projection, least, max_words, key[2] > 0))
+                out.extend((key[0], *x) for x in grow(key[1], held, least, max_words, key[2] > 0))
 
         key, held, total = None, [], 0
         for batch in batches:

@@ -69,6 +69,7 @@ def test_a_word_of_a_third_of_all_rows_is_dealt_out(spark):
 
 def test_slices_add_up(spark, monkeypatch):
     monkeypatch.setattr(phrase_mining, "SLICE", 100)
+    monkeypatch.setattr(phrase_mining, "CHUNK", 7)
     rows = texts(9)
     assert sorted(map(tuple, phrase_mining.collocations(docs_of(spark, rows), least=4).collect())) == brute(rows, 2000, 4, 3)
 
@@ -80,6 +81,11 @@ def test_nothing_to_mine(spark):
 
 
 def test_growth_of_a_part_keeps_small_counts():
-    projection = {b"b c": 2, b"b d": 9, b"e": 1}
+    projection = [b"b c:2 d d\ne ", b"b d:7"]
     assert sorted(phrase_mining.grow(b"a", projection, 9, 3)) == [(b"a b", 2, 11), (b"a b d", 3, 9)]
     assert sorted(phrase_mining.grow(b"a", projection, 9, 3, part=True)) == [(b"a b", 2, 11), (b"a b d", 3, 9), (b"a e", 2, 1)]
+
+
+def test_projection():
+    head, shard, n, follow = next(phrase_mining.projections([b"A b c. a b c, A b\ta", b"b"]))
+    assert list(zip(head.to_pylist(), shard.to_pylist(), n.to_pylist(), follow.to_pylist())) == [(b"a", 0, 3, b"b a c:2"), (b"b", 0, 3, b"a \nc :2")]
