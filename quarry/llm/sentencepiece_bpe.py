@@ -32,8 +32,8 @@ from quarry.llm.common import portions, raw_texts, slices
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Chunks kept in each of the memo's two generations.
-MEMO = 250_000
+#: Chunks kept in each of the memo's two generations, and the characters up to which a chunk is kept.
+MEMO, MEMO_CHARS = 250_000, 256
 
 
 class _Memo(dict):
@@ -44,6 +44,8 @@ class _Memo(dict):
         self.make, self.old = make, {}
 
     def __missing__(self, chunk: str) -> tuple[bytes, bytes]:
+        if len(chunk) > MEMO_CHARS:
+            return self.make(chunk)
         if len(self) >= MEMO:
             self.old = dict(self)
             self.clear()
@@ -133,13 +135,13 @@ class PieceCodec:
             longest[end - back] = p  # ends ascend, so the longest stays
         if len(longest[0]) == n:
             return [text]
-        fits, open_, shorter = self.fits, (1 << (n + 1)) - 1, self.shorter  # bit i: no failure is known for position i
+        fits, failed, shorter = self.fits, bytearray((n >> 3) + 1), self.shorter  # bit i: position i is known to fail
         out: list[str] = []
         at, piece, last = 0, longest[0], ""
         while True:
             while piece:
                 end = at + len(piece)
-                if open_ >> end & 1:
+                if not failed[end >> 3] >> (end & 7) & 1:
                     if not last:
                         break
                     fit = fits.get((last, piece))
@@ -153,7 +155,7 @@ class PieceCodec:
                     return out
                 last, piece = piece, longest[at]
             else:
-                open_ &= ~(1 << at)
+                failed[at >> 3] |= 1 << (at & 7)
                 piece = out.pop()
                 at -= len(piece)
                 piece, last = shorter[piece], out[-1] if out else ""
