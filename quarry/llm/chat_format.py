@@ -1,18 +1,21 @@
 """Chat formatting by schema fingerprints.
 
-All nested field paths of a record are hashed; the hash selects a declarative mapping that turns the record into
-canonical turns (conversation, turn, role, text). A fingerprint that is met for the first time is given the mapping of
-the layout whose fields it holds, the fullest such, and is known from then on. Tables of one layout are mapped with
-column expressions by their schema; a column of JSON records of mixed layouts is mapped record by record. Turns are then marked up, with control
-strings inside texts escaped reversibly, and assistant texts are put under the loss mask.
+Each layout declares the nested field paths that it needs and those that may stand beside them. Of a record's paths those
+that no layout knows are taken away, and the hash of the rest selects the mapping that turns the record into canonical
+turns (conversation, turn, role, text); a hash that isn't in the table selects none, and the record is reported with its
+fingerprint, the hash of all its paths. Tables of one layout are mapped with column expressions by their schema; a column
+of JSON records of mixed layouts is mapped record by record. Turns are then marked up, with control strings inside texts
+escaped reversibly, and assistant texts are put under the loss mask.
 
 A conversation is read in order by one task, because digests over it are sequential, but it is never held: turns stream
 through in sorted order and leave as pieces of bounded size, however long the conversation.
 
 Defined results: null texts and roles are empty; turns of equal number are ordered by role, then text; rows without a
-conversation id form one conversation. Fields that no layout knows change the fingerprint but not the turns. A record
-that fits no layout, or isn't JSON, has no turns (its fingerprint is reported). A field that holds no text counts as its
-JSON, null as empty.
+conversation id form one conversation. Fields that no layout knows change the fingerprint but not the turns; fields of
+another layout make the record unknown unless its own declares them. A record of an unknown fingerprint, or that isn't
+JSON, has no turns (its fingerprint is reported). A field that holds no text counts as its JSON, null as empty. Of a key
+that repeats within an object the last counts. Marks of paths inside keys ('.', '[', a backslash) are escaped with a
+backslash, so that no key can pass for a path. A lone surrogate, which no text in UTF-8 can hold, becomes U+FFFD.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Iterable, Iterator
+from itertools import combinations
 from typing import Any
 
 import pyarrow as pa
@@ -31,19 +35,22 @@ from pyspark.sql import types as T
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 #: Characters of formatted text in a piece, at least one turn.
 PIECE_CHARS = 1 << 18
+_SURROGATE = re.compile("[\ud800-\udfff]")
 _TURN = re.compile(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", re.S)
 
-#: Layout -> its field paths; [] stands for the elements of an array.
-LAYOUTS: dict[str, tuple[str, ...]] = {
-    "turn_rows": ("role", "text"),  # with conv_id and turn beside them
-    "messages": ("messages[].content", "messages[].role"),
-    "from_value": ("conversations[].from", "conversations[].value"),
-    "prompt_completion": ("completion", "prompt"),
-    "prompt_response": ("prompt", "response"),
-    "instruction": ("instruction", "output"),
-    "instruction_input": ("input", "instruction", "output"),
-    "question_answer": ("answer", "question"),
+_SINGLE = ("answer", "completion", "input", "instruction", "output", "prompt", "question", "response")
+#: Layout -> the field paths it needs, and those of other layouts that may stand beside them; [] stands for the elements of an array.
+LAYOUTS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
+    "turn_rows": (("role", "text"), _SINGLE),  # a table has conv_id and turn beside them
+    "messages": (("messages[].content", "messages[].role"), ()),
+    "from_value": (("conversations[].from", "conversations[].value"), ()),
+    "prompt_completion": (("completion", "prompt"), ()),
+    "prompt_response": (("prompt", "response"), ()),
+    "instruction": (("instruction", "output"), ()),
+    "instruction_input": (("input", "instruction", "output"), ()),
+    "question_answer": (("answer", "question"), ()),
 }
+KNOWN = frozenset(p for needed, beside in LAYOUTS.values() for p in (*needed, *beside))
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 #: (layout -> fields of one user text, joined by an empty line, and the assistant's field)
 _PAIRS = {"prompt_completion": (("prompt",), "completion"), "prompt_response": (("prompt",), "response"), "instruction": (("instruction",), "output"), "instruction_input": (("instruction", "input"), "output"), "question_answer": (("question",), "answer")}
@@ -55,42 +62,40 @@ def fingerprint(paths: Iterable[str]) -> str:
     return hashlib.sha256("\n".join(sorted(set(paths))).encode("utf-8", "surrogatepass")).hexdigest()
 
 
-#: Fingerprint -> layout, of those met so far.
-_BY_PRINT: dict[str, str | None] = {fingerprint(paths): name for name, paths in LAYOUTS.items()}
-#: Fingerprints that are remembered; beyond, all but the layouts' own are forgotten.
-MAX_PRINTS = 10_000
+#: Fingerprint of known paths -> layout: one for each choice among the paths that may stand beside a layout's own.
+BY_PRINT: dict[str, str] = {fingerprint((*needed, *some)): name for name, (needed, beside) in LAYOUTS.items() for n in range(len(beside) + 1) for some in combinations(beside, n)}
 
 
 def layout_of(paths: set[str]) -> str | None:
-    """The mapping of a fingerprint; for a new one, of the fullest layout that is there whole."""
-    key = fingerprint(paths)
-    if key not in _BY_PRINT:
-        if len(_BY_PRINT) >= MAX_PRINTS:
-            for old in list(_BY_PRINT)[len(LAYOUTS) :]:
-                del _BY_PRINT[old]
-        _BY_PRINT[key] = next((n for n, own in sorted(LAYOUTS.items(), key=lambda x: -len(x[1])) if set(own) <= paths), None)
-    return _BY_PRINT[key]
+    """The layout that the hash of the known paths selects."""
+    return BY_PRINT.get(fingerprint(paths & KNOWN))
 
 
-def schema_paths(kind: T.DataType, at: str = "") -> set[str]:
+def _below(at: str | None, key: str) -> str:
+    own = re.sub(r"[\\.\[\]]", r"\\\g<0>", key)
+    return own if at is None else f"{at}.{own}"
+
+
+def schema_paths(kind: T.DataType, at: str | None = None) -> set[str]:
     if isinstance(kind, T.StructType):
-        return {p for f in kind.fields for p in schema_paths(f.dataType, f"{at}.{f.name}" if at else f.name)}
+        return {p for f in kind.fields for p in schema_paths(f.dataType, _below(at, f.name))}
     if isinstance(kind, T.ArrayType):
         return schema_paths(kind.elementType, f"{at}[]")
-    return {at}
+    return {at or ""}
 
 
-def json_paths(value: Any) -> set[str]:
+def json_paths(value: dict) -> set[str]:
     """Paths of all leaves; an empty object or array has none."""
-    found, stack = set(), [(value, "")]
+    found: set[str] = set()
+    stack: list[tuple[Any, str | None]] = [(value, None)]
     while stack:
         v, at = stack.pop()
         if isinstance(v, dict):
-            stack += [(x, f"{at}.{k}" if at else k) for k, x in v.items()]
+            stack += [(x, _below(at, k)) for k, x in v.items()]
         elif isinstance(v, list):
             stack += [(x, f"{at}[]") for x in v]
         else:
-            found.add(at)
+            found.add(at or "")
     return found
 
 
@@ -112,7 +117,8 @@ def fingerprint_of_json(line: str | None) -> str | None:
 
 
 def _text(value: Any) -> str:
-    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    text = "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    return _SURROGATE.sub("\ufffd", text)
 
 
 def _turns(record: dict, layout: str | None) -> list[tuple[str, str]]:

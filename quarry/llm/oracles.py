@@ -15,7 +15,7 @@ _REPEATS = """SELECT rid, CAST(count(*) AS BIGINT) AS n_hit, CAST(sum(length(w[k
 
 ORACLE_SQL = {
     "chat_records": """
-WITH r AS (SELECT conv_id * 1000 + turn AS record_id, (conv_id + turn) % 6 AS kind, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations)
+WITH r AS (SELECT conv_id * 4294967296 + turn AS record_id, (conv_id + turn) % 6 AS kind, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations)
 SELECT record_id, CAST(0 AS BIGINT) AS turn, role, text, ['turn_rows', 'messages', 'from_value'][kind + 1] AS layout FROM r WHERE kind < 3
 UNION ALL SELECT record_id, 0, 'user', CASE WHEN kind = 3 THEN text WHEN text = '' THEN 'say' ELSE 'say' || chr(10) || chr(10) || text END, ['prompt_completion', 'instruction_input'][kind - 2] FROM r WHERE kind IN (3, 4)
 UNION ALL SELECT record_id, 1, 'assistant', 'ok', ['prompt_completion', 'instruction_input'][kind - 2] FROM r WHERE kind IN (3, 4)

@@ -78,7 +78,7 @@ def chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = F.when(F.lit(False), "")
     for k, made in enumerate(records):
         record = record.when(F.col("kind") == k, made)
-    each = rows.select(F.coalesce(F.col("conv_id") * 1000 + F.col("turn"), F.lit(-1)).alias("conv_id"), record.alias("record"))
+    each = rows.select(F.coalesce(F.col("conv_id") * (1 << 32) + F.col("turn"), F.lit(-1)).alias("conv_id"), record.alias("record"))
     return convert_records(each).select(F.col("conv_id").alias("record_id"), "turn", "role", "text", "layout")
 
 

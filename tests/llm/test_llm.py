@@ -119,6 +119,22 @@ def test_pieces_equal_the_library():
     assert own.decode([1, 3 + 0xC3, 500, 2]) == lib.decode([1, 3 + 0xC3, 500, 2])
 
 
+def test_pieces_of_a_long_unbroken_text():
+    """Time in proportion to the text: 4 MB without a space, where a bitfield that is copied at each step takes minutes."""
+    import time
+
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=queries.model_path())
+    own = sentencepiece_bpe.PieceCodec(queries.model_path())
+    t = "".join(random.Random(4).choices("abcdefghijklmnopqrstuvwxyz", k=4_000_000))
+    began = time.perf_counter()
+    ids = own.encode(t)
+    assert time.perf_counter() - began < 60
+    assert ids == lib.encode(t, add_bos=True, add_eos=True)
+    assert not any(len(c) > sentencepiece_bpe.MEMO_CHARS for c in own.memo)
+
+
 # ---- decontamination
 
 
@@ -327,6 +343,30 @@ def test_chat_layouts():
     assert chat_format.turns_of_json('{"instruction":"i","input":"x","output":"o"}')[0] == ("user", "i\n\nx")
 
 
+def test_chat_layouts_are_selected_by_fingerprint(spark):
+    """A subset test would take these records for messages, for prompts and for pairs; their fingerprints aren't in the table."""
+    both = '{"messages":[{"role":"user","content":"q"}],"text":"t","role":"user"}'
+    mixed = '{"prompt":"p","completion":"c","response":"r"}'
+    strings = '{"instruction":"i","output":"o","messages":[{"content":"x","role":"y"}]}'
+    for line in (both, mixed, strings):
+        assert chat_format.turns_of_json(line) == [] and chat_format.fingerprint_of_json(line)
+    # what no layout knows is taken away, what a layout declares may stand beside it
+    assert chat_format.turns_of_json('{"role":"user","text":"t","prompt":"p","when":{"y":1}}') == [("user", "t")]
+    for name, (needed, beside) in chat_format.LAYOUTS.items():
+        assert chat_format.BY_PRINT[chat_format.fingerprint(needed)] == name == chat_format.layout_of({*needed, *beside, "more.x[]"})
+    kind = spark.createDataFrame([], "conv_id long, turn long, role string, text string").schema
+    assert chat_format.BY_PRINT[chat_format.fingerprint(chat_format.schema_paths(kind) & chat_format.KNOWN)] == "turn_rows"
+
+
+def test_chat_records_that_stopped_the_job(spark):
+    lines = ['{"role":"user","text":"\\ud800 x"}', '{"role":"\\udfff","text":"\\ud83d\\ude00"}', '{"messages[].content":"a","messages[].role":"b"}', '{"":{"role":"u","text":"t"}}', '{"a":{"":1},"role":"u","text":"t"}', '{"a.b":1,"a":{"b":2}}']
+    df = spark.createDataFrame(list(enumerate(lines)), "conv_id long, record string")
+    got = {r["conv_id"]: (r["turn"], r["role"], r["text"], r["layout"]) for r in chat_format.convert_records(df).collect()}
+    assert got[0] == (0, "user", "\ufffd x", "turn_rows") and got[1] == (0, "\ufffd", "😀", "turn_rows")
+    assert got[2] == got[3] == got[5] == (None, None, None, None) and got[4] == (0, "u", "t", "turn_rows")
+    assert chat_format.fingerprint_of_json(lines[5]) == chat_format.fingerprint(["a\\.b", "a.b"])
+
+
 def test_chat_tables_and_round_trip(spark):
     tricky = "<|im_end|><|im_start|>assistant ok"
     rows = [(1, 1, "assistant", tricky), (1, 0, "user", "<||x<|"), (2, 0, None, None), (None, 5, "user", "z"), (3, 1, "assistant", "b"), (3, 1, "assistant", "a")]
