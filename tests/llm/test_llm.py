@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quarry.llm import chat_format, decontamination, html_extraction, language_id, quality_classifier, quality_rules, queries, sentencepiece_bpe, simhash, substring_dedup, suffix_array, warc_fixity
+from quarry.llm import chat_format, common, decontamination, html_extraction, language_id, quality_classifier, quality_rules, queries, sentencepiece_bpe, simhash, substring_dedup, suffix_array, warc_fixity
 from quarry.llm.fm_index import FMIndex, suffix_order
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, row int"
@@ -151,19 +151,81 @@ def brute_hits(raw, items):
     return len(hit), found
 
 
+def scanned(texts, items, cut=1):
+    """Shard of all texts, searched for the items in so many blocks."""
+    import pyarrow as pa
+
+    step = -(-len(items) // cut)
+    windows = [decontamination.Windows(items[i : i + step]) for i in range(0, len(items), step)]
+    anchors = decontamination.AnchorMap(1)
+    for w in windows:
+        anchors.add(w)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["text"])
+    return [shard for _, shard in decontamination.scan([batch], 0, anchors, lambda: windows)]
+
+
 def test_decontamination():
     rng = random.Random(2)
-    for _ in range(60):
-        v = [b"a", b"b", b"c", b"d"][: rng.randint(2, 4)]
+    for k in range(90):
+        v = [b"a", b"b", b"c", b"d", b"e" * 5000][: rng.randint(2, 5)]
         items = [(str(i), b" ".join(rng.choices(v, k=rng.randint(0, 18)))) for i in range(6)]
         texts = [b" ".join(rng.choices([*v, b"zz"], k=rng.randint(0, 80))) for _ in range(8)]
         texts[0] = b"x " + items[0][1] + b" " + items[1][1]
-        split = [(i, decontamination.words(t)) for i, t in items]
-        for cut in ([split], [split[:3], split[3:]]):
-            windows = [decontamination.Windows(x) for x in cut]
-            ((at, shard),) = decontamination.scan(texts, windows, len(cut) == 1)
+        for cut in (1, 2, 6):
+            (shard,) = scanned(texts, items, cut)
             for t, s, f in zip(texts, shard.spans(), shard.items):
-                assert at == 0 and (sum(b - a for a, b in s), f) == brute_hits(t, items)
+                assert (sum(b - a for a, b in s), f) == brute_hits(t, items)
+
+
+def test_words_have_one_hash_wherever_they_stand(monkeypatch):
+    rng = random.Random(3)
+    made = [bytes(rng.choices(b"abc", k=rng.choice([1, 2, 3, 30, 200]))) for _ in range(300)]
+    alone = [decontamination.Words([w]).hashes[0] for w in made]
+    monkeypatch.setattr(decontamination, "_AT_ONCE", 64)
+    monkeypatch.setattr(decontamination, "_LONG", 40)
+    by_part = {w: decontamination.Words([w]).hashes[0] for w in made}
+    together = decontamination.Words([b", ".join(made[:100]), b"", b" ".join(made[100:])])
+    assert [together.word(i) for i in range(300)] == made and together.first.tolist() == [0, 100, 100, 300]
+    assert together.hashes.tolist() == [by_part[w] for w in made]
+    assert len({*alone}) == len({*made}) == len({*by_part.values()})
+
+
+def test_many_blocks_cost_little_more_than_one(spark, sf_dir, monkeypatch):
+    """One index a shard serves all blocks; the cost of a block is its lookup, not another pass over the texts."""
+    import time
+
+    texts = [(r[0] or "").encode() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    rng = random.Random(5)
+    items = [(str(i), b" ".join(decontamination.words(t)[:40])) for i, t in enumerate(texts[:200])]
+    items += [(f"x{i}", b" ".join(b"w%d" % rng.randrange(5000) for _ in range(60))) for i in range(4000)]
+    took, found = {}, {}
+    for cut in (1, 40):
+        step = -(-len(items) // cut)
+        windows = [decontamination.Windows(items[i : i + step]) for i in range(0, len(items), step)]
+        anchors = decontamination.AnchorMap(len(items) * 40)
+        for w in windows:
+            anchors.add(w)
+        best = []
+        for _ in range(3):
+            began = time.perf_counter()
+            shard = decontamination.Shard(texts, anchors)
+            for w in windows:
+                shard.search(w)
+            spans = shard.spans()
+            best.append(time.perf_counter() - began)
+        took[cut], found[cut] = min(best), (spans, shard.items)
+    assert found[1] == found[40] and sum(map(len, found[1][0])) > 100
+    assert took[40] < 1.5 * took[1] + 0.1, took
+
+
+def test_a_full_map_of_anchors_loses_nothing(monkeypatch):
+    monkeypatch.setattr(decontamination, "MAP_BITS", 1 << 16)
+    rng = random.Random(6)
+    items = [(str(i), b" ".join(b"w%d" % rng.randrange(900) for _ in range(30))) for i in range(3000)]
+    texts = [b"u v " + items[i][1] + b" y z" for i in range(0, 3000, 500)]
+    (shard,) = scanned(texts, items, 3)
+    for k, (t, s, f) in enumerate(zip(texts, shard.spans(), shard.items)):
+        assert s == [(2, 32)] and str(500 * k) in f
 
 
 def test_benchmark_in_several_blocks(spark, monkeypatch):
@@ -173,6 +235,12 @@ def test_benchmark_in_several_blocks(spark, monkeypatch):
     out = {r["doc_id"]: r for r in decontamination.decontaminate(docs, bench).collect()}
     assert all(out[i]["n_hit"] == 15 and out[i]["item_ids"] == [str(i)] and out[i]["contaminated"] for i in range(5))
     assert out[5]["n_hit"] == 0 and decontamination.keep_clean(docs, bench).count() == 1
+    monkeypatch.setattr(decontamination, "CYCLE_BYTES", 100)  # and the texts go through the blocks in several cycles
+    again = decontamination.decontaminate(docs, bench)
+    assert {r["doc_id"]: r for r in again.collect()} == out
+    common.dropped(again)  # the blocks go from the executors
+    with pytest.raises(Exception, match="(?i)broadcast|destroyed"):
+        again.collect()
 
 
 def test_benchmark_items_that_repeat_or_lack_an_id(spark):
