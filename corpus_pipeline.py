@@ -46,7 +46,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     for name, stage in STAGES[:-1]:
-        kept = stored(stage(spark, docs, sf_dir), name)
-        dropped(docs)  # its successor is written
+        made = stage(spark, docs, sf_dir)
+        kept = stored(made, name)
+        for done in (made, docs):  # what it sent to the executors, and the stage before
+            dropped(done)
         docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
