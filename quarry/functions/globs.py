@@ -6,12 +6,16 @@ any number of segments, `**` beside other text for anything, `[...]` for one cha
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 from quarry.functions.predicates import literal_regex
 
+_LOG = logging.getLogger(__name__)
+
 #: A separator, a character of a segment, what may stand before an anchored path and before a name.
 SEPARATOR, IN_SEGMENT = r"[\\/]", r"[^\\/]"
 ANCHORED, ANYWHERE = r"^(?:[a-zA-Z]:)?[\\/]?", r"(?:^|[\\/])"
@@ -133,18 +137,32 @@ def pattern_list(patterns: str) -> str:
 
 @dataclass(frozen=True)
 class IgnoreRule:
+    """Lines of an ignore file: what they match below its directory, whether they keep, whether only directories count."""
+
     regex: str
     keep: bool
     dirs_only: bool
 
 
 def ignore_rules(text: str) -> list[IgnoreRule]:
-    """Rules of an ignore file in order: '#' comments, '!' keeps, a trailing '/' is for directories."""
+    """Rules of an ignore file in order: '#' comments, '!' keeps, a separator at the end is for directories; one at the start
+    doesn't anchor. Lines that can't be read are left out and logged."""
     rules = []
     for line in text.splitlines():
         line = line.strip()
         if not line or line.startswith("#"):
             continue
-        keep, line = line.startswith("!"), line.removeprefix("!")
-        rules.append(IgnoreRule(glob_regex(line.rstrip("/")), keep, line.endswith("/")))
+        keep, line = line.startswith("!"), line.removeprefix("!").strip().replace("\\", "/")
+        if not line.strip("/"):
+            continue
+        try:
+            rules.append(IgnoreRule(glob_regex(line.strip("/")), keep, line.endswith("/")))
+        except ValueError as error:
+            _LOG.warning("ignore rule %r is left out: %s", line, error)
     return rules
+
+
+def folded(rules: list[IgnoreRule]) -> list[IgnoreRule]:
+    """The same verdicts from fewer rules: neighbours that say the same are one expression."""
+    runs = groupby(rules, key=lambda r: (r.keep, r.dirs_only))
+    return [IgnoreRule("|".join(f"(?:{r.regex})" for r in run), keep, dirs_only) for (keep, dirs_only), run in runs]

@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.globs import IgnoreRule, glob_regex, with_ancestors
 from quarry.sources.catalog import HIDDEN, SYSTEM
 
 MIB = 1 << 20
@@ -44,33 +43,6 @@ def modified_since(rows: DataFrame, moment: Column) -> DataFrame:
     return rows.where(F.col("modified") >= moment)
 
 
-def under(path: Column, roots: Iterable[str]) -> Column:
-    """Is a path one of the roots or below one?"""
-    return any_of((F.lower(path) == r.lower()) | F.lower(path).startswith(f"{r.lower()}/") for r in roots)
-
-
-def excluded(path: Column, roots: Iterable[str] = (), globs: Iterable[str] = (), regexes: Iterable[str] = ()) -> Column:
-    """By root, or by glob or regex of the path itself or any ancestor: one pass over the path, no join."""
-    tests = [path.rlike(f"(?i){with_ancestors(glob_regex(g))}") for g in globs] + [path.rlike(f"(?i){r}") for r in regexes]
-    return under(path, roots) | any_of(tests)
-
-
-def surviving(path: Column, bypass: bool, exempt_roots: Iterable[str], **rules) -> Column:
-    """A row survives if the bypass or an exempt root clears it, or no exclusion applies."""
-    return F.lit(bypass) | under(path, exempt_roots) | ~excluded(path, **rules)
-
-
-def ignored(path: Column, is_dir: Column, rules: list[IgnoreRule]) -> Column:
-    """The last rule that applies decides."""
-    out = F.lit(False)
-    for r in rules:
-        hit = path.rlike(r.regex if not r.dirs_only else with_ancestors(r.regex))
-        if r.dirs_only:
-            hit = hit & (is_dir | path.rlike(with_ancestors(r.regex)[:-len(r"(?:$|[\\/])")] + r"[\\/]"))
-        out = F.when(hit, F.lit(not r.keep)).otherwise(out)
-    return out
-
-
 def size_bucket(size: Column, bucket: str) -> Column:
     return {"small": size < MIB, "medium": size.between(MIB, 100 * MIB), "large": size > 100 * MIB}[bucket]
 

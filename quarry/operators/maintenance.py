@@ -7,12 +7,15 @@ every row of the id; it never adds or removes a row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.instant import normal_path
 from quarry.operators import tree
+from quarry.operators.joins import prefixes
 from quarry.sources import catalog as C
 
 LINK = ("id", "parent_id", "name")
@@ -104,18 +107,60 @@ def toggled(links: DataFrame, toggles: DataFrame, *key: str) -> DataFrame:
     return links.join(odd, list(key), "left_anti").unionByName(odd.join(links.select(*key), list(key), "left_anti"))
 
 
-def apply_path_changes(base: DataFrame, changes: DataFrame) -> DataFrame:
-    """Path-keyed changes: delete and rename-from remove a path and all below it, create and change upsert; missing
-    parents of upserted paths are added as directories. Columns: path, is_dir, size; changes also action, usn."""
-    last = last_by(changes, "path")
-    removed = last.where("action = 'remove'").select(F.col("path").alias("gone"))
-    prefixes = lambda c: F.transform(F.sequence(F.lit(1), F.size(F.split(c, "/"))), lambda k: F.array_join(F.slice(F.split(c, "/"), 1, k), "/"))
-    up = base.withColumn("gone", F.explode(prefixes(F.col("path"))))
-    below = up.join(removed, "gone", "left_semi").select("path").distinct()
-    upserts = last.where("action = 'add'").select("path", "is_dir", "size")
-    parents = upserts.select(F.explode(prefixes(F.col("path"))).alias("path")).distinct().join(upserts, "path", "left_anti").select("path", F.lit(True).alias("is_dir"), F.lit(0).cast("long").alias("size"))
-    kept = base.select("path", "is_dir", "size").join(below, "path", "left_anti").join(upserts, "path", "left_anti")
-    return kept.unionByName(upserts).unionByName(parents.join(kept, "path", "left_anti"))
+def apply_path_changes(base: DataFrame, changes: DataFrame, excluded: Callable[[DataFrame], DataFrame] | None = None, listing: DataFrame | None = None) -> DataFrame:
+    """Base after path-keyed changes, in their order. Columns: path, is_dir, size; changes also action and usn.
+
+    `add` (create, change, the new name of a rename) puts a path there and what is missing above it, as directories of size
+    0; an added directory brings along what the listing (path, is_dir, size) has below it. `remove` (delete, the old name
+    of a rename) takes a path and all that is below it at that time. excluded: takes rows with a path and returns those
+    that an exclusion rule excludes; adding such a path removes it.
+
+    A path is there if it was added, itself or as the way to another, since the last removal of it or of any directory
+    above it; of a record's two at the same usn the removal comes first. It is what it was when it was last added itself,
+    if that is since that removal; else what it was in the base, if nothing above was removed; else a directory made on the
+    way. Of repeated paths in the base or the listing one is kept, the directory or larger. A null path is left out.
+
+    Removals meet paths by the few prefixes of each, not by comparison of all with all, and every path is dealt once."""
+    clean = lambda df: df.withColumn("path", normal_path(F.col("path"))).where("path is not null and path <> ''")
+    old, own = clean(base.select("path", "is_dir", "size")), clean(changes.select("path", "is_dir", "size", "action", "usn"))
+    adds = own.where("action = 'add'").select("path", "usn", "is_dir", F.when(F.col("is_dir"), F.lit(0)).otherwise(F.col("size")).cast("long").alias("size"))
+    if listing is not None:
+        dirs = adds.where("is_dir")
+        if excluded is not None:  # an excluded directory isn't listed
+            dirs = dirs.join(excluded(dirs.select("path").distinct()).select("path").distinct(), "path", "left_anti")
+        opened = dirs.groupBy(F.col("path").alias("up")).agg(F.collect_set("usn").alias("at"))
+        inside = clean(listing.select("path", "is_dir", "size")).withColumn("up", F.explode(_above("path"))).join(opened, "up")
+        brought = inside.select("path", F.explode("at").alias("usn"), "is_dir", F.when(F.col("is_dir"), F.lit(0)).otherwise(F.col("size")).cast("long").alias("size"))
+        adds = adds.unionByName(brought)
+    gone = own.where("action = 'remove'").select("path", "usn")
+    if excluded is not None:
+        out = excluded(adds.select("path").distinct()).select("path").distinct()
+        gone = gone.unionByName(adds.join(out, "path", "left_semi").select("path", "usn"))
+        adds = adds.join(out, "path", "left_anti")
+    removed = gone.groupBy(F.col("path").alias("up")).agg(F.max("usn").alias("removed"))
+    added = adds.groupBy("path").agg(F.max("usn").alias("added"), F.max_by(F.struct("is_dir", "size"), F.struct("usn", "is_dir", "size")).alias("new"))
+    ways = added.select(F.explode(_above("path")).alias("path"), F.col("added").alias("way")).groupBy("path").agg(F.max("way").alias("way"))
+    paths = old.select("path").unionByName(added.select("path")).unionByName(ways.select("path"))
+    swept = paths.select("path", F.explode(prefixes(F.col("path"))).alias("up")).join(removed, "up").groupBy("path").agg(F.max("removed").alias("removed"))
+    part = lambda df, *has: df.select(*(F.col(c) if c in has else F.lit(None).cast(t).alias(c) for c, t in _PATH_STATE))
+    every = part(old.select("path", F.struct("is_dir", F.col("size").cast("long").alias("size")).alias("old")), "path", "old").unionByName(part(added, "path", "added", "new")).unionByName(part(ways, "path", "way")).unionByName(part(swept, "path", "removed"))
+    state = every.groupBy("path").agg(*(F.max(c).alias(c) for c, _ in _PATH_STATE if c != "path"))
+    since = lambda c: F.col(c) >= F.coalesce("removed", F.col(c))
+    there = F.coalesce(since("added"), F.lit(False)) | F.coalesce(since("way"), F.lit(False)) | (F.col("old").isNotNull() & F.col("removed").isNull())
+    made = F.struct(F.lit(True).alias("is_dir"), F.lit(0).cast("long").alias("size"))
+    now = F.when(since("added"), F.col("new")).when(F.col("removed").isNull(), F.coalesce("old", made)).otherwise(made)
+    return state.where(there).select("path", now["is_dir"].alias("is_dir"), now["size"].alias("size"))
+
+
+#: What is known of a path: its row in the base, when it was last added and as what, when it was last on the way to an added
+#: path, when it or a directory above it was last removed.
+_PATH_STATE = (("path", "string"), ("old", "struct<is_dir: boolean, size: bigint>"), ("added", "bigint"), ("new", "struct<is_dir: boolean, size: bigint>"), ("way", "bigint"), ("removed", "bigint"))
+
+
+def _above(path: str) -> Column:
+    """The directories above a path."""
+    every = prefixes(F.col(path))
+    return F.slice(every, F.lit(1), F.size(every) - 1)
 
 
 def diff(old: DataFrame, new: DataFrame, compare: tuple[str, ...], id_col: str = "id") -> DataFrame:

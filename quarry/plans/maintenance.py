@@ -107,11 +107,42 @@ def cdc_cascade(spark, sf_dir):
     return H.cascade(nodes, nodes.where(F.col("name").isin("ASIA", "NATION_2")))
 
 
-@query()
+# the records by what the rest of usn / 9 says; a page's path is that of the page whose number the record's id leaves
+_PATH_CHANGES = """SELECT usn, CASE WHEN k IN (0, 2) THEN folder WHEN k = 1 THEN host WHEN k IN (3, 4) THEN path || '/new/' || (usn % 3) WHEN k = 5 THEN folder || '/tmp' WHEN k = 8 THEN path || '/tmp' ELSE path END AS path,
+  k = 2 AS is_dir, CASE WHEN k IN (0, 1, 6) THEN 'remove' ELSE 'add' END AS action, CAST(usn % 1000 AS BIGINT) AS size
+ FROM (SELECT j.usn, j.usn % 9 AS k, p.path, p.host, regexp_extract(p.path, '^(.*)/[^/]*$', 1) AS folder FROM journal j JOIN (SELECT page_id, path, host FROM page_paths) p ON p.page_id = j.id % (SELECT count(*) FROM pages) WHERE j.usn % 9 <> 1 OR j.usn % 45 = 1)"""
+
+
+@query(f"""WITH ch AS ({_PATH_CHANGES}), base AS (SELECT DISTINCT path, false AS is_dir, CAST(1 AS BIGINT) AS size FROM page_paths),
+ ups AS (SELECT path, usn, is_dir, CASE WHEN is_dir THEN 0 ELSE size END AS size FROM ch WHERE action = 'add'
+   UNION ALL SELECT b.path, c.usn, false, 2 FROM ch c JOIN (SELECT DISTINCT path FROM page_paths WHERE page_id % 2 = 0) b ON c.action = 'add' AND c.is_dir AND starts_with(b.path, c.path || '/')),
+ good AS (SELECT * FROM ups WHERE path NOT LIKE '%/tmp'),
+ rem AS (SELECT path, max(usn) AS at FROM (SELECT path, usn FROM ch WHERE action = 'remove' UNION ALL SELECT path, usn FROM ups WHERE path LIKE '%/tmp') GROUP BY path),
+ way AS (SELECT array_to_string(string_split(path, '/')[1 : t.k], '/') AS path, usn FROM good, unnest(range(1, 9)) AS t(k) WHERE t.k < len(string_split(path, '/'))),
+ every AS (SELECT path FROM base UNION SELECT path FROM good UNION SELECT path FROM way),
+ gone AS (SELECT e.path AS path, max(r.at) AS at FROM every e JOIN rem r ON e.path = r.path OR starts_with(e.path, r.path || '/') GROUP BY e.path),
+ self AS (SELECT path, max(usn) AS at, arg_max({{'d': is_dir, 's': size}}, usn * 2 + CAST(is_dir AS INTEGER)) AS v FROM good GROUP BY path),
+ on_way AS (SELECT path, max(usn) AS at FROM way GROUP BY path)
+SELECT e.path AS path, CASE WHEN s.at >= coalesce(g.at, s.at) THEN s.v.d WHEN g.at IS NULL THEN coalesce(b.is_dir, true) ELSE true END AS is_dir,
+  CAST(CASE WHEN s.at >= coalesce(g.at, s.at) THEN s.v.s WHEN g.at IS NULL THEN coalesce(b.size, 0) ELSE 0 END AS BIGINT) AS size
+FROM every e LEFT JOIN gone g ON g.path = e.path LEFT JOIN self s ON s.path = e.path LEFT JOIN on_way w ON w.path = e.path LEFT JOIN base b ON b.path = e.path
+WHERE coalesce(s.at >= coalesce(g.at, s.at), false) OR coalesce(w.at >= coalesce(g.at, w.at), false) OR (b.path IS NOT NULL AND g.at IS NULL)""")
 def cdc_path_apply(spark, sf_dir):
-    base = catalog.page_paths(spark, sf_dir).select("path").distinct().select("path", F.lit(False).alias("is_dir"), F.lit(1).cast("long").alias("size"))
-    changes = catalog.journal(spark, sf_dir).select(F.concat(F.lit("new.example/"), (F.col("id") % 9).cast("string"), F.lit("/"), F.col("id").cast("string")).alias("path"), F.lit(False).alias("is_dir"), "size", F.when(F.col("reason") == catalog.FILE_DELETE, "remove").otherwise("add").alias("action"), "usn")
-    return M.apply_path_changes(base, changes)
+    """A journal over the pages' paths that removes files, folders and hosts, makes folders again with what is listed in
+    them, adds below files, and adds what a rule excludes."""
+    from quarry.operators.exclusions import ExclusionRules, excluded_rows
+
+    pages = catalog.page_paths(spark, sf_dir)
+    base = pages.select("path").distinct().select("path", F.lit(False).alias("is_dir"), F.lit(1).cast("long").alias("size"))
+    n = pages.count()
+    j = catalog.journal(spark, sf_dir).where("usn % 9 <> 1 or usn % 45 = 1").select("usn", (F.col("usn") % 9).alias("k"), (F.col("id") % n).alias("page_id"))
+    met = j.join(pages.select("page_id", "path", "host", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder")), "page_id")
+    k = F.col("k")
+    path = F.when(k.isin(0, 2), F.col("folder")).when(k == 1, F.col("host")).when(k.isin(3, 4), F.concat("path", F.lit("/new/"), (F.col("usn") % 3).cast("string"))).when(k == 5, F.concat("folder", F.lit("/tmp"))).when(k == 8, F.concat("path", F.lit("/tmp"))).otherwise(F.col("path"))
+    changes = met.select("usn", path.alias("path"), (k == 2).alias("is_dir"), F.when(k.isin(0, 1, 6), "remove").otherwise("add").alias("action"), (F.col("usn") % 1000).cast("long").alias("size"))
+    listing = pages.where("page_id % 2 = 0").select("path", F.lit(False).alias("is_dir"), F.lit(2).cast("long").alias("size"))
+    rules = ExclusionRules.of(spark, globs=("tmp",))
+    return M.apply_path_changes(base, changes, lambda rows: excluded_rows(rows, rules).where("excluded"), listing)
 
 
 _SESSIONS = """SELECT id, max(usn) AS usn, count(*) AS n, max(ts) AS last_ts FROM (SELECT id, usn, ts, sum(fresh) OVER (PARTITION BY id ORDER BY ts, usn) AS s FROM (

@@ -7,15 +7,16 @@ import uuid
 from pyspark.sql import functions as F
 
 from quarry.functions import query as Q
-from quarry.functions.globs import glob_regex, ignore_rules, pattern_list, with_ancestors
+from quarry.functions.globs import glob_regex, pattern_list
 from quarry.functions import predicates as P
 from quarry.operators import aggregates as A
+from quarry.operators import exclusions as E
 from quarry.operators import filters as X
 from quarry.operators import joins as J
 from quarry.operators import paths as H
 from quarry.operators import ranking as R
 from quarry.operators import tree as W
-from quarry.operators.storage import Snapshots, shared_folder
+from quarry.operators.storage import Snapshots, remove_folder, shared_folder
 from quarry.plans.registry import query, sql_query
 from quarry.sources import catalog
 
@@ -61,7 +62,7 @@ def src_header_counts(spark, sf_dir):
 @query("SELECT id, name FROM parts WHERE contains(lower(name), 'bolt') AND starts_with(path, 'P:/Brand#3/')")
 def src_live_scan(spark, sf_dir):
     """A directory that no catalog holds, scanned as it is: the same predicates over the raw rows, with no dictionary."""
-    rows = catalog.parts(spark, sf_dir).where(X.under(F.col("path"), ["p:/brand#3"]))
+    rows = catalog.parts(spark, sf_dir).where(E.under(F.col("path"), ["p:/brand#3"]))
     return rows.where(P.pattern_column(F.col("name"), Q.parse_pattern("'bolt"))).select("id", "name")
 
 
@@ -136,50 +137,85 @@ def filter_hidden(spark, sf_dir):
     return rows.where(X.visible(F.col("flags")))
 
 
-_ROOTS = ("blog.tionsh.example.net", "thther.example.org/en")
-_GLOBS = ("**/fr/**", "*.example.com", "de")
-_SQL_ROOTS = " OR ".join(f"lower(path) = '{r}' OR starts_with(lower(path), '{r}/')" for r in _ROOTS)
-_SQL_GLOBS = " OR ".join(f"regexp_matches(path, '(?i){with_ancestors(glob_regex(g))}')" for g in _GLOBS)
+_ROOTS = ("blog.tionsh.example.net\\\\", "thther.example.org/en/")  # either separator, and one at the end
+_GLOBS = ("**/fr/**", "*.example.com", "de", "[not closed")
+_REGEXES = ("^7[0-9]+$", "(not closed")
+# what they say, without regular expressions made of globs: by the parts of a path
+_SQL_ROOTS = "(lower(path) || '/' LIKE 'blog.tionsh.example.net/%' OR lower(path) || '/' LIKE 'thther.example.org/en/%')"
+_SQL_GLOBS = "(list_contains(string_split(lower(path), '/')[:-2], 'fr') OR list_contains(string_split(lower(path), '/'), 'de') OR list_bool_or(list_transform(string_split(lower(path), '/'), lambda s: s LIKE '%.example.com')))"
+_SQL_REGEXES = "list_bool_or(list_transform(string_split(path, '/'), lambda s: s LIKE '7_%' AND TRY_CAST(s AS BIGINT) IS NOT NULL))"
 
 
-@query(f"SELECT page_id, path FROM page_paths WHERE NOT ({_SQL_ROOTS})")
+@query(f"SELECT page_id, path FROM page_paths WHERE NOT {_SQL_ROOTS}")
 def filter_excluded_roots(spark, sf_dir):
-    return catalog.page_paths(spark, sf_dir).where(~X.excluded(F.col("path"), roots=_ROOTS)).select("page_id", "path")
+    rules = E.ExclusionRules.of(spark, roots=_ROOTS)
+    return E.surviving(catalog.page_paths(spark, sf_dir).select("page_id", "path"), rules)
 
 
-@query(f"SELECT page_id, path FROM page_paths WHERE NOT ({_SQL_GLOBS})")
+@query(f"SELECT page_id, path FROM page_paths WHERE NOT ({_SQL_GLOBS} OR {_SQL_REGEXES})")
 def filter_excluded_globs(spark, sf_dir):
-    return catalog.page_paths(spark, sf_dir).where(~X.excluded(F.col("path"), globs=_GLOBS)).select("page_id", "path")
+    """Globs and regular expressions over directories and names; those that can't be read are skipped."""
+    rules = E.ExclusionRules.of(spark, globs=_GLOBS, regexes=_REGEXES)
+    return E.surviving(catalog.page_paths(spark, sf_dir).select("page_id", "path"), rules)
 
 
-@query(f"SELECT page_id, path FROM page_paths WHERE starts_with(lower(path), 'm.ththth.example.net/') OR lower(path) = 'm.ththth.example.net' OR NOT ({_SQL_ROOTS} OR {_SQL_GLOBS})")
+@query("""WITH e AS (SELECT page_id, path, string_split(lower(path), '/') AS s FROM page_paths)
+SELECT page_id, path FROM e WHERE NOT list_contains(s[:-2], 'fr') AND NOT (
+  (s[1] = 'm.ththth.example.net' AND s[2] = 'en') OR (s[1] = 'blog.tionsh.example.net' AND false) OR (s[1] = 'thther.example.org' AND s[2] = 'en'))""")
 def filter_bypass(spark, sf_dir):
-    return catalog.page_paths(spark, sf_dir).where(X.surviving(F.col("path"), False, ("m.ththth.example.net",), roots=_ROOTS, globs=_GLOBS)).select("page_id", "path")
+    """A search scoped to a folder of the blog: the excluded root that holds the folder is lifted, one below another host
+    isn't, nor is any pattern."""
+    rules = E.ExclusionRules.of(spark, roots=("blog.tionsh.example.net", "M.ththth.example.net/en", "thther.example.org/en"), globs=("**/fr/**",))
+    return E.surviving(catalog.page_paths(spark, sf_dir).select("page_id", "path"), rules, exempt=("blog.tionsh.example.net/en",))
 
 
-_IGNORE = "# comment\nfr\n!*/fr/1*\n*.example.org/en/2*\n"
-_INNER = "!fr\n/en/3*\n"
+_IGNORE = "# comment\nfr/\n!m.*/fr\n*.example.org/en/2*\n"
+_INNER = "!fr\n/en\n!en/1*\n"
+# each part of a path in turn, with the rules heard there in order, the last that matches deciding; a part that is ignored
+# hides all below it
+_WALK = """WITH p AS (SELECT page_id, path, string_split(path, '/') AS s FROM page_paths),
+k AS (SELECT page_id, path, s, t.k AS k, s[t.k] AS name, t.k < len(s) AS is_dir FROM p, unnest(range(1, 4)) AS t(k) WHERE t.k <= len(s)),
+own AS (SELECT page_id, path, {} AS out FROM k)
+SELECT page_id, path, bool_or(out) AS ignored FROM own GROUP BY page_id, path"""
+_TOP_RULES = "WHEN k = 3 AND s[1] LIKE '%.example.org' AND s[2] = 'en' AND name LIKE '2%' THEN true WHEN k = 2 AND s[1] LIKE 'm.%' AND name = 'fr' THEN false WHEN name = 'fr' AND is_dir THEN true ELSE false END"
 
 
-@query("SELECT page_id, path, CASE WHEN regexp_matches(path, '{2}') THEN true WHEN regexp_matches(path, '{1}') THEN false WHEN regexp_matches(path, '{0}') THEN true ELSE false END AS ignored FROM page_paths".format(*(r.regex for r in ignore_rules(_IGNORE))))
+@query(_WALK.format("CASE " + _TOP_RULES))
 def filter_ignore_rules(spark, sf_dir):
-    rows = catalog.page_paths(spark, sf_dir)
-    return rows.select("page_id", "path", X.ignored(F.col("path"), F.lit(False), ignore_rules(_IGNORE)).alias("ignored"))
+    """Rules of one file at the top: what lies below an ignored directory is ignored, a kept one is entered."""
+    from quarry.sources.ignorefiles import rules_frame
+
+    return E.ignored_by(catalog.page_paths(spark, sf_dir).select("page_id", "path"), rules_frame(spark, [("", ".gitignore", _IGNORE)]))
 
 
-@query("""SELECT page_id, path, CASE WHEN path LIKE 'blog.tionsh.example.net/%' AND regexp_matches(path, '^blog.tionsh.example.net/en/3[^/]*$') THEN true
- WHEN path LIKE 'blog.tionsh.example.net/%' AND regexp_matches(path, '/fr$') THEN false WHEN regexp_matches(path, '{2}') THEN true WHEN regexp_matches(path, '{1}') THEN false WHEN regexp_matches(path, '{0}') THEN true ELSE false END AS ignored FROM page_paths""".format(*(r.regex for r in ignore_rules(_IGNORE))))
+@query(_WALK.format("CASE WHEN s[1] = 'blog.tionsh.example.net' AND k > 1 THEN CASE WHEN k = 3 AND s[2] = 'en' AND name LIKE '1%' THEN false WHEN name = 'en' THEN true WHEN name = 'fr' THEN false ELSE false END " + _TOP_RULES))
 def src_ignore_files(spark, sf_dir):
-    """Ignore files read from the tree they rule: one at the top, one in a host's folder, which is heard after it."""
-    from quarry.sources.ignorefiles import ignored_by, read_rules
+    """Ignore files read from the tree they rule: one at the top, one in a host's folder, which is heard after it; it ignores
+    a directory, below which none of its rules can keep anything."""
+    from quarry.sources.ignorefiles import read_rules
 
     folder = f"{shared_folder(spark)}/ignore-{uuid.uuid4().hex}"
     for at, text in (("", _IGNORE), ("/blog.tionsh.example.net", _INNER)):
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{folder}{at}/.gitignore")
-    return ignored_by(catalog.page_paths(spark, sf_dir), read_rules(spark, folder)).select("page_id", "path", "ignored")
+    rules = read_rules(spark, folder)
+    remove_folder(spark, folder)
+    return E.ignored_by(catalog.page_paths(spark, sf_dir).select("page_id", "path"), rules)
+
+
+@query("""SELECT DISTINCT path, is_dir, depth FROM (SELECT array_to_string(s[1 : t.k], '/') AS path, t.k < len(s) AS is_dir, CAST(t.k - 1 AS INTEGER) AS depth, s[1] AS host, s[2] AS lang
+  FROM (SELECT string_split(path, '/') AS s FROM page_paths), unnest(range(1, 4)) AS t(k) WHERE t.k <= len(s)) WHERE depth <= 1 AND host NOT LIKE '%.example.com' AND NOT (depth = 1 AND lang = 'fr')""")
+def walk_gates(spark, sf_dir):
+    """A walk of one level down, by excluded globs, ignored directories and depth at once."""
+    from quarry.sources.ignorefiles import rules_frame
+
+    parts = F.split("path", "/")
+    each = catalog.page_paths(spark, sf_dir).select(F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(F.array_join(F.slice(parts, 1, k), "/").alias("path"), (k < F.size(parts)).alias("is_dir")))).alias("depth", "x"))
+    rows = each.select("x.path", "x.is_dir", "depth").distinct()
+    rules = rules_frame(spark, [("", ".ignore", "fr/\n")])
+    return E.walked(rows, rules, E.ExclusionRules.of(spark, globs=("*.example.com",)), max_depth=1, is_dir="is_dir")
 
 
-@query("SELECT page_id, path FROM page_paths WHERE regexp_matches(path, '{}')".format(glob_regex("**/e[ns]/{1*,2?}")))
+@query("WITH e AS (SELECT page_id, path, string_split(path, '/') AS s FROM page_paths) SELECT page_id, path FROM e WHERE lower(s[-2]) IN ('en', 'es') AND (s[-1] LIKE '1%' OR s[-1] LIKE '2_')")
 def glob_match(spark, sf_dir):
     return catalog.page_paths(spark, sf_dir).where(F.col("path").rlike(glob_regex("**/e[ns]/{1*,2?}"))).select("page_id", "path")
 
@@ -243,7 +279,7 @@ def filter_reachable(spark, sf_dir):
 @query("SELECT id, path FROM paths WHERE starts_with(path, 'T:/ASIA/')")
 def filter_self(spark, sf_dir):
     parsed = Q.parse_query("T:/ASIA/")
-    rows = catalog.paths(spark, sf_dir).where(X.under(F.col("path"), [parsed.exact_path]))
+    rows = catalog.paths(spark, sf_dir).where(E.under(F.col("path"), [parsed.exact_path]))
     return rows.where(F.lower("path") != parsed.exact_path).select("id", "path")
 
 

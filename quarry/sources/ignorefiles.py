@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from quarry.functions.globs import ignore_rules
-from quarry.operators.joins import prefixes
+from quarry.functions.globs import folded, ignore_rules
+from quarry.operators.exclusions import IGNORE_NAMES, RULES
 
-NAMES = (".ignore", ".fdignore", ".gitignore")
 #: Most bytes of ignore files that are read; they are parsed on the driver.
 MAX_BYTES = 16 << 20
-RULES = "directory string, kind string, ordinal int, regex string, keep boolean, dirs_only boolean"
 
 
 def ignore_files(spark: SparkSession, folder: str) -> Iterator[tuple[str, str, str]]:
@@ -27,9 +24,9 @@ def ignore_files(spark: SparkSession, folder: str) -> Iterator[tuple[str, str, s
     while files.hasNext():
         status = files.next()
         *directory, name = status.getPath().toString()[len(above) + 1 :].split("/")
-        if name.startswith("part-") and directory and directory[-1] in NAMES:
+        if name.startswith("part-") and directory and directory[-1] in IGNORE_NAMES:
             name = directory.pop()
-        if name not in NAMES:
+        if name not in IGNORE_NAMES:
             continue
         left -= status.getLen()
         if left < 0:
@@ -43,17 +40,10 @@ def ignore_files(spark: SparkSession, folder: str) -> Iterator[tuple[str, str, s
 
 def read_rules(spark: SparkSession, folder: str) -> DataFrame:
     """(directory, kind, ordinal, regex, keep, dirs_only) of all ignore files below a folder; '' is the folder itself."""
-    found = [(directory, name, i, r.regex, r.keep, r.dirs_only) for directory, name, text in ignore_files(spark, folder) for i, r in enumerate(ignore_rules(text))]
-    return spark.createDataFrame(found, RULES)
+    return rules_frame(spark, ignore_files(spark, folder))
 
 
-def ignored_by(rows: DataFrame, rules: DataFrame, path_col: str = "path", is_dir: str | None = None) -> DataFrame:
-    """Rows with `ignored`: the last rule that applies decides, deeper files being heard later. Each path is joined with the
-    rules of the directories above it by equality, and matched relative to the directory."""
-    key = rows.select(path_col, *([is_dir] if is_dir else [])).distinct()
-    above = key.withColumn("directory", F.explode(F.concat(F.array(F.lit("")), prefixes(F.col(path_col)))))
-    met = above.where(F.col("directory") != F.col(path_col)).join(rules, "directory")
-    relative = F.when(F.col("directory") == "", F.col(path_col)).otherwise(F.expr(f"substring({path_col}, length(directory) + 2)"))
-    hit = met.where(F.rlike(relative, F.col("regex")) & (~F.col("dirs_only") | (F.col(is_dir) if is_dir else F.lit(False))))
-    last = hit.groupBy(path_col).agg(F.max_by("keep", F.struct(F.length("directory"), "kind", "ordinal")).alias("_keep"))
-    return rows.join(last, path_col, "left").withColumn("ignored", F.coalesce(~F.col("_keep"), F.lit(False))).drop("_keep")
+def rules_frame(spark: SparkSession, files: Iterable[tuple[str, str, str]]) -> DataFrame:
+    """The rules of (directory, name, text) ignore files."""
+    found = [(directory, name, i, r.regex, r.keep, r.dirs_only) for directory, name, text in files for i, r in enumerate(folded(ignore_rules(text)))]
+    return spark.createDataFrame(found, RULES)

@@ -270,7 +270,8 @@ def test_bookmark_trees():
 
 
 def test_ignore_files_down_a_tree(spark, tmp_path):
-    from quarry.sources.ignorefiles import ignored_by, read_rules
+    from quarry.operators.exclusions import ignored_by
+    from quarry.sources.ignorefiles import read_rules
 
     (tmp_path / "a" / "b").mkdir(parents=True)
     (tmp_path / ".gitignore").write_text("*.log\nbuild/\n")
@@ -375,23 +376,6 @@ def test_path_search_by_alias(spark):
     assert {r["id"] for r in H.search_path(df, "zq/report", 10, A.generate).collect()} == {1, 2}
 
 
-def test_path_changes_against_model(spark):
-    rng = random.Random(8)
-    base = {f"a/{i % 4}/{i}": (False, i) for i in range(40)} | {"a": (True, 0), **{f"a/{k}": (True, 0) for k in range(4)}}
-    changes = [(f"{rng.choice('ab')}/{rng.randint(0, 5)}" + (f"/{rng.randint(0, 50)}" if rng.random() < 0.8 else ""), False, u, rng.choice(["add", "add", "remove"]), u) for u in range(60)]
-    last = {c[0]: c for c in sorted(changes, key=lambda c: c[4])}
-    gone = [p for p, c in last.items() if c[3] == "remove"]
-    now = {p: v for p, v in base.items() if not any(p == g or p.startswith(g + "/") for g in gone)}
-    adds = {p: (c[1], c[2]) for p, c in last.items() if c[3] == "add"}
-    now.update(adds)
-    for p in list(adds):
-        parts = p.split("/")
-        for k in range(1, len(parts)):
-            now.setdefault("/".join(parts[:k]), (True, 0))
-    got = M.apply_path_changes(spark.createDataFrame([(p, *v) for p, v in base.items()], "path string, is_dir boolean, size long"), spark.createDataFrame(changes, "path string, is_dir boolean, size long, action string, usn long"))
-    assert {r["path"]: (r["is_dir"], r["size"]) for r in got.collect()} == now
-
-
 def test_settings_behind_a_keyword(spark):
     from quarry.operators import ranking as R
 
