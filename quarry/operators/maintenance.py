@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quarry.functions.instant import normal_path
 from quarry.operators import tree
 from quarry.operators.joins import prefixes
+from quarry.operators.storage import cut_lineage
 from quarry.sources import catalog as C
 
 LINK = ("id", "parent_id", "name")
@@ -95,10 +96,12 @@ def compact(base: DataFrame, changes: DataFrame, key: tuple[str, ...] = LINK, co
     rows = overlay_metadata(apply_links(base, changes, key), changes, columns)
     if not directories:
         return rows
+    rows = cut_lineage(rows)
     gone = link_states(changes, key).where("last = 'remove'").select("id").distinct().join(rows.select("id"), "id", "left_anti")
-    heads = rows.join(gone.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi").select("id").distinct()
-    lost = tree.closure(rows).join(heads.withColumnRenamed("id", "ancestor"), "ancestor", "left_semi").select("id").union(heads).distinct()
-    return rows.join(lost, "id", "left_anti").select(rows.columns)
+    heads = cut_lineage(rows.join(gone.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi").select("id").distinct())
+    if heads.isEmpty():
+        return rows
+    return rows.join(tree.cascade(rows, heads), "id", "left_anti").select(rows.columns)
 
 
 def toggled(links: DataFrame, toggles: DataFrame, *key: str) -> DataFrame:

@@ -60,16 +60,15 @@ def apply_tokens(rows: DataFrame, tokens: tuple[str, ...], providers: list[Token
 
 def placed(rows: DataFrame, name: str = "place") -> DataFrame:
     """Adds the place of each row of a totally ordered DataFrame. The sort has dealt the rows by ranges, so a place is the
-    number of rows in the ranges before, one number a range, plus the place within. The ranges are checkpointed, else
-    they could be drawn anew between counting and numbering."""
+    number of rows in the ranges before, one row a range and joined as such, plus the place within. The ranges are
+    checkpointed, else they could be drawn anew between counting and numbering."""
     at = F.col("_at")
     ranged = cut_lineage(rows.withColumn("_at", F.monotonically_increasing_id()))  # range << 33 | place within
-    part, within = F.shiftright(at, 33), at.bitwiseAND(F.lit((1 << 33) - 1))
-    before, total = {}, 0
-    for r in ranged.groupBy(part.alias("part")).count().orderBy("part").toLocalIterator():
-        before[r["part"]], total = total, total + r["count"]
-    first = F.element_at(F.array(*(F.lit(before.get(i, 0)).cast("long") for i in range(max(before, default=0) + 1))), (part + 1).cast("int"))
-    return ranged.withColumn(name, first + within + 1).drop("_at")
+    sizes = ranged.groupBy(F.shiftright(at, 33).alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+    # there are as many ranges as partitions, whatever the data
+    met = ranged.withColumn("_part", F.shiftright(at, 33)).join(F.broadcast(before), "_part", "left")
+    return met.select(*rows.columns, (F.col("_first") + at.bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias(name))
 
 
 def numbered(rows: DataFrame, *order: Column | str, limit: int | None = None, name: str = "place") -> DataFrame:

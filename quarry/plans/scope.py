@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import query as Q
@@ -16,7 +18,7 @@ from quarry.operators import joins as J
 from quarry.operators import paths as H
 from quarry.operators import ranking as R
 from quarry.operators import tree as W
-from quarry.operators.storage import Snapshots, remove_folder, shared_folder
+from quarry.operators.storage import Snapshots, cut_lineage, remove_folder, shared_folder
 from quarry.plans.registry import query, sql_query
 from quarry.sources import catalog
 
@@ -123,6 +125,17 @@ def filter_directory(spark, sf_dir):
     return catalog.paths(spark, sf_dir).where(F.lower("path").startswith("t:/africa/")).select("id", "path")
 
 
+@query("""WITH RECURSIVE low AS (SELECT id AS scope, id, true AS self FROM tree WHERE name IN ('AFRICA', 'NATION_7', 'Customer#000000004') UNION ALL
+ SELECT low.scope, t.id, false FROM tree t JOIN low ON t.parent_id = low.id AND t.id <> t.parent_id) SELECT scope, id FROM low WHERE NOT self""")
+def filter_subtree(spark, sf_dir):
+    """Several scopes over one labelled tree: each is a range of directory numbers."""
+    nodes = catalog.tree(spark, sf_dir)
+    labels = cut_lineage(W.subtree_labels(nodes))
+    rows = W.labelled(nodes, labels)
+    scopes = nodes.where(F.col("name").isin("AFRICA", "NATION_7", "Customer#000000004")).select("id").orderBy("id").limit(3).collect()
+    return reduce(DataFrame.unionByName, [W.in_scope(rows, labels, r["id"]).select(F.lit(r["id"]).alias("scope"), "id") for r in scopes], spark.createDataFrame([], "scope long, id long"))
+
+
 @query("SELECT id, name FROM parts WHERE id % 7 <> 0 AND id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND user_id IS NOT NULL)")
 def filter_live_rows(spark, sf_dir):
     flags = F.when(F.col("id") % 7 == 0, catalog.DELETED).otherwise(0)
