@@ -2,7 +2,7 @@
 
 Two things follow from a journal and are kept apart. Membership: which links (rows by their key) are there; only add,
 remove, hide and toggle records touch it. Metadata: sizes and times of an id, which the last refreshing record gives to
-every row of the id; it never adds or removes a row.
+every row of the id that no later record has made; it never adds or removes a row.
 """
 
 from __future__ import annotations
@@ -70,15 +70,34 @@ def link_states(changes: DataFrame, key: tuple[str, ...] = LINK) -> DataFrame:
 def apply_links(base: DataFrame, changes: DataFrame, key: tuple[str, ...] = LINK) -> DataFrame:
     """Base with the journal's links: rows whose key no change names stay, a row that is there keeps its columns, a new
     one has those of its last add or toggle, as far as the journal has them."""
-    states = link_states(changes, key)
+    return apply_states(base, link_states(changes, key), makers_of(changes, key), key)
+
+
+def makers_of(changes: DataFrame, key: tuple[str, ...] = LINK) -> DataFrame:
+    """The last add or toggle of each link."""
+    return last_by(changes.where(F.col("action").isin("add", "toggle")), *key)
+
+
+def overlay_latest(rows: DataFrame, makers: DataFrame, refreshed: DataFrame, key: tuple[str, ...], columns: tuple[str, ...]) -> DataFrame:
+    """Rows with metadata of the latest record that tells any: the last that refreshed their id (id, usn, columns) or the last
+    add or toggle of their link (key, usn, columns), whichever is later. So steps of a journal come to what the whole does."""
+    made = makers.select(*(F.col(k).alias(f"_{k}") for k in key), F.col("usn").alias("_made"), F.struct(*columns).alias("_first"))
+    told = refreshed.select(F.col("id").alias("_rid"), F.col("usn").alias("_told"), F.struct(*columns).alias("_then"))
+    met = rows.join(made, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key)), "left").join(told, F.col("id") == F.col("_rid"), "left")
+    told_last = F.coalesce(F.col("_told") >= F.coalesce("_made", F.col("_told")), F.lit(False))
+    now = lambda c: F.when(told_last, F.col(f"_then.{c}")).when(F.col("_made").isNotNull(), F.col(f"_first.{c}")).otherwise(F.col(c)).alias(c)
+    return met.select(*(now(c) if c in columns else F.col(c) for c in rows.columns))
+
+
+def apply_states(base: DataFrame, states: DataFrame, makers: DataFrame, key: tuple[str, ...] = LINK) -> DataFrame:
+    """Base with links in the states that link_states() tells; makers has the columns of a new one, by its key."""
     there = F.col("settled")
     old = base.alias("b").join(states.alias("l"), _equal("b", "l", key), "left")
     kept = old.where(F.coalesce(there, F.lit(True)) != F.coalesce("flips", F.lit(False))).select("b.*")
     fresh = states.where(F.coalesce(there, F.lit(False)) != F.col("flips")).select(*key)
     fresh = fresh.alias("n").join(base.select(*key).alias("o"), _equal("n", "o", key), "left_anti")
-    makers = last_by(changes.where(F.col("action").isin("add", "toggle")), *key)
     made = fresh.alias("n").join(makers.alias("m"), _equal("n", "m", key))
-    return kept.unionByName(made.select(*(F.col(f"n.{c}") if c in key else F.col(f"m.{c}") if c in changes.columns else F.lit(None).cast(base.schema[c].dataType).alias(c) for c in base.columns)))
+    return kept.unionByName(made.select(*(F.col(f"n.{c}") if c in key else F.col(f"m.{c}") if c in makers.columns else F.lit(None).cast(base.schema[c].dataType).alias(c) for c in base.columns)))
 
 
 def overlay_metadata(rows: DataFrame, changes: DataFrame, columns: tuple[str, ...] = ("size",), id_col: str = "id") -> DataFrame:
@@ -93,7 +112,8 @@ def compact(base: DataFrame, changes: DataFrame, key: tuple[str, ...] = LINK, co
 
     With directories, what lies below a removed one goes too, over the parentage that the journal leaves: what was moved
     out stays, what was moved in goes, and a hidden (renamed) one takes nothing along."""
-    rows = overlay_metadata(apply_links(base, changes, key), changes, columns)
+    refreshed = last_by(changes.where("refresh").select("id", "usn", *columns), "id")
+    rows = overlay_latest(apply_links(base, changes, key), makers_of(changes.select(*key, "usn", "action", *columns), key), refreshed, key, columns)
     if not directories:
         return rows
     rows = cut_lineage(rows)

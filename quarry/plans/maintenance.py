@@ -28,18 +28,19 @@ _ACTION = "CASE reason WHEN 65536 THEN 'toggle' WHEN 4096 THEN 'hide' WHEN 512 T
 _LAST = f"SELECT id, usn, {_ACTION} AS action, size FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY usn DESC) AS rn FROM journal WHERE id IS NOT NULL) WHERE rn = 1"
 # by the rules of the journal: the last add, remove or hide of a link says whether it is there, each toggle after it
 # (or all, where there is none) turns that round; an id's size is that of its last record that is a create, a rename's
-# new name or a change of data or attributes, and not a delete; a link without such a record keeps the base's size
+# new name or a change of data or attributes, and not a delete, or of the link's own last add or toggle, if that is later;
+# a link without such a record keeps the base's size
 _REPLAY = f"""WITH ch AS (SELECT usn, id, id % 10 AS parent_id, CASE WHEN usn % 4 = 0 THEN 'link-' || (usn % 3) ELSE 'part-' || id END AS name, size,
    CASE WHEN usn % 11 = 0 THEN 65536 WHEN usn % 13 = 0 THEN 4096 ELSE reason END AS reason FROM journal WHERE id IS NOT NULL),
  mem AS (SELECT *, max(CASE WHEN reason <> 65536 THEN usn END) OVER (PARTITION BY id, parent_id, name) AS set_usn FROM ch WHERE reason IN (65536, 4096, 512, 256, 8192)),
  link AS (SELECT id, parent_id, name, max(CASE WHEN usn = set_usn THEN CASE WHEN reason IN (256, 8192) THEN 1 ELSE 0 END END) AS there, count(*) FILTER (WHERE reason = 65536 AND (set_usn IS NULL OR usn > set_usn)) AS flips,
-   max_by(size, usn) FILTER (WHERE reason IN (65536, 256, 8192)) AS made_size FROM mem GROUP BY id, parent_id, name),
+   max(usn) FILTER (WHERE reason IN (65536, 256, 8192)) AS made_usn, max_by(size, usn) FILTER (WHERE reason IN (65536, 256, 8192)) AS made_size FROM mem GROUP BY id, parent_id, name),
  base AS (SELECT id, id % 10 AS parent_id, 'part-' || id AS name, size FROM parts),
- met AS (SELECT coalesce(b.id, l.id) AS id, coalesce(b.parent_id, l.parent_id) AS parent_id, coalesce(b.name, l.name) AS name, coalesce(b.size, l.made_size) AS size,
+ met AS (SELECT coalesce(b.id, l.id) AS id, coalesce(b.parent_id, l.parent_id) AS parent_id, coalesce(b.name, l.name) AS name, b.size AS size, l.made_usn AS made_usn, l.made_size AS made_size,
    (coalesce(l.there, CASE WHEN b.id IS NULL THEN 0 ELSE 1 END) + coalesce(l.flips, 0)) % 2 AS present
    FROM base b FULL OUTER JOIN link l ON b.id = l.id AND b.parent_id = l.parent_id AND b.name = l.name),
- stat AS (SELECT id, max_by(size, usn) AS size FROM ch WHERE reason IN (256, 8192, 2, 32768) GROUP BY id)"""
-_COMPACT = _REPLAY + " SELECT met.id AS id, parent_id, name, CASE WHEN stat.id IS NULL THEN met.size ELSE stat.size END AS size FROM met LEFT JOIN stat ON stat.id = met.id WHERE present = 1"
+ stat AS (SELECT id, max(usn) AS usn, max_by(size, usn) AS size FROM ch WHERE reason IN (256, 8192, 2, 32768) GROUP BY id)"""
+_COMPACT = _REPLAY + " SELECT met.id AS id, parent_id, name, CASE WHEN stat.usn >= coalesce(made_usn, stat.usn) THEN stat.size WHEN made_usn IS NOT NULL THEN made_size ELSE met.size END AS size FROM met LEFT JOIN stat ON stat.id = met.id WHERE present = 1"
 
 
 @query(f"SELECT usn, id, {_ACTION} AS action FROM journal")
@@ -203,18 +204,40 @@ def stream_resume(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("n_distinct"))
 
 
+def _journal_in_parts(changes, folder, parts=4):
+    """A journal grows in the order of its offsets: files of a fourth of them each, one after another."""
+    last = changes.agg(F.max("usn")).first()[0] or 0
+    for k in range(parts):
+        changes.where(F.col("usn").between(k * last // parts + (k > 0), (k + 1) * last // parts)).coalesce(1).write.mode("append").parquet(folder)
+
+
 @query(_COMPACT)
 def stream_compact(spark, sf_dir):
-    """Micro-batches kept as deltas and compacted; ends at the result of the batch compaction."""
+    """Micro-batches kept as deltas by bucket; some are compacted when the threshold is reached, the rest is merged when the
+    store is read. Ends at the result of the batch compaction."""
+    from quarry.operators.buckets import BucketStore
     from quarry.streaming import journal as J
 
-    store = Snapshots(spark)
-    folder = f"{store.folder}-journal"
+    folder = Snapshots(spark).folder
     changes = _changes(spark, sf_dir)
-    last = changes.agg(F.max("usn")).first()[0] or 0
-    for k in range(4):  # a journal grows in the order of its offsets
-        changes.where(F.col("usn").between(k * last // 4 + (k > 0), (k + 1) * last // 4)).coalesce(1).write.mode("append").parquet(folder)
-    stream = J.tail(spark, folder, changes.schema, per_trigger=1)
-    keeper = J.Compactor(_links(spark, sf_dir), store, threshold=400)
-    keeper.run(stream, f"{folder}-checkpoint").awaitTermination()
-    return store.read(keeper.persist()).select("id", "parent_id", "name", "size")
+    _journal_in_parts(changes, f"{folder}/journal")
+    stream = J.tail(spark, f"{folder}/journal", changes.schema, per_trigger=1)
+    keeper = J.Compactor(_links(spark, sf_dir), BucketStore(spark, f"{folder}/store"), threshold=changes.count() // 2, buckets=4)
+    keeper.run(stream, f"{folder}/checkpoint").awaitTermination()
+    return keeper.store.read().select("id", "parent_id", "name", "size")
+
+
+@query(_COMPACT)
+def stream_live_view(spark, sf_dir):
+    """Links and metadata in the state store, in two starts from one checkpoint; ends at the result of the compaction."""
+    from quarry.streaming import journal as J
+    from quarry.streaming import live
+
+    folder = Snapshots(spark).folder
+    changes = _changes(spark, sf_dir).join(catalog.journal(spark, sf_dir).select("usn", "ts"), "usn")
+    half = (changes.agg(F.max("usn")).first()[0] or 0) // 2
+    for part in (F.col("usn") <= half, F.col("usn") > half):
+        changes.where(part).coalesce(1).write.mode("append").parquet(f"{folder}/journal")
+        stream = J.tail(spark, f"{folder}/journal", changes.schema)
+        live.keep_states(live.live_states(stream, 6 * 3_600_000), f"{folder}/states", f"{folder}/checkpoint").awaitTermination()
+    return live.view(_links(spark, sf_dir), spark, f"{folder}/states").select("id", "parent_id", "name", "size")

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quarry.operators.maintenance import LINK, compact
-from quarry.operators.storage import Snapshots
+from quarry.operators.buckets import BUCKETS, BucketStore
 
 
 def tail(spark: SparkSession, folder: str, schema, glob: str = "*.parquet", per_trigger: int = 16) -> DataFrame:
@@ -24,50 +21,18 @@ def debounced(changes: DataFrame, gap: str = "1 hour", late: str = "1 hour") ->
 
 
 class Compactor:
-    """Micro-batches are appended as deltas; a new snapshot version is written only once `threshold` changes are pending,
-    so that a batch costs its own size, and then older versions and the deltas that it holds go.
-
-    Deltas and versions bear the number of their batch, so a batch that is run again after a failure rewrites what it had
-    written and nothing is applied twice."""
-
-    def __init__(self, base: DataFrame, store: Snapshots, key: tuple[str, ...] = LINK, columns: tuple[str, ...] = ("size",), threshold: int = 1_000_000):
-        self.store, self.key, self.columns, self.threshold = store, key, columns, threshold
-        self.deltas = Snapshots(store.spark, f"{store.folder}/deltas")
-        if not self.latest():
-            store.write(base, self._name(-1))
+    """Micro-batches are appended to a bucket store as deltas, and compacted once `threshold` changes are pending, so that a
+    batch costs its own size and a compaction that of the buckets that changed. Batches bear their numbers: one that is run
+    again after a failure rewrites what it had written, and nothing is applied twice."""
 
-    @staticmethod
-    def _name(batch: int) -> str:
-        return f"v{batch + 1:012d}"
-
-    def latest(self) -> str | None:
-        """The last version that is wholly there."""
-        return next((v for v in reversed(self.store.names()) if v.startswith("v") and self.store.has(v)), None)
-
-    def pending(self, after: str) -> list[str]:
-        return [d for d in self.deltas.names() if d > after and self.deltas.has(d)]
+    def __init__(self, base: DataFrame, store: BucketStore, threshold: int = 1_000_000, buckets: int = BUCKETS):
+        self.store, self.threshold = store, threshold
+        if not store.manifest():
+            store.create(base, buckets)
 
     def step(self, batch: DataFrame, number: int) -> None:
-        if batch.isEmpty():
-            return
-        ids = batch.withColumn("source_key", F.lit("delta")) if "source_key" not in batch.columns else batch
-        self.deltas.write(ids, self._name(number))
-        self.persist(force=False)
-
-    def persist(self, force: bool = True) -> str:
-        """The latest version, after what is pending has been compacted: all of it if forced, else from the threshold on."""
-        version = self.latest()
-        names = self.pending(version)
-        count = sum(self.deltas.header(d).first()["n_rows"] for d in names)
-        if not names or not (force or count >= self.threshold):
-            return version
-        changes = reduce(DataFrame.unionByName, map(self.deltas.read, names))
-        self.store.write(compact(self.store.read(version), changes, self.key, self.columns), names[-1])
-        for old in [v for v in self.store.names() if v.startswith("v") and v < names[-1]]:
-            self.store.drop(old)
-        for d in names:
-            self.deltas.drop(d)
-        return names[-1]
+        if self.store.append(batch, number) and self.store.n_pending() >= self.threshold:
+            self.store.compact()
 
     def run(self, changes: DataFrame, checkpoint: str) -> StreamingQuery:
         return changes.writeStream.foreachBatch(self.step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

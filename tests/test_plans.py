@@ -116,15 +116,12 @@ CHANGE = "usn long, id long, parent_id long, name string, action string, refresh
 
 
 def replay(base, changes, directories=False):
-    """Record by record: links as a journal reader keeps them, then the last refresh of each id over all its rows."""
+    """Record by record: links as a journal reader keeps them; what makes a link gives it its size, a refresh all of an id."""
     now = {r[:3]: r[3] for r in base}
-    stats = {}
     for usn, id_, parent, name, action, refresh, size in sorted(changes):
         key = (id_, parent, name)
         if action == "add" or (action == "toggle" and key not in now):
-            now.setdefault(key, size)
-            if action == "add" and key not in {r[:3] for r in base}:
-                now[key] = size
+            now[key] = size
         elif action in ("remove", "hide", "toggle"):
             now.pop(key, None)
             if action == "remove" and directories and not any(k[0] == id_ for k in now):
@@ -137,8 +134,8 @@ def replay(base, changes, directories=False):
                     for k in below:
                         del now[k]
         if refresh:
-            stats[id_] = size
-    return {(*k, stats.get(k[0], v)) for k, v in now.items()}
+            now.update((k, size) for k in now if k[0] == id_)
+    return {(*k, v) for k, v in now.items()}
 
 
 def test_compaction_replay(spark):
@@ -228,27 +225,6 @@ def test_debounced_stream_agrees_with_the_batch(spark, tmp_path):
     assert got == want and len(got) > 20
 
 
-def test_compactor_keeps_deltas_until_the_threshold(spark, tmp_path):
-    from quarry.streaming import journal as J
-
-    base = spark.createDataFrame([(i, 1, f"n{i}", i, "P") for i in range(5)], f"{KEPT}, source_key string")
-    store = Snapshots(spark, f"{tmp_path}/store")
-    keeper = J.Compactor(base, store, threshold=3)
-    batch = lambda *rows: spark.createDataFrame(list(rows), CHANGE)
-    start = keeper.latest()
-    keeper.step(batch(), 0)
-    assert keeper.latest() == start and not keeper.pending(start) and keeper.persist() == start  # nothing is pending
-    keeper.step(batch((1, 0, 1, "n0", "remove", False, 0)), 1)
-    keeper.step(batch((1, 0, 1, "n0", "remove", False, 0)), 1)  # run again after a failure
-    assert keeper.latest() == start and len(keeper.pending(start)) == 1
-    keeper.step(batch((2, 1, 1, "n1", "refresh", True, 50), (3, 9, 1, "new", "add", True, 9)), 2)
-    now = keeper.latest()
-    assert now != start and not store.has(start) and not keeper.pending(now) and not keeper.deltas.names()
-    assert {(r["id"], r["size"]) for r in store.read(now).collect()} == {(1, 50), (2, 2), (3, 3), (4, 4), (9, 9)}
-    keeper.step(batch((4, 2, 1, "n2", "hide", False, 0)), 3)
-    assert store.read(keeper.persist()).count() == 4 and store.header(keeper.latest()).first()["n_rows"] == 4
-
-
 def test_offsets_and_rebuild(spark):
     base = spark.createDataFrame([(1, 1, "a", 1)], KEPT)
     rescan = spark.createDataFrame([(8, 1, "z", 8)], KEPT)
