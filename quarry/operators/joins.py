@@ -41,9 +41,10 @@ def prefixes(path: Column) -> Column:
 
 def with_source(rows: DataFrame, sources: DataFrame, path_col: str = "path") -> DataFrame:
     """(row columns, source): the longest source that is a prefix at a separator; an equi-join on each row's few prefixes,
-    not a theta join. Rows without one are left out."""
-    each = rows.withColumn("source", F.explode(prefixes(F.col(path_col)))).join(sources.select("source").distinct(), "source", "left_semi")
-    return each.groupBy(*rows.columns).agg(F.max_by("source", F.length("source")).alias("source"))
+    not a theta join. Told once for each distinct path, so rows that repeat all stay. Rows without one are left out."""
+    each = rows.select(F.col(path_col).alias("_path")).distinct().withColumn("source", F.explode(prefixes(F.col("_path")))).join(sources.select("source").distinct(), "source", "left_semi")
+    told = each.groupBy("_path").agg(F.max_by("source", F.length("source")).alias("source"))
+    return rows.join(told, F.col(path_col) == F.col("_path")).drop("_path")
 
 
 def last_used(rows: DataFrame, history: DataFrame) -> DataFrame:

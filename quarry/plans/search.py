@@ -115,7 +115,7 @@ def rank_key(spark, sf_dir):
  ORDER BY k_score, k_length, k_span, k_position, id LIMIT 25""")
 def topk_rank(spark, sf_dir):
     """Top k by key then id; the window only numbers the k rows."""
-    best = N.top(N.fan_out(_scored(spark, sf_dir, "'bolt"), catalog.parts(spark, sf_dir)), 25)
+    best = N.top_rows(catalog.parts(spark, sf_dir), Q.parse_pattern("'bolt"), 25)
     return best.select(F.row_number().over(Window.orderBy(*N.KEY, "id")).alias("place"), "id", "name")
 
 

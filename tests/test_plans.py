@@ -382,6 +382,43 @@ def test_fingerprint_refuses_too_many_values(spark, monkeypatch):
         G.fingerprint(spark.range(9).selectExpr("cast(id as string) v"), "v").collect()
 
 
+def test_names_are_cut_off_before_they_meet_rows(spark):
+    """The first rows by key and id, of names with many rows, ties across names and ties beyond the limit."""
+    rng = random.Random(3)
+    names = [f"{rng.choice(['bolt', 'blue bolt', 'xbolt', 'a bolt b'])} {rng.choice('abcdef') * rng.randint(1, 2)}" for _ in range(40)]
+    rows = spark.createDataFrame([(i, rng.choice(names) if i % 3 else "bolt zz", "k") for i in range(600)], "id long, name string, kind string")
+    pattern = Q.parse_pattern("'bolt")
+    whole = N.fan_out(N.scored_names(rows, pattern), rows)
+    for limit in (1, 3, 30, 250, 599, 2000):
+        assert [tuple(r) for r in N.top_rows(rows, pattern, limit).select("id", *N.KEY).collect()] == [tuple(r) for r in N.top(whole, limit).select("id", *N.KEY).collect()]
+    scored = N.scored_names(rows, pattern, counts=True)
+    for limit in (1, 30, 250):
+        kept = N.first_names(scored, limit).collect()
+        last = max(tuple(r[k] for k in N.KEY) for r in kept)
+        assert sum(r["n_rows"] for r in kept if tuple(r[k] for k in N.KEY) < last) < limit <= sum(r["n_rows"] for r in kept)
+    tied = spark.createDataFrame([(i, f"bolt {i % 50:02d}") for i in range(100)], "id long, name string")
+    assert [r["id"] for r in N.top_rows(tied, pattern, 5).collect()] == [0, 1, 2, 3, 4]  # all names tie: ids decide
+    assert N.top_rows(tied.limit(0), pattern, 5).count() == 0
+
+
+def test_names_are_salted_by_evidence(spark):
+    """Near-unique names go once to the join; a frequent one goes to several tasks, and no row is lost."""
+    few = spark.range(2000).select("id", F.concat(F.lit("zz "), F.col("id").cast("string")).alias("name"))
+    assert set(N.salts_of(few)) == {1}
+    hot = few.unionByName(spark.range(5000, 9000).select("id", F.lit("zz hot").alias("name")))
+    salts = N.salts_of(hot)
+    assert sum(n > 1 for n in salts) == 1 and max(salts) >= 8
+    assert sorted(r["id"] for r in N.fan_out(N.matching_names(hot, Q.parse_pattern("'zz")), hot).collect()) == [*range(2000), *range(5000, 9000)]
+
+
+def test_sources_of_repeated_rows(spark):
+    rows = spark.createDataFrame([("a/b/c", 1), ("a/b/c", 1), ("a/x", 2), ("z", 3), (None, 4)], "path string, source int")
+    from quarry.operators.joins import with_source
+
+    got = with_source(rows.select("path", F.col("source").alias("n")), spark.createDataFrame([("a",), ("a/b",), ("a/b",)], "source string"))
+    assert sorted(map(tuple, got.collect())) == [("a/b/c", 1, "a/b"), ("a/b/c", 1, "a/b"), ("a/x", 2, "a")]
+
+
 def test_a_hot_name_is_split(spark):
     """Rows of one name are half of all: no partition of the join holds them all, and none is lost."""
     rows = spark.range(30_000).select("id", F.when(F.col("id") % 2 == 0, "hot bolt").otherwise(F.concat(F.lit("bolt "), F.col("id").cast("string"))).alias("name"))
