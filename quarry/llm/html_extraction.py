@@ -11,8 +11,13 @@ Vectors are never gathered: each is represented by its sum of page hashes times
 host of any size costs each task one row per token. Html is never shuffled while the table of templates is small
 enough to be sent (SLOTS_BYTES, checked); beyond that pages are joined to it by host.
 
-Copies of an article look like template text too. So text counts as template only on hosts of FEW_PAGES pages or more,
-if the pages that hold it differ in what else they say, and if no more than REPEATED_SHARE of the host's text is such.
+Copies of an article look like template text too. So text counts as template only if it is on three pages at least, if
+these differ in what else they say, and if no more than REPEATED_SHARE of the host's text is such, whatever the number of
+its pages; and of it only regions go that hold no words of the page's own, so that a paragraph, or a list, that all articles
+of a host share stays in its article.
+
+A class, id or role marks a block as boilerplate only as a whole: all its words must say so or be words of layout. So
+`site-nav` and `ad` mark one, `sharing-economy` and `related-work` don't.
 
 Defined results: null html is empty and has an empty text; a page whose host has no usable template, or that lacks its
 host's main slot, falls back to its own article or main element, else to all that is no boilerplate. Repeated rows each
@@ -40,10 +45,9 @@ SLOTS_BYTES = 16 << 20
 FREQUENT, MAIN_SHARE = 0.8, 0.6
 #: Longest container path that a token spells out; what is above it is told by its hash.
 PATH_CHARS = 400
-#: Containers of one label in one container that are told apart.
-SIBLINGS = 32
-#: Pages a host needs for template text, and the share of its text that can be template.
-FEW_PAGES, REPEATED_SHARE = 16, 0.5
+#: Pages that must hold a text for it to be the template's (two that share one may be copies), and the share of a host's text
+#: that can be.
+TEXT_PAGES, REPEATED_SHARE = 3, 0.5
 
 _PIECE = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -51,6 +55,8 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|d
 _RAW = set("script style textarea title noscript template iframe svg math canvas object select option button xmp noembed noframes".split())
 _CONTAINERS = set("html head body main article section div nav header footer aside form ul ol dl menu table tbody thead tfoot tr td th figure fieldset details dialog blockquote center address".split())
 _BLOCKS = _CONTAINERS | set("p h1 h2 h3 h4 h5 h6 li dt dd pre br hr caption figcaption summary legend hgroup".split())
+#: Containers that can be a region of the template inside an article; lists, tables and quotations are its text.
+_REGIONS = set("div section center fieldset details address td".split())
 _BOILER_TAGS = set("head nav footer aside form menu dialog".split()) | _RAW
 #: Words of class, id and role values that mark boilerplate regions.
 _BOILER_WORDS = set(
@@ -58,7 +64,12 @@ _BOILER_WORDS = set(
     "sidebar side aside widget widgets footer foot header masthead topbar comment comments commentlist reply replies respond disqus discussion cookie cookies consent gdpr "
     "notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended pagination pager toolbar complementary contentinfo".split()
 )
-#: Of these, the words that say nothing inside an article or beside a word for one; and those for readers' comments.
+#: Words of layout that may stand beside them in a name.
+_LAYOUT_WORDS = set(
+    "site main page global top bottom left right box bar list item items block wrap wrapper container inner outer area section slot link links button buttons icon icons post posts "
+    "primary secondary mobile desktop fixed sticky col column row grid group panel module unit content form field label".split()
+)
+#: Of the former, the words that say nothing inside an article or beside a word for one; and those for readers' comments.
 _WEAK_WORDS = set("banner banners header masthead side widget widgets".split())
 _ARTICLE_WORDS = set("article content entry post story".split())
 _COMMENT_WORDS = set("comment comments commentlist reply replies respond".split())
@@ -111,7 +122,7 @@ class Place:
         if self.kids is None:
             self.kids = {}
         n = self.kids[label] = self.kids.get(label, 0) + 1
-        return label if n == 1 else f"{label}~{min(n, SIBLINGS)}"
+        return label if n == 1 else f"{label}~{n}"
 
 
 def _token(up: Place, label: str) -> str:
@@ -127,8 +138,9 @@ def _label(tag: str, attributes: str, inside: bool) -> tuple[str, bool]:
     if not attributes:
         return tag, tag in _BOILER_TAGS or (tag == "header" and not inside)
     names = [next(filter(None, m), "") for m in _NAMES.findall(attributes)] if "=" in attributes else []
-    words = {w for x in names for w in _WORD.findall(x.lower())}
-    marks = words & _BOILER_WORDS
+    each = [set(_WORD.findall(x)) for n in names for x in n.lower().split()]
+    words = set().union(*each)
+    marks = {w for own in each if own <= _BOILER_WORDS | _LAYOUT_WORDS for w in own & _BOILER_WORDS}
     if inside or words & _ARTICLE_WORDS:
         marks -= _WEAK_WORDS
     if tag == "article":
@@ -285,7 +297,7 @@ def templates(vectors: DataFrame) -> DataFrame:
     frequent = vectors.where("token <> ''").join(whole, "host").where(F.col("n_pages") >= FREQUENT * F.col("host_pages"))
     nested = frequent.groupBy("host", "vector").agg(F.count("*").alias("n"), F.countDistinct("depth").alias("levels")).where("n >= 2 and levels >= 2").select("host", "vector")
     found = frequent.join(nested, ["host", "vector"], "left_semi").withColumn("is_text", F.contains("token", F.lit("/=")))
-    found = found.where(~F.col("is_text") | (F.col("host_pages") >= FEW_PAGES) & (F.col("low") != F.col("high"))).drop("low", "high")
+    found = found.where(~F.col("is_text") | (F.col("n_pages") >= TEXT_PAGES) & (F.col("low") != F.col("high"))).drop("low", "high")
     copied = found.where("is_text").groupBy("host").agg(F.sum("n_chars").alias("repeated"), F.first("host_chars").alias("of")).where(F.col("repeated") > REPEATED_SHARE * F.col("of")).select("host", F.lit(True).alias("is_text"))
     return found.join(copied, ["host", "is_text"], "left_anti").select("host", "token", "depth", "vector", "n_pages", "n_chars", "is_text", "host_pages", "host_chars")
 
@@ -340,9 +352,9 @@ def _fullest_sibling(blocks: list[tuple[str, Place]], slot: str, siblings: int)
 
 
 def main_text(page: str | None, slot: str | None, texts: Collection[str] = (), siblings: int | None = None) -> str:
-    """Text of the slot's blocks less the template's texts. Where there is no such slot, or it is the whole body, of the
+    """Text of the slot's blocks less the regions of the template's texts. Where there is no such slot, or it is the whole body, of the
     page's article or main elements, else of all blocks."""
-    blocks = [(value, place) for kind, value, place in walk(page or "", slot) if kind == "block" and not place.boiler and not (texts and text_key(place, value) in texts)]
+    blocks = _without_fixed([(value, place) for kind, value, place in walk(page or "", slot) if kind == "block" and not place.boiler], texts)
     found = [x for x in blocks if x[1].in_slot]
     if slot and siblings and siblings > 1 and (other := _fullest_sibling(blocks, slot, siblings)):
         found = [x for x in blocks if x[1].inside(other)]
@@ -352,6 +364,28 @@ def main_text(page: str | None, slot: str | None, texts: Collection[str] = (), s
     return "\n".join(v for v, _ in found)
 
 
+def _without_fixed(blocks: list[tuple[str, Place]], texts: Collection[str]) -> list[tuple[str, Place]]:
+    """The blocks less the regions that hold nothing but the template's texts. A paragraph or list that all pages share but
+    that stands in a region with words of the page's own is the article's."""
+    if not texts:
+        return blocks
+    fixed = [text_key(place, value) in texts for value, place in blocks]
+    own: set[Place] = set()  # places with words that aren't the template's
+    for (_, place), f in zip(blocks, fixed):
+        while not f and place is not None and place not in own:
+            own.add(place)
+            place = place.up
+
+    def goes(place: Place | None) -> bool:
+        while place is not None and place not in own:
+            if place.tag in _REGIONS:
+                return True
+            place = place.up
+        return False
+
+    return [x for x, f in zip(blocks, fixed) if not (f and goes(x[1]))]
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, url, text."""
     # the vectors are used several times over; as a table the pages are walked for them once

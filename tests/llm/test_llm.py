@@ -617,6 +617,61 @@ def test_html_text_that_the_host_repeats_goes(spark):
     assert all("one and the same page" in out[200 + i] for i in range(20))
 
 
+def test_html_names_mark_only_as_a_whole():
+    """Words of the list inside other names, at hyphens or not, take nothing from an article."""
+    kept = ['class="sharing-economy"', 'class="related-work"', 'class="search-results-analysis"', 'class="social-history"', 'id="alert-level"', 'class="menus-of-the-world lead"', 'role="note"']
+    gone = ['class="ad"', 'class="site-nav"', 'class="comment-list"', 'id="cookie_notice_box"', 'class="x share-buttons"', 'class="lead sidebar"', 'role="navigation"', 'class="ad-slot-3"']
+    page = "<article><h1>H</h1>%s<p>end</p></article>"
+    assert html_extraction.main_text(page % "".join(f"<p {a}>k{i}</p><div {a}>d{i}</div>" for i, a in enumerate(kept)), None) == "\n".join(["H", *(f"{c}{i}" for i in range(len(kept)) for c in "kd"), "end"])
+    assert html_extraction.main_text(page % "".join(f"<p {a}>k{i}</p><div {a}>d{i}</div>" for i, a in enumerate(gone)), None) == "H\nend"
+
+
+@pytest.mark.parametrize("n", [3, 5, 15, 16, 30])
+def test_html_notices_go_on_hosts_of_any_size(spark, n):
+    """Nothing switches at a number of pages: a nameless notice that all pages of a host have in their article goes."""
+    page = '<html><body><div id="x"><h1>Head {0}</h1><div class="box"><p>Please register to read on</p></div><p>Words of page {0} {1}</p><div class="q"><p>Buy now</p></div></div></body></html>'
+    rows = [(i, f"http://h{n}.example/{i}", page.format(i, "and more " * 12)) for i in range(n)]
+    # two pages that share a passage aren't a template
+    rows += [(100 + i, "http://two.example/", page.format(i, "more " * 9)) for i in range(2)]
+    out = {r["page_id"]: r["text"] for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[i] == f"Head {i}\nWords of page {i} " + ("and more " * 12).strip() for i in range(n))
+    assert all("Please register" in out[100 + i] for i in range(2))
+
+
+def test_html_long_lists_keep_their_places():
+    """Containers of one label are told apart however many there are."""
+    page = "<body><div>" + "".join(f"<div><p>{i}</p></div>" for i in range(80)) + "</div></body>"
+    tokens = [t for t in html_extraction.page_vector(page) if "/=" in t]
+    assert len({t.rpartition("/=")[0] for t in tokens}) == 80
+
+
+def brute_text(pages, n):
+    """The main text of a host's pages, deduced from whole vectors of nested div and p pages, without sums or tables."""
+    import re as r
+
+    blocks = [[(m[1], m[2]) for m in r.finditer(r"<p data=(\w+)>([^<]*)</p>", p)] for p in pages]
+    count = {}
+    for own in blocks:
+        for b in own:
+            count.setdefault(b, []).append(own)
+    share = lambda b: len(count[b]) >= max(3, 0.8 * n) and len({str(o) for o in count[b]}) > 1
+    return ["\n".join(t for k, t in own if not share((k, t))) for own in blocks]
+
+
+@pytest.mark.parametrize("n", [3, 4, 6, 20])
+def test_html_text_against_brute_force(spark, n):
+    rng = random.Random(n)
+    fixed = [f"fixed {k} " + "x " * rng.randint(1, 4) for k in "abc"]
+    pages = []
+    for i in range(n):
+        parts = [f"<div class=c{k}><p data=k{k}>{t.strip()}</p></div>" for k, t in enumerate(fixed)]
+        own = [f"<div class=m{j}><p data=own>page {i} part {j} {' '.join(rng.choices('abcdefgh', k=30))}</p></div>" for j in range(3)]
+        pages.append("<body><div class=top><h1></h1>" + own[0] + parts[0] + own[1] + parts[1] + own[2] + parts[2] + "</div></body>")
+    df = spark.createDataFrame([(i, f"http://b{n}.example/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    out = [r["text"] for r in html_extraction.extract(df).orderBy("page_id").collect()]
+    assert out == brute_text(pages, n)
+
+
 def test_html_vectors_against_brute_force(spark):
     """Occurrence vectors and classes: tokens have one vector exactly if they occur equally often on every page."""
     rng = random.Random(4)
