@@ -29,7 +29,7 @@ from quarry.functions import scoring as S
 @dataclass
 class Extensions:
     aliases: list[AliasProvider] = field(default_factory=list)
-    items: list[Callable[[SparkSession], DataFrame]] = field(default_factory=list)
+    items: list[Callable[..., DataFrame]] = field(default_factory=list)
     instants: list[Callable[[str], Iterator[tuple[str, str]]]] = field(default_factory=list)
     columns: dict[str, Callable[[], Column]] = field(default_factory=dict)
     filters: dict[str, Column] = field(default_factory=dict)
@@ -38,9 +38,9 @@ class Extensions:
         """Alternative spellings of a query term by all alias providers, for parse_pattern()."""
         return list(dict.fromkeys(f for p in self.aliases for f in p.query_forms(term)))
 
-    def catalog(self, spark: SparkSession) -> DataFrame:
-        """All item providers' rows."""
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (f(spark) for f in self.items))
+    def catalog(self, spark: SparkSession, *place: str) -> DataFrame:
+        """All item providers' rows; what they need to know beside the session is passed on to each."""
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (f(spark, *place) for f in self.items))
 
     def filtered(self, rows: DataFrame, groups: list[list[str]]) -> DataFrame:
         """Rows that meet a filter of every group; a name that no provider has filters everything."""

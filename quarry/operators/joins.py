@@ -60,3 +60,10 @@ def items(shortcuts: DataFrame, apps: DataFrame) -> DataFrame:
     named = apps.select(F.lower("name").alias("_name")).distinct()
     others = once.withColumn("_name", F.lower("name")).join(named, "_name", "left_anti")
     return apps.select("id", "name", F.lit("app").alias("kind")).unionByName(others.select("id", "name", F.lit("shortcut").alias("kind")))
+
+
+def bookmarks(marks: DataFrame, places: DataFrame) -> DataFrame:
+    """Bookmarks (place, title) with their place's title where they have none of their own; those of unknown places are left
+    out, a place may have many."""
+    met = marks.join(places.select("place", F.col("title").alias("_title")), "place")
+    return met.withColumn("title", F.coalesce(F.nullif("title", F.lit("")), "_title")).drop("_title")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from quarry.functions.instant import normal_path
@@ -217,3 +217,14 @@ def catch_up(base: DataFrame, changes: DataFrame, header: tuple[int, int], journ
     if header[0] != journal[0] or not journal[1] <= header[1] <= journal[2]:
         return rescan
     return compact(base, changes.where(F.col("usn") >= header[1]), key)
+
+
+def journal_since(journal: DataFrame, header: Row, journal_id: int) -> DataFrame:
+    """The records that a snapshot with this header (journal_id, next_usn) lacks, each with the offset to store next. Raises
+    if the header is of another journal, or the journal has dropped records before it: then the source is scanned anew."""
+    if header["journal_id"] != journal_id:
+        raise LookupError(f"the header is of journal {header['journal_id']}, not of {journal_id}")
+    held = journal.agg(F.min("usn").alias("first"), (F.max("usn") + 1).alias("next")).first()
+    if held["first"] is not None and not held["first"] <= header["next_usn"] <= held["next"]:
+        raise LookupError(f"the journal holds {held['first']} to {held['next']}, not {header['next_usn']}")
+    return journal.where(F.col("usn") >= header["next_usn"]).withColumn("next_usn", F.lit(held["next"]))

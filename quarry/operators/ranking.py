@@ -126,3 +126,43 @@ def keyword_list(rows: DataFrame, text: str, keyword: str, name_col: str, limit:
     if rest is None:
         return rows.limit(0)
     return rows.where(P.pattern_column(F.col(name_col), Q.parse_pattern(rest))).orderBy("id").limit(limit) if rest else rows
+
+
+def keyword_items(rows: DataFrame, text: str, keyword: str, own: Column) -> DataFrame:
+    """Items behind a registered keyword, with their weight: all of its own at weight 1 for the bare keyword, else those that
+    match what follows it by their match weight; none if the text isn't for the keyword."""
+    from quarry.functions import predicates as P
+    from quarry.functions import query as Q
+    from quarry.functions import scoring as S
+
+    rest = Q.keyword_gate(text, keyword)
+    if rest is None:
+        return rows.limit(0).withColumn("weight", F.lit(1.0))
+    if not rest:
+        return rows.where(own).withColumn("weight", F.lit(1.0))
+    pattern = Q.parse_pattern(rest)
+    return rows.where(own & P.pattern_column(F.col("name"), pattern)).withColumn("weight", S.weight_udf(pattern)("name"))
+
+
+def result_columns(rows: DataFrame) -> DataFrame:
+    """What a result shows: id, name, path, is_dir, kind (D or F), drive (a letter before a colon, null elsewhere), modified."""
+    drive = F.nullif(F.upper(F.regexp_extract("path", "^([A-Za-z]):", 1)), F.lit(""))
+    return rows.select("id", "name", "path", "is_dir", F.when(F.col("is_dir"), "D").otherwise("F").alias("kind"), drive.alias("drive"), "modified")
+
+
+def shown_path(path: Column, mounts: dict[str, str]) -> Column:
+    """A path as a mount shows it: the longest mounted directory that holds it is replaced; others stay as they are."""
+    out = path
+    for directory, shown in sorted(mounts.items(), key=lambda kv: len(kv[0])):
+        at = directory.rstrip("/")
+        inside = (F.lower(path) == at.lower()) | F.lower(path).startswith(f"{at.lower()}/")
+        out = F.when(inside, F.concat(F.lit(shown.rstrip("/")), F.substring(path, len(at) + 1, 1 << 30))).otherwise(out)
+    return out
+
+
+def relative_parent(path: Column, base: str) -> Column:
+    """The directory of a path as seen from a base: what follows the base, '' in the base itself, the whole of it elsewhere."""
+    parent = F.regexp_extract(path, "^(.*)/[^/]*$", 1)
+    at = base.rstrip("/")
+    inside = F.lower(parent).startswith(f"{at.lower()}/")
+    return F.when(F.lower(parent) == at.lower(), F.lit("")).when(inside, F.substring(parent, len(at) + 2, 1 << 30)).otherwise(parent)

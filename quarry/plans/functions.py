@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import alias as A
 from quarry.functions import instant as I
+from quarry.operators import ranking as R
 from quarry.plans.registry import query
 from quarry.sources import catalog
 
@@ -83,9 +84,11 @@ def column_size(spark, sf_dir):
     return catalog.parts(spark, sf_dir).select("id", "size", I.size_label(F.col("size")).alias("label"))
 
 
-@query("SELECT id, regexp_replace(path, '/[^/]*$', '') AS parent, '//share/' || substr(path, 4) AS shown FROM parts")
+@query("""SELECT id, CASE WHEN folder = 'Brand#2' THEN '' ELSE 'P:/' || folder END AS parent, CASE folder WHEN 'Brand#2' THEN '//wsl/two' || substr(path, 11) ELSE '//share' || substr(path, 3) END AS shown FROM parts""")
 def project_display_path(spark, sf_dir):
-    return catalog.parts(spark, sf_dir).select("id", F.regexp_replace("path", "/[^/]*$", "").alias("parent"), F.concat(F.lit("//share/"), F.expr("substr(path, 4)")).alias("shown"))
+    """The directory as seen from a base, and the path as mounts show it, the one further in before the other."""
+    path = F.col("path")
+    return catalog.parts(spark, sf_dir).select("id", R.relative_parent(path, "p:/brand#2").alias("parent"), R.shown_path(path, {"P:": "//share", "P:/Brand#2/": "//wsl/two"}).alias("shown"))
 
 
 @query("SELECT id, 'calculator' AS kind, CAST(id + 1 AS VARCHAR) AS result FROM parts WHERE id % 50 < 2 UNION ALL SELECT id, 'base', '0x' || upper(to_hex(id)) FROM parts WHERE id % 50 = 2")
@@ -97,35 +100,38 @@ def instant_udtf(spark, sf_dir):
     return spark.sql("SELECT p.id, r.kind, r.result FROM {parts} p, LATERAL instant_results(CASE WHEN p.id % 50 < 2 THEN p.id || '+1' WHEN p.id % 50 = 2 THEN p.id || ' to hex' ELSE p.name END) r", parts=catalog.parts(spark, sf_dir))
 
 
-#: Names beyond ASCII, dealt to the parts by size.
-_NAMES = ("重庆火锅", "和", "北京", "plain")
+#: Digits as characters of the sample with one reading each, and that reading.
+_DIGITS, _SOUNDS = "庆火锅北京烤鸭国中庆", ("qing", "huo", "guo", "bei", "jing", "kao", "ya", "guo", "zhong", "qing")
+_SPOKEN = f"list_transform(string_split(lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0'), ''), lambda d: {list(_SOUNDS)}[CAST(d AS INTEGER) + 1])"
 
 
-def _dealt(spark, sf_dir, values, name):
-    pick = F.element_at(F.array(*(F.lit(v) for v in values)), (F.col("p_size") % len(values) + 1).cast("int"))
-    return catalog.table(spark, sf_dir, "part").select("p_partkey", pick.alias(name))
+def _spelled(spark, sf_dir):
+    """Each part with a name in characters, made of the last digits of its key."""
+    digits = F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0")
+    return catalog.table(spark, sf_dir, "part").select("p_partkey", F.translate(digits, "0123456789", _DIGITS).alias("name"), digits.alias("digits"))
 
 
-@query("SELECT p_partkey, ['zqhg|cqhg;zhong~qing~huo~guo|chong~qing~huo~guo', 'he|hu|huo', 'bj;bei~jing', ''][p_size % 4 + 1] AS aliases FROM part")
+@query(f"SELECT p_partkey, array_to_string(list_transform({_SPOKEN}, lambda s: s[1]), '') || ';' || array_to_string({_SPOKEN}, '~') AS aliases FROM part")
 def alias_generate(spark, sf_dir):
     """Initials and full spellings of distinct names, fanned out; '~' stands for the joint of two syllables."""
-    rows = _dealt(spark, sf_dir, _NAMES, "name")
+    rows = _spelled(spark, sf_dir)
     made = rows.select("name").distinct().withColumn("aliases", F.translate(F.array_join(A.generate_udf()("name"), ";"), A.JOINT, "~"))
     return rows.join(made, "name").select("p_partkey", "aliases")
 
 
-@query("SELECT p_partkey, ['chong qing huo guo', 'bei j', '', 'zhong g', ''][p_size % 5 + 1] AS first_form FROM part")
+@query(f"SELECT p_partkey, array_to_string({_SPOKEN}, ' ') AS first_form FROM part")
 def pinyin_segment(spark, sf_dir):
-    """The best reading of a query as two or more syllables, the last perhaps half typed."""
-    rows = _dealt(spark, sf_dir, ("chongqinghuoguo", "beij", "zhong", "zhongg", "xyz"), "q")
+    """The best reading of a query as syllables, typed without spaces."""
+    sounds = F.create_map(*(F.lit(x) for i, s in enumerate(_SOUNDS) for x in (str(i), s)))
+    rows = _spelled(spark, sf_dir).withColumn("q", F.array_join(F.transform(F.split("digits", ""), lambda d: sounds[d]), ""))
     read = rows.select("q").distinct().withColumn("first_form", A.segment_udf(A.syllables_of())("q"))
     return rows.join(read, "q").select("p_partkey", "first_form")
 
 
-@query("SELECT p_partkey, ['0,1', '0,0,0,0,0,1,1,1,1', NULL][p_size % 3 + 1] AS positions FROM part")
+@query(f"SELECT p_partkey, array_to_string(flatten(list_transform({_SPOKEN}, lambda s, i: list_resize([CAST(i - 1 AS VARCHAR)], length(s), CAST(i - 1 AS VARCHAR)))), ',') AS positions FROM part")
 def alias_position_map(spark, sf_dir):
-    """For each letter of an alias the letter of the name it stands for; nothing where they don't belong together."""
-    rows = _dealt(spark, sf_dir, ("重庆|cq", "重庆|chong~qing", "北京|xx"), "pair")
-    parts = F.split("pair", r"\|")
-    read = rows.select("pair").distinct().withColumn("positions", A.position_udf()(parts[0], F.translate(parts[1], "~", A.JOINT)))
-    return rows.join(read, "pair").select("p_partkey", "positions")
+    """For each letter of a name's full spelling the character it stands for."""
+    rows = _spelled(spark, sf_dir)
+    full = F.element_at(A.generate_udf()("name"), -1)
+    read = rows.select("name").distinct().withColumn("positions", A.position_udf()(F.col("name"), full))
+    return rows.join(read, "name").select("p_partkey", "positions")

@@ -9,17 +9,26 @@ from quarry.functions import instant as I
 from quarry.operators import joins as J
 from quarry.operators import ranking as R
 from quarry.operators import search as N
-from quarry.plans.registry import query, sql_query
+from quarry.plans.registry import query
 from quarry.sources import catalog
 
-sql_query("union_sources", "SELECT id, name, 'P' AS source FROM parts UNION ALL SELECT page_id AS id, path AS name, host AS source FROM page_paths")
-sql_query("set_except", "SELECT DISTINCT folder FROM parts EXCEPT SELECT 'Brand#1' AS folder")
+@query("SELECT id, name, 'P' AS source FROM parts UNION ALL SELECT page_id AS id, path AS name, host AS source FROM page_paths")
+def union_sources(spark, sf_dir):
+    pages = catalog.page_paths(spark, sf_dir).select(F.col("page_id").alias("id"), F.col("path").alias("name"), F.col("host").alias("source"))
+    return catalog.parts(spark, sf_dir).select("id", "name", F.lit("P").alias("source")).unionByName(pages)
 
 
-@query("SELECT id, path FROM parts WHERE id % 3 = 0 UNION ALL SELECT id, path FROM parts WHERE id % 2 = 0 AND lower(path) NOT IN (SELECT lower(path) FROM parts WHERE id % 3 = 0)")
+@query("SELECT DISTINCT id FROM parts WHERE id NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)")
+def set_except(spark, sf_dir):
+    """Ids of one set that another lacks: parts that no event names."""
+    used = catalog.table(spark, sf_dir, "events").select(F.col("user_id").alias("id"))
+    return catalog.parts(spark, sf_dir).select("id").subtract(used)
+
+
+@query("SELECT id, path FROM parts WHERE id % 3 = 0 UNION ALL SELECT id, path FROM parts WHERE id % 3 <> 1 AND lower(path) NOT IN (SELECT lower(path) FROM parts WHERE id % 3 = 0) UNION ALL SELECT id, path FROM parts WHERE id % 3 = 1 AND lower(path) NOT IN (SELECT lower(path) FROM parts WHERE id % 3 = 0)")
 def merge_local_global(spark, sf_dir):
     rows = catalog.parts(spark, sf_dir).select("id", "path")
-    return R.merged(rows.where("id % 3 = 0"), rows.where("id % 2 = 0"))
+    return R.merged(rows.where("id % 3 = 0"), rows)
 
 
 @query("SELECT id, name, modified FROM paths WHERE NOT is_dir AND modified >= TIMESTAMP '2001-01-01 00:00:00' ORDER BY modified DESC, id LIMIT 100")

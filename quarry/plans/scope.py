@@ -15,6 +15,7 @@ from quarry.operators import aggregates as A
 from quarry.operators import exclusions as E
 from quarry.operators import filters as X
 from quarry.operators import joins as J
+from quarry.operators import maintenance as M
 from quarry.operators import paths as H
 from quarry.operators import ranking as R
 from quarry.operators import tree as W
@@ -23,13 +24,32 @@ from quarry.plans.registry import query, sql_query
 from quarry.sources import catalog
 
 # ---- sources and sinks
-sql_query("src_journal_catchup", "SELECT usn, id, reason, size, (SELECT max(usn) + 1 FROM journal) AS next_usn FROM journal WHERE usn > 9000")
-sql_query("src_tree", "SELECT id, parent_id, name, is_dir, size FROM tree")
 sql_query("src_history_topn", "SELECT page_id, url FROM pages WHERE url LIKE 'http%' ORDER BY page_id DESC LIMIT 2000")
-sql_query("src_bookmark_join", "SELECT b.conv_id AS conv_id, coalesce(nullif(b.role, 'system'), d.source, d.lang) AS title, d.doc_id AS doc_id FROM conversations b JOIN documents d ON b.conv_id = d.doc_id WHERE b.turn = 0")
 sql_query("src_json_extract", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type = 'click'", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type = 'click'")
 
 
+@query("SELECT usn, id, reason, size, (SELECT max(usn) + 1 FROM journal) AS next_usn FROM journal WHERE usn >= (SELECT max(usn) // 3 FROM journal)")
+def src_journal_catchup(spark, sf_dir):
+    """The journal from the offset that a snapshot's header has stored on, with the offset to store next."""
+    store, journal = Snapshots(spark), catalog.journal(spark, sf_dir)
+    kept = journal.agg((F.floor(F.max("usn") / 3)).alias("usn")).first()["usn"] or 0
+    header = store.header(store.write(catalog.parts(spark, sf_dir).select("id", "name", "source_key"), journal_id=7, next_usn=kept)).first()
+    return M.journal_since(journal, header, 7).select("usn", "id", "reason", "size", "next_usn")
+
+
+@query("SELECT id, parent_id, name, is_dir, size FROM tree")
+def src_tree(spark, sf_dir):
+    return catalog.tree(spark, sf_dir).select("id", "parent_id", "name", "is_dir", "size")
+
+
+@query("SELECT b.conv_id AS conv_id, b.turn AS turn, CASE WHEN b.role <> 'system' AND b.role <> '' THEN b.role WHEN d.source IS NOT NULL THEN d.source ELSE d.lang END AS title, d.doc_id AS doc_id FROM conversations b, documents d WHERE b.conv_id = d.doc_id")
+def src_bookmark_join(spark, sf_dir):
+    """Every turn as a bookmark of the document of its conversation's number."""
+    marks = catalog.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("place"), "turn", F.when(F.col("role") != "system", F.col("role")).alias("title"))
+    places = catalog.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("place"), F.coalesce("source", "lang").alias("title"))
+    return J.bookmarks(marks, places).select(F.col("place").alias("conv_id"), "turn", "title", F.col("place").alias("doc_id"))
+
+
 @query("""SELECT page_id, array_to_string(string_split(path, '/')[:-2], '/') AS folder, CAST(len(string_split(path, '/')) - 1 AS INTEGER) AS depth, name, url
  FROM page_paths WHERE regexp_matches(url, '^https?://')""")
 def src_json_tree(spark, sf_dir):
@@ -86,12 +106,42 @@ def src_items_dedup(spark, sf_dir):
     return J.items(rows.select("id", "name", (F.col("size") % 5).alias("target")), apps)
 
 
-@query("SELECT DISTINCT path, page_id FROM page_paths WHERE host IN (SELECT host FROM page_paths GROUP BY host ORDER BY count(*) DESC, host LIMIT 3) AND contains(lower(name), '1')")
+def _registry():
+    from quarry.operators.providers import DirectoryRegistry
+
+    found = DirectoryRegistry()
+    found.register("gone", "blog.tionsh.example.net")
+    found.register("blog", "Blog.tionsh.example.net\\EN\\", False)
+    found.register("blog", "blog.tionsh.example.net", True, "9*;*1")
+    found.register("org", "thther.example.org", True, "*5*")
+    found.register("org", "thther.example.org", False)
+    found.unregister("gone")
+    return found
+
+
+_REGISTERED = """SELECT CASE WHEN s[1] = 'thther.example.org' THEN 'org' ELSE 'blog' END AS owner, page_id, path FROM (SELECT page_id, path, string_split(path, '/') AS s FROM page_paths)
+ WHERE (s[1] = 'blog.tionsh.example.net' AND ((s[2] = 'en' AND len(s) = 3) OR s[-1] LIKE '9%' OR s[-1] LIKE '%1')) OR (s[1] = 'thther.example.org' AND (s[-1] LIKE '%5%' OR len(s) = 2))"""
+
+
+@query(_REGISTERED)
 def src_registered_dirs(spark, sf_dir):
-    """Plain containment of a name below registered directories."""
-    rows = catalog.page_paths(spark, sf_dir)
-    hosts = rows.groupBy("host").count().orderBy(F.desc("count"), "host").limit(3).select("host")
-    return rows.join(hosts, "host", "left_semi").where(F.lower("name").contains("1")).select("path", "page_id").distinct()
+    """What lies in the directories that providers have registered: some with all below, some with their own files alone."""
+    return _registry().listed(catalog.page_paths(spark, sf_dir).select("page_id", "path"))
+
+
+@query(f"SELECT page_id, path FROM ({_REGISTERED}) WHERE owner = 'blog' AND regexp_extract(path, '[^/]*$') LIKE '%1%'")
+def search_registered_dirs(spark, sf_dir):
+    """Plain containment in the names of one provider's rows."""
+    return _registry().search(catalog.page_paths(spark, sf_dir).select("page_id", "path"), "blog", "1")
+
+
+@query(f"SELECT owner, count(*) AS changes FROM (SELECT id % (SELECT count(*) FROM pages) AS page_id FROM journal) JOIN ({_REGISTERED}) USING (page_id) GROUP BY owner")
+def changed_dirs(spark, sf_dir):
+    """Which providers a journal concerns, and how often."""
+    pages = catalog.page_paths(spark, sf_dir)
+    n = pages.count()
+    changes = catalog.journal(spark, sf_dir).select((F.col("id") % n).alias("page_id")).join(pages, "page_id")
+    return _registry().changed(changes.select("path"))
 
 
 @query("SELECT id, name, size, source_key FROM parts")
@@ -105,8 +155,9 @@ def sink_snapshot_roundtrip(spark, sf_dir):
 # ---- scope filters
 @query("SELECT p_partkey AS id, p_name || '.' || lower(p_type) AS name FROM part")
 def filter_drive(spark, sf_dir):
-    """A drive word in the query keeps the rows of that source."""
-    return X.on_drive(catalog.parts(spark, sf_dir), Q.parse_pattern("p: 'x").drive).select("id", "name")
+    """A drive word in the query keeps the rows of that source, of the two that the catalog has."""
+    both = catalog.parts(spark, sf_dir).select("id", "name", "source_key").unionByName(catalog.tree(spark, sf_dir).select("id", "name", F.lit("T").alias("source_key")))
+    return X.on_drive(both, Q.parse_pattern("p: 'x").drive).select("id", "name")
 
 
 @query("SELECT id, name, CAST(len(string_split(path, '/')) - 1 AS INTEGER) AS depth FROM paths WHERE len(string_split(path, '/')) <= 3")
@@ -253,21 +304,17 @@ def filter_sidebar(spark, sf_dir):
 
 @query("SELECT id, name FROM parts WHERE lower(name) LIKE '%.economy' OR lower(name) LIKE '%.standard'")
 def token_ext(spark, sf_dir):
-    ext = F.concat(F.lit("."), F.lower(F.substring_index("name", ".", -1)))
-    return catalog.parts(spark, sf_dir).where(ext.isin(".economy", ".standard")).select("id", "name")
+    return R.apply_tokens(catalog.parts(spark, sf_dir), (".economy.standard",)).select("id", "name")
 
 
 @query("SELECT page_id, path FROM page_paths WHERE list_bool_or(list_transform(string_split(path, '/'), lambda s: regexp_matches(lower(s), '^[^b]*b[^g]*g[^n]*n')))")
 def token_segment(spark, sf_dir):
-    pattern = Q.parse_pattern("bgn")
-    return catalog.page_paths(spark, sf_dir).where(F.exists(F.split("path", "/"), lambda s: P.pattern_column(s, pattern))).select("page_id", "path")
+    return R.apply_tokens(catalog.page_paths(spark, sf_dir), (":bgn",)).select("page_id", "path")
 
 
 @query("SELECT id, name FROM parts LIMIT 0")
 def token_unknown(spark, sf_dir):
-    from quarry.operators.ranking import apply_tokens
-
-    return apply_tokens(catalog.parts(spark, sf_dir), ("nobody",)).select("id", "name")
+    return R.apply_tokens(catalog.parts(spark, sf_dir), ("nobody",)).select("id", "name")
 
 
 @query("SELECT id, name FROM parts WHERE name LIKE '%.economy' OR name LIKE 'red%'")
@@ -275,12 +322,13 @@ def filter_patterns(spark, sf_dir):
     return catalog.parts(spark, sf_dir).where(F.col("name").rlike(pattern_list("*.economy; red*"))).select("id", "name")
 
 
-@query("SELECT id, name, CAST(1.0 AS DOUBLE) AS weight FROM parts WHERE folder = 'Brand#7'")
+@query("""SELECT 'brand7' AS text, id, name, CAST(1.0 AS DOUBLE) AS weight FROM parts WHERE folder = 'Brand#7' UNION ALL SELECT 'brand7 bolt', id, name, round(4.0 / length(name), 9) FROM parts WHERE folder = 'Brand#7' AND contains(lower(name), 'bolt')""")
 def items_keyword(spark, sf_dir):
-    """A bare registered keyword lists its own items at weight 1 and hides all others."""
-    rest = Q.keyword_gate("brand7", "brand7")
-    rows = catalog.parts(spark, sf_dir).where(F.col("folder") == "Brand#7")
-    return (rows if rest == "" else rows.where(P.pattern_column(F.col("name"), Q.parse_pattern(rest or "")))).select("id", "name", F.lit(1.0).alias("weight"))
+    """A bare registered keyword lists its own items at weight 1 and hides all others; what follows it filters and weighs
+    them; another text shows none."""
+    rows = catalog.parts(spark, sf_dir)
+    shown = lambda text: R.keyword_items(rows, text, "brand7", F.col("folder") == "Brand#7").select(F.lit(text.replace("'", "")).alias("text"), "id", "name", F.round("weight", 9).alias("weight"))
+    return shown("brand7").unionByName(shown("brand7 'bolt")).unionByName(shown("brand8"))
 
 
 @query("SELECT id, name FROM parts WHERE folder NOT IN ('Brand#1', 'Brand#2')")
@@ -311,9 +359,10 @@ def tiered_topk(spark, sf_dir):
 
 # ---- tree joins and paths
 @query("""SELECT 1000 + r_regionkey AS id, r_name AS name, '' AS parent FROM region UNION ALL SELECT 10000 + n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey
- UNION ALL SELECT 1000000 + c_custkey, c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+ UNION ALL SELECT 1000000 + c_custkey, c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey
+ UNION ALL SELECT 1000000000 + o_orderkey, 'order-' || o_orderkey || '.' || lower(o_orderstatus), c_name FROM orders JOIN customer ON o_custkey = c_custkey""")
 def join_parent(spark, sf_dir):
-    return J.with_parent(catalog.tree(spark, sf_dir)).where("is_dir").select("id", "name", "parent")
+    return J.with_parent(catalog.tree(spark, sf_dir)).select("id", "name", "parent")
 
 
 @query("SELECT id, CASE WHEN id % 5 = 0 OR parent_id NOT IN (SELECT id FROM tree) THEN 1 ELSE parent_id END AS parent FROM tree")
@@ -347,7 +396,7 @@ def project_full_path(spark, sf_dir):
 
 @query("SELECT id, name, path, is_dir, CASE WHEN is_dir THEN 'D' ELSE 'F' END AS kind, substr(path, 1, 1) AS drive, modified FROM paths")
 def project_result(spark, sf_dir):
-    return catalog.paths(spark, sf_dir).select("id", "name", "path", "is_dir", F.when(F.col("is_dir"), "D").otherwise("F").alias("kind"), F.substring("path", 1, 1).alias("drive"), "modified")
+    return R.result_columns(catalog.paths(spark, sf_dir))
 
 
 @query("""WITH s AS (SELECT DISTINCT host AS source FROM page_paths UNION SELECT DISTINCT host || '/en' FROM page_paths)

@@ -270,16 +270,19 @@ def _extensions():
     from quarry.functions.extensions import Extensions
 
     return Extensions(
-        items=[lambda spark: spark.sql("SELECT 'Control' AS name, 'c:/control' AS path, 1.0D AS weight"), lambda spark: spark.sql("SELECT 'Fonts' AS name, 'c:/fonts' AS path")],
+        items=[
+            lambda spark, sf_dir: catalog.parts(spark, sf_dir).where("name like 'red%'").select("name", "path", F.lit(1.0).alias("weight")).distinct(),
+            lambda spark, sf_dir: catalog.page_paths(spark, sf_dir).select("name", "path").distinct(),
+        ],
         columns={"initial": lambda: F.upper(F.substring("name", 1, 1)), "length": lambda: F.length("name").cast("string")},
         filters={"bolts": F.col("name").contains("bolt"), "large": F.col("size") > 50 * 1048576, "small": F.col("size") < 1048576},
     )
 
 
-@query("SELECT 'Control' AS name, 'c:/control' AS path, 1.0::DOUBLE AS weight UNION ALL SELECT 'Fonts', 'c:/fonts', NULL")
+@query("SELECT DISTINCT name, path, CAST(1.0 AS DOUBLE) AS weight FROM parts WHERE starts_with(name, 'red') UNION ALL SELECT DISTINCT name, path, CAST(NULL AS DOUBLE) FROM page_paths")
 def ext_items(spark, sf_dir):
-    """Rows of all item providers."""
-    return _extensions().catalog(spark)
+    """Rows of all item providers: one weighs its items, the other doesn't."""
+    return _extensions().catalog(spark, sf_dir)
 
 
 @query("SELECT id, upper(substr(name, 1, 1)) AS initial, CAST(length(name) AS VARCHAR) AS length FROM parts")
