@@ -13,7 +13,7 @@ from quarry.sources import catalog
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLE: dict[str, str] = {}
-_MODULES = ("search", "scope", "ranking", "maintenance", "functions")
+_MODULES = ("search", "scope", "ranking", "maintenance", "functions", "stored")
 
 
 def with_views(sql: str) -> str:
