@@ -39,8 +39,8 @@ from tokenizers import Tokenizer
 
 from quarry.llm.common import portions, raw_texts, stored
 
-#: UTF-8 bytes of texts that are aligned together; a longer text stands alone.
-BLOCK = 6 << 20
+#: UTF-8 bytes of texts that are aligned together; a longer text is aligned in parts of this size.
+BLOCK = 3 << 20
 #: Stretches of more characters go to the encoder whose time doesn't grow with the square of an unbroken run.
 LONG = 1000
 #: Stretches that A's encoder is given as one text.
@@ -115,6 +115,7 @@ CREATE TEMP TABLE tb AS SELECT *, coalesce(sum(CAST(linked AS INTEGER)) OVER (OR
 CREATE TEMP TABLE overlap AS SELECT ta.c, count(*) AS n FROM ta JOIN tb ON ta.g = tb.g AND ta.s < tb.e AND tb.s < ta.e GROUP BY ta.c;
 CREATE TEMP TABLE stretch AS SELECT c, n_a, n_b, n_links, n_overlaps FROM (SELECT c, count(*) AS n_a, count(b_id) AS n_links FROM ta GROUP BY c)
   JOIN (SELECT c, count(*) AS n_b FROM tb GROUP BY c) USING (c) JOIN (SELECT c, n AS n_overlaps FROM overlap) USING (c);
+DROP TABLE overlap;
 CREATE TEMP TABLE pair AS SELECT id AS a, b_id AS b, CAST(sum(w) AS BIGINT) AS n, CAST(row_number() OVER (ORDER BY id, b_id) - 1 AS INTEGER) AS p
   FROM ta JOIN (SELECT c, count(*) AS w FROM place GROUP BY c) USING (c) WHERE b_id IS NOT NULL GROUP BY id, b_id;
 """
@@ -153,6 +154,27 @@ def _unspelled(stretches: list[str], flat: np.ndarray, n: np.ndarray, spelling:
     return bad
 
 
+def align_long(text: bytes, t: Tokenizers) -> dict | None:
+    """As align() of one text, part after part; a part ends where a stretch does, so what has no cut is aligned whole."""
+    s, at, parts, digest = text.decode(), 0, [], hashlib.sha256()
+    while at is not None:
+        m = _CUT.search(s, at + BLOCK)
+        found = align([(s[at : m.start()] if m else s[at:]).encode()], t)
+        if found is None:
+            return None  # a part that its pieces don't spell takes the text with it
+        digest.update(found.pop("groups")[0][: None if m else -1])
+        parts.append(found)
+        at = m.end() if m else None
+    whole = {c: sum(x["texts"][c][0].as_py() for x in parts) for c in parts[0]["texts"].column_names if c != "d"}
+    pairs, stretches = (np.cumsum([0, *(n(x) for x in parts)]) for n in (lambda x: len(x["pairs"]), lambda x: len(x["stretch_links"])))
+    moved = lambda c, by: np.concatenate([x[c] + k for x, k in zip(parts, by)]).astype(np.int32)
+    return {
+        "texts": pa.table({"d": pa.array([0], pa.int32())} | {c: pa.array([v], pa.int64()) for c, v in whole.items()}), "sha256": [digest.hexdigest()],
+        "pairs": pa.concat_tables([x["pairs"] for x in parts]), "link_pair": moved("link_pair", pairs), "stretch_links": np.concatenate([x["stretch_links"] for x in parts]),
+        "place": moved("place", stretches), "text_places": np.array([sum(int(x["text_places"][0]) for x in parts)]),
+    }
+
+
 def align(texts: list[bytes], t: Tokenizers) -> dict | None:
     """The alignment of a block of texts: for each text with tokens its numbers and groups, the block's pairs with their
     counts, and by stretch and text which pairs are linked. None if no text has tokens."""
@@ -171,10 +193,13 @@ def align(texts: list[bytes], t: Tokenizers) -> dict | None:
     if not len(kept):
         return None
     place, text, sizes = places[fine[text]], text[fine[text]], sizes[kept]
-    used = np.bincount(place, minlength=len(number)) > 0
+    used = np.bincount(place, minlength=len(bad)) > 0
     place = (np.cumsum(used) - 1)[place].astype(np.int32)
     a_flat, a_n, b_flat, b_n = a_flat[np.repeat(used, a_n)], a_n[used], b_flat[np.repeat(used, b_n)], b_n[used]
-    with duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "700MB", "temp_directory": ""}) as con:
+    n_texts = sum(map(len, texts))
+    del cut, number, stretches, places, bad  # the strings go before the tables come
+    room = max(500, n_texts * 160 >> 20)  # MB; more than a block only for a stretch that can't be cut
+    with duckdb.connect(":memory:", config={"threads": 1, "memory_limit": f"{room}MB", "temp_directory": ""}) as con:
         con.register("a", _intervals(a_flat, a_n, t.a_size))
         con.register("b", _intervals(b_flat, b_n, t.b_size))
         con.register("place", pa.table({"d": text, "c": place}))
@@ -183,9 +208,9 @@ def align(texts: list[bytes], t: Tokenizers) -> dict | None:
     groups = _joined(spelled, len(a_n))
     first = np.cumsum(sizes) - sizes
     at = place.tolist()
-    digests = [hashlib.sha256(b"".join([groups[c] for c in at[f : f + n]])[:-1]).hexdigest() for f, n in zip(first.tolist(), sizes.tolist())]
+    spelled_out = [b"".join([groups[c] for c in at[f : f + n]]) for f, n in zip(first.tolist(), sizes.tolist())]
     n_links = np.bincount(links["c"].to_numpy(), minlength=len(a_n))
-    return {"texts": by_text, "sha256": digests, "pairs": pairs, "link_pair": links["p"].to_numpy(), "stretch_links": n_links, "place": place, "text_places": sizes}
+    return {"texts": by_text, "groups": spelled_out, "pairs": pairs, "link_pair": links["p"].to_numpy(), "stretch_links": n_links, "place": place, "text_places": sizes}
 
 
 def _joined(spelled: pa.Table, n: int) -> list[bytes]:
@@ -212,7 +237,8 @@ def aligned_blocks(docs: DataFrame, json_path: str, piece_path: str, id_col: str
         t = tokenizers(json_path, piece_path)
         block = TaskContext.get().partitionId() << 32
         for batch in portions(batches, 1, BLOCK):
-            found = align(raw_texts(batch.column(1)), t)
+            texts = raw_texts(batch.column(1))
+            found = align(texts, t) if len(texts) > 1 or len(texts[0]) <= BLOCK else align_long(texts[0], t)
             block += 1
             row = lambda x, kind: pa.array([x], pa.list_(kind))
             ids = batch.column(0).cast(pa.int64()).to_pylist()
@@ -222,7 +248,7 @@ def aligned_blocks(docs: DataFrame, json_path: str, piece_path: str, id_col: str
             else:
                 x, p = found["texts"], found["pairs"]
                 columns += [row(x["d"].to_pylist(), pa.int32()), *(row(x[c].to_pylist(), pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links", "n_overlaps"))]
-                columns += [row(found["sha256"], pa.string())]
+                columns += [row(found.get("sha256") or [hashlib.sha256(g[:-1]).hexdigest() for g in found["groups"]], pa.string())]
                 columns += [_ints(p["a"].to_numpy()), _ints(p["b"].to_numpy()), row(p["n"].to_pylist(), pa.int64())]
                 columns += [_ints(found[c]) for c in ("link_pair", "stretch_links", "place", "text_places")]
             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _BLOCKS.split(", ")])

@@ -59,7 +59,7 @@ def token_alignment_alphabet():
 AWKWARD = [None, "", " ", "  ", "\n", "a", "the cat's 12 hats", "the cat's 12 hats", " lead and trail ", "two  spaces   here", "tab\tand\r\nline \n end", "Ünïcödé ☃ 日本語のテキスト", "mark▁inside", "<s>ok</s> <|endoftext|> <unk> <0x41>", "\x00\x01 nul", "no break 　 wide x", "x" * 2500, "don't DON'T we'll", "🙂🙃 emoji👩‍👩‍👧", "﻿bom ​zero"]
 
 
-@pytest.mark.parametrize("block", [1, 300, 1 << 20])
+@pytest.mark.parametrize("block", [60, 300, 1 << 20])
 def test_alignment(spark, monkeypatch, block):
     monkeypatch.setattr(token_alignment, "BLOCK", block)  # counts of many blocks add up
     rng = random.Random(block)
@@ -75,6 +75,26 @@ def test_alignment(spark, monkeypatch, block):
     assert got.count() == len(texts)
 
 
+def test_long_text_in_parts(monkeypatch):
+    """The same alignment as of the whole text, wherever it is cut; a part that isn't spelled takes the text with it."""
+    t = token_alignment.tokenizers(JSON, MODEL)
+    rng = random.Random(2)
+    text = " ".join(rng.choice(["the", "cat's", "日本", "x\ny", "12", "ing,", "#é"]) + rng.choice(["", "", " "]) for _ in range(3000)).encode()
+    whole = token_alignment.align([text], t)
+    for size in (150, 1500, 1 << 20):
+        monkeypatch.setattr(token_alignment, "BLOCK", size)
+        got = token_alignment.align_long(text, t)
+        assert got["texts"].to_pydict() == whole["texts"].to_pydict()
+        assert got["sha256"] == [hashlib.sha256(whole["groups"][0][:-1]).hexdigest()]
+        counts = Counter()
+        for a, b, n in zip(*(got["pairs"][c].to_pylist() for c in "abn")):
+            counts[a, b] += n
+        assert counts == {(a, b): n for a, b, n in zip(*(whole["pairs"][c].to_pylist() for c in "abn"))}
+        assert got["stretch_links"][got["place"]].sum() == whole["texts"]["n_links"][0].as_py() and got["text_places"].sum() == len(got["place"])
+    monkeypatch.setattr(token_alignment, "BLOCK", 500)
+    assert token_alignment.align_long(text + " mark▁inside ".encode() + text, t) is None
+
+
 def test_ids_that_repeat_or_are_null(spark):
     texts = ["one two", "one two", "three", None]
     got = token_alignment.token_alignment(docs_of(spark, texts, [7, 7, None, None]), JSON, MODEL).collect()
