@@ -40,7 +40,7 @@ from tokenizers import Tokenizer
 from quarry.llm.common import portions, raw_texts, stored
 
 #: UTF-8 bytes of texts that are aligned together; a longer text is aligned in parts of this size.
-BLOCK = 3 << 20
+BLOCK = 5 << 20
 #: Stretches of more characters go to the encoder whose time doesn't grow with the square of an unbroken run.
 LONG = 1000
 #: Stretches that A's encoder is given as one text.
@@ -226,7 +226,9 @@ def _ints(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x.astype(np.int32)))
 
 
-_BLOCKS = "block long, doc_id array<long>, no array<int>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, n_overlaps array<long>, groups_sha256 array<string>, a array<int>, b array<int>, n array<long>, link_pair array<int>, stretch_links array<int>, place array<int>, text_places array<int>"
+#: Columns of 32-bit integers as bytes: the longest by far, which the JVM needn't take apart.
+_PACKED = ("link_pair", "stretch_links", "place", "text_places")
+_BLOCKS = "block long, doc_id array<long>, no array<int>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, n_overlaps array<long>, groups_sha256 array<string>, a array<int>, b array<int>, n array<long>, link_pair binary, stretch_links binary, place binary, text_places binary"
 
 
 def aligned_blocks(docs: DataFrame, json_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,13 +246,13 @@ def aligned_blocks(docs: DataFrame, json_path: str, piece_path: str, id_col: str
             ids = batch.column(0).cast(pa.int64()).to_pylist()
             columns = [pa.array([block], pa.int64()), row(ids, pa.int64())]
             if found is None:
-                columns += [row([], k) for k in (pa.int32(), *[pa.int64()] * 5, pa.string(), pa.int32(), pa.int32(), pa.int64(), *[pa.int32()] * 4)]
+                columns += [row([], k) for k in (pa.int32(), *[pa.int64()] * 5, pa.string(), pa.int32(), pa.int32(), pa.int64())] + [pa.array([b""], pa.binary()) for _ in _PACKED]
             else:
                 x, p = found["texts"], found["pairs"]
                 columns += [row(x["d"].to_pylist(), pa.int32()), *(row(x[c].to_pylist(), pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links", "n_overlaps"))]
                 columns += [row(found.get("sha256") or [hashlib.sha256(g[:-1]).hexdigest() for g in found["groups"]], pa.string())]
                 columns += [_ints(p["a"].to_numpy()), _ints(p["b"].to_numpy()), row(p["n"].to_pylist(), pa.int64())]
-                columns += [_ints(found[c]) for c in ("link_pair", "stretch_links", "place", "text_places")]
+                columns += [pa.array([found[c].astype("<i4").tobytes()], pa.binary()) for c in _PACKED]
             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _BLOCKS.split(", ")])
 
     return docs.select(id_col, text_col).mapInArrow(run, _BLOCKS)
@@ -280,9 +282,9 @@ def token_alignment(docs: DataFrame, json_path: str, piece_path: str, id_col: st
                 found = {c: np.zeros(len(ids), np.int64) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "n_overlaps")}
                 sha = np.full(len(ids), "", object)
                 if len(no):
-                    pair, count, best = row("link_pair").to_numpy(), row("count").to_numpy(), row("best").to_numpy(zero_copy_only=False)
-                    before = np.append(0, np.cumsum(row("stretch_links").to_numpy()))
-                    place, sizes = row("place").to_numpy(), row("text_places").to_numpy()
+                    pair, links, place, sizes = (np.frombuffer(batch.column(c)[i].as_buffer(), "<i4") for c in _PACKED)  # noqa: B023
+                    count, best = row("count").to_numpy(), row("best").to_numpy(zero_copy_only=False)
+                    before = np.append(0, np.cumsum(links))
                     for c, of_pair in (("n_best", best.astype(np.int64)), ("count_sum", count)):
                         total = np.append(0, np.cumsum(of_pair[pair]))
                         of_stretch = total[before[1:]] - total[before[:-1]]
