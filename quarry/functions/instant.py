@@ -269,7 +269,8 @@ def filetime_seconds(filetime: Column) -> Column:
 
 def normal_path(path: Column) -> Column:
     """One kind of separator, none at the end."""
-    return F.regexp_replace(F.translate(path, "\\", "/"), "(?<=.)/+$", "")
+    one = F.replace(path, F.lit("\\"), F.lit("/"))
+    return F.when(one.endswith("/"), F.regexp_replace(one, "(?<=.)/+$", "")).otherwise(one)
 
 
 def path_id(path: Column) -> Column:

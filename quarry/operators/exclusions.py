@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.globs import glob_regex
+from quarry.functions.globs import ANYWHERE, glob_regex
 from quarry.functions.instant import normal_path
 from quarry.operators.joins import prefixes
 
@@ -32,7 +32,13 @@ def _plain(path: str) -> str:
 
 def parent_of(path: Column) -> Column:
     """The path without its last part; null at the top."""
-    return F.nullif(F.regexp_extract(path, "^(.*)/[^/]*$", 1), F.lit(""))
+    return F.nullif(F.left(path, F.greatest(F.length(path) - F.length(F.substring_index(path, "/", -1)) - 1, F.lit(0))), F.lit(""))
+
+
+def _single(path: Column) -> Column:
+    """Normal, and with one separator between parts."""
+    own = normal_path(path)
+    return F.when(F.contains(own, F.lit("//")), F.regexp_replace(own, "/+", "/")).otherwise(own)
 
 
 def any_of(tests: Iterable[Column]) -> Column:
@@ -97,12 +103,17 @@ class ExclusionRules:
         name = F.substring_index(own, "/", -1)
         relative = F.when(F.lower(own).startswith(f"{self.top.lower()}/"), F.substring(own, len(self.top) + 2, 1 << 30)).otherwise(own) if self.top else own
         tests = []
-        if self.globs:
-            each = _either(self.globs)
+        # a glob of one part is asked of the name, which is shorter; those of several of the path
+        of_name = [f"^{g.removeprefix(ANYWHERE)}" for g in self.globs if g.startswith(ANYWHERE)]
+        of_path = [g for g in self.globs if not g.startswith(ANYWHERE)]
+        if of_name:
+            tests.append(name.rlike(_either(of_name)))
+        if of_path:
+            each = _either(of_path)
             tests += [own.rlike(each)] + ([relative.rlike(each)] if self.top else [])
         if self.regexes:
             each = _either(self.regexes)
-            tests += [name.rlike(each), own.rlike(each), F.translate(own, "/", "\\").rlike(each)] + ([relative.rlike(each)] if self.top else [])
+            tests += [name.rlike(each), own.rlike(each), F.replace(own, F.lit("/"), F.lit("\\")).rlike(each)] + ([relative.rlike(each)] if self.top else [])
         return F.coalesce(any_of(tests), F.lit(False)) & (F.trim(path) != "")
 
 
@@ -116,7 +127,7 @@ def inherited(rows: DataFrame, own: Callable[[DataFrame], DataFrame], path_col:
 
     Rows are dealt by parent only where the directories that hide something are too many to be sent to all tasks, which
     the planner measures; a folder with a large part of all rows is then split, as they are on the larger side of the join."""
-    parent = parent_of(F.regexp_replace(normal_path(F.col(path_col)), "/+", "/"))
+    parent = parent_of(_single(F.col(path_col)))
     parents = rows.select(parent.alias("_parent")).where("_parent is not null").distinct()
     each = parents.select("_parent", F.explode(prefixes(F.col("_parent"))).alias("directory"))
     marked = own(each.select("directory").distinct()).select("directory")
@@ -185,10 +196,10 @@ def ignored_by(rows: DataFrame, rules: DataFrame, path_col: str = "path", is_dir
     key = [path_col, *([is_dir] if is_dir else [])]
     own = rows.select(*key).distinct()
     # a path may be there as a file and as a directory
-    tagged = own.select(*key, F.struct(F.regexp_replace(normal_path(F.col(path_col)), "/+", "/").alias("p"), (F.coalesce(is_dir, F.lit(False)) if is_dir else F.lit(False)).alias("d")).alias("_k"))
+    tagged = own.select(*key, F.struct(_single(F.col(path_col)).alias("p"), (F.coalesce(is_dir, F.lit(False)) if is_dir else F.lit(False)).alias("d")).alias("_k"))
     told = [_judged(tagged.where(F.col("_k.d") == d).select(F.col("_k.p").alias("_p")).distinct(), chains, "_p", F.lit(d)).select("_p", F.lit(d).alias("_d"), F.col("ignored").alias("_own")) for d in ((True, False) if is_dir else (False,))]
     verdicts = reduce(DataFrame.unionByName, told).where("_own")
-    met = above.withColumns({"_p": F.regexp_replace(normal_path(F.col(path_col)), "/+", "/"), "_d": F.coalesce(is_dir, F.lit(False)) if is_dir else F.lit(False)}).join(verdicts, ["_p", "_d"], "left")
+    met = above.withColumns({"_p": _single(F.col(path_col)), "_d": F.coalesce(is_dir, F.lit(False)) if is_dir else F.lit(False)}).join(verdicts, ["_p", "_d"], "left")
     return met.select(*rows.columns, (F.col("_above") | F.coalesce("_own", F.lit(False))).alias("ignored"))
 
 
