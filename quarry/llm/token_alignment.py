@@ -3,8 +3,9 @@
 A block of texts becomes two tables of token intervals in bytes, of a byte-level BPE (A) and of SentencePiece (B). DuckDB
 aligns them: an ASOF join finds the B token that ends last at or before an A token's end, and the two are linked if both
 end there; window sums of the links number the groups between common ends; a range join inside the groups finds the
-tokens that overlap. Pair counts of a block are partial; Spark adds them up over all blocks, and a join by block
-brings the whole counts back to the texts, whose alignments wait in a stored table.
+tokens that overlap. Pair counts of a block are partial; Spark adds them up over all blocks and brings the whole counts
+back to the texts, whose alignments wait in a stored table. A block is many small rows there (its pairs, its texts, pieces
+of its links), which come together again in a worker in their order: no row and no group grows with a block or the input.
 
 Texts are cut into stretches at single spaces between characters that aren't white space. Neither tokenizer has a token
 across such a cut, nor does what is on one side change the tokens of the other (A's pattern ends a token there, and no
@@ -45,6 +46,10 @@ BLOCK = 5 << 20
 LONG = 1000
 #: Stretches that A's encoder is given as one text.
 TOGETHER = 2000
+#: Stretches whose tokens are in DuckDB at a time.
+ALIGNED = 1 << 15
+#: 32-bit integers in one row of the stored alignments, and bytes of that table that a writer or reader holds at once.
+PIECE, ROW_GROUP = 1 << 14, 16 << 20
 
 _MARK = "▁"
 #: White space of any definition; a cut has none of it on either side.
@@ -107,17 +112,24 @@ def tokenizers(json_path: str, piece_path: str) -> Tokenizers:
 
 
 #: c: stretch, i: token, id, s and e: where it starts and ends in all stretches, one behind the other.
+_TABLES = """
+CREATE TEMP TABLE stretch (c INTEGER, n_a BIGINT, n_b BIGINT, n_links BIGINT, n_overlaps BIGINT);
+CREATE TEMP TABLE link (c INTEGER, i INTEGER, a INTEGER, b INTEGER);
+"""
 _ALIGN = """
-CREATE TEMP TABLE ta AS SELECT *, coalesce(sum(CAST(b_id IS NOT NULL AS INTEGER)) OVER (ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g
+CREATE OR REPLACE TEMP TABLE ta AS SELECT *, coalesce(sum(CAST(b_id IS NOT NULL AS INTEGER)) OVER (ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g
   FROM (SELECT a.c, a.i, a.id, a.s, a.e, CASE WHEN b.e = a.e THEN b.id END AS b_id FROM a ASOF LEFT JOIN b ON a.e >= b.e);
-CREATE TEMP TABLE tb AS SELECT *, coalesce(sum(CAST(linked AS INTEGER)) OVER (ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g
+CREATE OR REPLACE TEMP TABLE tb AS SELECT *, coalesce(sum(CAST(linked AS INTEGER)) OVER (ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g
   FROM (SELECT b.c, b.i, b.id, b.s, b.e, a.e IS NOT DISTINCT FROM b.e AS linked FROM b ASOF LEFT JOIN a ON b.e >= a.e);
-CREATE TEMP TABLE overlap AS SELECT ta.c, count(*) AS n FROM ta JOIN tb ON ta.g = tb.g AND ta.s < tb.e AND tb.s < ta.e GROUP BY ta.c;
-CREATE TEMP TABLE stretch AS SELECT c, n_a, n_b, n_links, n_overlaps FROM (SELECT c, count(*) AS n_a, count(b_id) AS n_links FROM ta GROUP BY c)
-  JOIN (SELECT c, count(*) AS n_b FROM tb GROUP BY c) USING (c) JOIN (SELECT c, n AS n_overlaps FROM overlap) USING (c);
-DROP TABLE overlap;
-CREATE TEMP TABLE pair AS SELECT id AS a, b_id AS b, CAST(sum(w) AS BIGINT) AS n, CAST(row_number() OVER (ORDER BY id, b_id) - 1 AS INTEGER) AS p
-  FROM ta JOIN (SELECT c, count(*) AS w FROM place GROUP BY c) USING (c) WHERE b_id IS NOT NULL GROUP BY id, b_id;
+INSERT INTO stretch SELECT c, n_a, n_b, n_links, n_overlaps FROM (SELECT c, count(*) AS n_a, count(b_id) AS n_links FROM ta GROUP BY c)
+  JOIN (SELECT c, count(*) AS n_b FROM tb GROUP BY c) USING (c)
+  JOIN (SELECT ta.c, count(*) AS n_overlaps FROM ta JOIN tb ON ta.g = tb.g AND ta.s < tb.e AND tb.s < ta.e GROUP BY ta.c) USING (c);
+INSERT INTO link SELECT c, i, id, b_id FROM ta WHERE b_id IS NOT NULL;
+"""
+_PAIRS = """
+DROP TABLE ta; DROP TABLE tb;
+CREATE TEMP TABLE pair AS SELECT a, b, CAST(sum(w) AS BIGINT) AS n, CAST(row_number() OVER (ORDER BY a, b) - 1 AS INTEGER) AS p
+  FROM link JOIN (SELECT c, count(*) AS w FROM place GROUP BY c) USING (c) GROUP BY a, b;
 """
 #: The groups' spelling, token by token: the last of a group's A tokens, and the last of its B tokens, are those linked.
 _SPELLED = """
@@ -137,9 +149,9 @@ def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum())), n
 
 
-def _intervals(flat: np.ndarray, n: np.ndarray, size: np.ndarray) -> pa.Table:
+def _intervals(flat: np.ndarray, n: np.ndarray, size: np.ndarray, first: int) -> pa.Table:
     end = np.cumsum(size[flat])
-    return pa.table({"c": np.repeat(np.arange(len(n), dtype=np.int32), n), "i": np.arange(len(flat), dtype=np.int32), "id": flat, "s": end - size[flat], "e": end})
+    return pa.table({"c": np.repeat(np.arange(first, first + len(n), dtype=np.int32), n), "i": np.arange(len(flat), dtype=np.int32), "id": flat, "s": end - size[flat], "e": end})
 
 
 def _unspelled(stretches: list[str], flat: np.ndarray, n: np.ndarray, spelling: list[bytes], size: np.ndarray) -> np.ndarray:
@@ -178,13 +190,13 @@ def align_long(text: bytes, t: Tokenizers) -> dict | None:
 def align(texts: list[bytes], t: Tokenizers) -> dict | None:
     """The alignment of a block of texts: for each text with tokens its numbers and groups, the block's pairs with their
     counts, and by stretch and text which pairs are linked. None if no text has tokens."""
-    cut = [_CUT.split(x.decode()) if x else [] for x in texts]
-    number = {s: c for c, s in enumerate(dict.fromkeys(chain.from_iterable(cut)))}
+    number: dict[str, int] = {}
+    cut = [np.array([number.setdefault(s, len(number)) for s in _CUT.split(x.decode())] if x else [], np.int32) for x in texts]
     stretches = list(number)
     (a_flat, a_n), (b_flat, b_n) = t.encode(stretches)
     # a piece is never longer than its text, so a text is spelled by its pieces if each of its stretches is
     bad = _unspelled(stretches, a_flat, a_n, t.a_bytes, t.a_size) | _unspelled(stretches, b_flat, b_n, t.b_bytes, t.b_size)
-    places = np.fromiter(map(number.__getitem__, chain.from_iterable(cut)), np.int32)
+    places = np.concatenate(cut)
     sizes = np.fromiter(map(len, cut), np.int64, len(cut))
     text = np.repeat(np.arange(len(cut), dtype=np.int32), sizes)
     fine = sizes > 0
@@ -199,13 +211,19 @@ def align(texts: list[bytes], t: Tokenizers) -> dict | None:
     n_texts = sum(map(len, texts))
     del cut, number, stretches, places, bad  # the strings go before the tables come
     room = max(500, n_texts * 160 >> 20)  # MB; more than a block only for a stretch that can't be cut
+    groups: list[bytes] = []
+    a_ends, b_ends = np.append(0, np.cumsum(a_n)), np.append(0, np.cumsum(b_n))
     with duckdb.connect(":memory:", config={"threads": 1, "memory_limit": f"{room}MB", "temp_directory": ""}) as con:
-        con.register("a", _intervals(a_flat, a_n, t.a_size))
-        con.register("b", _intervals(b_flat, b_n, t.b_size))
+        con.execute(_TABLES)
+        for i in range(0, len(a_n), ALIGNED):  # a stretch ends both tokenizers' tokens, so none meets another's
+            j = min(i + ALIGNED, len(a_n))
+            con.register("a", _intervals(a_flat[a_ends[i] : a_ends[j]], a_n[i:j], t.a_size, i))
+            con.register("b", _intervals(b_flat[b_ends[i] : b_ends[j]], b_n[i:j], t.b_size, i))
+            con.execute(_ALIGN)
+            groups += _joined(con.sql(_SPELLED).to_arrow_table(), i, j)
         con.register("place", pa.table({"d": text, "c": place}))
-        con.execute(_ALIGN)
-        by_text, pairs, links, spelled = (con.sql(q).to_arrow_table() for q in (_TEXTS, "SELECT a, b, n FROM pair ORDER BY p", "SELECT c, p FROM ta JOIN pair ON id = a AND b_id = b ORDER BY c, i", _SPELLED))
-    groups = _joined(spelled, len(a_n))
+        con.execute(_PAIRS)
+        by_text, pairs, links = (con.sql(q).to_arrow_table() for q in (_TEXTS, "SELECT a, b, n FROM pair ORDER BY p", "SELECT c, p FROM link JOIN pair USING (a, b) ORDER BY c, i"))
     first = np.cumsum(sizes) - sizes
     at = place.tolist()
     spelled_out = [b"".join([groups[c] for c in at[f : f + n]]) for f, n in zip(first.tolist(), sizes.tolist())]
@@ -213,27 +231,32 @@ def align(texts: list[bytes], t: Tokenizers) -> dict | None:
     return {"texts": by_text, "groups": spelled_out, "pairs": pairs, "link_pair": links["p"].to_numpy(), "stretch_links": n_links, "place": place, "text_places": sizes}
 
 
-def _joined(spelled: pa.Table, n: int) -> list[bytes]:
-    """The spelling of each stretch's groups, each with its semicolon."""
+def _joined(spelled: pa.Table, first: int, last: int) -> list[bytes]:
+    """The spelling of the groups of each stretch from first to before last, each with its semicolon."""
     c, t = spelled["c"].combine_chunks().to_numpy(), spelled["t"].combine_chunks()
     t = t.chunk(0) if isinstance(t, pa.ChunkedArray) else t
-    ends = np.searchsorted(c, np.arange(n + 1))
+    ends = np.searchsorted(c, np.arange(first, last + 1))
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), t.cast(pa.binary())), b"").to_pylist()
 
 
-def _ints(x: np.ndarray) -> pa.Array:
-    """One row: a list of 32-bit integers."""
-    return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x.astype(np.int32)))
+#: Rows of a block by kind: its pairs (place p, ids, partial count), three arrays of 32-bit integers in pieces, its texts.
+PAIR, LINK_PAIR, STRETCH_LINKS, PLACE, TEXT = range(5)
+_NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_overlaps")
+_TYPES = {"block": pa.int64(), "kind": pa.int32(), "p": pa.int32(), "a": pa.int32(), "b": pa.int32(), "n": pa.int64(), "data": pa.binary(), "doc_id": pa.int64(), **dict.fromkeys(_NUMBERS, pa.int64()), "n_places": pa.int64(), "groups_sha256": pa.string()}
+_ROWS = ", ".join(f"{c} {k}" for c, k in zip(_TYPES, ("long", "int", "int", "int", "int", "long", "binary", "long", *["long"] * 6, "string")))
 
 
-#: Columns of 32-bit integers as bytes: the longest by far, which the JVM needn't take apart.
-_PACKED = ("link_pair", "stretch_links", "place", "text_places")
-_BLOCKS = "block long, doc_id array<long>, no array<int>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, n_overlaps array<long>, groups_sha256 array<string>, a array<int>, b array<int>, n array<long>, link_pair binary, stretch_links binary, place binary, text_places binary"
+def _rows(block: int, kind: int, **columns) -> pa.RecordBatch:
+    """Rows of one kind, numbered by p; columns that the kind hasn't are null."""
+    n = len(next(iter(columns.values())))
+    columns |= {"block": np.full(n, block), "kind": np.full(n, kind, np.int32), "p": np.arange(n, dtype=np.int32)}
+    made = (columns.get(c) for c in _TYPES)
+    return pa.RecordBatch.from_arrays([pa.nulls(n, k) if x is None else x.combine_chunks().cast(k) if isinstance(x, pa.ChunkedArray) else pa.array(x, k) for x, k in zip(made, _TYPES.values())], names=list(_TYPES))
 
 
 def aligned_blocks(docs: DataFrame, json_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each block of texts: its ids, the numbers of those of its texts (by place, no) that have tokens, its
-    pairs with partial counts, and the links of its stretches and texts."""
+    """Rows of bounded size for each block of texts: its pairs with partial counts, the links of its stretches and the
+    stretches of its texts in pieces, and the numbers of its texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizers(json_path, piece_path)
@@ -242,57 +265,65 @@ def aligned_blocks(docs: DataFrame, json_path: str, piece_path: str, id_col: str
             texts = raw_texts(batch.column(1))
             found = align(texts, t) if len(texts) > 1 or len(texts[0]) <= BLOCK else align_long(texts[0], t)
             block += 1
-            row = lambda x, kind: pa.array([x], pa.list_(kind))
-            ids = batch.column(0).cast(pa.int64()).to_pylist()
-            columns = [pa.array([block], pa.int64()), row(ids, pa.int64())]
-            if found is None:
-                columns += [row([], k) for k in (pa.int32(), *[pa.int64()] * 5, pa.string(), pa.int32(), pa.int32(), pa.int64())] + [pa.array([b""], pa.binary()) for _ in _PACKED]
-            else:
-                x, p = found["texts"], found["pairs"]
-                columns += [row(x["d"].to_pylist(), pa.int32()), *(row(x[c].to_pylist(), pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links", "n_overlaps"))]
-                columns += [row(found.get("sha256") or [hashlib.sha256(g[:-1]).hexdigest() for g in found["groups"]], pa.string())]
-                columns += [_ints(p["a"].to_numpy()), _ints(p["b"].to_numpy()), row(p["n"].to_pylist(), pa.int64())]
-                columns += [pa.array([found[c].astype("<i4").tobytes()], pa.binary()) for c in _PACKED]
-            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _BLOCKS.split(", ")])
-
-    return docs.select(id_col, text_col).mapInArrow(run, _BLOCKS)
+            numbers = {c: np.zeros(len(texts), np.int64) for c in (*_NUMBERS, "n_places")}
+            sha = np.full(len(texts), "", object)
+            if found is not None:
+                no = found["texts"]["d"].to_numpy()
+                for c in _NUMBERS:
+                    numbers[c][no] = found["texts"][c].to_numpy()
+                numbers["n_places"][no] = found["text_places"]
+                sha[no] = found.get("sha256") or [hashlib.sha256(g[:-1]).hexdigest() for g in found["groups"]]
+                yield _rows(block, PAIR, **{c: found["pairs"][c] for c in "abn"})
+                for kind, c in ((LINK_PAIR, "link_pair"), (STRETCH_LINKS, "stretch_links"), (PLACE, "place")):
+                    x = found[c].astype("<i4")
+                    yield _rows(block, kind, data=[x[i : i + PIECE].tobytes() for i in range(0, len(x), PIECE)])
+            yield _rows(block, TEXT, doc_id=batch.column(0).cast(pa.int64()), **numbers, groups_sha256=sha)
+
+    return docs.select(id_col, text_col).mapInArrow(run, _ROWS)
 
 
 def pair_counts(blocks: DataFrame) -> DataFrame:
     """(a, b, count, best) over all blocks: how often tokens of the two ids end together, and whether no other A id does so
     more often with the B id."""
-    counts = blocks.select(F.explode(F.arrays_zip("a", "b", "n")).alias("x")).groupBy("x.a", "x.b").agg(F.sum("x.n").alias("count"))
+    counts = blocks.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("n").alias("count"))
     most = counts.groupBy("b").agg(F.max("count").alias("most"))
     return counts.join(most, "b").select("a", "b", "count", (F.col("count") == F.col("most")).alias("best"))
 
 
 def token_alignment(docs: DataFrame, json_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256, n_overlaps."""
-    blocks = stored(aligned_blocks(docs, json_path, piece_path, id_col, text_col), "alignments")
-    each = blocks.select("block", F.posexplode(F.arrays_zip("a", "b")).alias("p", "x")).select("block", "p", "x.a", "x.b")
-    told = each.join(pair_counts(blocks), ["a", "b"]).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("p", "count", "best"))).alias("told"))
-    told = told.select("block", F.col("told.count").alias("count"), F.col("told.best").alias("best"))
-    whole = blocks.join(told, "block", "left").drop("a", "b", "n", "block")
+    blocks = stored(aligned_blocks(docs, json_path, piece_path, id_col, text_col), "alignments", **{"parquet.block.size": ROW_GROUP})
+    told = blocks.where(F.col("kind") == PAIR).select("block", "kind", "p", "a", "b").join(pair_counts(blocks), ["a", "b"]).drop("a", "b")
+    rest = blocks.where(F.col("kind") != PAIR).drop("a", "b", "n")
+    whole = rest.unionByName(told, allowMissingColumns=True).repartition("block").sortWithinPartitions(F.col("block") * 8 + F.col("kind"))
+    names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+
+    def texts_of(block: pa.Table) -> pa.RecordBatch:
+        of = lambda kind: block.filter(pc.equal(block["kind"], kind)).sort_by("p")
+        ints = lambda kind: np.frombuffer(b"".join(of(kind)["data"].to_pylist()), "<i4")
+        pairs, texts, place = of(PAIR), of(TEXT), ints(PLACE)
+        found = {c: texts[c].to_numpy() for c in _NUMBERS} | {c: np.zeros(len(texts), np.int64) for c in ("n_best", "count_sum")}
+        if len(place):
+            pair, before, sizes = ints(LINK_PAIR), np.append(0, np.cumsum(ints(STRETCH_LINKS))), texts["n_places"].to_numpy()
+            no = np.flatnonzero(sizes)
+            for c, of_pair in (("n_best", pairs["best"].to_numpy().astype(np.int64)), ("count_sum", pairs["count"].to_numpy())):
+                total = np.append(0, np.cumsum(of_pair[pair]))
+                of_stretch = total[before[1:]] - total[before[:-1]]
+                found[c][no] = np.add.reduceat(of_stretch[place], (np.cumsum(sizes) - sizes)[no])
+        return pa.RecordBatch.from_arrays([texts["doc_id"].combine_chunks(), *(pa.array(found[c]) for c in names), texts["groups_sha256"].combine_chunks(), pa.array(found["n_overlaps"])], names=[id_col, *names, "groups_sha256", "n_overlaps"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, parts = None, []
         for batch in batches:
-            for i in range(len(batch)):
-                row = lambda c: batch.column(c).slice(i, 1).flatten()  # noqa: E731, B023
-                ids, no = row("doc_id"), row("no").to_numpy(zero_copy_only=False)
-                found = {c: np.zeros(len(ids), np.int64) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "n_overlaps")}
-                sha = np.full(len(ids), "", object)
-                if len(no):
-                    pair, links, place, sizes = (np.frombuffer(batch.column(c)[i].as_buffer(), "<i4") for c in _PACKED)  # noqa: B023
-                    count, best = row("count").to_numpy(), row("best").to_numpy(zero_copy_only=False)
-                    before = np.append(0, np.cumsum(links))
-                    for c, of_pair in (("n_best", best.astype(np.int64)), ("count_sum", count)):
-                        total = np.append(0, np.cumsum(of_pair[pair]))
-                        of_stretch = total[before[1:]] - total[before[:-1]]
-                        found[c][no] = np.add.reduceat(of_stretch[place], np.cumsum(sizes) - sizes)
-                    for c in ("n_a", "n_b", "n_groups", "n_links", "n_overlaps"):
-                        found[c][no] = row(c).to_numpy()
-                    sha[no] = row("groups_sha256").to_pylist()
-                names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(found[c]) for c in names), pa.array(sha, pa.string()), pa.array(found["n_overlaps"])], names=[id_col, *names, "groups_sha256", "n_overlaps"])
+            of = batch.column("block").to_numpy()
+            starts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else []
+            for i, j in zip(starts, [*starts[1:], len(of)]):
+                if of[i] != block and parts:
+                    yield texts_of(pa.Table.from_batches(parts))
+                    parts = []
+                block = of[i]
+                parts.append(batch.slice(i, j - i))
+        if parts:
+            yield texts_of(pa.Table.from_batches(parts))
 
     return whole.mapInArrow(run, f"{id_col} long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, n_overlaps long")

@@ -113,3 +113,18 @@ def test_long_unbroken_text():
     t = token_alignment.tokenizers(JSON, MODEL)
     found = token_alignment.align([b"ab" * 200_000, "日本".encode() * 5000], t)
     assert found["texts"]["n_a"].to_pylist()[0] > 1000
+
+
+def test_blocks_are_stored_in_small_rows(spark, monkeypatch):
+    """No row and no list grows with a block or with a text, and slices of stretches align as all do at once."""
+    text = " ".join(f"word{i % 4000}, and" for i in range(60_000))
+    want = token_alignment.align([text.encode()], token_alignment.tokenizers(JSON, MODEL))
+    monkeypatch.setattr(token_alignment, "ALIGNED", 100)
+    got = token_alignment.align([text.encode()], token_alignment.tokenizers(JSON, MODEL))
+    assert got["texts"].equals(want["texts"]) and got["groups"] == want["groups"] and got["pairs"].equals(want["pairs"])
+    assert all((got[c] == want[c]).all() for c in ("link_pair", "stretch_links", "place", "text_places"))
+    stored = token_alignment.aligned_blocks(docs_of(spark, [text, text]), JSON, MODEL)
+    for field in stored.schema:
+        assert field.dataType.typeName() not in ("array", "map", "struct"), field
+    longest = max(len(r["data"]) for r in stored.where("data is not null").select("data").collect())
+    assert longest <= 4 * token_alignment.PIECE < len(want["place"]) * 4
