@@ -143,25 +143,28 @@ def apply_path_changes(base: DataFrame, changes: DataFrame, excluded: Callable[[
     if that is since that removal; else what it was in the base, if nothing above was removed; else a directory made on the
     way. Of repeated paths in the base or the listing one is kept, the directory or larger. A null path is left out.
 
-    Removals meet paths by the few prefixes of each, not by comparison of all with all, and every path is dealt once."""
+    Of a path's records only the last of each sort counts, as does the last listing of a directory: the journal is brought
+    down to these first, so no row is made for a record and what its directory holds. Removals meet paths by the few
+    prefixes of each, not by comparison of all with all, and every path is dealt once."""
     clean = lambda df: df.withColumn("path", normal_path(F.col("path"))).where("path is not null and path <> ''")
-    old, own = clean(base.select("path", "is_dir", "size")), clean(changes.select("path", "is_dir", "size", "action", "usn"))
+    last = changes.groupBy("path", "is_dir", "action").agg(F.max(F.struct("usn", "size")).alias("s"))
+    old, own = clean(base.select("path", "is_dir", "size")), cut_lineage(clean(last.select("path", "is_dir", "s.size", "action", "s.usn")))
     adds = own.where("action = 'add'").select("path", "usn", "is_dir", F.when(F.col("is_dir"), F.lit(0)).otherwise(F.col("size")).cast("long").alias("size"))
     if listing is not None:
         dirs = adds.where("is_dir")
         if excluded is not None:  # an excluded directory isn't listed
             dirs = dirs.join(excluded(dirs.select("path").distinct()).select("path").distinct(), "path", "left_anti")
-        opened = dirs.groupBy(F.col("path").alias("up")).agg(F.collect_set("usn").alias("at"))
+        opened = dirs.groupBy(F.col("path").alias("up")).agg(F.max("usn").alias("usn"))
         inside = clean(listing.select("path", "is_dir", "size")).withColumn("up", F.explode(_above("path"))).join(opened, "up")
-        brought = inside.select("path", F.explode("at").alias("usn"), "is_dir", F.when(F.col("is_dir"), F.lit(0)).otherwise(F.col("size")).cast("long").alias("size"))
-        adds = adds.unionByName(brought)
+        brought = inside.select("path", "usn", "is_dir", F.when(F.col("is_dir"), F.lit(0)).otherwise(F.col("size")).cast("long").alias("size"))
+        adds = cut_lineage(adds.unionByName(brought))
     gone = own.where("action = 'remove'").select("path", "usn")
     if excluded is not None:
         out = excluded(adds.select("path").distinct()).select("path").distinct()
         gone = gone.unionByName(adds.join(out, "path", "left_semi").select("path", "usn"))
         adds = adds.join(out, "path", "left_anti")
     removed = gone.groupBy(F.col("path").alias("up")).agg(F.max("usn").alias("removed"))
-    added = adds.groupBy("path").agg(F.max("usn").alias("added"), F.max_by(F.struct("is_dir", "size"), F.struct("usn", "is_dir", "size")).alias("new"))
+    added = cut_lineage(adds.groupBy("path").agg(F.max("usn").alias("added"), F.max_by(F.struct("is_dir", "size"), F.struct("usn", "is_dir", "size")).alias("new")))
     ways = added.select(F.explode(_above("path")).alias("path"), F.col("added").alias("way")).groupBy("path").agg(F.max("way").alias("way"))
     paths = old.select("path").unionByName(added.select("path")).unionByName(ways.select("path"))
     swept = paths.select("path", F.explode(prefixes(F.col("path"))).alias("up")).join(removed, "up").groupBy("path").agg(F.max("removed").alias("removed"))

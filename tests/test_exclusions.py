@@ -2,6 +2,7 @@
 
 import fnmatch
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -192,3 +193,14 @@ def test_path_changes_around_a_directory(spark):
     assert after(("d/y", False, "add"), ("d", True, "remove")) == {"e/y": (False, 2)}
     assert after(("d", True, "remove"), ("d", True, "add")) == {"d": (True, 0), "e/y": (False, 2)}
     assert after(("d", True, "remove"), ("D2/n/z", False, "add"), ("d/z", False, "add")) == {"d": (True, 0), "d/z": (False, 7), "D2": (True, 0), "D2/n": (True, 0), "D2/n/z": (False, 7), "e/y": (False, 2)}
+
+
+def test_listed_directories_that_are_added_often(spark):
+    """A directory's listing counts once, however often the journal adds it: 20,000 records by 20,000 paths are no product."""
+    began = time.time()
+    listing = spark.range(20_000).selectExpr("concat('a/b/', id) AS path", "false AS is_dir", "2L AS size")
+    journal = spark.range(20_001).selectExpr("'a/b' AS path", "id < 20000 AS is_dir", "if(id < 20000, 'add', 'remove') AS action", "1L AS size", "if(id < 20000, id, 19998L) AS usn")
+    base = spark.createDataFrame([("a/b/old", False, 7)], "path string, is_dir boolean, size long")
+    got = M.apply_path_changes(base, journal, None, listing)
+    assert {tuple(r) for r in got.groupBy("is_dir", "size").count().collect()} == {(True, 0, 2), (False, 2, 20_000)}
+    assert time.time() - began < 60
