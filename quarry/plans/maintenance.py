@@ -11,13 +11,13 @@ from quarry.plans.registry import query
 from quarry.sources import catalog
 
 
-def _changes(spark, sf_dir):
-    """The journal as link changes of the parts' folders, with toggles and renames dealt in by usn."""
+def _changes(spark, sf_dir, *more):
+    """The journal as link changes of the parts' folders, with toggles and renames dealt in by usn, and more of its columns."""
     usn = F.col("usn")
     reason = F.when(usn % 11 == 0, catalog.HARD_LINK).when(usn % 13 == 0, catalog.RENAME_OLD).otherwise(F.col("reason"))
     name = F.when(usn % 4 == 0, F.concat(F.lit("link-"), (usn % 3).cast("string"))).otherwise(F.concat(F.lit("part-"), F.col("id").cast("string")))
     rows = catalog.journal(spark, sf_dir).where("id is not null").withColumn("reason", reason)
-    return rows.select("id", "usn", (F.col("id") % 10).alias("parent_id"), name.alias("name"), M.reason_action(F.col("reason")).alias("action"), M.refreshes(F.col("reason")).alias("refresh"), "size", F.lit("P").alias("source_key"))
+    return rows.select("id", "usn", (F.col("id") % 10).alias("parent_id"), name.alias("name"), M.reason_action(F.col("reason")).alias("action"), M.refreshes(F.col("reason")).alias("refresh"), "size", F.lit("P").alias("source_key"), *more)
 
 
 def _links(spark, sf_dir):
@@ -204,11 +204,21 @@ def stream_resume(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("n_distinct"))
 
 
-def _journal_in_parts(changes, folder, parts=4):
-    """A journal grows in the order of its offsets: files of a fourth of them each, one after another."""
+#: Offsets in a file of a journal that streams read, and so records of a trigger.
+RECORDS = 1 << 20
+
+
+def _journal_in_parts(changes, folder, least=4):
+    """Grows a journal in the order of its offsets: files of RECORDS of them at most, `least` at least, one after another, as
+    often as next() is called. The changes are dealt by offset in one job, so that each file reads its own records alone."""
+    spark, whole = changes.sparkSession, f"{folder}-parts"
     last = changes.agg(F.max("usn")).first()[0] or 0
-    for k in range(parts):
-        changes.where(F.col("usn").between(k * last // parts + (k > 0), (k + 1) * last // parts)).coalesce(1).write.mode("append").parquet(folder)
+    width = min(RECORDS, -(-(last + 1) // least))
+    changes.withColumn("part", F.floor(F.col("usn") / width)).write.partitionBy("part").parquet(whole)
+    dealt = spark.read.schema(changes.withColumn("part", F.lit(0).cast("long")).schema).parquet(whole)
+    for k in range(last // width + 1):
+        dealt.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(folder)
+        yield k, last // width + 1
 
 
 @query(_COMPACT)
@@ -220,7 +230,8 @@ def stream_compact(spark, sf_dir):
 
     folder = Snapshots(spark).folder
     changes = _changes(spark, sf_dir)
-    _journal_in_parts(changes, f"{folder}/journal")
+    for _ in _journal_in_parts(changes, f"{folder}/journal"):
+        pass
     stream = J.tail(spark, f"{folder}/journal", changes.schema, per_trigger=1)
     keeper = J.Compactor(_links(spark, sf_dir), BucketStore(spark, f"{folder}/store"), threshold=changes.count() // 2, buckets=4)
     keeper.run(stream, f"{folder}/checkpoint").awaitTermination()
@@ -234,10 +245,10 @@ def stream_live_view(spark, sf_dir):
     from quarry.streaming import live
 
     folder = Snapshots(spark).folder
-    changes = _changes(spark, sf_dir).join(catalog.journal(spark, sf_dir).select("usn", "ts"), "usn")
-    half = (changes.agg(F.max("usn")).first()[0] or 0) // 2
-    for part in (F.col("usn") <= half, F.col("usn") > half):
-        changes.where(part).coalesce(1).write.mode("append").parquet(f"{folder}/journal")
-        stream = J.tail(spark, f"{folder}/journal", changes.schema)
-        live.keep_states(live.live_states(stream, 6 * 3_600_000), f"{folder}/states", f"{folder}/checkpoint").awaitTermination()
+    changes = _changes(spark, sf_dir, "ts")
+    span = changes.agg(F.max("ts").cast("long") - F.min("ts").cast("long")).first()[0] or 0
+    for k, n in _journal_in_parts(changes, f"{folder}/journal", 2):
+        if k + 1 in (n // 2, n):  # offsets order the records; none is late, whatever its time
+            stream = J.tail(spark, f"{folder}/journal", changes.schema, per_trigger=1)
+            live.keep_states(live.live_states(stream, 6 * 3_600_000, f"{span + 1} seconds"), f"{folder}/states", f"{folder}/checkpoint").awaitTermination()
     return live.view(_links(spark, sf_dir), spark, f"{folder}/states").select("id", "parent_id", "name", "size")

@@ -43,35 +43,40 @@ class LinkState(StatefulProcessor):
         last_ms, sent = -1, []
         for chunk in rows:
             sent.append(chunk[chunk["usn"] > usn])
+        links, touched = self._links() if sent else {}, set()  # read once and written once a trigger, whatever the records
         for r in pd.concat(sent).sort_values("usn").itertuples(index=False) if sent else ():
             usn, n, last_ms = r.usn, n + 1, max(last_ms, int(r.ts.timestamp() * 1000))
             if r.refresh:
                 refreshed, size = usn, None if pd.isna(r.size) else int(r.size)
             if r.action in ("add", "remove", "hide", "toggle") and not pd.isna(r.parent_id) and r.name is not None:
                 at = (int(r.parent_id), r.name)
-                settled, last, flips, own, made = self.links.getValue(at) if self.links.containsKey(at) else (None, None, False, None, -1)
+                settled, last, flips, own, made = links.get(at, (None, None, False, None, -1))
                 if r.action in ("add", "toggle"):
                     own, made = None if pd.isna(r.size) else int(r.size), usn
-                state = (settled, last, not flips, own, made) if r.action == "toggle" else (r.action == "add", r.action, False, own, made)
-                self.links.updateValue(at, state)
+                links[at] = (settled, last, not flips, own, made) if r.action == "toggle" else (r.action == "add", r.action, False, own, made)
+                touched.add(at)
         if last_ms < 0:
             return
+        for at in touched:
+            self.links.updateValue(at, links[at])
         if timer >= 0:
             self.handle.deleteTimer(timer)
         timer = last_ms + self.gap_ms
         self.handle.registerTimer(timer)
         self.meta.update((usn, n, refreshed, size, timer))
-        yield self._row(key, "state")
+        yield self._row(key, "state", links, usn, n, refreshed, size)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         usn, n, refreshed, size, _ = self.meta.get()
-        yield self._row(key, "quiet")
+        yield self._row(key, "quiet", self._links(), usn, n, refreshed, size)
         self.meta.update((usn, 0, refreshed, size, -1))
 
-    def _row(self, key, kind: str) -> pd.DataFrame:
-        usn, n, refreshed, size, _ = self.meta.get()
-        links = [{"parent_id": k[0], "name": k[1], "settled": v[0], "last": v[1], "flips": v[2], "size": v[3], "made": v[4]} for k, v in self.links.iterator()]
-        return pd.DataFrame({"id": [key[0]], "kind": [kind], "usn": [usn], "n": [n], "links": [links], "refreshed": [refreshed], "size": pd.array([size], "Int64")})
+    def _links(self) -> dict[tuple, tuple]:
+        return {tuple(k): tuple(v) for k, v in self.links.iterator()}
+
+    def _row(self, key, kind: str, links: dict[tuple, tuple], usn: int, n: int, refreshed: int, size: int | None) -> pd.DataFrame:
+        each = [{"parent_id": k[0], "name": k[1], "settled": v[0], "last": v[1], "flips": v[2], "size": v[3], "made": v[4]} for k, v in links.items()]
+        return pd.DataFrame({"id": [key[0]], "kind": [kind], "usn": [usn], "n": [n], "links": [each], "refreshed": [refreshed], "size": pd.array([size], "Int64")})
 
     def close(self) -> None:
         pass

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.operators import maintenance as M
 from quarry.operators.buckets import BucketStore
@@ -138,3 +139,21 @@ def test_live_view_over_two_starts(spark, tmp_path):
     want[44] = want.get(44, 0) + 1
     assert counts == want  # each record is in one quiet period, all but those of the newest id closed
     assert len(quiet) >= len(want)
+
+
+def test_journal_in_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    """Files hold RECORDS offsets at most and come in their order, so a trigger's memory doesn't follow the journal; the view
+    over many triggers is the compaction, though times run against the offsets."""
+    from quarry.plans import maintenance as P
+
+    monkeypatch.setattr(P, "RECORDS", 30)
+    changes = spark.createDataFrame(journal(4, 100, 12), CHANGE).withColumn("ts", F.expr("timestamp'2024-03-01' - make_interval(0, 0, 0, 0, cast(usn as int) * 5)"))
+    seen, parts = set(), 0
+    for k, n in P._journal_in_parts(changes, f"{tmp_path}/j", 2):
+        got = {r["usn"] for r in spark.read.parquet(f"{tmp_path}/j").select("usn").collect()}
+        assert len(got - seen) <= 30 and (not seen or max(seen) < min(got - seen))
+        seen, parts = got, k + 1
+    assert parts == n > 2 and len(seen) == changes.count()
+    monkeypatch.setattr(P, "_changes", lambda spark, sf_dir, *more: changes)
+    monkeypatch.setattr(P, "_links", lambda spark, sf_dir: base_of(spark))
+    assert sorted(map(tuple, P.stream_live_view(spark, "").collect())) == sorted(map(tuple, M.compact(base_of(spark), changes).select("id", "parent_id", "name", "size").collect()))
