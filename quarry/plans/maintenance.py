@@ -240,15 +240,22 @@ def stream_compact(spark, sf_dir):
 
 @query(_COMPACT)
 def stream_live_view(spark, sf_dir):
-    """Links and metadata in the state store, in two starts from one checkpoint; ends at the result of the compaction."""
+    """Links and metadata in the state store, in two starts from one checkpoint or more: while one runs the journal grows, and
+    the next goes on with what has come. Ends at the result of the compaction."""
     from quarry.streaming import journal as J
     from quarry.streaming import live
 
     folder = Snapshots(spark).folder
     changes = _changes(spark, sf_dir, "ts")
     span = changes.agg(F.max("ts").cast("long") - F.min("ts").cast("long")).first()[0] or 0
+    width = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    running = None
     for k, n in _journal_in_parts(changes, f"{folder}/journal", 2):
-        if k + 1 in (n // 2, n):  # offsets order the records; none is late, whatever its time
+        if running is None or not running.isActive or k + 1 == n:
+            if running is not None:
+                running.awaitTermination()
             stream = J.tail(spark, f"{folder}/journal", changes.schema, per_trigger=1)
-            live.keep_states(live.live_states(stream, 6 * 3_600_000, f"{span + 1} seconds"), f"{folder}/states", f"{folder}/checkpoint").awaitTermination()
+            states = live.live_states(stream, 6 * 3_600_000, f"{span + 1} seconds")  # offsets order the records; none is late, whatever its time
+            running = live.keep_states(states, f"{folder}/states", f"{folder}/checkpoint", width)
+    running.awaitTermination()
     return live.view(_links(spark, sf_dir), spark, f"{folder}/states").select("id", "parent_id", "name", "size")

@@ -157,3 +157,27 @@ def test_journal_in_files_of_bounded_size(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(P, "_changes", lambda spark, sf_dir, *more: changes)
     monkeypatch.setattr(P, "_links", lambda spark, sf_dir: base_of(spark))
     assert sorted(map(tuple, P.stream_live_view(spark, "").collect())) == sorted(map(tuple, M.compact(base_of(spark), changes).select("id", "parent_id", "name", "size").collect()))
+
+
+def test_live_view_keeps_neighbouring_ids_together(spark, tmp_path):
+    """A store's entry and a call go for a bucket of ids, not for each id or link; ids of a bucket are quiet each at its own
+    time, the state lies in as many partitions as asked for, and whole numbers beyond a double's stay exact beside nulls."""
+    at, big = datetime(2024, 1, 1), (1 << 60) + 1
+    first = [(u, u % 500, big, f"n{u % 500}", "add", True, big, at + timedelta(minutes=u % 500)) for u in range(1000)] + [(1000, 3, None, None, "refresh", True, None, at)]
+    then = [(2000, 7, big, "n7", "toggle", False, big + 1, at + timedelta(days=1)), (2001, 3, big, "m3", "add", False, None, at)]
+    stores = []
+    for part in (first, then):
+        spark.createDataFrame(part, CHANGE).coalesce(1).write.mode("append").parquet(f"{tmp_path}/journal")
+        stream = J.tail(spark, f"{tmp_path}/journal", spark.read.parquet(f"{tmp_path}/journal").schema)
+        query = live.keep_states(live.live_states(stream, 60_000, "3 days"), f"{tmp_path}/states", f"{tmp_path}/check", 2)
+        query.awaitTermination()
+        stores += [p["stateOperators"][0] for p in query.recentProgress]
+    assert max(s["numRowsTotal"] for s in stores) <= 2 * 4 and {s["numStateStoreInstances"] for s in stores} == {2}
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    base = base_of(spark, 10)
+    whole = [c for c in first + then if c[3] is not None] + [(1000, 3, -9, "-", "refresh", True, None, at)]
+    assert rows(live.view(base, spark, f"{tmp_path}/states")) == rows(M.compact(base, spark.createDataFrame(whole, CHANGE)))
+    timed = live.live_states(J.tail(spark, f"{tmp_path}/journal", spark.read.parquet(f"{tmp_path}/journal").schema), 60_000, "10 minutes")
+    live.keep_states(timed, f"{tmp_path}/quiet", f"{tmp_path}/check2").awaitTermination()
+    quiet = {r["id"]: r["n"] for r in spark.read.parquet(f"{tmp_path}/quiet").where("kind = 'quiet'").collect()}
+    assert quiet == {i: 2 + 2 * (i == 3) for i in range(500) if i != 7}  # all but that of the newest record
